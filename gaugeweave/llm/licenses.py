@@ -11,6 +11,8 @@ empty table gives no rows; further columns of the input are ignored. Texts are u
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,42 +71,49 @@ TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "I
 #: A line is dropped if, after marks, it begins as a copyright line: the word or sign with a year, name or sign after it.
 COPYRIGHT_LINE = r"(?m)^[\t #*/;>-]*(?:portions )?(?:copyright[\t ]+(?:\(c\)|©|[0-9]|by )|copyright:|\(c\)|©|all rights reserved)[^\n]*$"
 
-#: Spellings that count as one, as (pattern, replacement); written so that one meaning holds in Java's and RE2's syntax.
+#: Spellings that count as one, as (parts, pattern, replacement); patterns have one meaning in Java's and RE2's syntax. Any text that
+#: a pattern matches contains one of its parts, which are looked for first: a plain search is far cheaper than a pattern.
 SPELLINGS = [
-    (r"\b(sub)[- ]?(licen)c(e|es|ed|ing|or)\b", "$1$2s$3"),
-    (r"\b(licen)c(e|es|ed|ing|able|or)\b", "$1s$2"),
-    (r"\b(sub)[- ](licens)", "$1$2"),
-    (r"\b(acknowledg|judg)e(ment)", "$1$2"),
-    (r"\b(fav|hon|col|lab|behavi)ou(r)", "$1o$2"),
-    (r"\b(author|organ|recogn|util|initial|capital|real|special)is(e|ed|es|er|ing|ation|ations)\b", "$1iz$2"),
-    (r"\b(non)[- ]+(infring|commercial|exclusive|transferable)", "$1$2"),
-    (r"\bcopyright (?:owner|proprietor)(s?)\b", "copyright holder$1"),
-    (r"\bhttps://", "http://"),
-    (r"\b(centr|fib|theat)re(s?)\b", "$1er$2"),
-    (r"\b(catalog|analog|dialog)ue(s?)\b", "$1$2"),
-    (r"\b(wil)l(ful)", "$1$2"),
+    (["licenc"], r"\b(sub)[- ]?(licen)c(e|es|ed|ing|or)\b", "$1$2s$3"),
+    (["licenc"], r"\b(licen)c(e|es|ed|ing|able|or)\b", "$1s$2"),
+    (["sub-licens", "sub licens"], r"\b(sub)[- ](licens)", "$1$2"),
+    (["acknowledgement", "judgement"], r"\b(acknowledg|judg)e(ment)", "$1$2"),
+    (["favour", "honour", "colour", "labour", "behaviour"], r"\b(fav|hon|col|lab|behavi)ou(r)", "$1o$2"),
+    (["authoris", "organis", "recognis", "utilis", "initialis", "capitalis", "realis", "specialis"], r"\b(author|organ|recogn|util|initial|capital|real|special)is(e|ed|es|er|ing|ation|ations)\b", "$1iz$2"),
+    (["non-", " non "], r"(^|[- ])(non)[- ]+(infring|commercial|exclusive|transferable)", "$1$2$3"),
+    (["copyright owner", "copyright proprietor"], r"\bcopyright (?:owner|proprietor)(s?)\b", "copyright holder$1"),
+    (["https://"], r"\bhttps://", "http://"),
+    (["centre", "fibre", "theatre"], r"\b(centr|fib|theat)re(s?)\b", "$1er$2"),
+    (["catalogue", "analogue", "dialogue"], r"\b(catalog|analog|dialog)ue(s?)\b", "$1$2"),
+    (["willful"], r"\b(wil)l(ful)", "$1$2"),
 ]
 
 
-#: A plain look for any spelling to change; only texts that have one are rewritten, which changes no result.
-ANY_SPELLING = r"licenc|sub[- ]licens|edgement|judgement|favour|honour|colour|labour|behaviour|is(?:e|ed|es|er|ing|ation|ations)\b|non[- ]|copyright (?:owner|proprietor)|https://|centre|fibre|theatre|logue|willful"
+def _has_any(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in parts])
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named; nested plain expressions would multiply."""
+    return F.transform(F.array(value), body)[0]
 
 
 def canonical(text: Column) -> Column:
     """The form that is digested: lower case, no copyright lines, one spelling, letters and digits parted by single spaces."""
-    low = F.lower(text)
-    low = F.when(low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
-    spelled = low
-    for pattern, to in SPELLINGS:
-        spelled = F.regexp_replace(spelled, pattern, to)
-    low = F.when(low.rlike(ANY_SPELLING), spelled).otherwise(low)
-    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+
+    def respelled(low: Column) -> Column:
+        out = low
+        for _, pattern, to in SPELLINGS:
+            out = F.regexp_replace(out, pattern, to)
+        return F.when(_has_any(low, [x for parts, _, _ in SPELLINGS for x in parts]), out).otherwise(low)
+
+    low = _let(F.lower(text), lambda x: F.when(_has_any(x, ["copyright", "(c)", "©", "all rights reserved"]), F.regexp_replace(x, COPYRIGHT_LINE, " ")).otherwise(x))
+    return F.trim(F.regexp_replace(_let(low, respelled), r"[^\p{L}\p{N}]+", " "))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """(license_digest, license_id): one row for each known text, with each title and without."""
-    rows = [(name, text) for name, text in _known_rows()]
-    raw = spark.createDataFrame(rows, "license_id string, known string")
+    raw = spark.createDataFrame(_known_rows(), "license_id string, known string")
     return raw.select(F.sha2(canonical(F.col("known")), 256).alias("license_digest"), "license_id").dropDuplicates(["license_digest"])
 
 
@@ -114,7 +123,7 @@ def _known_rows() -> list[tuple[str, str]]:
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, digest, license_id): ``license_id`` is null unless the whole text is a known one."""
-    mine = docs.select(F.col(id_col).alias(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("digest"))
+    mine = docs.select(id_col, F.sha2(canonical(F.col(text_col)), 256).alias("digest"))
     known = known_digests(docs.sparkSession)
     return mine.join(F.broadcast(known), mine["digest"] == known["license_digest"], "left").select(id_col, "digest", "license_id")
 
@@ -125,7 +134,7 @@ def oracle_sql() -> str:
 
     def form(x: str) -> str:
         x = f"regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
-        for pattern, to in SPELLINGS:
+        for _, pattern, to in SPELLINGS:
             x = f"regexp_replace({x}, {quote(pattern)}, {quote(to.replace('$', chr(92)))}, 'g')"
         return f"sha256(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
 
