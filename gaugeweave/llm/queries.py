@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, warc
+from . import ann, langid, licenses, mixing, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_ann_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_predictions(_table(spark, sf_dir, "documents"))
+
+
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(_table(spark, sf_dir, "documents"))
 
@@ -30,11 +42,15 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_ann_multi_index": op5_ann_multi_index,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op8_language_id": op8_language_id,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 
 ORACLE = {
     "op1_license_scan": licenses.oracle_sql(),
+    "op6_exact_top_k": topk.oracle_sql(),
     "op9_temperature_mixing": mixing.oracle_sql(),
 }
