@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, licenses, mixing, quality, topk, warc
+from . import ann, langid, licenses, mixing, pii, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(_table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_kinds")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_predictions(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ann_multi_index": op5_ann_multi_index,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_language_id": op8_language_id,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_warc_round_trip": op10_warc_round_trip,
