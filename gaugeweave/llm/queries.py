@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, licenses, mixing, nearjoin, pii, quality, topk, warc
+from . import ann, langid, licenses, mixing, nearjoin, pieces, pii, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_table(spark, sf_dir, "documents"))
+
+
 def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_near_join": op3_near_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ann_multi_index": op5_ann_multi_index,
