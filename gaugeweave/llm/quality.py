@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .storage import durable
+from .storage import durable, sized_join
 
 _CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
@@ -186,11 +186,30 @@ def learnable(docs_or_labels: DataFrame, modulus: int, left_out: int, id_col: st
     return docs_or_labels.filter(F.crc32(F.col(id_col).cast("string")) % modulus != left_out)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted; learned from labels whose crc32(doc_id) mod 5 is not 0, over the texts of ``learn_from`` (default: docs)."""
+def _training_labels(labels: DataFrame) -> DataFrame:
+    return learnable(labels.filter("quality in (0, 1)"), 5, 0).select("doc_id", F.col("quality").cast("int").alias("label"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted; learned from labels whose crc32(doc_id) mod 5 is not 0."""
     stats = with_statistics(docs)
-    mine = learnable(labels.filter("quality in (0, 1)"), 5, 0).select("doc_id", F.col("quality").cast("int").alias("label"))
-    source = stats if learn_from is None else with_statistics(learn_from.join(mine.select("doc_id").distinct(), "doc_id", "left_semi"))
-    model = fit(source.join(mine, "doc_id"))
+    model = fit(stats.join(_training_labels(labels), "doc_id"))
     held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
     return score(stats, model).select("doc_id", held, "score", "predicted")
+
+
+def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model learned from the labelled rows of ``docs``; statistics are computed for these alone."""
+    mine = durable(_training_labels(labels))
+    known = sized_join(docs, durable(mine.select("doc_id").distinct()), "doc_id", "left_semi")
+    return fit(with_statistics(known).join(mine, "doc_id"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, in one pass and without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score(statistics(b.column(b.schema.get_field_index(text_col)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
