@@ -30,7 +30,7 @@ def grid(rows: DataFrame, queries: DataFrame, rows_in_block: int, queries_in_blo
     nr = max(1, math.ceil(rows.count() / rows_in_block))
     nq = max(1, math.ceil(queries.count() / queries_in_block))
     block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = rows.select(block("row", nr).alias("row_block"), all_of(nq).alias("query_block"), F.lit(False).alias("is_query"), "id", "v")
     b = queries.select(all_of(nr).alias("row_block"), block("query", nq).alias("query_block"), F.lit(True).alias("is_query"), "id", "v")
     return a.unionByName(b)
