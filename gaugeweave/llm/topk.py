@@ -1,12 +1,13 @@
 """Exact top-k search: an impact-ordered index, processed score-at-a-time.
 
-The components of the quantised vectors are postings: for each dimension and value, a segment of the rows that have it. For a
-query a segment's impact is the product of the query's component and the segment's value. Impacts are quantised
-into levels and the segments of a level are processed together, from the highest level down; each adds its impact to its rows'
-sums. After a level, a row can gain at most the greatest impact still open for each dimension where it hasn't been met. The most
-promising rows are scored in full, and the k-th best of those scores is a bound that every member reaches: rows whose upper bound
-is below it can't be members. Processing stops only once that proof leaves few rows, or all segments are done; the rows left
-are scored exactly. Blocks are those of :mod:`.vectors`.
+The components of the quantised vectors are postings, sorted by dimension and value; a segment is a run of postings of one
+value. For a query a segment's impact is the product of the query's component and the segment's value. Impacts are quantised into
+levels, and all segments of a level, which are one range of each dimension's postings, are processed together, from the
+highest level down, adding impacts to their rows' sums. A row can gain at most the lesser of the level's lower edge and the dimension's
+greatest impact for each dimension where it hasn't been met. The most promising rows are scored in full, and the k-th best of those scores
+is a bound that every member reaches: rows that can't reach it are no members. All rows that this proof leaves are scored exactly, so
+processing stops, from the level of impact 0 on, as soon as scoring them costs less than the next level's postings. Blocks
+are those of :mod:`.vectors`.
 
 Results for odd input: vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; zero
 vectors do; a query's own id is no candidate, however often it is there; ties go to the smaller vec_id; with fewer than k
@@ -22,57 +23,72 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 
-LEVELS = 16
+#: Lower edges of the levels, as parts of the greatest impact above 0 and of the least below it.
+ABOVE, BELOW = (1 / 2, 1 / 8, 0.0), (1 / 64, 1 / 16, 1 / 4, 1.0)
+#: Scoring a row exactly costs about as much as this many postings.
+ROW_COST = 4
 
 
 class Index:
-    """Segments of one block: rows by (dimension, value)."""
+    """The postings of one block: of each dimension, values in order and their rows."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        dims, values, start, stop, rows, at = [], [], [], [], [], 0
-        for d in range(x.shape[1]):
-            order = np.argsort(x[:, d], kind="stable")
-            value, first = np.unique(x[order, d], return_index=True)
-            dims.append(np.full(len(value), d))
-            values.append(value)
-            start.append(first + at)
-            stop.append(np.append(first[1:], len(order)) + at)
-            rows.append(order.astype(np.int32))
-            at += len(order)
-        self.dims, self.values, self.start, self.rows = map(np.concatenate, (dims, values, start, rows))
-        self.lengths = np.concatenate(stop) - self.start
+        self.peak = float(np.abs(x).max(initial=0))
+        self.dense = x.astype(np.float32 if x.shape[1] * self.peak**2 < 1 << 24 else np.float64)  # sums of products are exact in single precision then
+        order = np.argsort(x, axis=0, kind="stable")
+        self.rows = [np.ascontiguousarray(order[:, d]) for d in range(x.shape[1])]
+        self.values = [x[r, d].astype(np.float64) for d, r in enumerate(self.rows)]
+
+    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores of some rows."""
+        most = self.x.shape[1] * self.peak * float(np.abs(q).max(initial=0))
+        if most >= 1 << 53:
+            return self.x[at] @ q
+        kind = np.float32 if most < 1 << 24 else np.float64
+        return (self.dense[at].astype(kind, copy=False) @ q.astype(kind)).astype(np.int64)
 
     def members(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the k best; ``own``: rows that are none."""
         n, dims = self.x.shape
-        impact = q[self.dims] * self.values
-        top, low = int(impact.max()), int(impact.min())
-        level = np.minimum((top - impact) * LEVELS // max(top - low, 1), LEVELS - 1)
-        order = np.lexsort((-impact, level))
-        cuts = np.searchsorted(level[order], np.arange(LEVELS + 1))
-        sums, unmet = np.zeros(n), np.full(n, dims)
+        ends = np.array([sorted((float(q[d]) * v[0], float(q[d]) * v[-1])) for d, v in enumerate(self.values)])
+        greatest, top, low = ends[:, 1], max(ends[:, 1].max(), 0.0), min(ends[:, 0].min(), 0.0)
+        edges = [x * top for x in ABOVE] + [x * low for x in BELOW]
+        done = [len(v) if q[d] > 0 else 0 for d, v in enumerate(self.values)]  # postings from here up (down, if q[d] < 0) are done
+        sums, met, pending = np.zeros(n), np.zeros(n), []
         can = np.ones(n, dtype=bool)
         can[own] = False
-        for i in range(LEVELS):
-            now = order[cuts[i] : cuts[i + 1]]
-            if not len(now):
-                continue
-            lengths = self.lengths[now]
-            rows = self.rows[np.repeat(self.start[now] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-            sums += np.bincount(rows, weights=np.repeat(impact[now], lengths), minlength=n)
-            unmet -= np.bincount(rows, minlength=n)
-            at = np.flatnonzero(can)
-            if len(at) <= k or cuts[i + 1] == len(order):
+        left = int(can.sum())
+        for i, edge in enumerate(edges):
+            parts = []
+            for d in range(dims):
+                if not q[d]:
+                    continue
+                v, w = self.values[d], edge / float(q[d])
+                to = int(np.searchsorted(v, w, "right" if q[d] > 0 else "left"))
+                if i == len(edges) - 1:
+                    to = 0 if q[d] > 0 else n
+                a, b = (to, done[d]) if q[d] > 0 else (done[d], to)
+                if b > a:
+                    parts.append((d, a, b))
+                    done[d] = to
+            if left <= k or i >= len(ABOVE) and ROW_COST * left <= sum(b - a for _, a, b in parts):
                 break
-            ceiling = int(impact[order[cuts[i + 1]]])
-            if ceiling * 8 > top:
-                continue
+            if parts:
+                rows = np.concatenate([self.rows[d][a:b] for d, a, b in parts])
+                sums += np.bincount(rows, weights=np.concatenate([self.values[d][a:b] * float(q[d]) for d, a, b in parts]), minlength=n)
+                pending.append(rows)
+            open_most = np.where(q != 0, np.minimum(edge, greatest), 0.0).sum()
+            at = np.flatnonzero(can)
             promising = at[np.argpartition(-sums[at], min(4 * k, len(at) - 1))[: 4 * k]]
-            bound = np.partition(self.x[promising] @ q, len(promising) - k)[len(promising) - k]
-            can[at] = sums[at] + unmet[at] * ceiling >= bound
-            if can.sum() <= 8 * k:
-                break
+            bound = np.partition(self.scores(promising, q), len(promising) - k)[len(promising) - k]
+            if open_most > bound:
+                continue  # rows that haven't been met at all could still be members
+            if edge and pending:
+                met += np.bincount(np.concatenate(pending), minlength=n)
+                pending = []
+            can[at] = sums[at] + open_most - met[at] * edge >= bound - 1e-6
+            left = int(can.sum())
         return np.flatnonzero(can)
 
 
@@ -86,7 +102,7 @@ def search(vectors: DataFrame, k: int = V.K_BEST, every: int = 20, scale: int =
         index = Index(x) if len(ids) and len(query_ids) else None
         for qid, v in zip(query_ids if index else [], q, strict=False):
             at = index.members(v, ids == qid, k)
-            s = x[at] @ v
+            s = index.scores(at, v)
             best = V.top_k(s, ids[at], k)
             out_q.append(np.full(len(best), qid))
             out_v.append(ids[at][best])
