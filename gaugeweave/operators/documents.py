@@ -99,7 +99,7 @@ def line_values(lines: DataFrame, terms: DataFrame, anchor: str = "") -> DataFra
 
     Terms are equi-joined: a line offers every run of its first eight words as a key.
     """
-    rows = lines
+    rows = lines.filter(~F.col("text").rlike(ROW) & ~F.col("text").rlike(BORDER))  # tables have their own extractors
     if anchor:
         w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("_on", F.max(F.contains(F.lower("text"), F.lit(anchor.lower())).cast("int")).over(w)).filter("_on = 1")

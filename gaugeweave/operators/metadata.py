@@ -59,7 +59,12 @@ def allowlist(blobs: DataFrame, allowed: DataFrame, key: str, blob: str) -> Data
     names = allowed.select("canonical", F.trim(_spaced(F.col("alias"))).alias("alias")).filter("alias <> ''").distinct()
     sizes = [r[0] for r in names.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect()]
     words = F.split(F.trim(_spaced(F.col(blob))), " ")
-    runs = [F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    none = F.array().cast("array<string>")
+
+    def runs_of(n: int) -> Column:
+        return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(none)
+
+    runs = [runs_of(n) for n in sizes]
     if not runs:
         return blobs.select(key, F.lit("Unknown").alias("canonical"))
     found = blobs.withColumn("_w", words).select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("alias")).join(names, "alias")
