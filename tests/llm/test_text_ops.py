@@ -1,0 +1,245 @@
+"""Licences, pieces, near join, PII, language ID, quality: odd input and brute force."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeweave.llm import components, langid, licenses, nearjoin, pieces, pii, quality, textkernel
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, **more):
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({k: F.lit(v) for k, v in more.items()})
+
+
+ODD = [None, "", " ", "!!!", "\n\n", "a", "x" * 50_000, "né \u0000漢字 😀", "a b c d e"]
+
+
+# licences
+def test_license_variants(spark):
+    mit = licenses.KNOWN[0][1]
+    texts = [mit, "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE"), mit.replace('"', "'").replace("\n", "\r\n   "), mit + " more words", "released under the MIT licence", *ODD]
+    got = licenses.scan_licenses(docs(spark, texts, license_id="x", digest=1, license_digest="y")).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == ["MIT", "MIT", "MIT", None, "MIT", *[None] * len(ODD)]
+    assert got[5].digest is None and got[6].digest == got[7].digest
+    assert licenses.scan_licenses(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+# pieces
+def test_pieces_equal_the_library(spark):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [*ODD, "  a  b ", "the cat\n\n the  cat\tsat", "<s> </s> <0x0A>", "Zażółć gęślą jaźń the cat the cat", "é ﬁ"] * 2
+    for most in (1000, 3):
+        got = pieces.encoded(docs(spark, texts), lexicon_words=most).collect()
+        assert {r.doc_id: r.ids for r in got} == {i: None if t is None else sp.encode(t) for i, t in enumerate(texts)}
+        assert all(r.round_trip for r in got if texts[r.doc_id] is not None)
+    back = pieces.decoded(pieces.encoded(docs(spark, texts)).select("doc_id", "ids")).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
+    assert pieces.encoded(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_viterbi_equals_brute_force(spark):
+    rows = [("▁", 3, -2.0), ("a", 4, -3.0), ("b", 5, -3.0), ("ab", 6, -4.0), ("▁a", 7, -3.5), ("ba", 8, -4.5), ("aba", 9, -6.0), ("▁ab", 10, -8.0)]
+    model = pieces.Pieces(rows, 100, "unigram")
+    score = {p: (s, i) for p, i, s in rows}
+    words = [" " + "".join(random.Random(n).choices("ab", k=n % 7 + 1)) for n in range(20)] + [" axb"]
+
+    def best(w):
+        if not w:
+            return 0.0, []
+        ways = []
+        for k in range(1, len(w) + 1):
+            s, ids = best(w[k:])
+            if w[:k] in score:
+                ways.append((score[w[:k]][0] + s, [score[w[:k]][1], *ids]))
+            elif k == 1:
+                ways.append((-18.0 + s, [100 + b for b in w[:1].encode()] + ids))
+        return max(ways, key=lambda x: x[0])
+
+    price = {i: s for _, i, s in rows} | {100 + ord("x"): -18.0}
+    got = {r.word: r.ids for r in pieces.encode_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), model).collect()}
+    for w in words:
+        assert sum(price[i] for i in got[w]) == pytest.approx(best(w.replace(" ", "▁"))[0])
+        assert b"".join(pieces._piece_bytes(model)[i] for i in got[w]).decode() == w
+
+
+# near join
+def brute(texts, t=0.8):
+    sets = []
+    for x in texts:
+        w = re.findall(r"\w+", (x or "").lower())
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else None)
+    distinct = {}
+    for i, s in enumerate(sets):
+        if s is not None:
+            distinct.setdefault(s, i)
+    links, root = defaultdict(int), {i: i for i in range(len(texts))}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    reps = list(distinct.items())
+    for n, (a, i) in enumerate(reps):
+        for b, j in reps[:n]:
+            k = len(a & b)
+            if k >= t * (len(a) + len(b) - k) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: (find(distinct[s]) if s is not None else i, links[distinct[s]] if s is not None else 0) for i, s in enumerate(sets)}
+
+
+def near_texts(seed=5, groups=8, size=6):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(groups):
+        base = r.choices(words, k=r.randint(60, 120))
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(words)
+            out.append(" ".join(w))
+    return [*out, out[0], out[0].upper(), *ODD, "a b c", "A, b c!"]
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_classes_equal_brute_force(spark, block):
+    texts = near_texts()
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nearjoin.near_classes(docs(spark, texts, class_id=1, node=2), block=block).collect()}
+    assert got == brute(texts)
+
+
+def test_near_classes_odd_ids(spark):
+    d = spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four five six"), (3, "one two three four five six"), (4, None), (4, None), (None, "only here without any id at all")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_copies) for r in nearjoin.near_classes(d).collect())
+    assert got == [("3", "3", 3), ("4", "4", 1), ("4", "4", 1), ("None", "3", 3), ("None", "3", 3), ("None", "None", 1)]
+    assert nearjoin.near_classes(d.limit(0)).count() == 0
+
+
+def test_recall_decides_the_prefix():
+    assert nearjoin.matched_depth(0.8, 16, 6, 0.9995) == 4
+    assert nearjoin.matched_depth(0.99, 16, 6, 0.9) == 6
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (500, 500), (101, 102)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 500: 500}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_place():
+    def hashes(texts):
+        out = []
+        for first, last, data, offs in textkernel.chunks(pa.array(texts)):
+            s, e, t = textkernel.words(data, offs)
+            h = textkernel.range_hashes(data, s, e)
+            out += [h[t == i].tolist() for i in range(last - first)]
+        return out
+
+    a = hashes(["Alpha beta", None, "", "xalpha BETA alpha"])
+    assert a[0] == [a[3][2], a[3][1]] and a[1] == a[2] == []
+    assert hashes(["q " * (1 << 20) + "alpha", "alpha"])[1][0] == a[0][0]
+
+
+# PII
+def test_surrogates(spark):
+    text = "Mr. John Smith (john.smith@corp.com, +1 (415) 555-0199, 10.1.2.3) paid 4111 1111 1111 1111; JOHN SMITH rang +1-415-555-0199. Frau Petra Weber; password=abc123def456"
+    got = pii.with_surrogates(docs(spark, [text, *ODD], pii_kinds="z").drop("pii_kinds")).orderBy("doc_id").collect()
+    out = got[0].text
+    for x in ("John", "Smith", "SMITH", "corp", "415) 555", "10.1.2.3", "4111 1111 1111", "Weber", "abc123def456"):
+        assert x not in out
+    assert [r.text for r in got[1:]] == ODD and all(not r.pii_kinds for r in got[1:])
+    digits = lambda s: re.sub(r"\D", "", s)
+    a, b = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\+1-\d{3}-\d{3}-\d{4}", out)
+    assert digits(a) == digits(b)
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", out)[0]
+    assert pii.luhn(digits(card)[:-1]) == int(digits(card)[-1]) and card[0] == "4"
+    names = re.search(r"Mr\. (\w+) (\w+) ", out)
+    assert names[1] in pii.GIVEN["latin", "m"] and f"{names[1]} {names[2]}".upper() in out
+    assert re.search(r"Frau (\w+) ", out)[1] in pii.GIVEN["latin", "f"]
+
+
+def test_surrogates_stay_distinct():
+    for kind, made in {"ipv4": [f"10.0.{i // 256}.{i % 256}" for i in range(3000)], "phone": [f"1:{4150000000 + i}" for i in range(3000)], "email": [f"u{i}@x.org" for i in range(1000, 4000)], "secret": [f"{i:016x}" for i in range(3000)], "ssn": [f"{i:03d}-11-2222" for i in range(1000)]}.items():
+        got = {pii.surrogate(b"k", kind, x) for x in made}
+        assert len(got) == len(made)
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    ips = [f"0.0.0.{i}" for i in range(40)]
+    plain = pii.permute
+    # surrogates are forced into a tiny range at first: many clash with each other or with originals
+    monkeypatch.setattr(pii, "permute", lambda key, label, values, radices: [0, 0, 0, values[-1] // 2] if label == "ipv4|0" else plain(key, label, values, radices))
+    d = docs(spark, [f"at {x} now" for x in ips])
+    for most in (1000, 0):
+        out = [r.text[3:-4] for r in pii.with_surrogates(d, broadcast_rows=most).orderBy("doc_id").collect()]
+        assert len(set(out)) == len(ips) and not set(out) & set(ips)
+
+
+def test_redaction_leaves_clean_text(spark):
+    clean = ["The World Trade Center opened in 1973.", "Version 2.0.0, GPL version 3.", "1 to 20,000 words", "a|b|c 12-34"]
+    assert [r.text for r in pii.with_surrogates(docs(spark, clean)).orderBy("doc_id").collect()] == clean
+
+
+# language ID
+def test_language_id(spark):
+    r = random.Random(1)
+    vocabulary = {"en": "the and of with that thing there this which".split(), "de": "der und das nicht über auch eine sich wäre".split()}
+    rows = [(i, " ".join(r.choices(vocabulary[k], k=30)), k) for i, k in enumerate(["en", "de"] * 200)] + [(1000 + i, t, None) for i, t in enumerate(ODD)]
+    got = {x.doc_id: x for x in langid.language_predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, _, k in rows[:400]:
+        assert got[i].lang_pred == k and 0 <= got[i].score <= 1
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    for i, t in enumerate(ODD):
+        assert (got[1000 + i].lang_pred == "und") == (not re.search(r"[^\W\d_]", t or ""))
+    none = spark.createDataFrame([(1, "text", None), (None, None, "en")], "doc_id long, text string, lang string")
+    assert {x.lang_pred for x in langid.language_predictions(none).collect()} == {"und"}
+    assert langid.language_predictions(none.limit(0)).count() == 0
+
+
+# quality
+def test_quality(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 9)))
+    good = [" ".join(word() for _ in range(r.randint(20, 80))) + "." for _ in range(120)]
+    bad = ["### ".join(word() for _ in range(r.randint(20, 80))) + "$$$" for _ in range(60)]
+    d = docs(spark, [*good, *bad, *ODD])
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(180)] + [(3, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.quality_scores(d, labels).collect()}
+    assert len(got) == d.count()
+    held = [i for i in range(180) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].held_out for i in held) and sum(got[i].predicted == (i < 120) for i in held) >= 0.97 * len(held)
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.3) for x in got.values())
+    kept = quality.keep_good(d, quality.fit_on(d, labels)).collect()
+    assert {x.doc_id for x in kept} == {i for i, x in got.items() if x.predicted}
+    assert {x.score for x in quality.quality_scores(d, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(d.limit(0), labels).count() == 0
+
+
+def test_quality_density_equals_the_formula(spark):
+    x = np.random.default_rng(0).normal(size=(400, len(quality.STATISTICS))) * np.arange(1, len(quality.STATISTICS) + 1)
+    y = (np.arange(400) % 2).astype(int)
+    x[y == 1] += 0.5
+    frame = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "label int, stats array<double>")
+    m = quality.fit(frame, 0.3, 0.05)
+    want = []
+    for c in (0, 1):
+        cov = np.cov(x[y == c].T, bias=True)
+        scaled = cov / np.outer(m.spread, m.spread)
+        s = 0.7 * scaled + 0.3 * np.diag(np.diag(scaled)) + 0.05 * np.eye(len(scaled))
+        z = (x - x[y == c].mean(0)) / m.spread
+        want.append(np.log(0.5) - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) - 0.5 * np.linalg.slogdet(s)[1])
+    assert m.score(x) == pytest.approx(1 / (1 + np.exp(want[0] - want[1])))
