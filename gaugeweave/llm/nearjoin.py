@@ -122,29 +122,25 @@ def _in_blocks(rows: DataFrame, sizes: DataFrame, key: str, block: int, batch: i
     return joined.withColumn("_p", pair).select("_p.*", F.coalesce("_b", F.lit(-1)).alias("b"), *rows.columns)
 
 
-def _alike(sketches: np.ndarray, least: float, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose sketches agree in at least this share of bytes, as (a, b) that connect what all such pairs connect. ``apart``: block of each row; with two blocks only pairs between them count."""
-    n = len(sketches)
+def _alike(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) that connect what all pairs connect whose sketches agree in at least this share of bytes: a search from row to row.
+
+    A row that is reached is compared with those not reached yet only, so a large group of like rows costs little more than one comparison a row.
+    """
+    n, need = len(sketches), least * sketches.shape[1]
     a, b = [], []
-    two = len(np.unique(apart)) > 1
-    step = max(1, (1 << 22) // max(1, n * sketches.shape[1]))
-    root = np.arange(n)
-    for s in range(0, n, step):
-        same = (sketches[s : s + step, None, :] == sketches[None, :, :]).mean(2) >= least
-        if two:
-            same &= apart[s : s + step, None] != apart[None, :]
-        x, y = np.nonzero(same)
-        x = x + s
-        keep = y > x if not two else np.ones(len(x), bool)
-        x, y = x[keep], y[keep]
-        fresh = root[x] != root[y]
-        if fresh.any():
-            a.append(x[fresh])
-            b.append(y[fresh])
-            root = _roots(n, np.concatenate([*a, np.arange(n)]), np.concatenate([*b, root]))
-    root = _roots(n, np.concatenate([*a, np.zeros(0, int)]), np.concatenate([*b, np.zeros(0, int)])) if a else root
-    at = np.flatnonzero(root != np.arange(n))
-    return at, root[at]
+    rest = np.arange(n)
+    while len(rest):
+        seed, rest, queue = rest[0], rest[1:], [rest[0]]
+        while queue and len(rest):
+            same = (sketches[rest] == sketches[queue.pop()]).sum(1) >= need
+            if same.any():
+                hit = rest[same]
+                a += hit.tolist()
+                b += [seed] * len(hit)
+                queue += hit.tolist()
+                rest = rest[~same]
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
 def _products(sets: list[np.ndarray]) -> np.ndarray:
@@ -185,14 +181,14 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
     batch = 1 << 13
 
     def link(table: pa.Table) -> pa.Table:
-        key, node, part = (table[c].to_numpy() for c in ("key", "node", "b"))
+        key, node = (table[c].to_numpy() for c in ("key", "node"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[s:e]
-            x, y = _alike(sketch[at], least, part[at])
+            x, y = _alike(sketch[at], least)
             u.append(node[at[x]])
             v.append(node[at[y]])
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
