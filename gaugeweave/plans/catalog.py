@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gaugeweave.functions import fuzzy
 from gaugeweave.functions import scalars as S
-from gaugeweave.operators import incremental, metadata, trending
+from gaugeweave.operators import documents, extraction, geometry, incremental, metadata, projects, trending
 from gaugeweave.operators import relational as R
 from gaugeweave.session import table
 
@@ -464,3 +463,104 @@ def numeric_columns(spark, d):
     share = F.avg(F.when(F.col("l_quantity") == F.floor("l_quantity"), 1.0).otherwise(0.0))
     n = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("filled"), share.alias("share"))
     return n.select("l_partkey", "share", ((F.col("filled") >= 2) & (F.col("share") >= 0.6)).alias("numeric_column"))
+
+
+@query("SELECT event_type, list_sort(list(value))[(count(value) // 2 + 1)::BIGINT] AS upper_median FROM events GROUP BY 1")
+def upper_median(spark, d):
+    return geometry.upper_median(table(spark, d, "events").filter("value is not null"), ["event_type"], "value")
+
+
+@query("""WITH s AS (SELECT user_id, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT user_id, CASE WHEN len(v) < 3 THEN v[-1] - v[1] ELSE v[(floor(len(v) * 0.9) + 1)::BIGINT] - v[(floor(len(v) * 0.1) + 1)::BIGINT] END AS spread FROM s""")
+def trimmed_spread(spark, d):
+    return geometry.trimmed_spread(table(spark, d, "events").filter("value is not null"), ["user_id"], "value")
+
+
+@query("""WITH g AS (SELECT p_partkey, p_brand, p_retailprice, CASE WHEN p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice) > 5 THEN 1 ELSE 0 END AS nw FROM part),
+c AS (SELECT *, sum(nw) OVER (PARTITION BY p_brand ORDER BY p_retailprice ROWS UNBOUNDED PRECEDING) AS cl FROM g) SELECT p_brand, cl::BIGINT AS cluster, count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high FROM c GROUP BY 1, 2""")
+def gap_clusters(spark, d):
+    c = geometry.gap_clusters(table(spark, d, "part"), ["p_brand"], "p_retailprice", 5.0)
+    return c.groupBy("p_brand", "cluster").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+
+
+@query("""SELECT p_partkey, serial, CASE serial WHEN 'p_brand' THEN 1 WHEN 'p_size' THEN 2 ELSE 3 END AS position, value_text, try_cast(nullif(regexp_extract(value_text, '[+-]?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) AS value_num
+FROM (SELECT p_partkey, p_brand, p_size::VARCHAR AS p_size, p_type FROM part) UNPIVOT INCLUDE NULLS (value_text FOR serial IN (p_brand, p_size, p_type))""")
+def trending_long(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("string").alias("p_size"), "p_type")
+    return projects.trending_long(p, ["p_partkey"], ["p_brand", "p_size", "p_type"])
+
+
+@query("""WITH r AS (SELECT r_regionkey::BIGINT AS id, 'Brand#1' || r_regionkey AS term, 'known' AS category FROM region), n AS (SELECT DISTINCT p_brand AS term FROM part WHERE p_brand NOT IN (SELECT term FROM r))
+SELECT * FROM r UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY term), term, 'auto' FROM n""")
+def register_terms(spark, d):
+    registry = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.concat(F.lit("Brand#1"), F.col("r_regionkey").cast("string")).alias("term"), F.lit("known").alias("category"))
+    return projects.register_terms(registry, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("term")))
+
+
+@query("""WITH v AS (SELECT event_type AS run, count(*) // 100 AS n FROM events GROUP BY 1), l AS (SELECT run, 'about ' || n || ' hundred' AS label FROM v)
+SELECT run, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || ' — ' || run ELSE label END AS label FROM l""")
+def run_labels(spark, d):
+    v = table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.floor(F.count("*") / 100).cast("string").alias("value")).withColumn("variable", F.lit("n"))
+    return projects.run_labels(v, "about {n} hundred")
+
+
+@query("""SELECT coalesce(c_custkey, o_custkey) AS serial FROM (SELECT c_custkey, c_custkey % 3 AS f FROM customer) FULL JOIN (SELECT DISTINCT o_custkey, o_custkey % 2 AS g FROM orders) ON c_custkey = o_custkey WHERE f IS DISTINCT FROM g""")
+def stale_serials(spark, d):
+    cached = table(spark, d, "customer").select(F.col("c_custkey").alias("serial"), (F.col("c_custkey") % 3).alias("fingerprint"))
+    return projects.stale(cached, table(spark, d, "orders").select(F.col("o_custkey").alias("serial"), (F.col("o_custkey") % 2).alias("fingerprint")).distinct())
+
+
+@query("SELECT DISTINCT o_custkey AS serial FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def append_sources(spark, d):
+    have = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("serial"))
+    docs = table(spark, d, "orders").withColumnRenamed("o_custkey", "serial")
+    return projects.append_sources(have, docs, F.col("o_orderpriority") == "1-URGENT")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'string' WHEN p_partkey % 3 = 0 THEN 'number' WHEN p_size > 25 THEN 'number' ELSE 'string' END AS kind FROM part")
+def value_types(spark, d):
+    k = F.col("p_partkey")
+    units, low = F.when(k % 3 == 0, "psi").otherwise(""), F.when(F.col("p_size") > 25, 1.0)
+    term = F.when(k % 5 == 0, "Serial Number").otherwise("Torque")
+    return table(spark, d, "part").select("p_partkey", extraction.value_type(term, F.lit(""), units, low, F.lit(None).cast("double")).alias("kind"))
+
+
+@query("SELECT p_partkey, p_size::VARCHAR AS healed FROM part")
+def heal_numbers(spark, d):
+    broken = F.translate(F.col("p_size").cast("string"), "01", "OI")
+    return table(spark, d, "part").select("p_partkey", S.heal_number(broken).alias("healed"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: x = '')) AS n_blank FROM documents")
+def document_lines(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("text") == "").alias("n_blank"))
+
+
+def _lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+
+
+@query()
+def document_key_values(spark, d):
+    return documents.key_values(_lines(spark, d))
+
+
+@query("""WITH b AS (SELECT vec_id, vec_id % 50 AS page, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), t AS (SELECT * FROM b WHERE vec_id % 2 = 0), c AS (SELECT * FROM b WHERE vec_id % 2 = 1)
+SELECT vec_id FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = t.page AND greatest(least(t.x + 0.05, c.x + 0.2) - greatest(t.x, c.x), 0) * greatest(least(t.y + 0.05, c.y + 0.2) - greatest(t.y, c.y), 0) / (((t.x + 0.05) - t.x) * ((t.y + 0.05) - t.y)) >= 0.5)""")
+def tokens_outside_tables(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("page"), F.lit(1).alias("doc_id"), F.get("embedding", F.lit(0)).cast("double").alias("x0"), F.get("embedding", F.lit(1)).cast("double").alias("y0"))
+    boxed = lambda x, w: x.withColumns({"x1": F.col("x0") + w, "y1": F.col("y0") + w})
+    return geometry.outside_tables(boxed(e.filter("vec_id % 2 = 0"), 0.05), boxed(e.filter("vec_id % 2 = 1"), 0.2)).select("vec_id")
+
+
+@query()
+def greedy_nms(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 50).cast("int").alias("page"), F.lit(1).cast("long").alias("doc_id"), F.get("embedding", F.lit(0)).cast("double").alias("x0"), F.get("embedding", F.lit(1)).cast("double").alias("y0"))
+    return geometry.suppressed(e.withColumns({"x1": F.col("x0") + 0.2, "y1": F.col("y0") + 0.2}))
+
+
+@query("""SELECT c_custkey, upper(substr(c_mktsegment, 1, 2)) AS revision, coalesce(lower(trim(c_mktsegment)) IN ('1', 'true', 'yes', 'y', 'on'), false) AS truthy, regexp_matches(c_name, '^[0-9]+') AS numeric_like FROM customer""")
+def small_normalisers(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", S.revision(F.substring("c_mktsegment", 1, 2)).alias("revision"), S.truthy(F.col("c_mktsegment")).alias("truthy"), S.is_numeric_like(F.col("c_name")).alias("numeric_like"))
