@@ -7,12 +7,11 @@ for (workbooks, SQLite) are parsed from their bytes by Arrow-batched functions;
 from __future__ import annotations
 
 import io
-import os
 import re
 import sqlite3
-import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -132,14 +131,9 @@ def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                with tempfile.NamedTemporaryFile(suffix=".db", delete=False) as f:  # a task's scratch copy, read and removed here
-                    f.write(bytes(content))
-                try:
-                    with sqlite3.connect(f.name) as c:
-                        rows = c.execute(sql).fetchall()
-                    c.close()
-                finally:
-                    os.unlink(f.name)
+                with closing(sqlite3.connect(":memory:")) as c:
+                    c.deserialize(bytes(content))
+                    rows = c.execute(sql).fetchall()
                 yield pd.DataFrame([(p, *r) for r in rows], columns=["path", *names])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{db,sqlite,sqlite3}").load(path).select("path", "content")
