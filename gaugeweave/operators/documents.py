@@ -109,3 +109,12 @@ def line_values(lines: DataFrame, terms: DataFrame, anchor: str = "") -> DataFra
     tail = F.expr("substring(text, length(term) + 1)")
     found = keys.join(named, "key").withColumn("value", S.first_number(tail)).filter("value is not null")
     return found.groupBy("doc_id", "term").agg(F.min_by("value", "line_no").alias("value"))
+
+
+def header_roles(heads: DataFrame, header: str = "header", roles: dict[str, list[str]] | None = None) -> DataFrame:
+    """Headers with role: that of the longest role word they contain, null if none; the first role on ties."""
+    words = sorted(((w, r, n) for n, (r, ws) in enumerate((roles or ROLES).items()) for w in ws), key=lambda x: (-len(x[0]), x[2]))
+    low, role = S.normalize_header(F.col(header)), F.lit(None).cast("string")
+    for w, r, _ in reversed(words):
+        role = F.when(F.contains(low, F.lit(w)), r).otherwise(role)
+    return heads.withColumn("role", role)

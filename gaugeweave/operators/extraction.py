@@ -107,3 +107,20 @@ def merge_pages(rows: DataFrame, least_rows: int = 8) -> DataFrame:
     t = t.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
     t = t.withColumn("leader", F.last(F.when(~F.col("_on"), F.col("table_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.join(t.select("doc_id", "table_no", "leader", "_on"), ["doc_id", "table_no"]).filter(~(F.col("_on") & (F.col("row_no") == 1))).drop("_on")
+
+
+def paired_tables(rows: DataFrame, within: int = 4) -> DataFrame:
+    """(doc_id, row_no, term, requirement_raw, measured_raw): a table of terms and criteria with the next one of measured values, row by row.
+
+    The measured table is the first of at most ``within`` tables behind; rows beyond the shorter table go.
+    """
+    heads = rows.filter("row_no = 1").select("doc_id", "table_no", F.transform("cells", lambda c: S.normalize_header(c)).alias("h"))
+    at = lambda words: F.array_position(F.transform("h", lambda c: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))), F.lit(True))
+    heads = heads.select("doc_id", "table_no", at(["criteria", "requirement", "limit"]).alias("at_req"), at(["measured", "actual"]).alias("at_val"))
+    a = heads.filter("at_req > 0 and at_val = 0").select("doc_id", F.col("table_no").alias("a"), "at_req")
+    b = heads.filter("at_val > 0 and at_req = 0").select("doc_id", F.explode(F.sequence(F.col("table_no") - within, F.col("table_no") - 1)).alias("a"), F.col("table_no").alias("b"), "at_val")
+    pairs = a.join(b, ["doc_id", "a"]).groupBy("doc_id", "a", "at_req").agg(F.min(F.struct("b", "at_val")).alias("m")).select("doc_id", "a", "at_req", "m.b", "m.at_val")
+    left = rows.filter("row_no > 1").select("doc_id", F.col("table_no").alias("a"), "row_no", F.col("cells").alias("left_cells"))
+    right = rows.filter("row_no > 1").select("doc_id", F.col("table_no").alias("b"), "row_no", F.col("cells").alias("right_cells"))
+    joined = pairs.join(left, ["doc_id", "a"]).join(right, ["doc_id", "b", "row_no"])
+    return joined.select("doc_id", "row_no", F.element_at("left_cells", 1).alias("term"), F.try_element_at("left_cells", F.col("at_req").cast("int")).alias("requirement_raw"), F.try_element_at("right_cells", F.col("at_val").cast("int")).alias("measured_raw"))
