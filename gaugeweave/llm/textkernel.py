@@ -1,6 +1,6 @@
 """Vectorised work on the bytes of many texts at once: words, their hashes, sums over texts.
 
-Texts come as Arrow strings and are cut into chunks of about a megabyte at text boundaries, so that every temporary
+Texts come as Arrow strings and are cut into chunks of about half a megabyte at text boundaries, so that every temporary
 array stays small; a longer text is a chunk by itself and is used whole.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 
@@ -76,7 +76,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range, the same wherever the bytes stand."""
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, dtype=U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
