@@ -5,8 +5,9 @@ names) get keyed surrogates of the same type and format. Symbols go through a ke
 symbol (digit, hexadecimal digit, lower or upper case letter of its script), so different entities of one format get different surrogates without
 any table, and equal ones the same one everywhere, whatever way they are written (phone numbers by their digits, addresses and names
 whatever their case). Card numbers keep their leading digit and the state of their check digit, account numbers
-their country and check digits' state, phone numbers their country code and layout. A given name maps to one of the same gender and script,
-a family name to one made of its script's syllables, so "Mr Smith" and "John Smith" still agree.
+their country and check digits' state, phone numbers their country code and layout. A listed given name maps to one of the same gender and script;
+where that one is taken, and for given names that only a title shows, a name of syllables with an ending of the gender is made, of which
+there are enough for any corpus. A family name maps to one made of its script's syllables, so "Mr Smith" and "John Smith" still agree.
 
 Collision checks: a surrogate that is itself an entity of the corpus, or that two entities share, is drawn again with a
 counter. They run over the distinct entities of all texts as a distributed join; only the few entities with a counter above 0 are
@@ -29,14 +30,29 @@ from pyspark.sql import functions as F
 
 from .storage import BROADCAST_ROWS, durable
 
-#: Given names by script and gender, titles by gender, and syllables of family names by script.
+#: Given names by script and gender, titles by gender, syllables of names by script, and endings of given names by
+#: script and gender. Names that are common words or parts of place names are left out of the first.
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Hans Karl Stefan Pierre Jean Michel Carlos José Luis Juan Miguel Pedro".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Anna Ursula Petra Marie Claire Sophie María Carmen Isabel Lucía Elena Rosa".split(),
-    ("cyrillic", "m"): "Иван Пётр Алексей Дмитрий Сергей Николай Андрей Михаил".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
-    ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παύλος".split(),
-    ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Δήμητρα".split(),
+    ("latin", "m"): (
+        "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Hans Karl Stefan Pierre Jean Michel Carlos José Luis Juan Miguel Pedro "
+        "Joseph Christopher Steven Andrew Kenneth Joshua Kevin Brian Timothy Ronald Edward Jason Jeffrey Ryan Jacob Nicholas Gary Eric Jonathan Stephen Larry Justin Scott "
+        "Brandon Benjamin Samuel Gregory Patrick Raymond Alexander Jack Dennis Jerry Tyler Aaron Henry Adam Peter Nathan Zachary Walter Kyle Harold Jeremy Ethan Keith Roger Arthur "
+        "Terry Sean Gerald Albert Philip Ralph Bruce Simon Oliver Liam Noah Wolfgang Jürgen Klaus Dieter Uwe Bernd Günter Manfred Helmut Andreas Matthias Markus "
+        "Tobias Florian Philipp Johannes Lukas Felix Jonas Jacques Philippe Alain Bernard Thierry Nicolas Laurent Olivier Julien Guillaume François Christophe Frédéric Étienne "
+        "Alejandro Javier Sergio Manuel Ramón Andrés Álvaro Jorge Ricardo Eduardo Enrique Roberto Alberto Giovanni Giuseppe Luca Marco Paolo Matteo Piotr Krzysztof Andrzej Tomasz Lars Sven Björn"
+    ).split(),
+    ("latin", "f"): (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Anna Ursula Petra Marie Claire Sophie María Carmen Isabel Lucía Elena Rosa "
+        "Margaret Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Emma Nicole "
+        "Helen Samantha Katherine Christine Debra Rachel Carolyn Janet Catherine Heather Diane Julie Olivia Joyce Ruth Kelly Lauren Christina Joan Evelyn Judith Megan Alice Ann Hannah "
+        "Jacqueline Martha Gloria Teresa Sara Janice Julia Kathryn Monika Sabine Birgit Renate Ingrid Gisela Helga Brigitte Claudia Susanne Gabriele Katrin Heike Anja Silke Katharina "
+        "Franziska Johanna Lena Nathalie Isabelle Sylvie Monique Céline Chantal Valérie Véronique Hélène Aurélie Camille Élodie Juliette Margaux Pilar Dolores "
+        "Cristina Beatriz Raquel Silvia Marta Paula Sofía Inés Giulia Francesca Chiara Alessandra Valentina Federica Agnieszka Katarzyna Małgorzata Ewa Astrid Sigrid Freya"
+    ).split(),
+    ("cyrillic", "m"): "Иван Пётр Алексей Дмитрий Сергей Николай Андрей Михаил Александр Владимир Виктор Юрий Олег Игорь Павел Борис Максим Артём Константин Григорий Фёдор Кирилл Денис Антон".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Анастасия Людмила Галина Марина Юлия Дарья Валентина Оксана Нина Тамара Лариса Ксения Полина Алина Софья".split(),
+    ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παύλος Χρήστος Βασίλης Παναγιώτης Μιχάλης Σταύρος Ανδρέας Θανάσης Σπύρος Στέφανος Πέτρος".split(),
+    ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Δήμητρα Βασιλική Γεωργία Παναγιώτα Ειρήνη Χριστίνα Ιωάννα Αγγελική Ευαγγελία Φωτεινή Ζωή".split(),
 }
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mademoiselle": "f", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "", "Professor": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 SYLLABLES = {
@@ -44,6 +60,14 @@ SYLLABLES = {
     "cyrillic": "ба бе ва ве ви га го да де до ка ке ко ла ле ли ма ми мо на не ни ра ри ро са се со та ти".split(),
     "greek": "βα γα δα θα κα λα μα να πα ρα σα τα βο γο δο κο λο μο νο πο ρο σο το".split(),
 }
+ENDINGS = {
+    ("latin", "m"): "bert ric mund fred ston vin".split(),
+    ("latin", "f"): "lina ella issa ette inda elle".split(),
+    ("cyrillic", "m"): "слав мир дан лад тий рий".split(),
+    ("cyrillic", "f"): "слава мира дана лина тия рина".split(),
+    ("greek", "m"): "ος ης ας ιος ανος ιλος".split(),
+    ("greek", "f"): "ία ίνα ούλα ένη όνη ίτσα".split(),
+}
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: In this order; an earlier kind wins where matches overlap. Group 'v' is what is replaced.
@@ -74,6 +98,14 @@ def _given() -> dict[str, tuple[str, str, int]]:
 
 
 GIVEN_OF = _given()
+_ORDERS: dict[tuple[bytes, str, str], list[int]] = {}
+
+
+def _order(key: bytes, script: str, gender: str) -> list[int]:
+    """The keyed order of a list of given names."""
+    if (key, script, gender) not in _ORDERS:
+        _ORDERS[key, script, gender] = sorted(range(len(GIVEN[script, gender])), key=lambda i: hmac.digest(key, f"given|{script}|{gender}|{i}".encode(), hashlib.sha256))
+    return _ORDERS[key, script, gender]
 
 
 def luhn(digits: str) -> int:
@@ -198,17 +230,16 @@ def surrogate(key: bytes, kind: str, canon: str, counter: int = 0) -> str:
         return by_class(key, label, canon)
     gender, _, name = canon.rpartition(":")
     script = _script(name[0])
-    if kind == "given":
-        pool = GIVEN.get((script, gender or "f"), GIVEN["latin", gender or "f"])
-        if name in GIVEN_OF and GIVEN_OF[name][:2] == (script, gender) and not counter:
-            order = sorted(range(len(pool)), key=lambda i: hmac.digest(key, f"given|{script}|{gender}|{i}".encode(), hashlib.sha256))
-            place = order.index(GIVEN_OF[name][2])
-            return f"{gender}:{pool[order[(place + 1) % len(order)]].lower()}"
+    if kind == "given" and not counter and GIVEN_OF.get(name, ())[:2] == (script, gender):
+        order = _order(key, script, gender)
+        return f"{gender}:{GIVEN[script, gender][order[(order.index(GIVEN_OF[name][2]) + 1) % len(order)]].lower()}"
     seed = int.from_bytes(hmac.digest(key, f"{label}|{canon}".encode(), hashlib.sha256)[:16])
     made, syllables = "", SYLLABLES[script]
     for _ in range(max(3, min(6, len(name) // 2)) + counter // 4):
         seed, i = divmod(seed, len(syllables))
         made += syllables[i]
+    if kind == "given" and gender:
+        made += ENDINGS[script, gender][seed % len(ENDINGS[script, gender])]
     return f"{gender}:{made}" if kind == "given" else made
 
 

@@ -189,6 +189,22 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
         assert len(set(out)) == len(ips) and not set(out) & set(ips)
 
 
+def test_given_names_keep_their_gender(spark):
+    listed = [n.lower() for names in pii.GIVEN.values() for n in names]
+    assert len(listed) == len(set(listed)) and not any(a.endswith(b) for (s, g), m in pii.ENDINGS.items() for a in m for b in pii.ENDINGS[s, "f" if g == "m" else "m"])
+    # every listed name of both genders is an original here, so none is left as a surrogate
+    rows = [(g, f"{n} Zq{chr(97 + i % 26)}{chr(97 + i // 26)}x") for (_, g), names in pii.GIVEN.items() for i, n in enumerate(names)]
+    titled = [("m", "Mr. Quillon Zedworth"), ("f", "Frau Quessa Zedworth"), ("m", "Господин Яромил Жданов"), ("f", "Κυρία Ξανθίππη Ζέρβα"), ("m", "Mr. Maria Zedworth")]
+    got = [r.text for r in pii.with_surrogates(docs(spark, [t for _, t in rows + titled])).orderBy("doc_id").collect()]
+    made = []
+    for (gender, text), out in zip(rows + titled, got, strict=True):
+        old, new = (x.split(" ")[-2] for x in (text, out))
+        made.append((gender, new))
+        assert new.lower() != old.lower() and new.lower() not in listed
+        assert new.endswith(tuple(pii.ENDINGS[pii._script(new[0]), gender])) and pii._script(new[0]) == pii._script(old[0])
+    assert len(set(made)) == len(made)
+
+
 def test_redaction_leaves_clean_text(spark):
     clean = ["The World Trade Center opened in 1973.", "Version 2.0.0, GPL version 3.", "1 to 20,000 words", "a|b|c 12-34"]
     assert [r.text for r in pii.with_surrogates(docs(spark, clean)).orderBy("doc_id").collect()] == clean
