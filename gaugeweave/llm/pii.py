@@ -87,6 +87,8 @@ CAPITAL = r"[A-ZÀ-ÖØ-ÞЀ-ЯΆ-Ϋ][^\W\d_]+(?:[’'-][^\W\d_]+)*"
 NAMES = re.compile(rf"(?<!\w){CAPITAL}(?:\.? {CAPITAL}){{1,4}}")
 TOKEN = re.compile(CAPITAL)
 DIGIT = re.compile(r"[0-9]")
+#: A pattern is tried only on texts that hold one of its signs, which every match of it holds: of those without an entry, an ASCII digit.
+SIGNS = {1: ("AKIA",), 2: ("ghp_", "gho_", "sk-", "xoxb-", "xoxp-"), 4: ("@",)}
 WORDS = ("passw", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey")
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
 CLASS_OF = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
@@ -154,7 +156,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     digit, low = DIGIT.search(text) is not None, text.lower()
     for n, (kind, pattern) in enumerate(PATTERNS):
-        if n == 0 and any(w in low for w in WORDS) or kind == "email" and "@" in text or digit and n and kind != "email":
+        if any(w in low for w in WORDS) if n == 0 else any(w in text for w in SIGNS[n]) if n in SIGNS else digit:
             for m in pattern.finditer(text):
                 a, b = m.span("v")
                 canon = canonical(kind, text[a:b])
