@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form (case, copyright lines, equivalent spellings, punctuation and white space are
 evened out), digested with SHA-256, and hash-joined as a whole to the digests of known licence texts. Everything is a
-built-in column function; the known side is a constant of a few rows, so it is broadcast and nothing shuffles.
+built-in column function; the built-in known side is a constant of some dozen digests, so it is broadcast and nothing shuffles.
+A caller may add a table of known texts of any size; it is counted before it is broadcast.
 
 Results for odd input: a null text has a null digest and no licence; an empty text (or one of punctuation and copyright
 lines only) has the digest of the empty string, which no licence has; repeated rows each get their own result row; an
@@ -11,12 +12,16 @@ empty table gives no rows; further columns of the input are ignored. Texts are u
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts of well-known licences, and short notices that name one.
+from .storage import durable, sized_join
+
+#: Texts of short well-known licences (long ones are files of ``TEXTS``, named by licence), and short notices that name one.
 KNOWN = [
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -62,9 +67,19 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
 
+TEXTS = Path(__file__).parent / "license_texts"
+
+#: Parts of a long text by which it is also known: its terms without the appendix, a Creative Commons licence without the notes around it.
+PARTS = [r"(?s)^.*?END OF TERMS AND CONDITIONS", r"(?s)^.*?(?=\nEXHIBIT A -|\nExhibit A - )", r"(?s)\nCreative Commons Attribution[^\n]*4\.0 International Public\s+License\n.*?(?=\n=====)", r"(?s)\nCC0 1\.0 Universal\n.*$"]
+
+#: Addresses of the Free Software Foundation that stand in copies of its licences, where the address is not left out.
+ADDRESS = r"51 Franklin (?:Street|St), Fifth Floor, Boston, MA\s+02110-1301,?\s+USA"
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
+
 #: Title lines that may stand above a licence's text; a text counts with its title and without it.
 TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"], "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License"]}
 
@@ -111,21 +126,40 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(_let(low, respelled), r"[^\p{L}\p{N}]+", " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(license_digest, license_id): one row for each known text, with each title and without."""
+def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(license_digest, license_id): one row for each known text, with each title and without, and for those of ``more``; the smallest id on ties."""
     raw = spark.createDataFrame(_known_rows(), "license_id string, known string")
-    return raw.select(F.sha2(canonical(F.col("known")), 256).alias("license_digest"), "license_id").dropDuplicates(["license_digest"])
+    if more is not None:
+        raw = raw.unionByName(more.select("license_id", F.col("text").alias("known")))
+    form = raw.select("license_id", canonical(F.col("known")).alias("form")).filter("form <> '' and license_id is not null")
+    return form.groupBy(F.sha2("form", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+
+
+@cache
+def _long_texts() -> list[tuple[str, str]]:
+    """The texts of the files and the parts by which they are known, with each address."""
+    out = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        forms = [text, *(m[0] for p in PARTS if (m := re.search(p, text)))]
+        out += [(file.stem, x) for f in forms for x in dict.fromkeys([f, *(re.sub(ADDRESS, a, f) for a in ADDRESSES)])]
+    return out
 
 
 def _known_rows() -> list[tuple[str, str]]:
-    return [(name, f"{title}\n\n{text}" if title else text) for name, text in KNOWN for title in ["", *(TITLES.get(name, []) if len(text) > 200 else [])]]
+    return [(name, f"{title}\n\n{text}" if title else text) for name, text in KNOWN for title in ["", *(TITLES.get(name, []) if len(text) > 200 else [])]] + _long_texts()
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, digest, license_id): ``license_id`` is null unless the whole text is a known one."""
+def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
+    """(id, digest, license_id): ``license_id`` is null unless the whole text is a known one: a built-in one or one of ``known`` (license_id, text)."""
     mine = docs.select(id_col, F.sha2(canonical(F.col(text_col)), 256).alias("digest"))
-    known = known_digests(docs.sparkSession)
-    return mine.join(F.broadcast(known), mine["digest"] == known["license_digest"], "left").select(id_col, "digest", "license_id")
+    digests = known_digests(docs.sparkSession, known)
+    if known is None:
+        found = mine.join(F.broadcast(digests), mine["digest"] == digests["license_digest"], "left")
+    else:
+        digests = durable(digests)
+        found = sized_join(mine, digests, mine["digest"] == digests["license_digest"], "left")
+    return found.select(id_col, "digest", "license_id")
 
 
 def oracle_sql() -> str:

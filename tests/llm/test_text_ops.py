@@ -33,6 +33,28 @@ def test_license_variants(spark):
     assert licenses.scan_licenses(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_full_texts_are_known(spark):
+    duckdb = pytest.importorskip("duckdb")
+    files = sorted(licenses.TEXTS.glob("*.txt"))
+    gpl2 = (licenses.TEXTS / "GPL-2.0-only.txt").read_text()
+    texts = [f.read_text() for f in files]
+    more = [gpl2.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), gpl2[: gpl2.index("END OF TERMS") + 27], "Licensed under CC BY-NC 4.0.", gpl2[:-400]]
+    d = docs(spark, texts + more)
+    got = licenses.scan_licenses(d).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == [*(f.stem for f in files), "GPL-2.0-only", "GPL-2.0-only", "CC-BY-NC-4.0", None]
+    assert {"Apache-2.0", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "Unlicense"} <= {r.license_id for r in got}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts + more)))
+    assert sorted(con.sql(licenses.oracle_sql()).fetchall()) == [tuple(r) for r in got]
+
+
+def test_given_table_of_known_texts(spark):
+    known = spark.createDataFrame([("House-1", "Use it as you like,  but tell us."), ("Z", None), ("Z", "!!!")], "license_id string, text string")
+    got = licenses.scan_licenses(docs(spark, ["use it as you like but TELL us", licenses.KNOWN[0][1], "!!!", "", None, "x"]), known=known).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == ["House-1", "MIT", None, None, None, None]
+
+
 # pieces
 def test_pieces_equal_the_library(spark):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
