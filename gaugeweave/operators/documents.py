@@ -94,20 +94,28 @@ def cascade(candidates: DataFrame, key: list[str], priority: str = "priority", v
     return candidates.filter(F.col(value).isNotNull()).groupBy(*key).agg(F.min_by(value, priority).alias(value), F.min(priority).alias(priority))
 
 
-def line_values(lines: DataFrame, terms: DataFrame, anchor: str = "") -> DataFrame:
-    """(doc_id, term, value): the number after a term in the first line that begins with it, from the anchor line on.
+def line_values(lines: DataFrame, terms: DataFrame, anchor: str = "", want: str = "number") -> DataFrame:
+    """(doc_id, term, value): what follows a term in the first line that begins with it, from the anchor line on.
 
-    Terms are equi-joined: a line offers every run of its first eight words as a key.
+    ``want`` is number (the first one behind the term, else that of the next line) or string (behind a colon or dash, if there is one).
+    Terms are equi-joined: a line offers its first words as keys, as many as there are in any term.
     """
-    rows = lines.filter(~F.col("text").rlike(ROW) & ~F.col("text").rlike(BORDER))  # tables have their own extractors
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = lines.withColumn("_next", F.lead("text").over(order)).filter(~F.col("text").rlike(ROW) & ~F.col("text").rlike(BORDER))  # tables have their own extractors
     if anchor:
-        w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        w = order.rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("_on", F.max(F.contains(F.lower("text"), F.lit(anchor.lower())).cast("int")).over(w)).filter("_on = 1")
-    words = F.slice(F.split(S.alnum_spaces(F.col("text")), " "), 1, 8)
-    keys = rows.withColumn("_w", words).withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda n: F.array_join(F.slice("_w", 1, n), " "))))
     named = terms.select("term", S.alnum_spaces(F.col("term")).alias("key")).filter("key <> ''").distinct()
-    tail = F.expr("substring(text, length(term) + 1)")
-    found = keys.join(named, "key").withColumn("value", S.first_number(tail)).filter("value is not null")
+    sizes = [r[0] for r in named.select(F.size(F.split("key", " ")).alias("n")).distinct().collect()] or [1]
+    words = F.split(S.alnum_spaces(F.col("text")), " ")
+    keys = rows.withColumn("_w", words).withColumn("key", F.explode(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.size("_w")), lambda n: F.array_join(F.slice("_w", F.lit(1), n), " "))))
+    behind = F.regexp_replace("text", F.concat(F.lit("(?i)^[^a-z0-9]*"), F.replace(F.col("key"), F.lit(" "), F.lit("[^a-z0-9]+"))), F.lit(""))
+    if want == "number":
+        value = F.coalesce(S.first_number(behind), S.first_number(F.col("_next")))
+    else:
+        part = F.when(F.contains(behind, F.lit(":")), F.regexp_replace(behind, "^[^:]*:", "")).otherwise(F.regexp_replace(behind, "^[^-]*-", ""))
+        value = F.substring(S.blank_to_null(F.trim(F.regexp_replace(part, r"\s+", " "))), 1, 200)
+    found = keys.join(named, "key").withColumn("value", value).filter("value is not null")
     return found.groupBy("doc_id", "term").agg(F.min_by("value", "line_no").alias("value"))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeweave.functions import scalars as S
+
 
 @dataclass(frozen=True)
 class LabelRule:
-    """A label with its phrases (matched in lower-cased text); larger priority wins, then more conditions, then the earlier rule."""
+    """A label with its phrases (matched in lower-cased text); larger priority wins, then more conditions, then the earlier rule.
+
+    Bounds of rows and columns (0: none) and the scope (any_cell, header_row or first_col) are for tables.
+    """
 
     label: str
     priority: int = 0
@@ -18,10 +24,19 @@ class LabelRule:
     any_of: tuple[str, ...] = ()
     none_of: tuple[str, ...] = ()
     least_chars: int = 0
+    min_rows: int = 0
+    max_rows: int = 0
+    min_cols: int = 0
+    max_cols: int = 0
+    scope: str = "any_cell"
+
+    @property
+    def for_tables(self) -> bool:
+        return bool(self.min_rows or self.max_rows or self.min_cols or self.max_cols or self.scope != "any_cell")
 
     @property
     def specificity(self) -> int:
-        return len(self.all_of) + len(self.any_of) + len(self.none_of) + (self.least_chars > 0)
+        return len(self.all_of) + len(self.any_of) + len(self.none_of) + (self.least_chars > 0) + sum(x > 0 for x in (self.min_rows, self.max_rows, self.min_cols, self.max_cols)) + (self.scope != "any_cell")
 
     def matches(self, text: Column, size: Column) -> Column:
         ok = size >= self.least_chars if self.least_chars else F.lit(True)
@@ -38,7 +53,9 @@ class LabelRule:
 
 
 def rule_labels(rows: DataFrame, rules: list[LabelRule], text_col: str, size_col: str) -> DataFrame:
-    """``rows`` with the label of the best rule that matches, null if none does."""
+    """``rows`` with the label of the best rule that matches, null if none does; tables have ``table_labels``."""
+    if any(r.for_tables for r in rules):
+        raise ValueError("rules with bounds of rows or columns or with a scope need table_labels")
     low, size = F.lower(text_col), F.col(size_col)
     order = sorted(enumerate(rules), key=lambda x: (-x[1].priority, -x[1].specificity, x[0]))
     label = F.lit(None).cast("string")
@@ -47,6 +64,36 @@ def rule_labels(rows: DataFrame, rules: list[LabelRule], text_col: str, size_col
     return rows.withColumn("label", label)
 
 
+def _plain(c: Column) -> Column:
+    """Lower case without quotes; what is no letter, digit or one of _./+- is a blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "[\"'`“”‘’]", ""), r"[^\p{L}\p{N}_./+-]+", " "), " +", " "))
+
+
+def _plain_phrase(x: str) -> str:
+    return " ".join(re.sub(r"[^\w./+-]+", " ", re.sub("[\"'`“”‘’]", "", x.lower())).split())
+
+
+def table_labels(rows: DataFrame, rules: list[LabelRule], keys: tuple[str, ...] = ("doc_id", "table_no")) -> DataFrame:
+    """(keys, label) of tables of (keys, row_no, cells): the best rule whose bounds hold and whose phrases fit the cells of its scope, null if none does.
+
+    A table without text in a rule's scope doesn't match it.
+    """
+    t = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.size("cells")).alias("_cols"), F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("_rows"))
+    parts = {"any_cell": F.flatten(F.transform("_rows", lambda r: r.cells)), "header_row": F.element_at("_rows", 1).cells, "first_col": F.transform("_rows", lambda r: F.try_element_at(r.cells, F.lit(1)))}
+    t = t.withColumns({f"_{scope}": _plain(F.array_join(cells, " ")) for scope, cells in parts.items()})
+    label = F.lit(None).cast("string")
+    for _, rule in sorted(enumerate(rules), key=lambda x: (x[1].priority, x[1].specificity, -x[0])):
+        hay = F.col(f"_{rule.scope}")
+        phrases = LabelRule(rule.label, all_of=tuple(filter(None, map(_plain_phrase, rule.all_of))), any_of=tuple(filter(None, map(_plain_phrase, rule.any_of))), none_of=tuple(filter(None, map(_plain_phrase, rule.none_of))), least_chars=rule.least_chars)
+        ok = (hay != "") & phrases.matches(hay, F.length(hay)) & (F.col("_n") >= rule.min_rows) & (F.col("_cols") >= rule.min_cols)
+        if rule.max_rows:
+            ok = ok & (F.col("_n") <= rule.max_rows)
+        if rule.max_cols:
+            ok = ok & (F.col("_cols") <= rule.max_cols)
+        label = F.when(ok, rule.label).otherwise(label)
+    return t.select(*keys, label.alias("label"))
+
+
 def _spaced(c: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " ")), F.lit(" "))
 
@@ -70,3 +117,27 @@ def allowlist(blobs: DataFrame, allowed: DataFrame, key: str, blob: str) -> Data
     found = blobs.withColumn("_w", words).select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("alias")).join(names, "alias")
     best = found.groupBy(key).agg(F.min_by("canonical", F.struct(-F.length("alias"), F.col("canonical"))).alias("canonical"))
     return blobs.select(key).join(best, key, "left").select(key, F.coalesce("canonical", F.lit("Unknown")).alias("canonical"))
+
+
+def folder_names(docs: DataFrame, allowed: DataFrame, key: str, path: str, levels: int = 5) -> DataFrame:
+    """(key, canonical): the longest alias that is the name of one of the ``levels`` folders above the file, the nearest folder and then the smaller name on ties; no row if none is."""
+    names = allowed.select("canonical", S.alnum_spaces(F.col("alias")).alias("alias")).filter("alias <> ''").distinct()
+    folders = F.filter(F.split(F.regexp_replace(F.col(path), r"[/\\]*[^/\\]*$", ""), r"[/\\]"), lambda x: x != "")
+    near = docs.select(key, F.posexplode(F.slice(F.reverse(folders), 1, levels)).alias("_at", "_name")).withColumn("alias", S.alnum_spaces(F.col("_name")))
+    return near.join(names, "alias").groupBy(key).agg(F.min_by("canonical", F.struct(-F.length("alias"), F.col("_at"), F.col("canonical"))).alias("canonical"))
+
+
+def strict_field(docs: DataFrame, allowed: DataFrame, key: str, texts: list[str], path: str, levels: int = 5) -> DataFrame:
+    """(key, canonical): the allowed name in the first of ``texts`` (the label's value, the first pages) that has one, else in the file name, else that of a folder, else 'Unknown'.
+
+    A canonical name is an alias of itself; underscores part words, as they do in file names.
+    """
+    names = allowed.select("canonical", F.regexp_replace("alias", "_", " ").alias("alias"))
+    names = names.unionByName(allowed.select("canonical", F.regexp_replace("canonical", "_", " ").alias("alias"))).distinct()
+    blobs = [*map(F.col, texts), F.regexp_extract(F.col(path), r"[^/\\]*$", 0)]
+    found = folder_names(docs, names, key, path, levels).withColumn("_p", F.lit(len(blobs)))
+    for n, b in enumerate(blobs):
+        hits = allowlist(docs.select(key, F.regexp_replace(b, "_", " ").alias("_blob")), names, key, "_blob")
+        found = found.unionByName(hits.filter("canonical <> 'Unknown'").withColumn("_p", F.lit(n)))
+    best = found.groupBy(key).agg(F.min_by("canonical", "_p").alias("canonical"))
+    return docs.select(key).join(best, key, "left").select(key, F.coalesce("canonical", F.lit("Unknown")).alias("canonical"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeweave.functions import fuzzy
@@ -84,6 +85,36 @@ def test_allowlist_and_rules(spark):
     assert {r.k: r.label for r in got} == {1: "b", 2: None, 3: None, 4: None}
 
 
+def test_line_values_of_long_terms_strings_and_next_lines(spark):
+    text = "the one two three four five six seven eight nine term: 4.5 x\n  Proof Pressure\n  77 psi\nOperator : A. RIVERA\nModel - X-5"
+    long = "The one two three four five six seven eight nine term"
+    terms = spark.createDataFrame([(long,), ("Proof pressure",), ("operator",), ("Model",)], "term string")
+    got = {r.term: r.value for r in documents.line_values(lines(spark, text), terms).collect()}
+    assert got[long] == 4.5 and got["Proof pressure"] == 77
+    got = {r.term: r.value for r in documents.line_values(lines(spark, text), terms, want="string").collect()}
+    assert got == {long: "4.5 x", "operator": "A. RIVERA", "Model": "X-5"}
+
+
+def test_table_rules(spark):
+    t = spark.createDataFrame([(1, 1, 1, ["Parameter", "Limit"]), (1, 1, 2, ["Leak \"rate\"", "5"]), (1, 2, 1, ["Parameter"]), (1, 3, 1, ["", None])], "doc_id int, table_no int, row_no int, cells array<string>")
+    R = metadata.LabelRule
+    label = lambda *rules: {r.table_no: r.label for r in metadata.table_labels(t, list(rules)).collect()}
+    assert label(R("wide", min_cols=2), R("any")) == {1: "wide", 2: "any", 3: None}
+    assert label(R("two", min_rows=2)) == {1: "two", 2: None, 3: None} and label(R("one", max_rows=1, max_cols=1)) == {1: None, 2: "one", 3: None}
+    assert label(R("x", all_of=("leak rate",)))[1] == "x" and label(R("x", all_of=("leak",), scope="header_row"))[1] is None
+    assert label(R("x", any_of=("leak",), scope="first_col"))[1] == "x" and label(R("x", any_of=("limit",), scope="first_col"))[1] is None
+    with pytest.raises(ValueError):
+        metadata.rule_labels(t, [R("x", min_rows=1)], "doc_id", "doc_id")
+
+
+def test_strict_fields(spark):
+    allow = spark.createDataFrame([("Starlink", "star link"), ("VLV-42A", "VLV_42A")], "canonical string, alias string")
+    rows = [(1, "Star Link", "vlv 42a", "/a/b.pdf"), (2, None, "the VLV 42A unit", "/star link/x.pdf"), (3, None, "none", "/vlv 42a/starlink_report.pdf"), (4, None, None, "/Star-Link/1/2/3/4/x.pdf"), (5, None, None, "/star link/1/2/3/4/5/x.pdf"), (6, "", "", r"C:\VLV 42A\q\x.pdf"), (7, None, None, "/my starlink folder/x.pdf"), (8, None, None, None)]
+    docs = spark.createDataFrame(rows, "k int, labelled string, pages string, path string")
+    got = {r.k: r.canonical for r in metadata.strict_field(docs, allow, "k", ["labelled", "pages"], "path").collect()}
+    assert got == {1: "Starlink", 2: "VLV-42A", 3: "Starlink", 4: "Starlink", 5: "Unknown", 6: "VLV-42A", 7: "Unknown", 8: "Unknown"}
+
+
 def test_similar_titles(spark):
     rows = spark.createDataFrame([(1, "Valve Report A"), (2, "valve report b"), (3, "Pump"), (4, " "), (5, None)], "k int, t string")
     got = {r.k: r.group_id for r in fuzzy.group_similar(rows, "k", "t").collect()}
