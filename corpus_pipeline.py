@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 documents. All but the last return the columns of ``documents``. Rows without a doc_id are kept by the near-duplicate stage, since
-nothing tells which of them stands for its class; of rows that repeat a doc_id with the same text one stays.
+nothing tells which of them stands for its class; of rows that repeat a doc_id with the same text one stays. Where a doc_id stands
+for different texts, each of its rows is decided by its own class.
 """
 
 from __future__ import annotations
@@ -27,14 +28,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: the one with the smallest doc_id."""
-    classes = durable(nearjoin.near_classes(docs).select("doc_id", "class_id"))
+    classes = durable(nearjoin.near_classes(docs, by_row=True).select("doc_id", "class_id", "text_hash", "class_node"))
     gone = durable(classes.filter("doc_id <> class_id").select("doc_id").distinct())
-    kept = sized_join(docs, gone, "doc_id", "left_anti")
     repeated = durable(classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.isEmpty():
-        return kept
-    once = sized_join(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return sized_join(kept, repeated, "doc_id", "left_anti").unionByName(once)
+        return sized_join(docs, gone, "doc_id", "left_anti")
+    once = sized_join(sized_join(docs, repeated, "doc_id", "left_anti"), gone, "doc_id", "left_anti")
+    # texts without a word are classes of their own; of several texts of one class that share its id, one stays
+    mine = sized_join(classes.filter("doc_id = class_id"), repeated, "doc_id", "left_semi")
+    stay = mine.groupBy("doc_id", F.col("class_node").isNull().alias("_own"), F.coalesce("class_node", "text_hash").alias("_class")).agg(F.min("text_hash").alias("_hash"))
+    several = sized_join(docs, repeated, "doc_id", "left_semi").withColumn("_hash", F.xxhash64("text"))
+    several = sized_join(several, durable(stay.select("doc_id", "_hash")), ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return once.unionByName(several.drop("_hash"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, text_col: str, id_col: str, trees: int, depth: int, used: int, n: int) -> DataFrame:
-    """(id, d1, d2, sketch, keys): digests of the set, the low byte of each MinHash value, and the key of each tree's prefix; nulls where there is no word."""
+    """(id, d1, d2, sketch, keys, text_hash): digests of the set, the low byte of each MinHash value, and the key of each tree's prefix; nulls where there is no word; text_hash is the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,9 +102,9 @@ def _nodes(docs: DataFrame, text_col: str, id_col: str, trees: int, depth: int,
                         key = K.mix(key * K.BASE + label[:, :, k])
                     for i, x, y, s, k in zip(full, one.view(np.int64).tolist(), two.view(np.int64).tolist(), (sig & 255).astype(np.uint8), key.view(np.int64), strict=True):
                         d1[i], d2[i], sketch[i], keys[i] = x, y, s.tobytes(), k.tolist()
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "d1", "d2", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64())), b.column(2).slice(first, len(sets))], names=["id", "d1", "d2", "sketch", "keys", "text_hash"])
 
-    return durable(docs.select(id_col, text_col).mapInArrow(run, "id long, d1 long, d2 long, sketch binary, keys array<long>"))
+    return durable(docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, "id long, d1 long, d2 long, sketch binary, keys array<long>, text_hash long"))
 
 
 def _in_blocks(rows: DataFrame, sizes: DataFrame, key: str, block: int, batch: int) -> DataFrame:
@@ -167,8 +167,12 @@ def _products(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 16, depth: int = 6, recall: float = 0.9995, least: float = 0.55, block: int = 512, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, class_id, n_links, n_copies): class_id is the smallest id that a chain of links and copies leads to; n_links counts the different texts (sets) at or above the threshold."""
+def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = 16, depth: int = 6, recall: float = 0.9995, least: float = 0.55, block: int = 512, text_col: str = "text", id_col: str = "doc_id", by_row: bool = False) -> DataFrame:
+    """(id, class_id, n_links, n_copies): class_id is the smallest id that a chain of links and copies leads to; n_links counts the different texts (sets) at or above the threshold.
+
+    ``by_row`` adds what tells rows and classes apart where an id stands for several texts: text_hash (``xxhash64`` of the text) and
+    class_node (one number for each class, null for texts without a word).
+    """
     used = matched_depth(threshold, trees, depth, recall)
     docs = docs.select(id_col, text_col)
     rows = _nodes(docs, text_col, id_col, trees, depth, used, n)
@@ -255,8 +259,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     firsts = classes.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_id"))
-    by_node = durable(classes.join(firsts, "root").join(links, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    known = nodes.select("node", "d2", "first", "n_copies").join(by_node, "node", "left").select(F.col("node").alias("d1"), "d2", "n_copies", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    some = rows.filter("d1 is not null").select("id", "d1", "d2").join(known, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
-    none = rows.filter("d1 is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    by_node = durable(classes.join(firsts, "root").join(links, "node", "left").select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    known = nodes.select("node", "d2", "first", "n_copies").join(by_node, "node", "left").select(F.col("node").alias("d1"), "d2", "n_copies", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "node").alias("class_node"))
+    more = ["text_hash", "class_node"] if by_row else []
+    some = rows.filter("d1 is not null").select("id", "d1", "d2", *more[:1]).join(known, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", *more)
+    none = rows.filter("d1 is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), *([F.col("text_hash"), F.lit(None).cast("long").alias("class_node")] if by_row else []))
     return some.unionByName(none)

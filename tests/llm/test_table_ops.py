@@ -180,6 +180,18 @@ def test_sized_join_has_both_ways(spark):
         assert storage.sized_join(a, b, "id", "left_anti", limit).count() == 50
 
 
+def test_near_duplicates_of_repeated_ids_are_decided_by_row(spark, sf):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    near = lambda w: text(w) + " more"
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, near("b")), (8, text("c")), (8, text("d")), (9, text("c")), (10, text("d")), (11, text("e")), (11, near("e")), (12, text("f")), (12, text("f")), (13, None), (13, "!!!"), (13, text("g")), (13, None), (None, text("h")), (14, text("i"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates_stage(spark, docs, sf).collect()]
+    eleven = [t for i, t in got if i == 11]
+    assert len(eleven) == 1 and eleven[0] in (text("e"), near("e"))
+    want = [(1, text("a")), (5, text("b")), (8, text("c")), (8, text("d")), (12, text("f")), (13, None), (13, "!!!"), (13, text("g")), (None, text("h")), (14, text("i"))]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*want, (11, eleven[0])]))
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names, before = docs.columns, docs
