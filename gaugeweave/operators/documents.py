@@ -48,7 +48,7 @@ def key_values(lines: DataFrame, least_gap: int = 8) -> DataFrame:
     marked = marked_lines(lines).filter("kind = 'text'")
     gap = rf"^\s*(\S.*?)(?:\s{{{least_gap},}}|\s+\|\s+)(\S.*?)\s*$"
     pairs = marked.select("doc_id", "page", "section", "line_no", F.regexp_extract("text", gap, 1).alias("term"), F.regexp_extract("text", gap, 2).alias("value"))
-    good = pairs.filter((F.col("term") != "") & F.col("term").rlike(r"\p{L}") & (F.length("term") <= 80) & (F.length("value") <= 200) & ~F.coalesce(F.lower("section").isin("header", "footer"), F.lit(False)))
+    good = pairs.filter((F.col("term") != "") & F.col("term").rlike(r"\p{L}") & (F.length("term") <= 120) & (F.length("value") <= 200) & ~F.coalesce(F.lower("section").isin("header", "footer"), F.lit(False)))
     w = Window.partitionBy("doc_id", "term", "value", "page").orderBy("line_no")
     return good.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

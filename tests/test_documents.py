@@ -46,6 +46,11 @@ def test_key_values_skip_headers(spark):
     assert got == {("Operator", "A. RIVERA"), ("Test Plan", "TPL-1000")}
 
 
+def test_key_value_bounds(spark):
+    text = "\n".join(f"{'t' * n} | {'v' * m}" for n, m in [(81, 1), (120, 200), (121, 1), (1, 201)])
+    assert {(len(r.term), len(r.value)) for r in documents.key_values(lines(spark, text)).collect()} == {(81, 1), (120, 200)}
+
+
 def test_acceptance_tests(spark):
     got = {r.term: r for r in documents.acceptance_tests(lines(spark)).collect()}
     assert got["Torque"].computed_pass is True and got["Torque"].measured_note == "ok"
