@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
-Texts are sets of hashed runs of five words. Copies (equal sets) are one node. Each node's MinHash signature is the label of a
-leaf in each of ``trees`` prefix tries of depth ``depth``; rows sorted by label put equal prefixes side by side. The matched
-prefix starts at full depth and is shortened until the expected recall, 1 - (1 - t^d)^trees for pairs at the threshold t,
-reaches the target. Nodes under one prefix are candidates.
+Texts are sets of hashed runs of five words. Copies (equal sets) are one node. Each node's MinHash signature is cut into
+``trees`` labels of ``depth`` values, of which a prefix of one fixed length d is matched by equality: the longest whose expected recall,
+1 - (1 - t^d)^trees for pairs at the threshold t, reaches the target. It doesn't depend on the data; no trie is built. Nodes under one
+prefix are candidates.
 
 A prefix's nodes are never expanded into pairs. In each prefix, a group (at most ``block`` nodes, or a pair of such blocks) is
 joined where signatures agree well enough, and gives a forest of at most one edge a node. The components of all forests hold
