@@ -1,7 +1,7 @@
 """License scans [native]: canonical digest lookup.
 
-A text is brought to a canonical form (case, copyright lines, equivalent spellings, punctuation and white space are
-evened out), digested with SHA-256, and hash-joined as a whole to the digests of known licence texts. Everything is a
+A text is brought to a canonical form (case, copyright lines, punctuation and white space, then equivalent spellings are
+evened out, so that a spelling of two words is known across a line's end too), digested with SHA-256, and hash-joined as a whole to the digests of known licence texts. Everything is a
 built-in column function; the built-in known side is a constant of some dozen digests, so it is broadcast and nothing shuffles.
 A caller may add a table of known texts of any size; it is counted before it is broadcast.
 
@@ -86,21 +86,22 @@ TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "I
 #: A line is dropped if, after marks, it begins as a copyright line: the word or sign with a year, name or sign after it.
 COPYRIGHT_LINE = r"(?m)^[\t #*/;>-]*(?:portions )?(?:copyright[\t ]+(?:\(c\)|©|[0-9]|by )|copyright:|\(c\)|©|all rights reserved)[^\n]*$"
 
-#: Spellings that count as one, as (parts, pattern, replacement); patterns have one meaning in Java's and RE2's syntax. Any text that
-#: a pattern matches contains one of its parts, which are looked for first: a plain search is far cheaper than a pattern.
+#: Spellings that count as one, as (parts, pattern, replacement), applied to words parted by single blanks; a pattern's words begin where
+#: a word begins, and it has one meaning in Java's and RE2's syntax. Any text that a pattern matches contains one of its parts, which
+#: are looked for first: a plain search is far cheaper than a pattern.
 SPELLINGS = [
-    (["licenc"], r"\b(sub)[- ]?(licen)c(e|es|ed|ing|or)\b", "$1$2s$3"),
-    (["licenc"], r"\b(licen)c(e|es|ed|ing|able|or)\b", "$1s$2"),
-    (["sub-licens", "sub licens"], r"\b(sub)[- ](licens)", "$1$2"),
-    (["acknowledgement", "judgement"], r"\b(acknowledg|judg)e(ment)", "$1$2"),
-    (["favour", "honour", "colour", "labour", "behaviour"], r"\b(fav|hon|col|lab|behavi)ou(r)", "$1o$2"),
-    (["authoris", "organis", "recognis", "utilis", "initialis", "capitalis", "realis", "specialis"], r"\b(author|organ|recogn|util|initial|capital|real|special)is(e|ed|es|er|ing|ation|ations)\b", "$1iz$2"),
-    (["non-", " non "], r"(^|[- ])(non)[- ]+(infring|commercial|exclusive|transferable)", "$1$2$3"),
-    (["copyright owner", "copyright proprietor"], r"\bcopyright (?:owner|proprietor)(s?)\b", "copyright holder$1"),
-    (["https://"], r"\bhttps://", "http://"),
-    (["centre", "fibre", "theatre"], r"\b(centr|fib|theat)re(s?)\b", "$1er$2"),
-    (["catalogue", "analogue", "dialogue"], r"\b(catalog|analog|dialog)ue(s?)\b", "$1$2"),
-    (["willful"], r"\b(wil)l(ful)", "$1$2"),
+    (["sublicenc", "sub licenc"], r"(^| )sub ?licenc([aeio])", "$1sublicens$2"),
+    (["licenc"], r"(^| )licenc([aeio])", "$1licens$2"),
+    (["sub licens"], r"(^| )sub licens", "$1sublicens"),
+    (["acknowledgement", "judgement"], r"(^| )(acknowledg|judg)ement", "$1$2ment"),
+    (["favour", "honour", "colour", "labour", "behaviour"], r"(^| )(fav|hon|col|lab|behavi)our", "$1$2or"),
+    (["authoris", "organis", "recognis", "utilis", "initialis", "capitalis", "realis", "specialis"], r"(^| )(author|organ|recogn|util|initial|capital|real|special)is(e|ing|ation)", "$1$2iz$3"),
+    (["non infring", "non commercial", "non exclusive", "non transferable"], r"(^| )non (infring|commercial|exclusive|transferable)", "$1non$2"),
+    (["copyright owner", "copyright proprietor"], r"(^| )copyright (owner|proprietor)", "$1copyright holder"),
+    (["https"], r"(^| )https", "$1http"),
+    (["centre", "fibre", "theatre"], r"(^| )(cent|fib|theat)re", "$1$2er"),
+    (["catalogue", "analogue", "dialogue"], r"(^| )(catalog|analog|dialog)ue", "$1$2"),
+    (["willful"], r"(^| )willful", "$1wilful"),
 ]
 
 
@@ -114,16 +115,16 @@ def _let(value: Column, body) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """The form that is digested: lower case, no copyright lines, one spelling, letters and digits parted by single spaces."""
+    """The form that is digested: lower case, no copyright lines, letters and digits parted by single blanks, one spelling."""
 
-    def respelled(low: Column) -> Column:
-        out = low
+    def respelled(words: Column) -> Column:
+        out = words
         for _, pattern, to in SPELLINGS:
             out = F.regexp_replace(out, pattern, to)
-        return F.when(_has_any(low, [x for parts, _, _ in SPELLINGS for x in parts]), out).otherwise(low)
+        return F.when(_has_any(words, [x for parts, _, _ in SPELLINGS for x in parts]), out).otherwise(words)
 
     low = _let(F.lower(text), lambda x: F.when(_has_any(x, ["copyright", "(c)", "©", "all rights reserved"]), F.regexp_replace(x, COPYRIGHT_LINE, " ")).otherwise(x))
-    return F.trim(F.regexp_replace(_let(low, respelled), r"[^\p{L}\p{N}]+", " "))
+    return _let(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), respelled)
 
 
 def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
@@ -168,9 +169,10 @@ def oracle_sql() -> str:
 
     def form(x: str) -> str:
         x = f"regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
+        x = f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for _, pattern, to in SPELLINGS:
             x = f"regexp_replace({x}, {quote(pattern)}, {quote(to.replace('$', chr(92)))}, 'g')"
-        return f"sha256(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+        return f"sha256({x})"
 
     rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in _known_rows())
     return f"""WITH known AS (SELECT {form("known")} AS license_digest, min(license_id) AS license_id FROM (VALUES {rows}) AS t(license_id, known) GROUP BY 1),
