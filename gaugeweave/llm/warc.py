@@ -9,12 +9,17 @@ larger one is followed by an empty member, which ends in 0 bytes too.
 
 Reader. Spark's text source is given the three bytes of gzip magic as the line end. It splits files by byte ranges, and
 each task gets the candidates that start in its range, whatever their length. A candidate counts once its gzip header and
-its WARC header decode; bytes that look like magic inside a member are joined to the member again. What a range cannot
-decide alone (a member cut by false magic beyond its end) is passed on, and a second small step joins it in file order.
+its WARC header decode; bytes that look like magic inside a member are joined to the member again. Members that follow each other
+without a gap are a chain. A range that doesn't begin a file can't tell whether its chain lies inside the payload of a
+member that began before it (an archive within an archive), so its records are tentative: a second small step goes through the
+undecided bytes of each file in order (a member cut by false magic beyond its range's end, and what stands before a chain) and
+accepts a chain if no member is open where it starts. A file in which a chain fails this test, or breaks off, is read again in order by one
+task, a member at a time. Files named .warc.gz are split too: a reader option keeps Spark from unpacking them.
 
 Results for odd input: a null html is an empty payload; a null url has no target header; with a null page_id the
 record is written and read back with a null page_id; of repeated rows of the largest page_id each is a response; an empty table
-gives no records; further columns are ignored; payloads are held whole, one at a time.
+gives no records; further columns are ignored; payloads are held whole, one at a time. Bytes between members that belong to none
+are passed over, as is a member that never ends; records of other kinds than response and revisit come with their kind.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -114,9 +121,8 @@ def parse_record(content: bytes) -> tuple | None:
 class _Member:
     """A candidate being decoded; more pieces come while false magic has cut it."""
 
-    def __init__(self, piece: bytes):
+    def __init__(self) -> None:
         self.raw, self.out, self.z, self.bad = [], [], zlib.decompressobj(31), False
-        self.add(piece)
 
     def add(self, piece: bytes) -> None:
         self.raw.append(piece)
@@ -125,95 +131,148 @@ class _Member:
         except zlib.error:
             self.bad = True
             return
-        if self.bad or (start := b"".join(self.out)[:5]) and not b"WARC/".startswith(start[:5]):
-            self.bad = True
+        start = b"".join(self.out)[:5] if len(self.out) < 8 else b""
+        self.bad = bool(start) and not b"WARC/".startswith(start)
 
     @property
     def done(self) -> bool:
         return self.z.eof and not self.bad
 
-    @property
-    def content(self) -> bytes:
-        return b"".join(self.out)
-
 
-def assemble(pieces: Iterator[bytes], opens: bool) -> Iterator[tuple[str, bytes]]:
-    """('record', content) for every whole member, ('loose', bytes) for what can't be decided here.
+class Scanner:
+    """Takes pieces (what follows each magic) in order and gives ('record', content), ('loose', bytes), ('chain', b'') where a chain begins, ('broken', b'') where one ends before the pieces do.
 
-    ``opens``: the pieces begin at the start of a file. Before the first member that decodes, pieces may belong to a
-    member of the range before, so they are loose, as is a member that has not ended when the pieces do.
+    ``anchored``: the pieces begin where a member begins, so chains need no proof.
     """
-    now: _Member | None = None
-    settled = opens
-    for piece in pieces:
-        if now is not None:
-            now.add(MAGIC + piece)
-        else:
-            now = _Member(MAGIC + piece)
-        if now.done:
-            if now.content:
-                yield "record", now.content
-            now, settled = None, True
-        elif now.bad:
-            if len(now.raw) > 1 and (again := _Member(now.raw[-1])) and not again.bad:
-                yield "loose", b"".join(now.raw[:-1])
-                now = again
-                if now.done:
-                    if now.content:
-                        yield "record", now.content
-                    now, settled = None, True
-            else:
-                yield "loose", b"".join(now.raw)
-                now = None
-    if now is not None:
-        yield "loose", b"".join(now.raw)
+
+    def __init__(self, anchored: bool):
+        self.anchored, self.chained, self.now = anchored, anchored, None
+
+    def add(self, piece: bytes) -> Iterator[tuple[str, bytes]]:
+        queue = deque([MAGIC + piece])
+        while queue:
+            now = self.now = self.now or _Member()
+            now.add(queue.popleft())
+            if now.done:
+                if not self.chained:
+                    self.chained = True
+                    yield "chain", b""
+                if content := b"".join(now.out):
+                    yield "record", content
+                if now.z.unused_data and not self.anchored:
+                    yield "broken", b""
+                self.now = None
+            elif now.bad:
+                if self.chained and not self.anchored:
+                    yield "broken", b""
+                yield "loose", now.raw[0]
+                queue.extendleft(reversed(now.raw[1:]))
+                self.now = None
+
+    def end(self) -> Iterator[tuple[str, bytes]]:
+        if self.now is not None:
+            yield "loose", b"".join(self.now.raw)
+
+
+#: Makes Hadoop take no codec for names that end in .warc.gz. Codecs are looked up by the greatest reversed suffix below
+#: the reversed name; this one sorts between those of .gz and .warc.gz and fits neither, so such files are read as they are, in ranges. (Hadoop's
+#: shaded client has the option under a longer name.)
+AS_BYTES = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", "io.compress.passthrough.extension": ".!warc.gz", "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".!warc.gz"}
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    lines = spark.read.options(**AS_BYTES).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("piece"))
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+    """(file, start, piece), without the first of a file, which stands before the first magic."""
+    last = None
+    for b in batches:
+        for file, start, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if start or (file, start) == last:
+                yield file, start, piece
+            last = (file, start)
+
+
+def _flushed(rows: Iterator[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    found: list[tuple] = []
+    for row in rows:
+        found.append(row)
+        if len(found) >= 256:
+            yield _batch(found, width)
+            found = []
+    yield _batch(found, width)
+
+
+_NO_RECORD = (None,) * 7
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each record, with :data:`FIELDS`; any WARC folder of gzip members (names must not end in .gz, which Spark would unpack unsplit)."""
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
-    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("piece"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grouped() -> Iterator[tuple[tuple, bytes]]:
-            for b in batches:
-                for file, start, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    yield (file, start), piece
-
-        from itertools import groupby
-
-        for (file, start), group in groupby(grouped(), key=lambda x: x[0]):
-            found, k = [], 0
-            for kind, content in assemble((p for i, (_, p) in enumerate(group) if i or start or p), start == 0):
-                row = parse_record(content) if kind == "record" else None
-                if row:
-                    found.append((*row, None, None, None, None))
-                elif kind == "loose":
-                    found.append((*[None] * 7, file, start, k, content))
-                    k += 1
-                if len(found) >= 256:
-                    yield _batch(found)
-                    found = []
-            yield _batch(found)
-
-    both = durable(pieces.mapInArrow(run, FIELDS + ", file string, start long, nth int, loose binary"))
+    """One row for each record, with :data:`FIELDS`; any WARC folder of gzip members."""
     names = [x.split()[0] for x in FIELDS.split(", ")]
-    loose = both.filter("loose is not null").select("file", "start", "nth", "loose")
-
-    def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("start", "ascending"), ("nth", "ascending")])
-        rows = [parse_record(c) for kind, c in assemble((p for x in table["loose"].to_pylist() for p in x[len(MAGIC) :].split(MAGIC)), True) if kind == "record"]
-        return pa.Table.from_batches([_batch([r for r in rows if r], 7)])
-
-    joined = loose.groupBy("file").applyInArrow(join, FIELDS)
-    return both.filter("loose is null").select(*names).unionByName(joined)
-
-
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
-_NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "file", "start", "nth", "loose"]
-
 
-def _batch(rows: list[tuple], width: int = 11) -> pa.RecordBatch:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for (file, start), group in groupby(_by_range(batches), key=lambda x: x[:2]):
+                scanner, nth = Scanner(start == 0), 0
+                for events in chain((scanner.add(p) for *_, p in group), [scanner.end()]):
+                    for kind, content in events:
+                        if kind == "record":
+                            if row := parse_record(content):
+                                yield (*row, file, start, None, None, None)
+                        else:
+                            yield (*_NO_RECORD, file, start, nth, content, kind)
+                            nth += 1
+
+        yield from _flushed(rows(), 12)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            items = ((f, k, c) for b in batches for f, k, c in zip(*(b.column(i).to_pylist() for i in (0, 3, 4)), strict=True))
+            for file, group in groupby(items, key=lambda x: x[0]):
+                scanner, misled = Scanner(True), False
+                for _, kind, content in group:
+                    misled = misled or kind == "broken" or (kind == "chain" and scanner.now is not None)
+                    for piece in content[len(MAGIC) :].split(MAGIC) if kind == "loose" and not misled else []:
+                        for what, content_ in scanner.add(piece):
+                            if what == "record" and (row := parse_record(content_)):
+                                yield (*row, file, None, None, None, None)
+                if misled:
+                    yield (*_NO_RECORD, file, None, None, None, "misled")
+
+        yield from _flushed(rows(), 12)
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for _, group in groupby(_by_range(batches), key=lambda x: x[0]):
+                scanner = Scanner(True)
+                for *_, piece in group:
+                    for kind, content in scanner.add(piece):
+                        if kind == "record" and (row := parse_record(content)):
+                            yield row
+
+        yield from _flushed(rows(), 7)
+
+    marked = FIELDS + ", file string, start long, nth int, loose binary, kind string"
+    pieces = _pieces(spark, folder)
+    both = durable(pieces.mapInArrow(ranges, marked))
+    open_ = both.filter("kind is not null").select("file", "start", "nth", "kind", "loose")
+    settled = durable(open_.repartition("file").sortWithinPartitions("file", "start", "nth").mapInArrow(settle, marked))
+    misled = durable(settled.filter("kind = 'misled'").select("file"))
+    found = both.filter("kind is null").unionByName(settled.filter("kind is null"))
+    if misled.isEmpty():
+        return found.select(*names)
+    numbered = sized_join(pieces, misled, "file", "left_semi").withColumn("nth", F.monotonically_increasing_id())  # grows within a range
+    again = numbered.repartition("file").sortWithinPartitions("file", "start", "nth").select("file", "start", "piece").mapInArrow(in_order, FIELDS)
+    return sized_join(found, misled, "file", "left_anti").select(*names).unionByName(again)
+
+
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
+_NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "file", "start", "nth", "loose", "kind"]
+
+
+def _batch(rows: list[tuple], width: int) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * width
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:width], _TYPES, strict=False)], names=_NAMES[:width])
 
