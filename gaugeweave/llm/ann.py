@@ -6,11 +6,13 @@ Index: every row's code is cut into substrings, each with a table from its value
 within the radius r differ in some substring of s by at most floor(r / s) bits (pigeonhole), so all values within that distance
 of the query's substring are probed; what the tables give, is checked for the full distance, and the float vectors of
 what remains are ranked exactly by inner product. A query with fewer than k codes in the radius doubles it until it has k
-or has probed everything. Rows are indexed block by block (see :mod:`.vectors`), all of them.
+or has probed everything. Rows are indexed block by block (see :mod:`.vectors`), all of them, each once; queries stream through.
 
 Results for odd input: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; a
 query's own id is no candidate, however often it is there; equal vectors tie to the smaller vec_id; with fewer than k candidates
-all come; an empty table gives no rows; further columns are ignored; lengths other than the commonest take no part.
+all come; an empty table gives no rows; further columns are ignored. Vectors of each length are searched among themselves, as there is no
+inner product across lengths; codes are learned for every length in the sample, and rows of a length that isn't in it are all ranked
+exactly. A repeated vec_id is a candidate each time; as a query it stands for its least vector.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,39 +81,49 @@ class Index:
         return at[POPCOUNT[self.bits[at] ^ code].sum(1, dtype=np.int32) <= radius]
 
 
-def search(vectors: DataFrame, k: int = V.K_BEST, every: int = 20, sample_rows: int = 8000, rows_in_block: int = 1 << 15, queries_in_block: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the rows whose id is divisible by ``every`` against all rows. At most ``sample_rows`` rows are fitted on."""
+def search(vectors: DataFrame, k: int = V.K_BEST, every: int = 20, sample_rows: int = 8000, rows_in_block: int = 1 << 15) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the rows whose id is divisible by ``every`` against all rows. About ``sample_rows`` rows are fitted on, at most twice as many."""
     nonzero = vectors.filter(F.exists("embedding", lambda x: x != 0))
     rows, queries = V.prepare(nonzero, every, F.transform("embedding", lambda x: x.cast("double")))
+    lengths = {r.d: r["count"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(64).collect()}
     n = rows.count()
-    found = "query_id long, vec_id long, score double"
-    if not n:
-        return V.best_of(vectors.sparkSession.createDataFrame([], found), k)
-    part = min(1.0, sample_rows / n)
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("v").limit(2 * sample_rows).toArrow() if part < 1 else rows.select("v").limit(sample_rows).toArrow()
-    drawn = drawn if drawn.num_rows else rows.select("v").limit(sample_rows).toArrow()
-    sample = drawn["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(drawn.num_rows, -1)
-    codes = fit(sample[np.lexsort(sample.T)], n, k)
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, x, query_ids, q = V.split(table)
-        if not len(ids) or not len(query_ids):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        index, top = Index(codes.of(x)), codes.of(x).shape[1] * 8
-        out_q, out_v, out_s = [], [], []
-        for qid, code, v in zip(query_ids, codes.of(q), q, strict=True):
-            radius = codes.radius
-            at = index.within(code, radius)
-            at = at[ids[at] != qid]
-            while len(at) < k and radius < top:
-                radius = min(top, max(radius + 1, 2 * radius))
+    part = min(1.0, sample_rows / max(n, 1))
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "id", "v"), F.lit(1 << 30))
+    drawn = rows.filter(draw < int(part * (1 << 30))).select("v").orderBy(draw, "v").limit(2 * sample_rows).toArrow()["v"].combine_chunks()
+    sizes, flat = drawn.value_lengths().to_numpy(zero_copy_only=False), drawn.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    codes = {}
+    for d, count in lengths.items():
+        at = np.flatnonzero(sizes == d)
+        if len(at) > k:
+            sample = np.stack([flat[ends[i] - d : ends[i]] for i in at])
+            codes[d] = fit(sample[np.lexsort(sample.T)], count, k)
+
+    def block(ids: np.ndarray, x: np.ndarray):
+        if x.shape[1] not in codes:
+            every_row = np.arange(len(ids))
+            return lambda query_ids, q: (_best(every_row[ids != i], x, ids, v, i, k) for i, v in zip(query_ids, q, strict=True))
+        learned = codes[x.shape[1]]
+        index, top = Index(learned.of(x)), x.shape[1]
+
+        def answers(query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for qid, code, v in zip(query_ids, learned.of(q), q, strict=True):
+                radius = learned.radius
                 at = index.within(code, radius)
                 at = at[ids[at] != qid]
-            s = (x[at] * v).sum(1)
-            best = V.top_k(s, ids[at], k)
-            out_q.append(np.full(len(best), qid))
-            out_v.append(ids[at][best])
-            out_s.append(s[best])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    return V.best_of(V.grid(rows, queries, rows_in_block, queries_in_block).groupBy("row_block", "query_block").applyInArrow(run, found), k)
+                while len(at) < k and radius < top:
+                    radius = min(top, max(radius + 1, 2 * radius))
+                    at = index.within(code, radius)
+                    at = at[ids[at] != qid]
+                yield _best(at, x, ids, v, qid, k)
+
+        return answers
+
+    return V.best_of(V.blockwise(rows, queries, rows_in_block, block, "double"), k)
+
+
+def _best(at: np.ndarray, x: np.ndarray, ids: np.ndarray, v: np.ndarray, query: int, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The query with the ids and scores of the k best of some rows."""
+    s = (x[at] * v).sum(1)
+    best = V.top_k(s, ids[at], k)
+    return query, ids[at][best], s[best]

@@ -11,13 +11,15 @@ are those of :mod:`.vectors`.
 
 Results for odd input: vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; zero
 vectors do; a query's own id is no candidate, however often it is there; ties go to the smaller vec_id; with fewer than k
-candidates all come; an empty table gives no rows; further columns are ignored; lengths other than the commonest take no part.
+candidates all come; an empty table gives no rows; further columns are ignored; vectors of each length are searched among themselves, as
+there is no inner product across lengths; a repeated vec_id is a candidate each time, and as a query stands for its least vector.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,29 +94,28 @@ class Index:
         return np.flatnonzero(can)
 
 
-def search(vectors: DataFrame, k: int = V.K_BEST, every: int = 20, scale: int = 64, rows_in_block: int = 1 << 15, queries_in_block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, k: int = V.K_BEST, every: int = 20, scale: int = 64, rows_in_block: int = 1 << 15) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(scale * x) for the rows whose id is divisible by ``every``."""
     rows, queries = V.prepare(vectors, every, F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double"))))
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, x, query_ids, q = V.split(table)
-        out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        index = Index(x) if len(ids) and len(query_ids) else None
-        for qid, v in zip(query_ids if index else [], q, strict=False):
-            at = index.members(v, ids == qid, k)
-            s = index.scores(at, v)
-            best = V.top_k(s, ids[at], k)
-            out_q.append(np.full(len(best), qid))
-            out_v.append(ids[at][best])
-            out_s.append(s[best])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+    def block(ids: np.ndarray, x: np.ndarray):
+        index = Index(x)
+
+        def answers(query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for qid, v in zip(query_ids, q, strict=True):
+                at = index.members(v, ids == qid, k)
+                s = index.scores(at, v)
+                best = V.top_k(s, ids[at], k)
+                yield qid, ids[at][best], s[best]
+
+        return answers
 
-    return V.best_of(V.grid(rows, queries, rows_in_block, queries_in_block).groupBy("row_block", "query_block").applyInArrow(run, "query_id long, vec_id long, score long"), k)
+    return V.best_of(V.blockwise(rows, queries, rows_in_block, block, "long"), k)
 
 
 def oracle_sql(k: int = V.K_BEST, every: int = 20, scale: int = 64) -> str:
     """Every query against every row in DuckDB, for a small fixture."""
     return f"""WITH q AS (SELECT vec_id, [floor({scale} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum([(x[1] * x[2])::BIGINT FOR x IN list_zip(a.v, b.v)])::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum([(x[1] * x[2])::BIGINT FOR x IN list_zip(a.v, b.v)])::BIGINT AS score FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {every} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
