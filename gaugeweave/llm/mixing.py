@@ -11,8 +11,8 @@ Only source totals, block totals and one boundary block a source are shuffled, n
 ``block_tokens`` and at most about 2^16 in all, so the windows over a source's blocks stay small at any size.
 
 Results for odd input: a null source counts as the source ''; null and empty texts have 0 tokens and come with every
-pass of their source; rows with equal doc_id are taken together; an empty table gives no rows; further columns are kept
-by :func:`mixed_documents` and ignored by :func:`mixing_plan`.
+pass of their source; rows with equal doc_id are taken together; an empty table gives no rows; further columns, of any name, are kept
+by :func:`mixed_documents` (marks of the same name replace them) and ignored by :func:`mixing_plan`.
 """
 
 from __future__ import annotations
@@ -111,20 +111,33 @@ def mixing_tables(docs: DataFrame, spec: Mixing) -> tuple[DataFrame, DataFrame]:
     return sources, blocks.select("_source", "block", "block_rank", "last_block")
 
 
-def mixed_documents(docs: DataFrame, spec: Mixing = Mixing()) -> DataFrame:
-    """The rows of ``docs`` once for each use, with pass_no, and weight, uses and exponent of their source."""
-    sources, blocks = mixing_tables(docs, spec)
-    rows = sized_join(_doc_columns(docs, spec.seed), sources.drop("source_tokens", "part_tokens"), "_source").withColumn("block", _block(F.col("n_blocks")))
+def _placed(rows: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` (_source, _key and others that start with an underscore) once for each use, with pass_no, block, weight, uses and exponent."""
+    sources, blocks = tables
+    rows = sized_join(rows, sources.drop("source_tokens", "part_tokens"), "_source").withColumn("block", _block(F.col("n_blocks")))
     rows = sized_join(rows, blocks, ["_source", "block"], "left")
     part = F.col("block_rank").isNotNull() & (~F.col("last_block") | (F.col("_key") <= F.col("cut_key")))
     rows = rows.withColumn("_all", (F.col("passes") + F.when(part, 1).otherwise(0)).cast("int")).filter("_all > 0")
     return rows.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("_all"))))
 
 
+def mixed_documents(docs: DataFrame, spec: Mixing = Mixing(), marks: tuple[str, ...] = ("pass_no", "weight", "uses", "exponent")) -> DataFrame:
+    """The rows of ``docs`` once for each use, with its pass_no, and the weight, uses and exponent of its source; ``marks`` names those wanted.
+
+    A column of ``docs`` with the name of a wanted mark gives way to it; all other columns are kept, whatever their names.
+    """
+    low = {m.lower() for m in marks}
+    kept = [c for c in docs.columns if c.lower() not in low]
+    whole = _doc_columns(docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), spec.seed)
+    placed = _placed(whole.select("_source", "_key", "_row"), mixing_tables(docs, spec))
+    return placed.select(*(F.col("_row").getField(c).alias(c) for c in kept), *marks)
+
+
 def mixing_plan(docs: DataFrame, spec: Mixing = Mixing()) -> DataFrame:
     """(doc_id, source, pass_no, block, order_key, exponent, weight): sorted by pass_no and order_key, a source's rows are its permuted blocks."""
     order = F.concat(_key(spec.seed, F.col("_source"), F.col("pass_no").cast("string"), F.col("block").cast("string")), F.lit(":"), F.col("_key"))
-    return mixed_documents(docs.select("doc_id", "source", "text"), spec).select("doc_id", "source", "pass_no", "block", order.alias("order_key"), "exponent", F.round("weight", 9).alias("weight"))
+    rows = _doc_columns(docs.select("doc_id", "source"), spec.seed).withColumnsRenamed({"doc_id": "_id", "source": "_given"})
+    return _placed(rows, mixing_tables(docs, spec)).select(F.col("_id").alias("doc_id"), F.col("_given").alias("source"), "pass_no", "block", order.alias("order_key"), "exponent", F.round("weight", 9).alias("weight"))
 
 
 def oracle_sql(spec: Mixing = Mixing(), table: str = "documents", keep: str = "doc_id, source, pass_no, block, md5(concat_ws(':', '{seed}', k_source, pass_no::VARCHAR, block::VARCHAR)) || ':' || k AS order_key, exponent, round(weight, 9) AS weight") -> str:
