@@ -131,7 +131,10 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str
 
 
 def fit(labelled: DataFrame, train_docs: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
-    """Learns from at most about ``train_docs`` of the rows, chosen by a hash of the id at an even number for each language."""
+    """Learns from about ``train_docs`` of the rows, chosen by a hash of the id at an even number for each language (one of each at least).
+
+    At most twice as many rows (or as languages, if there are more) come to the driver: those of smallest hash, so that the choice doesn't depend on the order of partitions.
+    """
     counts = {r[0]: r[1] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
     if not counts:
         return None
@@ -139,7 +142,7 @@ def fit(labelled: DataFrame, train_docs: int = 4000, text_col: str = "text", lan
     each = max(1, train_docs // len(languages))
     part = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, each / counts[k])))])[F.col(lang_col)]
     draw = F.pmod(F.xxhash64(F.lit("langid"), id_col), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.filter(F.col(lang_col).isNotNull() & (draw < part)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = labelled.filter(F.col(lang_col).isNotNull() & (draw < part)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (draw / part).alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,9 +150,10 @@ def fit(labelled: DataFrame, train_docs: int = 4000, text_col: str = "text", lan
             for first, last, data, offs in K.chunks(b.column(1)):
                 buckets, bounds = features(data, offs)
                 found = [np.unique(g[g < 1 << BITS], return_counts=True) for g in (np.concatenate([x[s:e] for x in buckets]) for s, e in zip(bounds[:-1], bounds[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(langs[first:last]), pa.array([x.astype(np.uint16).tobytes() for x, _ in found]), pa.array([(n / max(n.sum(), 1)).astype(np.float32).tobytes() for _, n in found])], names=["lang", "buckets", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array(langs[first:last]), b.column(2).slice(first, last - first), pa.array([x.astype(np.uint16).tobytes() for x, _ in found]), pa.array([(n / max(n.sum(), 1)).astype(np.float32).tobytes() for _, n in found])], names=["lang", "draw", "buckets", "shares"])
 
-    got = chosen.mapInArrow(run, "lang string, buckets binary, shares binary").limit(2 * train_docs + 100).collect()
+    found = chosen.mapInArrow(run, "lang string, draw double, buckets binary, shares binary")
+    got = found.orderBy("draw", "lang", "buckets", "shares").limit(2 * max(train_docs, len(languages)) + 100).collect()
     samples = [(np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.shares, np.float32), languages.index(r.lang)) for r in sorted(got, key=lambda r: (r.lang, r.buckets, r.shares)) if r.buckets]
     return train(samples, languages) if samples else None
 

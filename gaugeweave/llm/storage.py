@@ -13,9 +13,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where a session names none (tests), a temporary one is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where a local session names none (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gaugeweave-')}"
     if not _checkpoint_dir(spark):
         spark.sparkContext.setCheckpointDir(found)
@@ -44,5 +46,26 @@ def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner", limit:
     return big.join(small.hint("merge"), on, how)
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """``base``, with underscores after it until no column has the name."""
+    low = {x.lower() for x in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
+def skew_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """``big`` joined with ``small`` (key, n, ...; one row a key, durable), whose n counts the key's rows in ``big``, ``total`` in all.
+
+    Keys of more than a 500th of all rows, and more than 4,096, are joined by broadcast: there can't be more than 500 of them. So no task gets a hot key.
+    """
+    least = max(4096, total // 500)
+    hot = F.broadcast(small.filter(F.col("n") > least))
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key)
+    rest = big.join(hot.select(key), key, "left_anti").join(small.filter(F.col("n") <= least), key)
+    return big.join(hot, key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

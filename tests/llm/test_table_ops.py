@@ -37,19 +37,34 @@ def vectors(spark, n=130, d=16, seed=1):
     return spark.createDataFrame(rows + odd, VECTORS), [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows] + [(20, x[3].astype(np.float32).astype(float))], d
 
 
-@pytest.mark.parametrize("blocks", [(1 << 15, 512), (30, 3)])
-def test_exact_top_k(spark, blocks):
-    frame, rows, d = vectors(spark)
-    unique = frame.dropDuplicates(["vec_id"]).filter("vec_id is not null")
-    whole = {r.vec_id: np.floor(64 * np.array(r.embedding, np.float32).astype(float)).astype(int) for r in unique.collect() if r.embedding and len(r.embedding) == d and all(x is not None and math.isfinite(x) for x in r.embedding)}
-    got = [tuple(r) for r in topk.search(unique, rows_in_block=blocks[0], queries_in_block=blocks[1]).collect()]
-    want = []
-    for q in sorted(i for i in whole if i % 20 == 0):
-        ranked = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:20]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
-    assert sorted(got) == sorted(want)
-    assert topk.search(unique.limit(0)).count() == 0
-    assert topk.search(frame).count() > 0  # a repeated id
+def brute_nearest(rows, k=20):
+    """(query, rank, id, score) over (id, vector) rows: repeated ids are candidates each time and one query, of the least vector."""
+    out = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        v = min((v for i, v in rows if i == q), key=lambda v: v.tolist())
+        ranked = sorted((-(v * w).sum(), i) for i, w in rows if i != q and len(w) == len(v))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
+    return out
+
+
+def usable(frame):
+    return [(r.vec_id, np.array(r.embedding, np.float32).astype(float)) for r in frame.collect() if r.vec_id is not None and r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)]
+
+
+def other_lengths(spark, d):
+    """Vectors of a second length, which have neighbours of their own."""
+    x = np.random.default_rng(9).normal(size=(30, d + 1))
+    return spark.createDataFrame([(200_000 + i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+
+
+@pytest.mark.parametrize("rows_in_block", [1 << 15, 30])
+def test_exact_top_k(spark, rows_in_block):
+    frame, _, d = vectors(spark)
+    frame = frame.unionByName(other_lengths(spark, d)).withColumns({"block": F.lit("x"), "id": F.lit(1), "v": F.lit(2)})
+    got = [tuple(r) for r in topk.search(frame, rows_in_block=rows_in_block).collect()]
+    want = brute_nearest([(i, np.floor(64 * v).astype(int)) for i, v in usable(frame)])
+    assert sorted(got) == sorted(want) and {q for q, *_ in got} >= {0, 20, 100000 + 20, 200_000}
+    assert topk.search(frame.limit(0)).count() == 0
 
 
 def test_top_k_with_strong_components(spark):
@@ -65,21 +80,21 @@ def test_top_k_with_strong_components(spark):
 
 def test_nearest_neighbours(spark):
     frame, _, d = vectors(spark, 2000, 32)
-    unique = frame.dropDuplicates(["vec_id"])
-    got = ann.search(unique, sample_rows=500, rows_in_block=700, queries_in_block=40).collect()
-    rows = {r.vec_id: np.array(r.embedding, np.float32).astype(float) for r in unique.collect() if r.vec_id is not None and r.vec_id < 2000}
-    right, by = 0, {}
-    for r in got:
-        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert max(set(by) | {v for x in by.values() for _, v, _ in x}) < 2000  # the odd vectors take no part
-    for q, x in by.items():
-        ranked = sorted((-float((rows[q] * v).sum()), i) for i, v in rows.items() if i != q)[:20]
-        right += len({i for _, i in ranked} & {v for _, v, _ in x})
-        assert [s for _, _, s in sorted(x)] == sorted((s for _, _, s in x), reverse=True)
-    assert right >= 0.9 * 20 * len(by)
-    few = unique.filter("vec_id < 3")
+    frame = frame.unionByName(other_lengths(spark, d)).withColumns({"block": F.lit("x"), "id": F.lit(1), "v": F.lit(2)})
+    got = [tuple(r) for r in ann.search(frame, sample_rows=500, rows_in_block=700).collect()]
+    rows = [(i, v) for i, v in usable(frame) if (v != 0).any()]
+    want = brute_nearest(rows)
+    assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len({(q, i) for q, _, i, _ in want})
+    scores = {}
+    for q, rank, _, s in sorted(got):
+        scores.setdefault(q, []).append(s)
+        assert rank == len(scores[q])
+    assert all(s == sorted(s, reverse=True) for s in scores.values())
+    # rows of a length without codes are ranked exactly
+    assert sorted(x for x in got if x[0] >= 200_000) == [(q, n, i, pytest.approx(s)) for q, n, i, s in want if q >= 200_000]
+    few = frame.filter("vec_id < 3")
     assert [(r.query_id, r["rank"]) for r in ann.search(few).orderBy("rank").collect()] == [(0, 1), (0, 2)]
-    assert ann.search(unique.limit(0)).count() == 0
+    assert ann.search(frame.limit(0)).count() == 0
 
 
 def test_index_returns_every_code_in_the_radius():
@@ -113,6 +128,19 @@ def test_mixing_weights(spark):
         assert want - 1e-6 <= used[s] <= want + 12
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    d, _ = mixed(spark)
+    clash = {c: F.lit(f"my {c}") for c in ("passes", "n_blocks", "cut_key", "weight", "uses", "exponent", "last_block", "block", "pass_no", "_source", "_key", "_row", "block_rank")}
+    named = d.withColumns(clash)
+    plain = mixing.mixed_documents(d).select("doc_id", "text", "pass_no").collect()
+    got = mixing.mixed_documents(named)
+    assert sorted(map(repr, plain)) == sorted(map(repr, got.select("doc_id", "text", "pass_no").collect()))
+    assert got.first()["cut_key"] == "my cut_key" and isinstance(got.first()["weight"], float)
+    bare = mixing.mixed_documents(named, marks=())
+    assert bare.columns == named.columns and bare.count() == len(plain) and bare.first()["weight"] == "my weight"
+    assert mixing.mixing_plan(named).count() == len(plain)
+
+
 def test_mixing_budget_and_limits(spark):
     d, got = mixed(spark, mixing.Mixing(budget=500, block_tokens=50))
     assert 480 <= sum(len((r.text or "").split()) for r in got) <= 600
@@ -168,6 +196,31 @@ def test_warc_ranges_and_false_magic(spark, tmp_path, split):
     assert got == [(i, payload(i)) for i in range(40)]
 
 
+def test_archive_within_an_archive(spark, tmp_path):
+    def member(content, level=0):
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return z.compress(content) + z.flush()
+
+    inner = b"".join(member(warc.record(1000 + i, "in", b"inner %d" % i, "D", None, False), 9) for i in range(30))
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    outer = [warc.record(i, "u", inner if i % 5 == 2 else b"plain %d" % i, "D", None, False) for i in range(12)]
+    for name in ("a.warc", "b.warc.gz"):  # names that end in .gz are split as well
+        (tmp_path / name).write_bytes(member(info) + b"".join(map(member, outer)))
+    (tmp_path / "c.warc").write_bytes(b"junk" + member(outer[0]) + b"more junk" + warc.MAGIC + b"and more" + member(outer[1]) + member(outer[3])[:-9])
+    (tmp_path / "not.warc").write_bytes(b"no archive at all " * 50)
+    keys = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = warc.read_archives(spark, f"file://{tmp_path}").select("record_type", "page_id", "payload").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    want = [("response", i, inner if i % 5 == 2 else b"plain %d" % i) for i in range(12)] * 2 + [("warcinfo", None, b"")] * 2 + [("response", i, b"plain %d" % i) for i in (0, 1)]
+    assert sorted((r.record_type, r.page_id or 0, bytes(r.payload)) for r in got) == sorted((t, i or 0, p) for t, i, p in want)
+
+
 def test_large_members_end_in_zero():
     big = warc._gzip(b"\xff" * 10, 1)
     assert big[-1] == 0 and zlib.decompress(warc.EMPTY_MEMBER, 31) == b""

@@ -49,6 +49,17 @@ def test_full_texts_are_known(spark):
     assert sorted(con.sql(licenses.oracle_sql()).fetchall()) == [tuple(r) for r in got]
 
 
+def test_spellings_are_one_across_line_ends_and_as_in_sql(spark):
+    pairs = [("non commercial use only", "NON-\ncommercial use only"), ("the copyright\nowners say", "The Copyright Holders say"), ("sub-\nlicences", "sublicenses"), ("see https://x.org/a", "see http x org a"), ("authorised centre", "Authorized Center"), ("a catalogue, wilful honour", "a catalog willful honor")]
+    texts = [t for p in pairs for t in p] + ["nonsense nonce", "silicenced", "a non  sense", *ODD]
+    got = [r.digest for r in licenses.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) and len(set(got[: 2 * len(pairs)])) == len(pairs)
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert [r[1] for r in sorted(con.sql(licenses.oracle_sql()).fetchall(), key=lambda r: r[0])] == got
+
+
 def test_given_table_of_known_texts(spark):
     known = spark.createDataFrame([("House-1", "Use it as you like,  but tell us."), ("Z", None), ("Z", "!!!")], "license_id string, text string")
     got = licenses.scan_licenses(docs(spark, ["use it as you like but TELL us", licenses.KNOWN[0][1], "!!!", "", None, "x"]), known=known).orderBy("doc_id").collect()
@@ -162,6 +173,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    order = random.Random(4).sample(range(3000), 3000)
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+    got = components.components(edges).collect()
+    assert len(got) == 3000 and {r.root for r in got} == {0}
+
+
 def test_word_hashes_do_not_depend_on_place():
     def hashes(texts):
         out = []
