@@ -9,12 +9,18 @@ their country and check digits' state, phone numbers their country code and layo
 where that one is taken, and for given names that only a title shows, a name of syllables with an ending of the gender is made, of which
 there are enough for any corpus. A family name maps to one made of its script's syllables, so "Mr Smith" and "John Smith" still agree.
 
+Names are runs of capitalised words that begin with a title or a listed given name, that follow a cue ("name:", "Dear", "signed by"), or
+whose words make up a mail address of the same text. A part of a name that stands alone elsewhere in the text ("Smith said") is
+replaced too. What follows "password" and the like is a secret only if it looks like one (a digit, mixed case, quotes, or "=" without
+blanks), so that prose about passwords is left alone. North American numbers are equal with and without +1.
+
 Collision checks: a surrogate that is itself an entity of the corpus, or that two entities share, is drawn again with a
-counter. They run over the distinct entities of all texts as a distributed join; only the few entities with a counter above 0 are
+counter until none is left. They run over the distinct entities of all texts as a distributed join; only the few entities with a counter above 0 are
 needed when texts are rewritten. They are broadcast after counting, or joined to their documents where there are too many.
 
 Results for odd input: null texts stay null, with 0 entities; empty texts stay empty; texts are used whole; texts without
-entities come back unchanged, byte for byte; equal rows get equal results; an empty table gives no rows; all columns of the input are kept.
+entities come back unchanged, byte for byte; equal rows get equal results; an empty table gives no rows; all columns of the input are
+kept, but for one named as the result's own column of kinds, which gives way to it.
 """
 
 from __future__ import annotations
@@ -22,13 +28,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_ROWS, durable
+from .storage import BROADCAST_BYTES, BROADCAST_ROWS, durable, free_name
 
 #: Given names by script and gender, titles by gender, syllables of names by script, and endings of given names by
 #: script and gender. Names that are common words or parts of place names are left out of the first.
@@ -39,6 +46,7 @@ GIVEN = {
         "Brandon Benjamin Samuel Gregory Patrick Raymond Alexander Jack Dennis Jerry Tyler Aaron Henry Adam Peter Nathan Zachary Walter Kyle Harold Jeremy Ethan Keith Roger Arthur "
         "Terry Sean Gerald Albert Philip Ralph Bruce Simon Oliver Liam Noah Wolfgang Jürgen Klaus Dieter Uwe Bernd Günter Manfred Helmut Andreas Matthias Markus "
         "Tobias Florian Philipp Johannes Lukas Felix Jonas Jacques Philippe Alain Bernard Thierry Nicolas Laurent Olivier Julien Guillaume François Christophe Frédéric Étienne "
+        "Ahmed Mohammed Muhammad Omar Hassan Ibrahim Yusuf Khalid Mustafa Rahul Amit Sanjay Vijay Arjun Rohan Suresh Wei Hiroshi Takashi Kenji Kwame Chidi Tariq Mehmet Emre "
         "Alejandro Javier Sergio Manuel Ramón Andrés Álvaro Jorge Ricardo Eduardo Enrique Roberto Alberto Giovanni Giuseppe Luca Marco Paolo Matteo Piotr Krzysztof Andrzej Tomasz Lars Sven Björn"
     ).split(),
     ("latin", "f"): (
@@ -47,6 +55,7 @@ GIVEN = {
         "Helen Samantha Katherine Christine Debra Rachel Carolyn Janet Catherine Heather Diane Julie Olivia Joyce Ruth Kelly Lauren Christina Joan Evelyn Judith Megan Alice Ann Hannah "
         "Jacqueline Martha Gloria Teresa Sara Janice Julia Kathryn Monika Sabine Birgit Renate Ingrid Gisela Helga Brigitte Claudia Susanne Gabriele Katrin Heike Anja Silke Katharina "
         "Franziska Johanna Lena Nathalie Isabelle Sylvie Monique Céline Chantal Valérie Véronique Hélène Aurélie Camille Élodie Juliette Margaux Pilar Dolores "
+        "Fatima Aisha Priya Anjali Deepa Sunita Lakshmi Kavita Mei Yuki Sakura Amina Zainab Leila Ayşe Elif Natasha Ngozi Amara "
         "Cristina Beatriz Raquel Silvia Marta Paula Sofía Inés Giulia Francesca Chiara Alessandra Valentina Federica Agnieszka Katarzyna Małgorzata Ewa Astrid Sigrid Freya"
     ).split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Дмитрий Сергей Николай Андрей Михаил Александр Владимир Виктор Юрий Олег Игорь Павел Борис Максим Артём Константин Григорий Фёдор Кирилл Денис Антон".split(),
@@ -83,9 +92,12 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w.])(?P<v>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")),
     ("ssn", re.compile(r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])")),
 ]
-CAPITAL = r"[A-ZÀ-ÖØ-ÞЀ-ЯΆ-Ϋ][^\W\d_]+(?:[’'-][^\W\d_]+)*"
-NAMES = re.compile(rf"(?<!\w){CAPITAL}(?:\.? {CAPITAL}){{1,4}}")
+CAPITAL = r"(?:[OD][’'])?[A-ZÀ-ÖØ-ÞĀ-ŽЀ-ЯΆ-Ϋ][^\W\d_]+(?:[’'-][^\W\d_]+)*"
+NAMES = re.compile(rf"(?<!\w){CAPITAL}(?:\.? (?:[A-Z]\. )?{CAPITAL})+")
 TOKEN = re.compile(CAPITAL)
+ALONE = re.compile(rf"(?<!\w){CAPITAL}")
+GAP = re.compile(r" (?:[A-Z]\. )?")
+CUE = re.compile(r"(?<!\w)(?:name is|name ?:|signed by|signed ?:|dear|sincerely,|regards,|attn\.?:?|patient ?:|employee ?:|contact ?:|author ?:)\s{1,3}$", re.I)
 DIGIT = re.compile(r"[0-9]")
 #: A pattern is tried only on texts that hold one of its signs, which every match of it holds: of those without an entry, an ASCII digit.
 SIGNS = {1: ("AKIA",), 2: ("ghp_", "gho_", "sk-", "xoxb-", "xoxp-"), 4: ("@",)}
@@ -151,6 +163,66 @@ def by_class(key: bytes, label: str, text: str, classes: dict | None = None) ->
     return "".join(out)
 
 
+def secretlike(m: re.Match) -> bool:
+    """Whether what follows a secret's name is one: words of prose after it are not."""
+    value = m["v"]
+    if DIGIT.search(value) or (value != value.lower() and value != value.upper() and value[1:] != value[1:].lower()):
+        return True
+    between = m.group()[: m.start("v") - m.start()]
+    return between[-1] in "\"'" or between[-1] == "=" and between[-2] not in " \t"
+
+
+def _bare(word: str) -> str:
+    """A name without the possessive ending."""
+    return word[:-2] if word.endswith(("'s", "’s", "'S", "’S")) else word
+
+
+def _in_mail(first: str, last: str, locals_: list[set[str]]) -> bool:
+    a, b = (_ascii(x.lower()) for x in (first, last))
+    return any({a, b} <= parts or parts & {a + b, a[:1] + b, b + a} for parts in locals_)
+
+
+def _ascii(word: str) -> str:
+    return unicodedata.normalize("NFKD", word).encode("ascii", "ignore").decode()
+
+
+def _names(text: str, mails: list[str]) -> list[tuple[int, int, str, str]]:
+    """The entities that are parts of names: of full names, and of those that stand alone elsewhere in the text."""
+    found, given, family = [], {}, set()
+    locals_ = [set(re.split(r"[._\d+-]+", m.partition("@")[0].lower())) for m in mails]
+    for m in NAMES.finditer(text):
+        tokens = [(t.start() + m.start(), t.start() + m.start() + len(_bare(t.group())), _bare(t.group())) for t in TOKEN.finditer(m.group())]
+        i = 0
+        while i < len(tokens) - 1:
+            word = tokens[i][2]
+            known, titled = GIVEN_OF.get(word.lower()), word in TITLES
+            j = i + titled
+            last = j
+            while last < min(len(tokens) - 1, j + 3) and tokens[last + 1][2] not in TITLES and GAP.fullmatch(text, tokens[last][1], tokens[last + 1][0]):
+                last += 1
+            if not (titled or known and last > j or last > j and (CUE.search(text, max(0, tokens[i][0] - 20), tokens[i][0]) or locals_ and _in_mail(word, tokens[last][2], locals_))):
+                i += 1
+                continue
+            gender = TITLES[word] if titled else known[1] if known else ""
+            for n in range(j, last + 1):
+                start, stop, t = tokens[n]
+                low, own = t.lower(), GIVEN_OF.get(t.lower())
+                if n < last:
+                    given.setdefault(low, f"{gender or (own[1] if own else '')}:{low}")
+                    found.append((start, stop, "given", f"{gender or (own[1] if own else '')}:{low}"))
+                else:
+                    family.add(low)
+                    found.append((start, stop, "family", low))
+            i = last + 1
+    if found:
+        taken = {x[0] for x in found}
+        for t in ALONE.finditer(text):
+            low = _bare(t.group()).lower()
+            if t.start() not in taken and (low in family or low in given):
+                found.append((t.start(), t.start() + len(low), *(("family", low) if low in family else ("given", given[low]))))
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of every entity, in order and apart from each other."""
     found = []
@@ -159,29 +231,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if any(w in low for w in WORDS) if n == 0 else any(w in text for w in SIGNS[n]) if n in SIGNS else digit:
             for m in pattern.finditer(text):
                 a, b = m.span("v")
-                canon = canonical(kind, text[a:b])
+                canon = canonical(kind, text[a:b]) if n or secretlike(m) else None
                 if canon is not None:
                     found.append((a, b, kind, canon))
-    for m in NAMES.finditer(text):
-        tokens = [(t.start() + m.start(), t.end() + m.start(), t.group()) for t in TOKEN.finditer(m.group())]
-        i = 0
-        while i < len(tokens) - 1:
-            word = tokens[i][2]
-            known = GIVEN_OF.get(word.lower())
-            if word not in TITLES and known is None:
-                i += 1
-                continue
-            gender = TITLES[word] if word in TITLES else known[1]
-            j = i + (word in TITLES)
-            last = j
-            while last < len(tokens) - 1 and text[tokens[last][1]] == " " and tokens[last + 1][2] not in TITLES:
-                last += 1
-            if word in TITLES or last > j:
-                for n in range(j, last + 1):
-                    start, stop, t = tokens[n]
-                    own = GIVEN_OF.get(t.lower())
-                    found.append((start, stop, "given", f"{gender or (own[1] if own else '')}:{t.lower()}") if n < last else (start, stop, "family", t.lower()))
-            i = last + 1
+    found += _names(text, [x[3] for x in found if x[2] == "email"])
     out, end = [], -1
     for x in sorted(enumerate(found), key=lambda x: (x[1][0], x[0])):
         if x[1][0] >= end:
@@ -196,8 +249,12 @@ def canonical(kind: str, value: str) -> str | None:
     if kind == "card":
         return digits if 13 <= len(digits) <= 19 and (luhn(digits[:-1]) == int(digits[-1]) or len(digits) in (15, 16) and digits[0] in "3456") else None
     if kind == "phone":
+        if not 9 <= len(digits) <= 15:
+            return None
+        if len(digits) == 11 and digits[0] == "1" and (value[0] != "+" or re.match(r"\+1(?:\D|\d{10})", value)):
+            return f":{digits[1:]}"
         head = re.match(r"\+(\d{1,3})[ .(-]", value)
-        return f"{head[1] if head else ''}:{digits[len(head[1]) if head else 0 :]}" if 9 <= len(digits) <= 15 else None
+        return f"{head[1] if head else ''}:{digits[len(head[1]) if head else 0 :]}"
     if kind == "iban":
         flat = value.replace(" ", "")
         return flat if 15 <= len(flat) <= 34 and _mod97(flat) == 1 else None
@@ -248,8 +305,8 @@ def surrogate(key: bytes, kind: str, canon: str, counter: int = 0) -> str:
 def dress(kind: str, shown: str, canon: str) -> str:
     """The surrogate's canonical form written as the entity was."""
     if kind in ("card", "phone", "iban"):
-        symbols = canon.replace(":", "")
-        it = iter(symbols)
+        symbols, own = canon.replace(":", ""), [c for c in shown if c.isalnum()]
+        it = iter([*own[: len(own) - len(symbols)], *symbols])  # a country code that the canonical form leaves out stays
         return "".join(next(it) if c.isalnum() else c for c in shown)
     if kind == "email":
         return "".join(c.upper() if s.isupper() else c for s, c in zip(shown, canon, strict=True)) if len(shown) == len(canon) else canon
@@ -281,8 +338,8 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return durable(docs.select(text_col).mapInArrow(run, "kind string, canon string").distinct())
 
 
-def redrawn(found: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
-    """(kind, canon, counter) of the entities whose surrogate had to be drawn again, stored."""
+def redrawn(found: DataFrame, key: bytes, most_rounds: int = 1000) -> DataFrame:
+    """(kind, canon, counter) of the entities whose surrogate had to be drawn again, stored. It draws until all are distinct and none is an original, and raises if ``most_rounds`` don't do."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,23 +349,28 @@ def redrawn(found: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
     schema = "kind string, canon string, counter int, made string"
     drawn = durable(found.select("kind", "canon", F.lit(0).alias("counter")).mapInArrow(draw, schema))
     originals = found.select("kind", F.col("canon").alias("made"), F.lit(True).alias("taken"))
-    for _ in range(rounds):
+    counter = 0
+    while True:
         first = drawn.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("counter", "canon")).alias("keeps")).filter("n > 1").select("kind", "made", "keeps")
         bad = drawn.join(originals, ["kind", "made"], "left").join(first, ["kind", "made"], "left")
         bad = durable(bad.filter(F.col("taken").isNotNull() | (F.col("keeps.canon") != F.col("canon"))).select("kind", "canon", (F.col("counter") + 1).alias("counter")))
         if bad.isEmpty():
-            break
+            return durable(drawn.filter("counter > 0").select("kind", "canon", "counter"))
+        counter += 1
+        if counter > most_rounds:
+            raise ValueError(f"no free surrogates are left for some entities, such as a {bad.first().kind}: the corpus holds nearly all values of its format")
         drawn = durable(drawn.join(bad.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(bad.mapInArrow(draw, schema)))
-    return durable(drawn.filter("counter > 0").select("kind", "canon", "counter"))
 
 
-def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "text", id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with the rewritten text, and with pii_kinds, the kinds replaced in order."""
+def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "text", id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, kinds_col: str = "pii_kinds") -> DataFrame:
+    """``docs`` with the rewritten text, and with ``kinds_col``, the kinds replaced in order."""
     secret = key.encode()
     again = redrawn(entities(docs, text_col), secret)
-    names = docs.columns
-    few = again.count() <= broadcast_rows
-    if few:
+    names = [c for c in docs.columns if c.lower() != kinds_col.lower()]
+    docs = docs.select(*(f"`{c}`" for c in names))
+    extra, own_id = free_name(names, "_again"), free_name(names, "_id")
+    n, size = again.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canon")), F.lit(0))).first()
+    if n <= broadcast_rows and size <= BROADCAST_BYTES:
         counters = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canon): r.counter for r in again.collect()})
         rows = docs
     else:
@@ -317,20 +379,20 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 got = {(i, kind, canon) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for _, _, kind, canon in find(t)}
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), *(pa.array([x[n] for x in got], pa.string()) for n in (1, 2))], names=["_id", "kind", "canon"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), *(pa.array([x[n] for x in got], pa.string()) for n in (1, 2))], names=[own_id, "kind", "canon"])
 
-        mine = docs.select(id_col, text_col).mapInArrow(pairs, "_id long, kind string, canon string").distinct().join(again, ["kind", "canon"])
-        mine = mine.groupBy("_id").agg(F.collect_list(F.struct("kind", "canon", "counter")).alias("_again"))
-        rows = docs.join(mine, docs[id_col].eqNullSafe(mine["_id"]), "left").drop("_id")
+        mine = docs.select(id_col, text_col).mapInArrow(pairs, f"{own_id} long, kind string, canon string").distinct().join(again, ["kind", "canon"])
+        mine = mine.groupBy(own_id).agg(F.collect_list(F.struct("kind", "canon", "counter")).alias(extra))
+        rows = docs.join(mine, docs[id_col].eqNullSafe(mine[own_id]), "left").drop(own_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = counters.value if counters is not None else None
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            own = b.column(b.schema.get_field_index("_again")).to_pylist() if shared is None else [None] * b.num_rows
+            own = b.column(b.schema.get_field_index(extra)).to_pylist() if shared is None else [None] * b.num_rows
             got = [(None, []) if t is None else rewrite(secret, t, shared if shared is not None else {(x["kind"], x["canon"]): x["counter"] for x in o or []}) for t, o in zip(b.column(at).to_pylist(), own, strict=True)]
             columns = [pa.array([t for t, _ in got], pa.string()) if n == text_col else b.column(b.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([k for _, k in got], pa.list_(pa.string()))], names=[*names, "pii_kinds"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([k for _, k in got], pa.list_(pa.string()))], names=[*names, kinds_col])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["pii_kinds array<string>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{kinds_col}` array<string>"])
     return rows.mapInArrow(run, schema)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and has no more rows than this; callers pass rows of a few dozen bytes.
 BROADCAST_ROWS = 500_000
+#: Strings of any length are summed as well, and broadcast only up to this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
