@@ -245,6 +245,29 @@ def test_near_duplicates_of_repeated_ids_are_decided_by_row(spark, sf):
     assert sorted(map(repr, got)) == sorted(map(repr, [*want, (11, eleven[0])]))
 
 
+def test_pipeline_stages_on_odd_input(spark, sf):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (1, text("b")), (2, None), (None, None), (3, ""), (4, "!!!"), (5, "x" * 200_000), (None, text("a")), (6, "mail a.b@c.org"), (7, text("g") + " more"), (8, text("g"))]
+    clash = {c: F.lit(c) for c in ("passes", "n_blocks", "cut_key", "weight", "pii_kinds", "_hash", "_row", "_again", "_id", "class_id", "node", "block", "score", "predicted")}
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", "s" if i else None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash)
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    assert stages[0](spark, docs, sf).columns == docs.columns
+    kept = stages[1](spark, docs, sf)
+    ids = sorted((r.doc_id for r in kept.collect()), key=repr)
+    assert kept.columns == docs.columns and ids == sorted([1, 1, 2, None, 3, 4, 5, None, 6, 7], key=repr)
+    private = stages[2](spark, docs, sf)
+    assert private.columns == docs.columns and {r["pii_kinds"] for r in private.collect()} == {"pii_kinds"}
+    assert not private.filter("text like '%a.b@c%'").count() and private.count() == docs.count()
+    mixed_ = stages[3](spark, docs, sf)
+    assert mixed_.columns == docs.columns and {r["weight"] for r in mixed_.collect()} == {"weight"} and mixed_.exceptAll(docs).filter("doc_id = 2").isEmpty()
+    coded = {(r.doc_id, r.n_tokens) for r in stages[4](spark, docs, sf).collect()}
+    assert (2, 0) in coded and (3, 0) in coded
+    empty = docs.limit(0)
+    for stage in stages:
+        out = stage(spark, empty, sf)
+        assert out.count() == 0 and (stage is stages[-1] or out.columns == docs.columns)
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names, before = docs.columns, docs
