@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 documents. All but the last return the columns of ``documents``. Rows without a doc_id are kept by the near-duplicate stage, since
 nothing tells which of them stands for its class; of rows that repeat a doc_id with the same text one stays. Where a doc_id stands
-for different texts, each of its rows is decided by its own class.
+for different texts, each of its rows is decided by its own class. Null and empty texts, and texts without a word, are no
+near-duplicates of anything and go through every stage that the classifier lets them reach; empty tables stay empty; further
+columns, of any name, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeweave.llm import mixing, nearjoin, pieces, pii, quality
-from gaugeweave.llm.storage import durable, new_folder, sized_join
+from gaugeweave.llm.storage import durable, free_name, new_folder, sized_join
 
 #: SQL can't fit the classifier, so there is no oracle for run(); tests compare it with the stages' brute-force versions.
 ORACLE_SQL = None
@@ -37,19 +39,20 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # texts without a word are classes of their own; of several texts of one class that share its id, one stays
     mine = sized_join(classes.filter("doc_id = class_id"), repeated, "doc_id", "left_semi")
     stay = mine.groupBy("doc_id", F.col("class_node").isNull().alias("_own"), F.coalesce("class_node", "text_hash").alias("_class")).agg(F.min("text_hash").alias("_hash"))
-    several = sized_join(docs, repeated, "doc_id", "left_semi").withColumn("_hash", F.xxhash64("text"))
-    several = sized_join(several, durable(stay.select("doc_id", "_hash")), ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return once.unionByName(several.drop("_hash"))
+    digest = free_name(docs.columns, "_hash")
+    several = sized_join(docs, repeated, "doc_id", "left_semi").withColumn(digest, F.xxhash64("text"))
+    several = sized_join(several, durable(stay.select("doc_id", F.col("_hash").alias(digest))), ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
+    return once.unionByName(several.drop(digest))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows."""
-    return pii.with_surrogates(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return pii.with_surrogates(docs, kinds_col=free_name(docs.columns, "pii_kinds")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's documents as often as its weight asks; none is left out."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    return mixing.mixed_documents(docs, marks=())
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
