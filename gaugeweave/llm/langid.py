@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .storage import text_batches
 
 BITS = 15
 NGRAMS = (2, 3, 4)
@@ -152,7 +153,7 @@ def fit(labelled: DataFrame, train_docs: int = 4000, text_col: str = "text", lan
                 found = [np.unique(g[g < 1 << BITS], return_counts=True) for g in (np.concatenate([x[s:e] for x in buckets]) for s, e in zip(bounds[:-1], bounds[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(langs[first:last]), b.column(2).slice(first, last - first), pa.array([x.astype(np.uint16).tobytes() for x, _ in found]), pa.array([(n / max(n.sum(), 1)).astype(np.float32).tobytes() for _, n in found])], names=["lang", "draw", "buckets", "shares"])
 
-    found = chosen.mapInArrow(run, "lang string, draw double, buckets binary, shares binary")
+    found = text_batches(chosen).mapInArrow(run, "lang string, draw double, buckets binary, shares binary")
     got = found.orderBy("draw", "lang", "buckets", "shares").limit(2 * max(train_docs, len(languages)) + 100).collect()
     samples = [(np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.shares, np.float32), languages.index(r.lang)) for r in sorted(got, key=lambda r: (r.lang, r.buckets, r.shares)) if r.buckets]
     return train(samples, languages) if samples else None
@@ -170,7 +171,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_co
             p = np.where(known, p, 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(p), pa.array(~known | (p < (model.reject_below if model else 1.0)))], names=[id_col, "lang_pred", "score", "rejected"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, lang_pred string, score double, rejected boolean")
+    return text_batches(docs).select(id_col, text_col).mapInArrow(run, f"{id_col} long, lang_pred string, score double, rejected boolean")
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:

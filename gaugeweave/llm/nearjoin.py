@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import components
-from .storage import durable, sized_join, skew_join
+from .storage import durable, sized_join, skew_join, text_batches
 
 U = np.uint64
 
@@ -112,6 +112,7 @@ def chosen_depths(counts: np.ndarray, threshold: float, depth: int, used: int, r
 def node_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, n: int = 5) -> DataFrame:
     """(id, d1, d2, sketch, keys, rests, text_hash): digests of the set, the low byte of each MinHash value, and of each tree's string a hash of the shortest prefix and the labels after it; nulls where there is no word; text_hash is the text's."""
     used = matched_depth(threshold, trees, depth, recall)
+    text_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

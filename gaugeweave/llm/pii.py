@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_BYTES, BROADCAST_ROWS, durable, free_name
+from .storage import BROADCAST_BYTES, BROADCAST_ROWS, durable, free_name, text_batches
 
 #: Given names by script and gender, titles by gender, syllables of names by script, and endings of given names by
 #: script and gender. Names that are common words or parts of place names are left out of the first.
@@ -335,7 +335,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             seen = {(kind, canon) for t in b.column(0).to_pylist() if t for _, _, kind, canon in find(t)}
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string())], names=["kind", "canon"])
 
-    return durable(docs.select(text_col).mapInArrow(run, "kind string, canon string").distinct())
+    return durable(text_batches(docs).select(text_col).mapInArrow(run, "kind string, canon string").distinct())
 
 
 def redrawn(found: DataFrame, key: bytes, most_rounds: int = 1000) -> DataFrame:

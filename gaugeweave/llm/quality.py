@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .storage import durable, sized_join
+from .storage import durable, sized_join, text_batches
 
 _CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
@@ -131,7 +131,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=[id_col, "stats"])
 
-    return durable(docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, stats array<double>"))
+    return durable(text_batches(docs).select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, stats array<double>"))
 
 
 def fit(labelled: DataFrame, shrinkage: float = 0.3, ridge: float = 0.05, temperature: float = 1.0) -> Model:
@@ -212,4 +212,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for b in batches:
             yield b.filter(pa.array(model.score(statistics(b.column(b.schema.get_field_index(text_col)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

@@ -41,6 +41,16 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def text_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, whose texts go to Python in batches of at most ``rows`` from now on (a setting of the session; a smaller one stays): batches are
+    counted in rows, so memory for long texts is bounded by few rows alone.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return docs
+
+
 def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` must be durable: it is counted, broadcast if it has at most ``limit`` rows, and shuffled otherwise."""
     if small.count() <= limit:

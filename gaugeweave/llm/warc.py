@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import durable, new_folder, sized_join
+from .storage import durable, new_folder, sized_join, text_batches
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = MAGIC + b"\x00\x00\x00\x00\x00\x00\xff" + b"\x03\x00" + b"\x00" * 8
@@ -68,7 +68,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 4) -> str:
     """Writes (page_id, url, html) as WARC files into ``folder`` and returns it. html never shuffles while the table of repeated payloads can be broadcast."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = text_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     digest = F.sha1("payload")
     repeated = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", digest.alias("sha")).groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("first_page"))
     repeated = durable(repeated.filter("n > 1").select("sha", "first_page"))
@@ -256,7 +256,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     marked = FIELDS + ", file string, start long, nth int, loose binary, kind string"
     pieces = _pieces(spark, folder)
-    both = durable(pieces.mapInArrow(ranges, marked))
+    both = durable(text_batches(pieces).mapInArrow(ranges, marked))
     open_ = both.filter("kind is not null").select("file", "start", "nth", "kind", "loose")
     settled = durable(open_.repartition("file").sortWithinPartitions("file", "start", "nth").mapInArrow(settle, marked))
     misled = durable(settled.filter("kind = 'misled'").select("file"))
