@@ -208,14 +208,35 @@ def cell_confidence(assigned: DataFrame, least: float = 0.5) -> DataFrame:
     return out.withColumn("read_again", F.col("confidence") < least)
 
 
+def at_shares(rows: DataFrame, key: list[str], value: str, shares: dict[str, float], accuracy: int = 1000) -> DataFrame:
+    """(key, n, low, high, and a column for each share): the value at place floor(n * share), from 0, in order; exact, without a key's values in one place.
+
+    A sketch of bounded size tells a narrow range that must hold each place (its error is at most n / accuracy); values below are counted and only the distinct
+    values inside are ordered.
+    """
+    v = rows.filter(F.col(value).isNotNull())
+    near = [min(1.0, max(0.0, s + d)) for s in shares.values() for d in (-2 / accuracy, 2 / accuracy)]
+    stats = v.groupBy(*key).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.percentile_approx(value, near, accuracy).alias("_b"))
+    lo = lambda i: F.when(F.lit(near[2 * i]) > 0, F.get("_b", F.lit(2 * i))).otherwise(F.col("low"))
+    hi = lambda i: F.when(F.lit(near[2 * i + 1]) < 1, F.get("_b", F.lit(2 * i + 1))).otherwise(F.col("high"))
+    picks = F.array(*(F.struct(F.lit(name).alias("name"), lo(i).alias("lo"), hi(i).alias("hi"), F.floor(F.col("n") * s).alias("at")) for i, (name, s) in enumerate(shares.items())))
+    wanted = stats.select(*key, F.explode(picks).alias("p")).select(*key, "p.*")
+    met = v.select(*key, F.col(value).alias("_v")).groupBy(*key, "_v").agg(F.count("*").alias("_c")).join(wanted, key)
+    # values below a range are one count, those inside stay apart
+    met = met.filter(F.col("_v") <= F.col("hi")).withColumn("_in", F.when(F.col("_v") >= F.col("lo"), F.col("_v")))
+    few = met.groupBy(*key, "name", "at", "_in").agg(F.sum("_c").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*key, "name").orderBy(F.col("_in").asc_nulls_first()))
+    found = few.withColumn("_upto", before).filter((F.col("_upto") > F.col("at")) & F.col("_in").isNotNull()).groupBy(*key, "name").agg(F.min("_in").alias("v"))
+    wide = found.groupBy(*key).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+    return stats.select(*key, "n", "low", "high").join(wide, key)
+
+
 def trimmed_spread(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """Difference of the values at 0.9 n and 0.1 n in order; the range of fewer than three."""
-    s = F.array_sort(F.collect_list(value))
-    n = F.size("_s")
-    at = lambda share: F.element_at("_s", (F.floor(n * share) + 1).cast("int"))
-    return rows.groupBy(*key).agg(s.alias("_s")).select(*key, F.when(n < 3, F.element_at("_s", -1) - F.element_at("_s", 1)).otherwise(at(0.9) - at(0.1)).alias("spread"))
+    s = at_shares(rows, key, value, {"_a": 0.1, "_z": 0.9})
+    return s.select(*key, F.when(F.col("n") < 3, F.col("high") - F.col("low")).otherwise(F.col("_z") - F.col("_a")).alias("spread"))
 
 
 def upper_median(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """The value at half the count in order, not averaged."""
-    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias("_s")).select(*key, F.element_at("_s", (F.floor(F.size("_s") / 2) + 1).cast("int")).alias("upper_median"))
+    return at_shares(rows, key, value, {"upper_median": 0.5}).select(*key, "upper_median")

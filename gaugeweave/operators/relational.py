@@ -24,14 +24,14 @@ def matrix(tests: DataFrame, doc: str, term: str, value: str, order: str, terms:
 
 
 def certification(documents: DataFrame, tests: DataFrame, doc: str, term: str, passed: str) -> DataFrame:
-    """Status of each document: FAILED over PENDING over CERTIFIED, NO_DATA without tests; counts and sorted term lists."""
+    """Documents with their status: FAILED over PENDING over CERTIFIED, NO_DATA without tests; counts and sorted term lists."""
     per = tests.groupBy(doc).agg(
         F.count("*").alias("n"), F.count_if(F.col(passed)).alias("passed_count"), F.count_if(~F.col(passed)).alias("failed_count"), F.count_if(F.col(passed).isNull()).alias("pending_count"),
         F.array_sort(F.collect_list(F.when(~F.col(passed), F.col(term)))).alias("failed_terms"),
     )
     status = F.when(F.col("n").isNull(), "NO_DATA").when(F.col("failed_count") > 0, "FAILED").when(F.col("pending_count") > 0, "PENDING").otherwise("CERTIFIED")
     zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("passed_count", "failed_count", "pending_count")}
-    return documents.select(doc).join(per, doc, "left").select(doc, status.alias("status"), *zero.values(), F.coalesce("failed_terms", F.array().cast("array<string>")).alias("failed_terms"))
+    return documents.join(per, doc, "left").select(*documents.columns, status.alias("status"), *zero.values(), F.coalesce("failed_terms", F.array().cast("array<string>")).alias("failed_terms"))
 
 
 def exceedance(rows: DataFrame, key: list[str], value: str, low: Column, high: Column, serial: str) -> DataFrame:

@@ -35,7 +35,7 @@ def on_grid(points: DataFrame, domain: DataFrame, run: list[str], serial: str, x
     """
     w = Window.partitionBy(*run, serial).orderBy(x)
     first = points.groupBy(*run, serial, x).agg(F.min(y).alias("y0")).withColumns({"x1": F.lead(x).over(w), "y1": F.lead("y0").over(w)})
-    seg = first.join(F.broadcast(domain) if domain.count() <= 10_000 else domain, run)
+    seg = first.join(domain, run)  # one row a run: broadcast at run time if it is small
     step = (F.col("hi") - F.col("lo")) / (n - 1)
     at = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (n - 1)
     low = F.greatest(F.ceil((F.col(x) - F.col("lo")) / step) - 1, F.lit(0))
@@ -52,11 +52,14 @@ def master_curve(gridded: DataFrame, run: list[str]) -> DataFrame:
     return gridded.groupBy(*run, "grid_idx", "grid_x").agg(F.median("y").alias("master_y"), F.avg("y").alias("mean_y"), F.stddev_pop("y").alias("std_y"))
 
 
-def residual_grading(gridded: DataFrame, master: DataFrame, run: list[str], serial: str) -> DataFrame:
-    """Per series: largest and rms residual, both also in percent of the master's largest value, z of the former against its run, grade."""
-    scale = F.max(F.abs("master_y")).over(Window.partitionBy(*run))
-    m = master.withColumn("scale", scale).select(*run, "grid_idx", "master_y", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0).alias("scale"))
-    r = gridded.join(m, [*run, "grid_idx"]).withColumn("res", F.col("y") - F.col("master_y"))
+def residual_grading(gridded: DataFrame, run: list[str], serial: str) -> DataFrame:
+    """Per series: largest and rms residual from the run's median curve, both also in percent of its largest value, z of the former against its run, grade.
+
+    The median is a window over each grid point, so the grid is made and shuffled once.
+    """
+    at_point = gridded.withColumn("master_y", F.median("y").over(Window.partitionBy(*run, "grid_idx")))
+    scaled = at_point.withColumn("_s", F.max(F.abs("master_y")).over(Window.partitionBy(*run)))
+    r = scaled.withColumns({"scale": F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0), "res": F.col("y") - F.col("master_y")})
     per = r.groupBy(*run, serial).agg(F.max(F.abs("res")).alias("max_abs"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms"), F.max_by("grid_x", F.struct(F.abs("res"), -F.col("grid_idx"))).alias("x_at_max"), F.max("scale").alias("scale"))
     w = Window.partitionBy(*run)
     std = F.stddev_pop("max_abs").over(w)
@@ -79,13 +82,13 @@ def poly_fit(points: DataFrame, key: list[str], x: str, y: str, degree: int) ->
     """(key, coefficients highest power first, rmse, n): least squares by the normal equations of standardised x.
 
     The sums of powers are one aggregate, so groups of any size are fitted without bringing their points together; only the
-    (degree + 1)^2 sums reach the solver. Groups of fewer than degree + 1 distinct x are left out.
+    (degree + 1)^2 sums reach the solver. Groups of fewer than degree + 1 distinct x, whose sums are singular, are left out.
     """
     import numpy as np
     import pandas as pd
 
-    stats = points.filter(is_finite(F.col(x)) & is_finite(F.col(y))).groupBy(*key).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"), F.count_distinct(x).alias("_d"))
-    rows = points.filter(is_finite(F.col(x)) & is_finite(F.col(y))).join(stats.filter((F.col("_d") > degree) & (F.col("_s") > 0)), key)
+    stats = points.filter(is_finite(F.col(x)) & is_finite(F.col(y))).groupBy(*key).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    rows = points.filter(is_finite(F.col(x)) & is_finite(F.col(y))).join(stats.filter(F.col("_s") > 0), key)
     u = (F.col(x) - F.col("_m")) / F.col("_s")
     sums = [F.sum(F.pow(u, F.lit(k))).alias(f"p{k}") for k in range(2 * degree + 1)] + [F.sum(F.pow(u, F.lit(k)) * F.col(y)).alias(f"q{k}") for k in range(degree + 1)]
     total = rows.groupBy(*key, "_m", "_s").agg(*sums, F.sum(F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n"))
@@ -97,6 +100,8 @@ def poly_fit(points: DataFrame, key: list[str], x: str, y: str, degree: int) ->
             for r in pdf.itertuples(index=False):
                 a = np.array([[getattr(r, f"p{i + j}") for j in range(degree + 1)] for i in range(degree + 1)])
                 q = np.array([getattr(r, f"q{i}") for i in range(degree + 1)])
+                if np.linalg.matrix_rank(a / max(r.n, 1), tol=1e-10) <= degree:
+                    continue
                 c = np.linalg.solve(a, q)
                 rmse = float(np.sqrt(max(r.yy - 2 * c @ q + c @ a @ c, 0) / r.n))
                 poly = np.poly1d(c[::-1])(np.poly1d([1 / r[len(key) + 1], -r[len(key)] / r[len(key) + 1]]))

@@ -80,7 +80,7 @@ def certification(spark, d):
 FROM c JOIN orders ON doc = o_orderkey GROUP BY 1""")
 def certification_rollup(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("priority"))
-    c = R.certification(o, _tests(spark, d), "doc", "term", "passed").join(o, "doc")
+    c = R.certification(o, _tests(spark, d), "doc", "term", "passed")
     total = F.sum(F.col("passed_count") + F.col("failed_count") + F.col("pending_count"))
     counts = [F.count_if(F.col("status") == s).alias(n) for s, n in (("CERTIFIED", "certified"), ("FAILED", "failed"), ("PENDING", "pending"))]
     return c.groupBy("priority").agg(F.count("*").alias("analyzed_count"), *counts, F.when(total > 0, F.concat(F.sum("passed_count").cast("string"), F.lit("/"), total.cast("string"))).alias("pass_rate_text"))
@@ -161,8 +161,7 @@ def master_curve(spark, d):
 
 
 def _graded(spark, d):
-    g = _gridded(spark, d)
-    out = trending.residual_grading(g, trending.master_curve(g, ["run"]), ["run"], "serial")
+    out = trending.residual_grading(_gridded(spark, d), ["run"], "serial")
     return out.drop("x_at_max").withColumn("grade", S.grade(F.col("z"), 1.0, 1.5))
 
 
@@ -196,9 +195,16 @@ def perf_linear_fit(spark, d):
     return trending.line_fit(table(spark, d, "events"), ["event_type"], "user_id", "value")
 
 
-@query()
+@query(f"""WITH p AS ({POINTS}), s AS (SELECT run, avg(x) AS m, stddev_pop(x) AS sd FROM p GROUP BY 1), u AS (SELECT p.run, (x - m) / sd AS u, y, m, sd FROM p JOIN s USING (run)),
+t AS (SELECT run, any_value(m) AS m, any_value(sd) AS sd, count(*) AS n, sum(u) AS p1, sum(u * u) AS p2, sum(u * u * u) AS p3, sum(u * u * u * u) AS p4, sum(y) AS q0, sum(u * y) AS q1, sum(u * u * y) AS q2, sum(y * y) AS yy FROM u GROUP BY 1),
+d AS (SELECT *, n * (p2 * p4 - p3 * p3) - p1 * (p1 * p4 - p2 * p3) + p2 * (p1 * p3 - p2 * p2) AS det FROM t),
+c AS (SELECT *, (q0 * (p2 * p4 - p3 * p3) - p1 * (q1 * p4 - q2 * p3) + p2 * (q1 * p3 - q2 * p2)) / det AS c0, (n * (q1 * p4 - q2 * p3) - q0 * (p1 * p4 - p2 * p3) + p2 * (p1 * q2 - p2 * q1)) / det AS c1, (n * (p2 * q2 - p3 * q1) - p1 * (p1 * q2 - p2 * q1) + q0 * (p1 * p3 - p2 * p2)) / det AS c2 FROM d)
+SELECT run, n, round(c2 / (sd * sd) * 1e6, 4) AS quadratic, round((c1 / sd - 2 * c2 * m / (sd * sd)) * 1e3, 4) AS linear, round(c0 - c1 * m / sd + c2 * m * m / (sd * sd), 4) AS constant,
+  round(sqrt(greatest(yy - 2 * (c0 * q0 + c1 * q1 + c2 * q2) + c0 * (c0 * n + c1 * p1 + c2 * p2) + c1 * (c0 * p1 + c1 * p2 + c2 * p3) + c2 * (c0 * p2 + c1 * p3 + c2 * p4), 0) / n), 6) AS rmse FROM c""")
 def poly_fit_deg2(spark, d):
-    return trending.poly_fit(_points(spark, d), ["run"], "x", "y", 2)
+    fit = trending.poly_fit(_points(spark, d), ["run"], "x", "y", 2)
+    at = lambda i, scale: F.round(F.get("coefficients", F.lit(i)) * scale, 4)
+    return fit.select("run", "n", at(0, 1e6).alias("quadratic"), at(1, 1e3).alias("linear"), at(2, 1.0).alias("constant"), F.round("rmse", 6).alias("rmse"))
 
 
 @query("""
@@ -317,13 +323,11 @@ def requirement_parse(spark, d):
     return p.select("p_partkey", "raw", "req.type", F.col("req.min").alias("req_min"), F.col("req.max").alias("req_max"), S.passes(F.col("req"), F.lit(25.0)).alias("ok"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS iso_us FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 20 YEAR, '%Y-%m-%d') AS iso, strftime(o_orderdate + INTERVAL 20 YEAR, '%Y-%m-%d') AS iso_us, NULL::VARCHAR AS iso_old FROM orders")
 def date_normalize(spark, d):
+    late = F.add_months("o_orderdate", 240)  # the normaliser takes years from 2000 on
     o = table(spark, d, "orders")
-    shown = F.date_format("o_orderdate", "M/d/yyyy")
-    old = F.col("o_orderdate") < "2000-01-01"  # the normaliser takes years from 2000 on
-    plain = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return o.select("o_orderkey", F.when(old, plain).otherwise(S.iso_date(F.date_format("o_orderdate", "yyyy.M.d"))).alias("iso"), F.when(old, plain).otherwise(S.iso_date(shown)).alias("iso_us"))
+    return o.select("o_orderkey", S.iso_date(F.date_format(late, "yyyy.M.d")).alias("iso"), S.iso_date(F.date_format(late, "M/d/yyyy")).alias("iso_us"), S.iso_date(F.date_format(F.add_months("o_orderdate", -120), "yyyy-MM-dd")).alias("iso_old"))
 
 
 @query("SELECT s_suppkey, 'SN' || CASE WHEN length(s_suppkey::VARCHAR) < 4 THEN lpad(s_suppkey::VARCHAR, 4, '0') ELSE s_suppkey::VARCHAR END AS serial FROM supplier")
@@ -541,7 +545,13 @@ def _lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS t FROM documents),
+k AS (SELECT *, regexp_matches(t, '^=== Page [0-9]+ ===\s*$') AS is_page, regexp_matches(t, '^\s*\+[-=+]+\+\s*$') AS is_border, regexp_matches(t, '^\s*\|.*\|\s*$') AS is_row, regexp_matches(t, '^\[[^\]]+\]\s*$') AS is_section FROM l),
+p AS (SELECT *, last_value(CASE WHEN is_page THEN regexp_extract(t, '^=== Page ([0-9]+) ===', 1)::INTEGER END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS page FROM k),
+s AS (SELECT *, last_value(CASE WHEN is_section AND NOT is_page AND NOT is_border AND NOT is_row THEN regexp_extract(t, '^\[([^\]]+)\]', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM p),
+x AS (SELECT doc_id, page, section, line_no, regexp_extract(t, '^\s*(\S.*?)(?:\s{8,}|\s+\|\s+)(\S.*?)\s*$', 1) AS term, regexp_extract(t, '^\s*(\S.*?)(?:\s{8,}|\s+\|\s+)(\S.*?)\s*$', 2) AS value FROM s WHERE NOT (is_page OR is_border OR is_row OR is_section))
+SELECT doc_id, page, section, min(line_no)::INTEGER AS line_no, term, value FROM (SELECT *, first_value(section) OVER w AS s1, row_number() OVER w AS r FROM x WHERE term <> '' AND regexp_matches(term, '\p{L}') AND length(term) <= 120 AND length(value) <= 200 AND coalesce(lower(section) NOT IN ('header', 'footer'), true)
+  WINDOW w AS (PARTITION BY doc_id, term, value, page ORDER BY line_no)) WHERE r = 1 GROUP BY ALL""")
 def document_key_values(spark, d):
     return documents.key_values(_lines(spark, d))
 
@@ -554,13 +564,25 @@ def tokens_outside_tables(spark, d):
     return geometry.outside_tables(boxed(e.filter("vec_id % 2 = 0"), 0.05), boxed(e.filter("vec_id % 2 = 1"), 0.2)).select("vec_id")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT vec_id, (vec_id % 50)::INTEGER AS page, 1::BIGINT AS doc_id, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS y0, embedding[1]::DOUBLE + 0.2 AS x1, embedding[2]::DOUBLE + 0.2 AS y1 FROM embeddings),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, vec_id) AS n FROM b),
+k(page, n, kept) AS (SELECT DISTINCT page, 0::BIGINT, []::STRUCT(vec_id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] FROM o UNION ALL
+  SELECT k.page, o.n, CASE WHEN len(list_filter(kept, lambda q: greatest(least(q.x1, o.x1) - greatest(q.x0, o.x0), 0) * greatest(least(q.y1, o.y1) - greatest(q.y0, o.y0), 0)
+    / greatest((q.x1 - q.x0) * (q.y1 - q.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - greatest(least(q.x1, o.x1) - greatest(q.x0, o.x0), 0) * greatest(least(q.y1, o.y1) - greatest(q.y0, o.y0), 0), 1e-9) >= 0.55)) > 0
+    THEN kept ELSE list_append(kept, {'vec_id': o.vec_id, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}) END FROM k JOIN o ON o.page = k.page AND o.n = k.n + 1),
+l AS (SELECT page, kept FROM k QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC) = 1)
+SELECT u.q.vec_id AS vec_id, page FROM (SELECT page, unnest(kept) AS q FROM l) u""")
 def greedy_nms(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 50).cast("int").alias("page"), F.lit(1).cast("long").alias("doc_id"), F.get("embedding", F.lit(0)).cast("double").alias("x0"), F.get("embedding", F.lit(1)).cast("double").alias("y0"))
-    return geometry.suppressed(e.withColumns({"x1": F.col("x0") + 0.2, "y1": F.col("y0") + 0.2}))
+    boxes = e.withColumns({"x1": F.col("x0") + 0.2, "y1": F.col("y0") + 0.2})
+    kept = geometry.without_overlaps(boxes, [("_area", False), ("vec_id", True)], 0.55, "iou")
+    return kept.select("vec_id", "page")
 
 
 @query("""SELECT c_custkey, upper(substr(c_mktsegment, 1, 2)) AS revision, coalesce(lower(trim(c_mktsegment)) IN ('1', 'true', 'yes', 'y', 'on'), false) AS truthy, regexp_matches(c_name, '^[0-9]+') AS numeric_like FROM customer""")
 def small_normalisers(spark, d):
     c = table(spark, d, "customer")
     return c.select("c_custkey", S.revision(F.substring("c_mktsegment", 1, 2)).alias("revision"), S.truthy(F.col("c_mktsegment")).alias("truthy"), S.is_numeric_like(F.col("c_name")).alias("numeric_like"))
+
+
+from gaugeweave.plans import more  # noqa: E402, F401  registers its queries here

@@ -62,10 +62,11 @@ def metadata_json(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def registry_csv(spark: SparkSession, path: str, key: str = "serial") -> DataFrame:
-    """The last row of each serial; literal N/A stays text."""
-    rows = spark.read.option("header", "true").option("nullValue", "\u0000").csv(path).withColumn("_n", F.monotonically_increasing_id())
+    """The last row of each serial, by file name, then by place in the file; literal N/A stays text."""
+    rows = spark.read.option("header", "true").option("nullValue", "\u0000").csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))  # ids grow within a range of a file
     w = Window.partitionBy(key).orderBy(F.desc("_n"))
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_n", "_r")
+    return rows.withColumn("_n", place).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_n", "_r")
 
 
 def env_file(text: str) -> dict[str, str]:

@@ -55,7 +55,31 @@ def test_acceptance_tests(spark):
     got = {r.term: r for r in documents.acceptance_tests(lines(spark)).collect()}
     assert got["Torque"].computed_pass is True and got["Torque"].measured_note == "ok"
     assert got["Leak"].computed_pass is False and got["Note"].computed_pass is True
-    assert got["Mass"].measured_value == 7 and got["Mass"].requirement_type == "unknown"
+    assert "Mass" not in got  # a term and a value alone are no acceptance table
+    labelled = TEXT.replace("text\n+------+", "[TABLE_LABEL]\nAcceptance of mass\n+------+")
+    mass = {r.term: r for r in documents.acceptance_tests(lines(spark, labelled)).collect()}["Mass"]
+    assert mass.measured_value == 7 and mass.requirement_type == "unknown"
+
+
+def table(*rows):
+    return "\n".join(["+---+", *("| " + " | ".join(r) + " |" for r in rows), "+---+", "", ""])
+
+
+def test_column_roles_and_limits(spark):
+    text = "=== Page 1 ===\n" + table(["Tag", "Desc", "Minimum", "Max", "Results", "UOM"], ["A", "first", "1", "2", "1.5", "V"], ["B", "second", "", "2", "3", "V"], ["C", "", "4", "", "-", "V"]) + table(["Field", "Value"], ["SERIAL", "SN7"], ["rev", "B"], ["Serial", "SN8"]) + table(["Test date", "x"], ["1", "2"]) + "[TABLE_LABEL]\nCalibration\n" + table(["Channel", "Reading"], ["1", "5"]) + "=== Page 2 ===\n" + table(["Channel", "As-Found"], ["2", "6"]) + table(["Parameter", "Target", "Outcome"], ["D", "5", "PASS"])
+    rows = lines(spark, text)
+    got = {r.term: r for r in documents.acceptance_tests(rows).collect()}
+    assert set(got) == {"A", "B", "C", "D"}, sorted(got)
+    assert (got["A"].requirement_raw, got["A"].measured_value, got["A"].computed_pass, got["A"].units, got["A"].description) == ("1 - 2", 1.5, True, "V", "first")
+    assert (got["B"].requirement_raw, got["B"].computed_pass) == ("<= 2", False) and (got["C"].requirement_raw, got["C"].computed_pass) == (">= 4", None)
+    assert (got["D"].requirement_type, got["D"].result, got["D"].computed_pass) == ("max", "PASS", None)
+    at = documents.column_roles(documents.table_rows(rows)).filter("table_no = 1").first()
+    assert (at.at_term, at.at_min, at.at_max, at.at_value, at.at_status, at.at_units) == (1, 3, 4, 5, None, 6)
+    profile = documents.document_profile(rows).first()
+    assert (profile.serial, profile.revision, profile.program) == ("SN8", "B", None)
+    assert [[(c.key, c.value) for c in r.cells] for r in documents.calibrations(rows).orderBy("table_no").collect()] == [[("Channel", "1"), ("Reading", "5")], [("Channel", "2"), ("As-Found", "6")]]
+    parts = documents.extracted(rows)
+    assert set(parts) == {"documents", "acceptance_tests", "kv_pairs", "test_data", "calibration"} and parts["test_data"].count() == 10
 
 
 def test_line_values_and_cascade(spark):

@@ -110,6 +110,6 @@ def test_headers_and_pairs(spark):
     heads = spark.createDataFrame([("s", 1, "Thrust (lbf)"), ("s", 2, "Time"), ("s", 3, "thrust"), ("s", 4, "zzz")], "sheet string, position int, header string")
     assert {r.position: r.name for r in fuzzy.assign_headers(heads, ["thrust", "time"], ["sheet"]).collect()} == {3: "thrust", 2: "time"}
     roles = documents.header_roles(spark.createDataFrame([("Measured Value (psi)",), ("Units",), ("x",)], "header string")).collect()
-    assert [r.role for r in roles] == ["measured", "units", None]
+    assert [r.role for r in roles] == ["value", "units", None]
     rows = spark.createDataFrame([(1, 1, t, r, c) for t, cs in {1: [["Test", "Criteria"], ["Leak", "<= 5"], ["Mass", "1 - 2"]], 3: [["Measured", "Units"], ["4", "sccm"]]}.items() for r, c in enumerate(cs, 1)], "doc_id long, page int, table_no long, row_no int, cells array<string>")
     assert [(r.term, r.requirement_raw, r.measured_raw) for r in extraction.paired_tables(rows).collect()] == [("Leak", "<= 5", "4")]
