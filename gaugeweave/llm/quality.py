@@ -76,6 +76,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         caps = K.sums(kind[starts] == 1, bounds) if len(starts) else np.zeros(n)
         doubled = np.zeros(len(data), dtype=bool)
         doubled[1:] = (data[1:] == data[:-1]) & ~K.IN_WORD[data[1:]] & (kind[1:] > 4)
+        doubled[offs[:-1][offs[:-1] < len(data)]] = False  # a text's first sign has none before it
         hashes = K.range_hashes(data, starts, ends)
         ends_of_lines = np.flatnonzero(data == 10)
         line_starts = np.unique(np.concatenate([offs[:-1], ends_of_lines + 1]))

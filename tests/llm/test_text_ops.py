@@ -1,9 +1,10 @@
 """Licences, pieces, near join, PII, language ID, quality: odd input and brute force."""
 
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -378,7 +379,64 @@ def test_language_id(spark):
     assert langid.language_predictions(none.limit(0)).count() == 0
 
 
+def naive_grams(text):
+    """Buckets of a text's letter n-grams, by a loop over its bytes."""
+    letter = lambda b: 97 <= b <= 122 or b >= 128
+    raw, code = text.lower().encode(), []
+    for i, b in enumerate(raw):
+        if letter(b):
+            code.append(b)
+        elif i == 0 or letter(raw[i - 1]):
+            code.append(32)
+    out = []
+    for n in langid.NGRAMS:
+        for i in range(len(code) - n + 1):
+            g = n
+            for b in code[i : i + n]:
+                g = (g * 0x01000193 % 2**32) ^ b
+            out.append(g * 0x9E3779B1 % 2**32 >> (32 - langid.BITS))
+    return out
+
+
+def test_language_features_and_logits_equal_a_loop():
+    r = random.Random(6)
+    texts = [None, "", "!", "a", "Ab", "  x--y ", "né 漢字 über", *("".join(r.choices("abcé 1.\n", k=r.randint(0, 60))) for _ in range(40))]
+    model = langid.Model(["x", "y"], np.concatenate([np.random.default_rng(1).normal(size=(2, 1 << langid.BITS)), np.zeros((2, 1))], axis=1), np.array([0.1, -0.2]), 1.0, 0.0)
+    got = model.logits(pa.array(texts, pa.string()))
+    for t, z in zip(texts, got, strict=True):
+        grams = naive_grams(t or "")
+        want = model.bias + (sum(model.rows[:, g] for g in grams) / len(grams) if grams else 0)
+        assert z == pytest.approx(want)
+
+
 # quality
+def naive_statistics(text):
+    """A text's statistics by plain counting."""
+    raw = text.encode()
+    sort = lambda b: next((k for k, m in quality._CLASSES.items() if b in m), "high")
+    odds = lambda x, of, more, usual: math.log((p := (x + more * usual) / (of + more)) / max(1 - p, 1e-4))
+    words = re.findall(rb"[A-Za-z0-9_\x80-\xff]+", raw)
+    lines = raw.split(b"\n")[: None if not raw.endswith(b"\n") else -1] if raw else []
+    lines = [x + (b"\n" if i < raw.count(b"\n") else b"") for i, x in enumerate(lines)]
+    n, m, w = len(words), len(raw), quality.WORDS
+    mean = (sum(map(len, words)) + w * 5) / (n + w)
+    spread = math.sqrt(max((sum(len(x) ** 2 for x in words) + w * 34) / (n + w) - mean**2, 0))
+    low = Counter(words)
+    twice = sum(raw[i] == raw[i - 1] and sort(raw[i]) in ("stop", "bang", "comma", "bar", "odd") and chr(raw[i]) != "_" for i in range(1, m))
+    return [
+        math.log1p(m), *(odds(sum(sort(b) == k for b in raw), m, quality.BYTES, p) for k, p in quality.USUAL.items()), math.log(mean), math.log1p(spread), odds(len(low), n, w, 0.7), odds(len(set(lines)), len(lines), 2, 0.95),
+        odds(max(low.values(), default=0), n, w, 0.08), odds(sum(65 <= x[0] <= 90 for x in words), n, w, 0.08), math.log((n + w) / (len(lines) + 1)), odds(twice, m, quality.BYTES, 0.001),
+    ]
+
+
+def test_quality_statistics_equal_a_loop():
+    r = random.Random(4)
+    texts = ["", "a", "!!", "!", "Ab ab.\n\nAb", "é__ {}\n", *("".join(r.choices("abAé 1.!\n,|#", k=r.randint(0, 80))) for _ in range(60))]
+    got = quality.statistics(pa.array(texts))
+    for t, row in zip(texts, got, strict=True):
+        assert row == pytest.approx(naive_statistics(t)), repr(t)
+
+
 def test_quality(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 9)))
