@@ -1,7 +1,6 @@
-"""Scores of terms against text, and the table extractors of the value cascade.
+"""Types of values, dates, canonical metadata, and tables of criteria paired with tables of measured values.
 
-Coverage is built in; ratios of short texts come from Arrow batches. Candidates meet by document, so work grows with
-the rows of tables times the terms asked for, and both sides are what a document and a project hold.
+All built in; tables meet by document and number.
 """
 
 from __future__ import annotations
@@ -9,62 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeweave.functions import fuzzy
 from gaugeweave.functions import scalars as S
 
 
-def token_coverage(a: Column, b: Column) -> Column:
-    """Share of a's words that b has, where words of four letters or more may match by prefix."""
-    x, y = F.split(S.alnum_spaces(a), " "), F.split(S.alnum_spaces(b), " ")
-    hit = lambda w: F.exists(y, lambda v: (v == w) | (F.length(w) >= 4) & (F.length(v) >= 4) & (v.startswith(w) | w.startswith(v)))
-    return F.when((S.alnum_spaces(a) != "") & (S.alnum_spaces(b) != ""), F.size(F.filter(x, hit)) / F.size(x)).otherwise(0.0)
-
-
-def term_score(term: Column, candidate: Column) -> Column:
-    """1 for equal normalised texts, .97 if the candidate begins with the term, .90 if it contains it, else at most .99 of coverage and ratio."""
-    a, b = S.alnum_spaces(term), S.alnum_spaces(candidate)
-    cover = token_coverage(term, candidate)
-    near = F.least(F.lit(0.99), F.greatest(cover * 0.9, (fuzzy.ratio(a, b) + cover) / 2))
-    return F.when(a == b, 1.0).when(F.startswith(b, F.concat(a, F.lit(" "))), 0.97).when(F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" "))), 0.90).otherwise(near)
-
-
-def label_matches(want: Column, label: Column) -> Column:
-    """Equal labels, or the label with a number behind: 'Acceptance (2)' is 'Acceptance'."""
-    return S.normalize_text(F.regexp_replace(label, r"\s*\([0-9]+\)\s*$", "")) == S.normalize_text(want)
-
-
-def row_values(rows: DataFrame, terms: DataFrame, least: float = 0.78) -> DataFrame:
-    """(doc_id, term, value, score): of each document the table row whose first cell is most like the term, its first number behind; earliest on ties."""
-    body = rows.filter(F.size("cells") >= 2).withColumn("_head", F.element_at("cells", 1))
-    few = F.broadcast(terms.select("term").distinct()) if terms.count() <= 10_000 else terms.select("term").distinct()
-    pairs = body.withColumn("value", F.try_element_at(F.filter(F.transform(F.slice("cells", 2, 1000), lambda c: S.first_number(c)), lambda v: v.isNotNull()), F.lit(1))).filter("value is not null").join(few)
-    scored = pairs.withColumn("score", term_score(F.col("term"), F.col("_head"))).filter(F.col("score") >= least)
-    return scored.groupBy("doc_id", "term").agg(F.max_by("value", F.struct("score", -F.col("table_no"), -F.col("row_no"))).alias("value"), F.max("score").alias("score"))
-
-
-def header_values(rows: DataFrame, terms: DataFrame, least_header: float = 0.72, least_term: float = 0.78) -> DataFrame:
-    """(doc_id, term, value, score) for terms with an anchor: the cell in the column most like the anchor and the row most like the term."""
-    head = rows.filter("row_no = 1").select("doc_id", "table_no", F.posexplode("cells").alias("col", "heading"))
-    few = F.broadcast(terms.select("term", "anchor").distinct()) if terms.count() <= 10_000 else terms.select("term", "anchor").distinct()
-    columns = head.join(few).withColumn("head_score", term_score(F.col("anchor"), F.col("heading"))).filter(F.col("head_score") >= least_header)
-    body = rows.filter("row_no > 1").join(columns, ["doc_id", "table_no"]).withColumn("term_score", term_score(F.col("term"), F.element_at("cells", 1))).filter(F.col("term_score") >= least_term)
-    cells = body.withColumn("value", S.first_number(F.try_element_at("cells", F.col("col") + 1))).filter("value is not null")
-    order = F.struct((F.col("head_score") + F.col("term_score")).alias("s"), "term_score", "head_score", -F.col("table_no"), -F.col("row_no"), -F.col("col"))
-    return cells.groupBy("doc_id", "term").agg(F.max_by("value", order).alias("value"), (F.max(F.col("head_score") + F.col("term_score")) / 2).alias("score"))
-
-
-def extract_values(rows: DataFrame, lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term, value, source): by header and row where an anchor is given, then by row, then by text line; the most trusted wins."""
-    from gaugeweave.operators.documents import line_values
-
-    anchored = terms.filter("anchor is not null")
-    found = header_values(rows, anchored).select("doc_id", "term", "value", F.lit(1).alias("priority"))
-    found = found.unionByName(row_values(rows, terms).select("doc_id", "term", "value", F.lit(2).alias("priority")))
-    found = found.unionByName(line_values(lines, terms).select("doc_id", "term", "value", F.lit(3).alias("priority")))
-    best = found.groupBy("doc_id", "term").agg(F.min_by("value", "priority").alias("value"), F.min("priority").alias("priority"))
-    return best.select("doc_id", "term", "value", F.element_at(F.array(F.lit("header"), F.lit("row"), F.lit("line")), F.col("priority")).alias("source"))
-
-
 def value_type(term: Column, explicit: Column, units: Column, low: Column, high: Column) -> Column:
     """'number' or 'string': as given, else a number where units or limits are, and text for known text terms."""
     given = F.lower(F.trim(explicit))
@@ -93,22 +39,6 @@ def canonical_metadata(existing: DataFrame, extracted: DataFrame, derived: DataF
     return out.select(key, *[pick(f) for f in fields])
 
 
-def merge_pages(rows: DataFrame, least_rows: int = 8) -> DataFrame:
-    """Rows of tables that go on over pages under their leader: (doc_id, table_no, row_no, cells, leader).
-
-    A table continues the one before it in the document if it is on the next page with as many columns and an equal first row, and
-    the leader has enough rows. Runs of continuations are islands of a window; repeated headers are dropped.
-    """
-    from pyspark.sql.window import Window
-
-    t = rows.groupBy("doc_id", "table_no").agg(F.min("page").alias("page"), F.max(F.size("cells")).alias("cols"), F.count("*").alias("n"), F.min_by("cells", "row_no").alias("head"))
-    w = Window.partitionBy("doc_id").orderBy("table_no")
-    goes_on = (F.col("page") == F.lag("page").over(w) + 1) & (F.col("cols") == F.lag("cols").over(w)) & (F.col("head") == F.lag("head").over(w)) & (F.lag("n").over(w) >= least_rows)
-    t = t.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
-    t = t.withColumn("leader", F.last(F.when(~F.col("_on"), F.col("table_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(t.select("doc_id", "table_no", "leader", "_on"), ["doc_id", "table_no"]).filter(~(F.col("_on") & (F.col("row_no") == 1))).drop("_on")
-
-
 def paired_tables(rows: DataFrame, within: int = 4) -> DataFrame:
     """(doc_id, row_no, term, requirement_raw, measured_raw): a table of terms and criteria with the next one of measured values, row by row.
 

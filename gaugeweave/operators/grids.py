@@ -447,10 +447,8 @@ def is_number(text: str) -> bool:
 def mended(text: str, how: Healing, near: list[str] = ()) -> str:
     """Look-alike letters of a number read as digits; a missing point is put where both neighbours have it. The text as it was if no number results."""
     out = text.translate(str.maketrans("−–", "--")) if how.minus else text
-    if how.o_to_zero:
-        out = re.sub(r"[oO](?=[\d.]|$)|(?<=[\d.])[oO]", "0", out)
-    if how.i_to_one:
-        out = re.sub(r"[Il](?=[\d.])|(?<=[\d.])[Il]", "1", out)
+    if re.search(r"\d", out) and re.fullmatch(r"[\dOoIl.,()%+\s-]+", out):
+        out = out.translate(str.maketrans(("Oo" if how.o_to_zero else "") + ("Il" if how.i_to_one else ""), ("00" if how.o_to_zero else "") + ("11" if how.i_to_one else "")))
     out = re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", out.strip())
     return out if is_number(out) else text
 
@@ -613,3 +611,27 @@ def grid_rows(reports: DataFrame, key: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))], names=[key, "page", "table_no", "grid_no", "label", "title", "row_no", "cells"])
 
     return reports.select(key, text_col).mapInArrow(run, f"`{key}` {kind}, page int, table_no int, grid_no int, label string, title string, row_no int, cells array<string>")
+
+
+def heal_history(before: DataFrame, after: DataFrame, roles_of: Callable[[list[str]], dict[int, str]] = lambda head: {}, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, label, role, heading, raw, healed): cells that healing changed, of tables that kept their rows and columns. ``before`` and ``after`` are the same reports."""
+    kind = dict(before.dtypes)[key]
+    both = before.select(key, F.col(text_col).alias("_a")).join(after.select(key, F.col(text_col).alias("_b")), key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for i, (x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for g, h in zip(grids((x or "").split("\n")), grids((y or "").split("\n")), strict=False):
+                    if g.widths != h.widths or len(g.piped) != len(h.piped) or not g.piped or len(g.plus) < 2:
+                        continue
+                    old, new = ([slots_of(t.lines[k], t.plus) for k in t.piped] for t in (g, h))
+                    roles = roles_of(new[0])
+                    for r, s in zip(old[1:], new[1:], strict=True):
+                        for c, (p, q) in enumerate(zip(r, s, strict=True)):
+                            if p != q:
+                                for column, v in zip(out, (i, h.label or None, roles.get(c), new[0][c], p, q), strict=True):
+                                    column.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.string()) for c in out[1:])], names=[key, "label", "role", "heading", "raw", "healed"])
+
+    return both.mapInArrow(run, f"`{key}` {kind}, label string, role string, heading string, raw string, healed string")

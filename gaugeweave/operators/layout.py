@@ -793,3 +793,74 @@ def split_lines(lines: DataFrame, cuts: Callable[[np.ndarray], list[int]] = doub
 
     schema = ", ".join(f"`{n}` {t}" for n, t in lines.dtypes) + ", segment int"
     return lines.groupBy(*PAGE).applyInPandas(run, schema)
+
+
+# repeated cells
+def unique_cells(cells: list[Box], share: float = 0.05) -> list[int]:
+    """Numbers of cells, smaller first, without those whose four sides are within the share of their own size of a kept one's."""
+    kept: list[int] = []
+    for i in sorted(range(len(cells)), key=lambda i: area(cells[i])):
+        c = cells[i]
+        w, h = share * (c[2] - c[0]), share * (c[3] - c[1])
+        if not any(abs(c[0] - k[0]) < w and abs(c[2] - k[2]) < w and abs(c[1] - k[1]) < h and abs(c[3] - k[3]) < h for k in (cells[j] for j in kept)):
+            kept.append(i)
+    return kept
+
+
+def merged_in_rows(cells: list[Box], least_iou: float = 0.8, least_share: float = 0.9) -> list[int]:
+    """Numbers of cells without those that, in one row band, nearly repeat a larger one (the earlier one of equals)."""
+    tol = max(8.0, 0.5 * upper_median(c[3] - c[1] for c in cells))
+    cy = lambda i: (cells[i][1] + cells[i][3]) / 2
+    bands: list[list[int]] = []
+    for i in sorted(range(len(cells)), key=lambda i: (cy(i), cells[i][0])):
+        if bands and abs(cy(i) - sum(map(cy, bands[-1])) / len(bands[-1])) <= tol:
+            bands[-1].append(i)
+        else:
+            bands.append([i])
+    gone: set[int] = set()
+    for band in bands:
+        for n, i in enumerate(band):
+            for j in band[n + 1 :]:
+                if i in gone or j in gone:
+                    continue
+                both = shared_area(cells[i], cells[j])
+                if both and (iou(cells[i], cells[j]) >= least_iou or both >= least_share * max(1.0, min(area(cells[i]), area(cells[j])))):
+                    gone.add(j if area(cells[i]) >= area(cells[j]) else i)
+    return [i for i in range(len(cells)) if i not in gone]
+
+
+def without_repeats(cells: DataFrame) -> DataFrame:
+    """Cells of each page without repeated and nearly repeated ones."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        boxes = [tuple(b) for b in pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)]
+        first = sorted(unique_cells(boxes))
+        return pdf.iloc[[first[k] for k in merged_in_rows([boxes[i] for i in first])]]
+
+    return cells.groupBy(*PAGE).applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in cells.dtypes))
+
+
+# totals
+def page_totals(tokens: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, page, tokens, tables, cells), and a row with a null page for each document's sums."""
+    out = None
+    for name, rows in (("tokens", tokens), ("tables", tables), ("cells", cells)):
+        n = rows.select(*PAGE, F.lit(name).alias("kind"))
+        out = n if out is None else out.unionByName(n)
+    counts = [F.count_if(F.col("kind") == name).alias(name) for name in ("tokens", "tables", "cells")]
+    return out.rollup(*PAGE).agg(*counts, F.grouping("doc_id").alias("_g")).filter("_g = 0").drop("_g")
+
+
+def method_histogram(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, method, cells, tokens) by the way a cell was read; 'unknown' where that isn't said."""
+    return cells.groupBy(*keys, F.coalesce("ocr_method", F.lit("unknown")).alias("method")).agg(F.count("*").alias("cells"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+
+
+def merged_histograms(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Histograms summed over what isn't in ``keys``."""
+    return rows.groupBy(*keys, "method").agg(F.sum("cells").alias("cells"), F.sum("tokens").alias("tokens"))
+
+
+def merged_stats(rows: DataFrame, keys: list[str], stats: str = "stats") -> DataFrame:
+    """(keys, pass, name, n): nested counts (map of maps) summed by name; nulls count nothing."""
+    one = rows.filter(F.col(stats).isNotNull()).select(*keys, F.explode(stats).alias("pass", "_m")).filter("_m is not null").select(*keys, "pass", F.explode("_m").alias("name", "n"))
+    return one.groupBy(*keys, "pass", "name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -304,3 +304,59 @@ def until_successes(results: DataFrame, n: int) -> DataFrame:
     """Results (order_no, ok, ...) up to and with the n-th success: failures don't count to the limit. The running count is one window, over one run's list of files."""
     w = Window.partitionBy(F.lit(1)).orderBy("order_no").rowsBetween(Window.unboundedPreceding, -1)
     return results.withColumn("_before", F.coalesce(F.sum(F.col("ok").cast("int")).over(w), F.lit(0))).filter(F.col("_before") < n).drop("_before")
+
+
+# the index of documents
+INDEX = ("id", "program_title", "asset_type", "serial_number", "part_number", "revision", "test_date", "report_date", "document_type")
+INDEX_OPTIONAL = ("document_type_acronym", "vendor", "acceptance_test_plan_number", "excel_sqlite_rel", "file_extension")
+
+
+def index_documents(rows: DataFrame) -> DataFrame:
+    """Indexed documents in order; columns that an older index lacks are null."""
+    rest = ("metadata_rel", "artifacts_rel", "similarity_group")
+    columns = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in (*INDEX, *INDEX_OPTIONAL, *rest)]
+    return rows.select(*columns).orderBy("program_title", "asset_type", "serial_number", "metadata_rel")
+
+
+def index_groups(rows: DataFrame) -> DataFrame:
+    """Groups of like titles, the largest first."""
+    return rows.select("group_id", "title_norm", "member_count").orderBy(F.desc("member_count"), "group_id")
+
+
+def group_counts(documents: DataFrame) -> DataFrame:
+    """(group_id, title_norm, member_count) of documents (similarity_group, title_norm)."""
+    return documents.filter(F.col("similarity_group").isNotNull()).groupBy(F.col("similarity_group").alias("group_id")).agg(F.min("title_norm").alias("title_norm"), F.count("*").alias("member_count"))
+
+
+def support_files(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("rel_path")
+
+
+def files_with_metadata(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """Tracked files with their document's metadata, where it has any: joined by the file's name without suffix and the metadata's."""
+    name = F.regexp_replace(F.regexp_extract("metadata_rel", r"[^/]*$", 0), r"[_.]metadata\.json$", "")
+    d = documents.withColumn("_stem", name)
+    return files.withColumn("_stem", I.stem(F.col("rel_path"))).join(d.drop("id"), "_stem", "left").drop("_stem").orderBy("rel_path")
+
+
+def term_key_difference(schema: DataFrame, observed: DataFrame) -> DataFrame:
+    """(term, data_group, side): keys (whatever their case) that only the schema or only the observed runs have."""
+    key = lambda rows: rows.select(F.lower(F.trim("term")).alias("term"), F.lower(F.trim(F.coalesce("data_group", F.lit("")))).alias("data_group")).filter("term <> ''").distinct()
+    a, b = key(schema), key(observed)
+    return a.exceptAll(b).withColumn("side", F.lit("schema")).unionByName(b.exceptAll(a).withColumn("side", F.lit("observed")))
+
+
+def has_headers(headers: Column, wanted: list[str]) -> Column:
+    """Whether a row's headings have all wanted ones, whatever case and blanks."""
+    return F.size(F.array_except(F.array(*map(F.lit, sorted({" ".join(w.lower().split()) for w in wanted}))), F.transform(headers, lambda h: S.normalize_text(h)))) == 0
+
+
+def selected_metadata(meta: Column) -> Column:
+    """The distinct metadata files that a project's JSON selects, sorted; none if it isn't a list."""
+    chosen = F.from_json(F.get_json_object(meta, "$.selected_metadata_rel"), "array<string>")
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(chosen, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def series_by_position(series: DataFrame, term: str) -> DataFrame:
+    """A term's values in the order of its workbook's columns."""
+    return series.filter(F.col("term") == term).orderBy("position")

@@ -275,6 +275,15 @@ def term_blocks(terms: DataFrame) -> DataFrame:
     return packed.select(F.col("_terms").cast(TERM_TYPE))
 
 
+def packed(rows: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, blocks, lines) of table rows (key, table_no, row_no, cells, label) and text lines (key, line_no, text), for :func:`document_values`."""
+    t = rows.groupBy(key, "table_no").agg(F.first("label", ignorenulls=True).alias("label"), F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("r"))
+    b = t.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("table_no", "label", F.transform("r", lambda x: x.cells).alias("rows")))).alias("b"))
+    b = b.select(key, F.transform("b", lambda x: F.struct(F.lit(None).cast("string").alias("heading"), x.label.alias("label"), x.rows.alias("rows"), F.lit(None).cast("map<string,string>").alias("kv"))).alias("blocks"))
+    text = lines.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text).alias("lines"))
+    return text.join(b, key, "full_outer").select(key, "blocks", "lines")
+
+
 def _terms(rows: list[dict]) -> list[Term]:
     return [Term(**{k: v for k, v in r.items() if v is not None}) for r in rows]
 

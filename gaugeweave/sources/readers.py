@@ -15,7 +15,7 @@ from contextlib import closing
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -141,26 +141,38 @@ def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str) -> DataF
     return files.mapInPandas(run, "path string, " + schema)
 
 
-def header_rows(cells: DataFrame, key: list[str], lookahead: int = 60, least_numbers: int = 8, least_share: float = 0.6, scan_rows: int = 200) -> DataFrame:
-    """The header row of each sheet: the early row whose text cells stand over the most numbers in the rows below.
+def is_header_cell(value: Column, longest: int = 120) -> Column:
+    """Whether a cell may be a heading: a text with a letter, not a number, not too long."""
+    number = value.rlike(r"^\s*[+-]?[0-9][0-9,]*(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$")
+    return F.coalesce(~number & value.rlike(r"\p{L}") & (F.length(value) <= longest), F.lit(False))
+
+
+def header_rows(cells: DataFrame, key: list[str], lookahead: int = 60, least_numbers: int = 8, least_share: float = 0.6, scan_rows: int = 200, share_weight: float = 3.0, least_columns: int = 1) -> DataFrame:
+    """(key, header_row, score) of each sheet: the early row whose text cells stand over the most numbers in the rows below.
 
     Each cell looks ahead by a running window over its column, not a range join. Score: sum over header-like columns of the count of
-    numbers plus three times their share, plus a little for earlier rows; the first of the best wins.
+    numbers plus ``share_weight`` times their share (0 for the statistics of a sheet), plus a little for earlier rows; the first of the best wins.
     """
     number = F.col("value").rlike(r"^\s*[+-]?[0-9][0-9,]*(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$")
     ahead = Window.partitionBy(*key, "excel_col").orderBy("excel_row").rangeBetween(1, lookahead)
     looked = cells.withColumns({"_n": F.coalesce(F.sum(F.when(number, 1).otherwise(0)).over(ahead), F.lit(0)), "_all": F.count("*").over(ahead)})
     share = F.col("_n") / F.greatest("_all", F.lit(1))
-    header = ~number & F.col("value").rlike(r"\p{L}") & (F.length("value") <= 120) & (F.col("excel_row") <= scan_rows) & (F.col("_n") >= least_numbers) & (share >= least_share)
-    rows = looked.filter(header).groupBy(*key, "excel_row").agg((F.sum(F.col("_n") + 3 * share) + 0.001 * (scan_rows - F.col("excel_row"))).alias("score"))
-    return rows.groupBy(*key).agg(F.max_by("excel_row", F.struct("score", -F.col("excel_row"))).alias("header_row"))
+    header = is_header_cell(F.col("value")) & (F.col("excel_row") <= scan_rows) & (F.col("_n") >= least_numbers) & (share >= least_share)
+    rows = looked.filter(header).groupBy(*key, "excel_row").agg((F.sum(F.col("_n") + share_weight * share) + 0.001 * (scan_rows - F.col("excel_row"))).alias("score"), F.count("*").alias("_columns")).filter(F.col("_columns") >= least_columns)
+    return rows.groupBy(*key).agg(F.max_by("excel_row", F.struct("score", -F.col("excel_row"))).alias("header_row"), F.max("score").alias("score"))
+
+
+def best_sheet(headers: DataFrame, workbook: list[str]) -> DataFrame:
+    """The sheet and header row of the best score in each workbook, the smaller name on ties."""
+    w = Window.partitionBy(*workbook).orderBy(F.desc("score"), "sheet")
+    return headers.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 def sheet_values(cells: DataFrame, headers: DataFrame, key: list[str]) -> DataFrame:
     """(key, excel_row, column, value): numbers below the header row by the header's safe name, repeated names numbered."""
     from gaugeweave.functions.scalars import safe_identifier, strict_number
 
-    joined = cells.join(headers, key)
+    joined = cells.join(headers.select(*key, "header_row"), key)
     names = joined.filter(F.col("excel_row") == F.col("header_row")).select(*key, "excel_col", safe_identifier(F.col("value")).alias("base"))
     n = F.row_number().over(Window.partitionBy(*key, "base").orderBy("excel_col"))
     names = names.select(*key, "excel_col", F.when(n > 1, F.concat("base", F.lit("_"), n.cast("string"))).otherwise(F.col("base")).alias("column"))

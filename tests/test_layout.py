@@ -122,6 +122,25 @@ def test_cells():
     assert len({len(x) for x in drawn}) == 1 and drawn[1].count("|") == 3 and drawn[3].count("|") == 2 and "wide" in drawn[3] and L.ascii_replica([]) == ""
 
 
+def test_repeated_cells(spark):
+    cells = [(0, 0, 100, 40), (1, 1, 101, 41), (0, 0, 60, 40), (200, 0, 300, 40)]
+    assert L.unique_cells(cells) == [2, 0, 3] and L.unique_cells([]) == []
+    assert L.merged_in_rows([(0, 0, 100, 40), (2, 0, 98, 40), (200, 0, 300, 40), (0, 60, 9, 80)]) == [0, 2, 3] and L.merged_in_rows([]) == []
+    frame = spark.createDataFrame([(1, 1, i, *map(float, c)) for i, c in enumerate(cells)], "doc_id long, page int, cell_id int, x0 double, y0 double, x1 double, y1 double")
+    assert {r.cell_id for r in L.without_repeats(frame).collect()} == {0, 3}
+
+
+def test_totals(spark):
+    keys = "doc_id long, page int"
+    got = L.page_totals(spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1)], keys), spark.createDataFrame([(1, 2)], keys), spark.createDataFrame([], keys))
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 2, 0, 0), (1, 2, 1, 1, 0), (1, None, 3, 1, 0), (2, 1, 1, 0, 0), (2, None, 1, 0, 0)}
+    cells = spark.createDataFrame([(1, 1, "a", 2), (1, 1, None, None), (1, 2, "a", 3)], keys + ", ocr_method string, n_tokens int")
+    by_page = L.method_histogram(cells, ["doc_id", "page"])
+    assert {tuple(r) for r in L.merged_histograms(by_page, ["doc_id"]).collect()} == {(1, "a", 2, 5), (1, "unknown", 1, 0)}
+    stats = spark.createDataFrame([(1, {"p": {"x": 1, "y": None}}), (1, {"p": {"x": 2}, "q": None}), (1, None)], "doc_id long, stats map<string,map<string,int>>")
+    assert {tuple(r) for r in L.merged_stats(stats, ["doc_id"]).collect()} == {(1, "p", "x", 3), (1, "p", "y", 0)}
+
+
 def test_frames(spark):
     rows = [(1, 1, n, b.tolist(), t) for n, (boxes, texts) in enumerate(grid()) for b, t in zip(boxes, texts, strict=True)]
     tokens = spark.createDataFrame([(d, p, i, n, *b, t, 0.5) for i, (d, p, n, b, t) in enumerate(rows)], "doc_id long, page int, token_id int, line_no int, x0 double, y0 double, x1 double, y1 double, text string, conf double")

@@ -101,6 +101,23 @@ def test_plots_nodes_and_limits(spark):
     assert [r.rel_path for r in G.candidates_to_process(files).collect()] == ["c", "a"] and [r.rel_path for r in G.candidates_to_process(files, True).collect()] == ["b", "c", "a"]
 
 
+def test_index_and_sets(spark):
+    docs = frame(spark, [(1, "P", "m1_metadata.json", "g"), (2, "A", "x/f.metadata.json", "g"), (3, "A", "a", None)], "id long, program_title string, metadata_rel string, similarity_group string")
+    got = G.index_documents(docs)
+    assert [r.id for r in got.collect()] == [3, 2, 1] and got.columns[-1] == "similarity_group" and "vendor" in got.columns
+    counts = G.group_counts(docs.withColumn("title_norm", F.lit("t")))
+    assert [tuple(r) for r in G.index_groups(counts.unionByName(frame(spark, [("z", "u", 9)], "group_id string, title_norm string, member_count long"))).collect()] == [("z", "u", 9), ("g", "t", 2)]
+    files = frame(spark, [("d/m1.pdf", 1), ("f.xlsx", 2), ("none.pdf", 3)], "rel_path string, id long")
+    assert [(r.rel_path, r.program_title) for r in G.files_with_metadata(files, docs).collect()] == [("d/m1.pdf", "P"), ("f.xlsx", "A"), ("none.pdf", None)] and [r.id for r in G.support_files(files).collect()] == [1, 2, 3]
+    keys = "term string, data_group string"
+    assert {tuple(r) for r in G.term_key_difference(frame(spark, [("A", "x"), ("b", None), ("", "q")], keys), frame(spark, [("a ", "X"), ("c", "")], keys)).collect()} == {("b", "", "schema"), ("c", "", "observed")}
+    rows = frame(spark, [(1, ["Term ", "VALUE", "x"]), (2, ["term"])], "i int, h array<string>")
+    assert [r.i for r in rows.filter(G.has_headers(F.col("h"), ["term", "Value"])).collect()] == [1]
+    metas = frame(spark, [('{"selected_metadata_rel": ["b ", "a", "b", ""]}',), ('{"selected_metadata_rel": 1}',), ("x",)], "m string")
+    assert [r.x for r in metas.select(G.selected_metadata(F.col("m")).alias("x")).collect()] == [["a", "b"], [], []]
+    assert [r.v for r in G.series_by_position(frame(spark, [("t", 2, "y"), ("t", 1, "x"), ("u", 0, "z")], "term string, position int, v string"), "t").collect()] == ["x", "y"]
+
+
 def state(spark, *rows):
     return frame(spark, [(p, f"{s}:{m}", s, m, 1, seen, done, dm, need) for p, s, m, seen, done, dm, need in rows], N.SCAN)
 
