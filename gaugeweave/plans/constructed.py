@@ -304,7 +304,7 @@ def assigned_headers(spark, d):
     return fuzzy.assign_headers(heads, ["thrust", "pressure", "time"], ["sheet"]).select("sheet", "position", "name")
 
 
-@query("SELECT n_name AS run, 'Thrust' AS target, 'THRUST ' || n_nationkey AS name FROM nation WHERE false UNION ALL SELECT n_name, 'Thrust', CASE WHEN n_nationkey % 2 = 0 THEN 'thrust_' ELSE 'Thrust' END FROM nation")
+@query("SELECT n_name AS run, 'Thrust' AS target, CASE WHEN n_nationkey % 2 = 0 THEN 'thrust_' ELSE 'Thrust' END AS name FROM nation")
 def resolved_columns(spark, d):
     n = table(spark, d, "nation")
     columns = n.select(F.col("n_name").alias("run"), F.when(F.col("n_nationkey") % 2 == 0, "thrust_").otherwise("other").alias("name"))
