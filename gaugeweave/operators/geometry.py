@@ -19,9 +19,15 @@ from gaugeweave.functions.scalars import overlap_share
 PAGE = ["doc_id", "page"]
 
 
+def by_page(rows: DataFrame):
+    """Groups by page, dealt over all shuffle partitions: pages are small but costly, so partitions must not be joined by their bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *PAGE).groupBy(*PAGE)
+
+
 def _per_page(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], extra: str = "") -> DataFrame:
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + extra
-    return rows.groupBy(*PAGE).applyInPandas(f, schema)
+    return by_page(rows).applyInPandas(f, schema)
 
 
 def text_lines(tokens: DataFrame, tolerance: float = 10.0) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeweave.operators.geometry import by_page
+
 Box = tuple[float, float, float, float]
 PAGE = ["doc_id", "page"]
 NUMERIC = re.compile(r"\(?\s*[+-]?\s*(?:\d+\.?\d*|\.\d+|\.)\s*%?\s*\)?")
@@ -737,7 +739,7 @@ def page_text(tokens: DataFrame, tolerance: float = 15.0) -> DataFrame:
         return pd.DataFrame([(*pdf[PAGE].iloc[0], "\n".join(" ".join(t for _, t in sorted(line)) for line in out))], columns=[*PAGE, "text"])
 
     types = dict(tokens.dtypes)
-    return tokens.groupBy(*PAGE).applyInPandas(run, f"doc_id {types['doc_id']}, page {types['page']}, text string")
+    return by_page(tokens).applyInPandas(run, f"doc_id {types['doc_id']}, page {types['page']}, text string")
 
 
 def variant_matrix(spark, scales: list[float], modes: list[int], lines: list[str]) -> DataFrame:
@@ -750,7 +752,7 @@ def _page_frame(tokens: DataFrame, f: Callable[[pd.DataFrame], list[tuple]], sch
     """Rows of ``f`` for each page behind its keys."""
     types = dict(tokens.dtypes)
     names = [*PAGE, *(x.split()[0] for x in schema.split(", "))]
-    return tokens.groupBy(*PAGE).applyInPandas(lambda pdf: pd.DataFrame([(*pdf[PAGE].iloc[0], *r) for r in f(pdf)], columns=names), f"doc_id {types['doc_id']}, page {types['page']}, {schema}")
+    return by_page(tokens).applyInPandas(lambda pdf: pd.DataFrame([(*pdf[PAGE].iloc[0], *r) for r in f(pdf)], columns=names), f"doc_id {types['doc_id']}, page {types['page']}, {schema}")
 
 
 def _lines(pdf: pd.DataFrame) -> list[tuple[np.ndarray, list[str]]]:
@@ -792,7 +794,7 @@ def split_lines(lines: DataFrame, cuts: Callable[[np.ndarray], list[int]] = doub
         return pdf.assign(segment=segment)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in lines.dtypes) + ", segment int"
-    return lines.groupBy(*PAGE).applyInPandas(run, schema)
+    return by_page(lines).applyInPandas(run, schema)
 
 
 # repeated cells
@@ -836,7 +838,7 @@ def without_repeats(cells: DataFrame) -> DataFrame:
         first = sorted(unique_cells(boxes))
         return pdf.iloc[[first[k] for k in merged_in_rows([boxes[i] for i in first])]]
 
-    return cells.groupBy(*PAGE).applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in cells.dtypes))
+    return by_page(cells).applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in cells.dtypes))
 
 
 # totals

@@ -98,12 +98,33 @@ def _spaced(c: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " ")), F.lit(" "))
 
 
+#: A list of at most so many aliases is searched for in place; a longer one is joined. Both give the same rows.
+ALIASES_IN_PLACE = 200
+
+
+def _few(names: DataFrame) -> list[tuple[str, str]] | None:
+    """The (alias, canonical) of a short list, longest alias first, then the smaller name; None for a long one."""
+    got = names.select("alias", "canonical").limit(ALIASES_IN_PLACE + 1).collect()
+    return sorted(((r.alias, r.canonical) for r in got), key=lambda x: (-len(x[0]), x[1])) if len(got) <= ALIASES_IN_PLACE else None
+
+
+def _first_inside(blob: Column, few: list[tuple[str, str]]) -> Column:
+    """The name of the first alias that stands in a blob as whole words, else null."""
+    if not few:
+        return F.lit(None).cast("string")
+    at = F.transform(F.array(_spaced(blob)), lambda b: F.array_position(F.transform(F.lit([a for a, _ in few]), lambda a: F.contains(b, F.concat(F.lit(" "), a, F.lit(" ")))), True))[0]
+    return F.when(at > 0, F.get(F.lit([c for _, c in few]), (at - 1).cast("int")))
+
+
 def allowlist(blobs: DataFrame, allowed: DataFrame, key: str, blob: str) -> DataFrame:
     """(key, canonical): the longest alias that stands in the blob as whole words, the smaller name on ties, else 'Unknown'.
 
-    Aliases are equi-joined by their number of words: the blob's runs of as many words are looked up, so no theta join is needed.
+    Few aliases are searched for in place. Many are equi-joined by their number of words: the blob's runs of as many words are looked up, so no
+    theta join is needed.
     """
     names = allowed.select("canonical", F.trim(_spaced(F.col("alias"))).alias("alias")).filter("alias <> ''").distinct()
+    if (few := _few(names)) is not None:
+        return blobs.select(key, F.coalesce(_first_inside(F.col(blob), few), F.lit("Unknown")).alias("canonical"))
     sizes = [r[0] for r in names.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect()]
     words = F.split(F.trim(_spaced(F.col(blob))), " ")
     none = F.array().cast("array<string>")
@@ -127,6 +148,18 @@ def folder_names(docs: DataFrame, allowed: DataFrame, key: str, path: str, level
     return near.join(names, "alias").groupBy(key).agg(F.min_by("canonical", F.struct(-F.length("alias"), F.col("_at"), F.col("canonical"))).alias("canonical"))
 
 
+def _folder_in_place(path: Column, few: list[tuple[str, str]], levels: int) -> Column:
+    """As :func:`folder_names`, for a short list: null if no folder has an alias as its name."""
+    if not few:
+        return F.lit(None).cast("string")
+    folders = F.filter(F.split(F.regexp_replace(path, r"[/\\]*[^/\\]*$", ""), r"[/\\]"), lambda x: x != "")
+    near = F.transform(F.slice(F.reverse(folders), 1, levels), lambda x: S.alnum_spaces(x))
+    names = F.lit([c for _, c in few])
+    hits = F.transform(near, lambda x, i: F.struct(-F.length(x).alias("n"), i.alias("i"), F.array_position(F.lit([a for a, _ in few]), x).alias("at")))
+    best = F.array_min(F.filter(hits, lambda h: h["at"] > 0))
+    return F.when(best.isNotNull(), F.get(names, (best["at"] - 1).cast("int")))
+
+
 def strict_field(docs: DataFrame, allowed: DataFrame, key: str, texts: list[str], path: str, levels: int = 5) -> DataFrame:
     """(key, canonical): the allowed name in the first of ``texts`` (the label's value, the first pages) that has one, else in the file name, else that of a folder, else 'Unknown'.
 
@@ -135,6 +168,12 @@ def strict_field(docs: DataFrame, allowed: DataFrame, key: str, texts: list[str]
     names = allowed.select("canonical", F.regexp_replace("alias", "_", " ").alias("alias"))
     names = names.unionByName(allowed.select("canonical", F.regexp_replace("canonical", "_", " ").alias("alias"))).distinct()
     blobs = [*map(F.col, texts), F.regexp_extract(F.col(path), r"[^/\\]*$", 0)]
+    words = names.select("canonical", F.trim(_spaced(F.col("alias"))).alias("alias")).filter("alias <> ''").distinct()
+    if (few := _few(words)) is not None:
+        plain = _few(names.select("canonical", S.alnum_spaces(F.col("alias")).alias("alias")).filter("alias <> ''").distinct())
+        if plain is not None:
+            inside = [_first_inside(F.regexp_replace(b, "_", " "), few) for b in blobs]
+            return docs.select(key, F.coalesce(*inside, _folder_in_place(F.col(path), plain, levels), F.lit("Unknown")).alias("canonical"))
     found = folder_names(docs, names, key, path, levels).withColumn("_p", F.lit(len(blobs)))
     for n, b in enumerate(blobs):
         hits = allowlist(docs.select(key, F.regexp_replace(b, "_", " ").alias("_blob")), names, key, "_blob")

@@ -164,7 +164,7 @@ def names_and_codes(spark, d):
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'SN' || left(c_custkey::VARCHAR, 3) WHEN c_custkey % 4 = 1 AND c_custkey < 1000 THEN 'SN' || c_custkey WHEN c_custkey % 4 = 1 THEN 'sn 0' || c_custkey ELSE 'no key' END AS serial FROM customer""")
 def serial_keys(spark, d):
-    c = table(spark, d, "customer")
+    c = table(spark, d, "customer").repartition(spark.sparkContext.defaultParallelism)
     k = F.col("c_custkey").cast("string")
     heading = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("SN"), k)).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("sn 0"), k)).otherwise("no key")
     known = [f"SN{i}" for i in range(1000)]
@@ -196,8 +196,8 @@ def drawn_rows(spark, d):
 
 # documents
 def _reports(spark, d):
-    """A report for each order: a profile and an acceptance table, as lines."""
-    o = table(spark, d, "orders")
+    """A report for each order: a profile and an acceptance table, as lines. One small file would be one task, so rows are dealt over all cores first."""
+    o = table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism)
     k = F.col("o_orderkey").cast("string")
     bar = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     q = F.round(F.col("o_totalprice")).cast("long").cast("string")
@@ -235,12 +235,12 @@ def label_values(spark, d):
     k = F.col("o_orderkey")
     body = F.when(k % 3 == 0, F.concat(F.lit("| Vendor | "), F.col("o_orderpriority"), F.lit(" |"))).when(k % 3 == 1, F.concat(F.lit("the vendor: value "), k.cast("string"))).otherwise(F.concat(F.lit("Vendor\n value "), k.cast("string")))
     text = F.concat(F.lit("first line\nvendors are many\n"), body, F.lit("\nVendor: late"))
-    return table(spark, d, "orders").select(k.alias("doc_id"), resolvers.label_value(resolvers.lines_of(text), "Vendor").alias("found"))
+    return table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism).select(k.alias("doc_id"), resolvers.label_value(resolvers.lines_of(text), "Vendor").alias("found"))
 
 
 @query("SELECT o_orderkey AS doc_id, 'Price' AS term, round(o_totalprice)::DOUBLE AS number, 'table' AS source FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'Price', o_custkey::DOUBLE, 'line' FROM orders WHERE o_orderkey % 2 = 1")
 def document_values(spark, d):
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism)  # one small file would be one task
     even = F.col("o_orderkey") % 2 == 0
     row = F.array(F.lit("Unit price"), F.lit("x"), F.round("o_totalprice").cast("long").cast("string"))
     block = F.struct(F.lit("heading").alias("heading"), F.lit(None).cast("string").alias("label"), F.array(F.array(F.lit("Other"), F.lit("1")), row).alias("rows"), F.lit(None).cast("map<string,string>").alias("kv"))

@@ -137,3 +137,16 @@ def test_population_rules(spark):
 def test_odd_texts(spark, text):
     docs = spark.createDataFrame([(1, "p.pdf", text)], "doc_id long, path string, text string")
     assert R.text_metadata(docs, {}).first().vendor == "Unknown"
+
+
+def test_short_and_long_lists_give_the_same(spark, monkeypatch):
+    from gaugeweave.operators import metadata as M
+
+    names = [("A", "star link"), ("B", "star"), ("C", "Link Two"), ("D", "link_two"), ("A", "valve"), ("E", "Valve"), ("F", "")]
+    table = spark.createDataFrame(names, "canonical string, alias string")
+    docs = spark.createDataFrame([(1, "/a/Valve/Star Link/x.pdf", "the Star-Link here"), (2, "/star/valve/x.pdf", None), (3, "/x/link two/starry.pdf", "starlink"), (4, "my_star.pdf", ""), (5, None, "Valve of link two"), (6, "/valve/pumps/star/x", "none")], "doc_id int, path string, text string")
+    got = []
+    for most in (200, 2):
+        monkeypatch.setattr(M, "ALIASES_IN_PLACE", most)
+        got.append([sorted(map(tuple, M.allowlist(docs, table, "doc_id", "text").collect())), sorted(map(tuple, M.strict_field(docs, table, "doc_id", ["text"], "path").collect()))])
+    assert got[0] == got[1] and dict(got[0][1]) == {1: "A", 2: "A", 3: "C", 4: "B", 5: "C", 6: "A"}
