@@ -93,13 +93,13 @@ def return_type(smart: Column, existing: Column, hint: Column) -> Column:
     return F.when(s.isin("number", "num", "value"), "number").when(s.isin("date", "time", "title"), "string").when(e.isin("number", "string"), e).otherwise("number")
 
 
-def pointer_token(payload: Column, prefix: str = "EIDAT_PTR:") -> Column:
-    """A payload struct as base64url JSON behind the token's fixed prefix."""
+def pointer_token(payload: Column, prefix: str = "PTR:") -> Column:
+    """A payload struct as base64url JSON behind a prefix, which names the system that made it."""
     plain = F.base64(F.encode(F.to_json(payload), "UTF-8"))
     return F.concat(F.lit(prefix), F.translate(F.regexp_replace(plain, r"\s", ""), "+/", "-_"))
 
 
-def pointer_payload(token: Column, prefix: str = "EIDAT_PTR:") -> Column:
+def pointer_payload(token: Column, prefix: str = "PTR:") -> Column:
     """The JSON of a token; null if it isn't one."""
     body = F.translate(F.substring(token, len(prefix) + 1, 1 << 30), "-_", "+/")
     return F.when(F.startswith(token, F.lit(prefix)), F.decode(F.unbase64(body), "UTF-8"))

@@ -406,7 +406,7 @@ def folder_certificates(spark, d):
     return registry.folder_certificates(docs, registry.certificates(docs, tests)).select("folder", "status")
 
 
-@query("SELECT doc_id, sha1(text) AS sha1, 'EIDAT_PTR:' || replace(replace(to_base64(('{\"id\":' || doc_id || '}')::BLOB), '+', '-'), '/', '_') AS token FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha1(text) AS sha1, 'PTR:' || replace(replace(to_base64(('{\"id\":' || doc_id || '}')::BLOB), '+', '-'), '/', '_') AS token FROM documents WHERE text IS NOT NULL")
 def digests_and_tokens(spark, d):
     x = table(spark, d, "documents").filter("text is not null")
     return x.select("doc_id", I.file_sha1(F.encode("text", "UTF-8")).alias("sha1"), I.pointer_token(F.struct(F.col("doc_id").alias("id"))).alias("token"))

@@ -32,7 +32,7 @@ def test_names_and_codes(spark):
     assert [r[0] for r in rows.select(I.return_type(F.col("s"), F.col("e"), F.col("h"))).collect()] == ["number", "string", "string", "string", "number"]
     payload = {"a": "x?>~", "b": 1}
     token = spark.range(1).select(I.pointer_token(F.struct(F.lit("x?>~").alias("a"), F.lit(1).alias("b"))).alias("t")).withColumn("p", I.pointer_payload(F.col("t"))).first()
-    assert token.t == "EIDAT_PTR:" + base64.urlsafe_b64encode(json.dumps(payload, separators=(",", ":")).encode()).decode() and json.loads(token.p) == payload
+    assert token.t == "PTR:" + base64.urlsafe_b64encode(json.dumps(payload, separators=(",", ":")).encode()).decode() and json.loads(token.p) == payload
     assert one(spark, [b"abc"], I.file_sha1, "binary") == [hashlib.sha1(b"abc").hexdigest()]
     assert one(spark, [1_700_000_000_123_456_789, 0, None], I.shown_time, "long") == ["2023-11-14 22:13:20", "", ""]
     assert one(spark, [" 1.5 ", "1e3", "1,000", "x", "", None], I.plain_number) == [1.5, 1000.0, None, None, None, None]
