@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, licenses, mixing, nearjoin, pieces, pii, quality, topk, warc
+from . import alignment, ann, bpe, langid, licenses, mixing, nearjoin, pieces, pii, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_temperature_mixing": op9_temperature_mixing,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op11_alignment": op11_alignment,
     "op12_bpe": op12_bpe,
 }
 
