@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, bpe, langid, licenses, mixing, nearjoin, pieces, pii, quality, topk, warc
+from . import alignment, ann, bpe, divergence, langid, licenses, mixing, nearjoin, pieces, pii, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
@@ -72,10 +76,12 @@ QUERIES = {
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_alignment": op11_alignment,
     "op12_bpe": op12_bpe,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE = {
     "op1_license_scan": licenses.oracle_sql(),
     "op6_exact_top_k": topk.oracle_sql(),
     "op9_temperature_mixing": mixing.oracle_sql(),
+    "op13_divergence": divergence.oracle_sql(),
 }
