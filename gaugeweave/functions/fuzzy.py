@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,85 +23,6 @@ def ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-NAMES_AT_ONCE = 4096
-
-
-def _best(text: str, names: list[str], lengths: list[int], least: float) -> tuple[str, float] | None:
-    """The name most like a text, the smaller on ties; only names whose length and letters allow ``least`` are matched. ``names`` are sorted by length."""
-    low, best = text.lower(), None
-    if not low:
-        return None
-    # 2 * min / sum >= least bounds the length of a name on both sides
-    a, b = bisect_left(lengths, math.ceil(least * len(low) / (2 - least) - 1e-9)), bisect_right(lengths, math.floor((2 - least) * len(low) / least + 1e-9)) if least > 0 else len(names)
-    for name in names[a:b]:
-        m = SequenceMatcher(None, low, name.lower())
-        floor = max(least, best[0] if best else 0.0)
-        score = 1.0 if low == name.lower() else m.ratio() if m.quick_ratio() >= floor else 0.0
-        if score >= least and (best is None or (score, best[1]) > (best[0], name)):
-            best = (score, name)
-    return (best[1], best[0]) if best else None
-
-
-def best_match(left: DataFrame, candidates: DataFrame, left_col: str, candidate_col: str, least: float = 0.78) -> DataFrame:
-    """Each distinct left value with its best candidate at or above ``least``; ties go to the smaller text.
-
-    Candidates are a stated list: they travel in blocks of ``NAMES_AT_ONCE``, each met once by each distinct value, so a list of any length works.
-    """
-    names = candidates.select(F.col(candidate_col).alias("_c")).filter("_c is not null").distinct()
-    blocks = max(1, -(-names.count() // NAMES_AT_ONCE))
-    packed = names.groupBy(F.pmod(F.xxhash64("_c"), F.lit(blocks))).agg(F.collect_list("_c").alias("_names")).select("_names")
-    pairs = left.select(left_col).filter(F.col(left_col).isNotNull()).distinct().join(F.broadcast(packed))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for b in batches:
-            out = []
-            for i, (text, names_) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                key = (len(names_), names_[0])
-                if key not in known:
-                    ordered = sorted(names_, key=lambda n: (len(n), n))
-                    known[key] = ordered, [len(n) for n in ordered]
-                if hit := _best(text, *known[key], least):
-                    out.append((i, *hit))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.float64())], names=[left_col, "match", "score"])
-
-    found = pairs.mapInArrow(run, f"`{left_col}` string, match string, score double")
-    return found.groupBy(left_col).agg(F.min_by("match", F.struct(-F.col("score"), F.col("match"))).alias("match"), F.max("score").alias("score"))
-
-
-def group_similar(rows: DataFrame, key_col: str, title_col: str, least: float = 0.86) -> DataFrame:
-    """Greedy groups of like titles in key order, one sequential pass over the distinct titles: (key, title, group_id).
-
-    The first group whose first title is alike takes a title; blank titles form the group 'unknown'. Order decides the result, so
-    distinct titles are handled by one task; rows only join its answer.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[str] = []
-        out = []
-        for title in pdf.sort_values("first")["norm"]:
-            m = SequenceMatcher(None, "", title)
-            hit = None
-            for h in heads:  # upper bounds first: most heads need no matching
-                if 2 * min(len(h), len(title)) < least * (len(h) + len(title)):
-                    continue
-                m.set_seq1(h)
-                if h == title or m.quick_ratio() >= least and _ratio(title, h) >= least:
-                    hit = h
-                    break
-            if hit is None:
-                heads.append(title)
-                hit = title
-            out.append((title, hit))
-        return pd.DataFrame(out, columns=["norm", "group_id"])
-
-    norm = F.trim(F.regexp_replace(F.lower(F.col(title_col)), "[^a-z0-9]+", " "))
-    rows = rows.withColumn("norm", F.when(F.coalesce(norm, F.lit("")) != "", norm))
-    titles = rows.filter("norm is not null").groupBy("norm").agg(F.min(key_col).alias("first"))
-    groups = titles.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "norm string, group_id string")
-    return rows.join(groups, "norm", "left").select(key_col, title_col, F.coalesce("group_id", F.lit("unknown")).alias("group_id"))
-
-
 def assign_headers(headers: DataFrame, wanted: list[str], key: list[str], least: float = 0.72) -> DataFrame:
     """(key, position, header, name): each sheet's headers matched one to one with wanted names, best scores first.
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeweave.functions import fuzzy
 from gaugeweave.functions import scalars as S
-from gaugeweave.operators import documents, extraction, geometry, incremental, metadata, projects, trending
+from gaugeweave.operators import documents, extraction, geometry, incremental, likeness, metadata, projects, trending
 from gaugeweave.operators import relational as R
 from gaugeweave.session import table
 
@@ -419,14 +418,34 @@ def spatial_overlap(spark, d):
     return R.best_cell(found, ["vec_id"], "cell").select("vec_id", "cell")
 
 
-@query()
+#: (a, b, score) of pairs(a, b, x, y): the longest common substring, the earliest in x and then in y, then the same left and right of it.
+RATIO = """part AS (SELECT a, b, x, y, 0 AS m, 0 AS depth FROM pairs UNION ALL
+    SELECT a, b, unnest([left(x, i - 1), substr(x, i + l)]), unnest([left(y, j - 1), substr(y, j + l)]), unnest([l, 0]), depth + 1 FROM
+        (SELECT *, strpos(y, substr(x, i, l)) AS j FROM
+            (SELECT *, best.l AS l, -best.i AS i FROM
+                (SELECT *, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2), lambda l: CASE WHEN strpos(y, substr(x, i, l)) > 0 THEN {'l': l, 'i': -i} END)))) AS best FROM part WHERE x <> '' AND y <> '')
+             WHERE best IS NOT NULL))),
+scores AS (SELECT part.a, part.b, 2.0 * sum(m) / any_value(length(p.x) + length(p.y)) AS score FROM part JOIN pairs p ON p.a = part.a AND p.b = part.b GROUP BY 1, 2)"""
+
+
+@query(rf"""WITH RECURSIVE n AS (SELECT p_partkey, p_name, nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), '') AS norm FROM part),
+t AS (SELECT norm, row_number() OVER (ORDER BY min(p_partkey)) AS k FROM n WHERE norm IS NOT NULL GROUP BY norm),
+pairs AS (SELECT l.k AS a, e.k AS b, l.norm AS x, e.norm AS y FROM t l JOIN t e ON e.k < l.k),
+{RATIO},
+near AS (SELECT t.k, coalesce(list(b) FILTER (b IS NOT NULL), []) AS earlier FROM t LEFT JOIN (SELECT * FROM scores WHERE score >= 0.86) s ON s.a = t.k GROUP BY t.k),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS heads, 0::BIGINT AS head UNION ALL
+    SELECT near.k, CASE WHEN hit IS NULL THEN list_append(heads, near.k) ELSE heads END, coalesce(hit, near.k) FROM
+        (SELECT near.k, heads, list_min(list_intersect(earlier, heads)) AS hit FROM walk JOIN near ON near.k = walk.k + 1) near)
+SELECT p_partkey, p_name, coalesce(h.norm, 'unknown') AS group_id FROM n LEFT JOIN t USING (norm) LEFT JOIN walk USING (k) LEFT JOIN t h ON h.k = walk.head""")
 def similarity_groups(spark, d):
-    return fuzzy.group_similar(table(spark, d, "part"), "p_partkey", "p_name")
+    return likeness.group_similar(table(spark, d, "part"), "p_partkey", "p_name")
 
 
-@query()
+@query(rf"""WITH RECURSIVE pairs AS (SELECT DISTINCT c_mktsegment AS a, r_name AS b, lower(c_mktsegment) AS x, lower(r_name) AS y FROM customer, region),
+{RATIO}
+SELECT a AS c_mktsegment, b AS match, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM scores WHERE score >= 0.3) WHERE r = 1""")
 def fuzzy_best_match(spark, d):
-    return fuzzy.best_match(table(spark, d, "customer"), table(spark, d, "region"), "c_mktsegment", "r_name", 0.3)
+    return likeness.best_match(table(spark, d, "customer"), table(spark, d, "region"), "c_mktsegment", "r_name", 0.3)
 
 
 @query("SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY 1")

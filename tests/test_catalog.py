@@ -46,17 +46,6 @@ def test_fuzzy_queries_equal_brute_force(spark, sf):
     assert {r.c_mktsegment: (r.match, r.score) for r in catalog.QUERIES["fuzzy_best_match"](spark, sf).collect()} == want
 
 
-def test_best_match_of_many_names(spark, monkeypatch):
-    from gaugeweave.functions import fuzzy
-
-    names = spark.createDataFrame([(f"name {i:05d}",) for i in range(300)] + [(None,)], "n string")
-    left = spark.createDataFrame([("NAME 00007",), ("name 0029",), ("zz",), ("",), (None,)], "t string")
-    want = {"NAME 00007": "name 00007", "name 0029": "name 00029"}
-    for at_once in (4096, 7):
-        monkeypatch.setattr(fuzzy, "NAMES_AT_ONCE", at_once)
-        assert {r.t: r.match for r in fuzzy.best_match(left, names, "t", "n").collect()} == want
-
-
 def test_places_in_order_equal_sorting(spark):
     import random
 

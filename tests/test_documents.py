@@ -1,8 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeweave.functions import fuzzy
-from gaugeweave.operators import documents, incremental, metadata
+from gaugeweave.operators import documents, incremental, likeness, metadata
 from gaugeweave.sources import readers
 
 TEXT = """=== Page 1 ===
@@ -146,7 +145,7 @@ def test_strict_fields(spark):
 
 def test_similar_titles(spark):
     rows = spark.createDataFrame([(1, "Valve Report A"), (2, "valve report b"), (3, "Pump"), (4, " "), (5, None)], "k int, t string")
-    got = {r.k: r.group_id for r in fuzzy.group_similar(rows, "k", "t").collect()}
+    got = {r.k: r.group_id for r in likeness.group_similar(rows, "k", "t").collect()}
     assert got[1] == got[2] != got[3] and got[4] == got[5] == "unknown"
 
 
