@@ -1,7 +1,8 @@
 """Values of asked terms in documents: scores of candidates, extraction from tables and lines, resolution of keys.
 
-A document's tables and lines are one row, since anchors and first hits depend on their order; a task looks for all terms in one
-document at a time, in Arrow batches. Terms are a stated list: they travel in blocks of ``TERMS_AT_ONCE``, so any number of them works.
+A document's tables and lines are one row, since anchors and first hits depend on their order; a task looks for a document's terms
+in Arrow batches. Up to ``FEW_TERMS`` terms meet every document; of more, a document meets those that an index
+(:mod:`gaugeweave.operators.termindex`) finds in it, in blocks of about ``TERMS_AT_ONCE``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeweave.functions import scalars as S
+from gaugeweave.operators import termindex
+from gaugeweave.shared import durable, sized_join
 
+FEW_TERMS = 64
 TERMS_AT_ONCE = 4096
 #: A number with or without thousands commas, whole: 1500 is not read as 150.
 NUMBER = re.compile(r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?")
@@ -263,16 +267,31 @@ def resolved_key(keys: list[str], t: Term) -> str | None:
 
 
 # many documents
-TERM_TYPE = "array<struct<term:string,label:string,heading:string,after:string,table_label:string,kind:string,fuzzy:boolean>>"
+FIELDS = ("term", "label", "heading", "after", "table_label", "kind", "fuzzy")
 
 
-def term_blocks(terms: DataFrame) -> DataFrame:
-    """(_terms) of terms (term and any further fields of :class:`Term`), in blocks of bounded size."""
+def numbered_terms(terms: DataFrame) -> DataFrame:
+    """(id, term, label, by_words, t) of terms (term and any further fields of :class:`Term`), durable."""
     have = set(terms.columns)
-    fields = [(F.col(c) if c in have else F.lit(None)).cast("boolean" if c == "fuzzy" else "string").alias(c) for c in ("term", "label", "heading", "after", "table_label", "kind", "fuzzy")]
-    n = max(1, -(-terms.count() // TERMS_AT_ONCE))
-    packed = terms.select(F.struct(*fields).alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(n))).agg(F.collect_list("t").alias("_terms"))
-    return packed.select(F.col("_terms").cast(TERM_TYPE))
+    fields = [(F.col(c) if c in have else F.lit(None)).cast("boolean" if c == "fuzzy" else "string").alias(c) for c in FIELDS]
+    t = terms.select(F.struct(*fields).alias("t"))
+    return durable(t.select(F.monotonically_increasing_id().alias("id"), "t.term", "t.label", F.coalesce("t.fuzzy", F.lit(False)).alias("by_words"), "t"))
+
+
+def asked_of(docs: DataFrame, terms: DataFrame, key: str, raw: bool) -> DataFrame:
+    """(key, blocks, lines, _terms): documents with the terms that may have a value in them."""
+    known = numbered_terms(terms)
+    docs = docs.select(key, "blocks", "lines")
+    n = known.count()
+    if n <= FEW_TERMS:
+        return docs.join(F.broadcast(known.agg(F.collect_list("t").alias("_terms"))))
+    first = F.flatten(F.transform(F.coalesce("blocks", F.array().cast(docs.schema["blocks"].dataType)), lambda b: F.concat(F.coalesce(F.transform(b["rows"], lambda r: F.get(r, F.lit(0))), F.array().cast("array<string>")), F.coalesce(F.map_keys(b["kv"]), F.array().cast("array<string>")))))
+    cells = docs.select(F.col(key).alias("doc"), F.explode(first).alias("text"))
+    lines = docs.select(F.col(key).alias("doc"), F.explode("lines").alias("text"))
+    by_words = F.col("by_words") | (F.lit(raw) & (F.coalesce(F.col("t.heading"), F.lit("")) != ""))
+    found = termindex.candidates(cells, lines, durable(known.withColumn("by_words", by_words).drop("t")), 2 * Term.least - 1)
+    of = sized_join(durable(found), known.select("id", "t"), "id").groupBy("doc", F.pmod(F.xxhash64("id"), F.lit(-(-n // TERMS_AT_ONCE))).alias("block")).agg(F.collect_list("t").alias("_terms"))
+    return sized_join(docs, durable(of.select(F.col("doc").alias(key), "_terms")), key)
 
 
 def packed(rows: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -291,10 +310,10 @@ def _terms(rows: list[dict]) -> list[Term]:
 def document_values(docs: DataFrame, terms: DataFrame, key: str = "doc_id", raw: bool = False) -> DataFrame:
     """(key, term, value, number, source, where) of documents (key, blocks, lines): from tables before lines; ``raw`` tries the header row of tables first.
 
-    ``blocks`` is array<struct<heading, label, rows, kv>>; null blocks or lines hold nothing. Each block of terms meets each document once.
+    ``blocks`` is array<struct<heading, label, rows, kv>>; null blocks or lines hold nothing. With more than ``FEW_TERMS`` terms, documents
+    without a key have no values.
     """
     kind = dict(docs.dtypes)[key]
-    blocks = term_blocks(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,8 +337,7 @@ def document_values(docs: DataFrame, terms: DataFrame, key: str = "doc_id", raw:
             columns = [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.float64() if n == 2 else pa.string()) for n, c in enumerate(out))]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "term", "value", "number", "source", "where"])
 
-    asked = docs.select(key, "blocks", "lines").join(F.broadcast(blocks))  # a stated list in blocks, not a join of rows
-    return asked.mapInArrow(run, f"`{key}` {kind}, term string, value string, number double, source string, where string")
+    return asked_of(docs, terms, key, raw).mapInArrow(run, f"`{key}` {kind}, term string, value string, number double, source string, where string")
 
 
 def cascade(found: list[DataFrame], keys: tuple[str, ...] = ("doc_id", "term")) -> DataFrame:
@@ -332,26 +350,60 @@ def cascade(found: list[DataFrame], keys: tuple[str, ...] = ("doc_id", "term"))
 
 
 def acceptance_keys(terms: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, resolved): each document's known key for each asked term. ``keys`` is (key, name); a document's names come together, which are few."""
-    kind = dict(keys.dtypes)[key]
-    packed = keys.groupBy(key).agg(F.collect_set("name").alias("names")).join(F.broadcast(term_blocks(terms)))
+    """(key, term, resolved): each document's known key for each asked term. ``keys`` is (key, name).
+
+    Names that may meet a term are found by the index, once for each distinct name; the choice of :func:`resolved_key` is an aggregate over their scores.
+    """
+    known = numbered_terms(terms)
+    # of a document's names with one key the last counts
+    names = durable(keys.select(F.col(key).alias("_doc"), F.col("name")).filter("name is not null").withColumn("_k", termindex.key_of(F.col("name"))).filter("_k <> ''").groupBy("_doc", "_k").agg(F.max("name").alias("name")))
+    texts = durable(names.select(F.col("name").alias("doc"), F.col("name").alias("text")).distinct())
+    pairs = durable(sized_join(termindex.candidates(texts, None, durable(known.drop("t")), 2 * Term.least - 1), known.select("id", "t"), "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, t.term, k) for i, (names, asked) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for t in _terms(asked) if (k := resolved_key(sorted(names), t))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], names=[key, "term", "resolved"])
-
-    return packed.mapInArrow(run, f"`{key}` {kind}, term string, resolved string")
+            at, rank = [], []
+            for i, (name, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if r := key_rank(name, _terms([asked])[0]):
+                    at.append(i)
+                    rank.append(r)
+            keep = pa.array(at, pa.int64())
+            terms_ = b.column(1).field("term").take(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(2).take(keep), terms_, *(pa.array([r[n] for r in rank], pa.float64()) for n in range(3))], names=["name", "id", "term", "first", "score", "size"])
+
+    scored = durable(pairs.select(F.col("doc").alias("name"), "t", "id").mapInArrow(run, "name string, id long, term string, first double, score double, size double"))
+    found = sized_join(names, scored, "name") if scored.count() <= 100_000 else names.join(scored, "name")
+    last = F.max_by("name", F.struct("first", "score", "size", "name"))
+    return found.groupBy("_doc", "id").agg(F.first("term").alias("term"), last.alias("resolved")).select(F.col("_doc").alias(key), "term", "resolved")
+
+
+def key_rank(name: str, t: Term) -> tuple[float, float, float] | None:
+    """How :func:`resolved_key` ranks a known key: an equal one first (term before label), else by score and length; null if it isn't eligible."""
+    k = key_of(name)
+    term, label = key_of(t.term), key_of(t.label)
+    if k in (term, label):
+        return (2.0 if k == term else 1.0), 0.0, 0.0
+    if not t.fuzzy:
+        return (0.0, candidate_score(t.term, t.label, name, False, t.least), float(len(k))) if any(q and (k in q or q in k) for q in (term, label)) else None
+    score = candidate_score(t.term, t.label, name, True, t.least)
+    return (0.0, score, float(len(k))) if score >= t.least else None
 
 
-def serial_key(header: Column, serials: list[str]) -> Column:
-    """The known serial of a workbook heading: equal, in canonical form, else the longest that is part of it; the heading itself if none is."""
-    text = S.strip(F.coalesce(header, F.lit("")))
-    known = F.array(*map(F.lit, sorted(serials, key=lambda s: (-len(s), s)))) if serials else F.array().cast("array<string>")
+def serial_keys(headings: DataFrame, serials: DataFrame, heading_col: str = "header", out: str = "serial") -> DataFrame:
+    """``headings`` with the known serial (``serials``: serial) of each: equal, in canonical form, else the longest that is part of it; the heading itself if none is."""
+    text = S.strip(F.coalesce(F.col(heading_col), F.lit("")))
     number = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)\bSN\s*0*(\d{2,})\b", 1), F.lit("")), F.when(F.contains(F.lower(text), F.lit("sn")), F.nullif(F.regexp_extract(text, r"\b(\d{3,})\b", 1), F.lit(""))))
     canonical = F.coalesce(F.concat(F.lit("SN"), F.regexp_replace(number, "^0+(?=.)", "")), text)
-    part = F.try_element_at(F.filter(known, lambda s: (s != "") & F.contains(F.lower(text), F.lower(s))), F.lit(1))
-    return F.when(F.array_contains(known, text), text).when(F.array_contains(known, canonical), canonical).otherwise(F.coalesce(part, text))
+    known = durable(serials.select("serial").filter("serial <> ''").distinct())
+    texts = durable(headings.select(text.alias("_text"), canonical.alias("_canonical")).distinct())
+    equal = sized_join(texts, known.select(F.col("serial").alias("_text"), F.col("serial").alias("_equal")), "_text", "left")
+    formed = durable(sized_join(equal, known.select(F.col("serial").alias("_canonical"), F.col("serial").alias("_formed")), "_canonical", "left"))
+    rest = durable(formed.filter("_equal is null and _formed is null").select(F.col("_text").alias("doc"), F.col("_text").alias("text")))
+    asked = durable(known.select(F.monotonically_increasing_id().alias("id"), F.col("serial").alias("term"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("by_words")))
+    held = sized_join(termindex.candidates(rest, None, asked), asked.select("id", "term"), "id").filter(F.contains(F.lower("doc"), F.lower("term")))
+    part = durable(held.groupBy(F.col("doc").alias("_text")).agg(F.min_by("term", F.struct(-F.char_length("term"), F.col("term"))).alias("_part")))
+    found = durable(sized_join(formed, part, "_text", "left").select("_text", F.coalesce("_equal", "_formed", "_part", "_text").alias("_found")))
+    return sized_join(headings.withColumn("_text", text), found, "_text", "left").withColumn(out, F.col("_found")).drop("_text", "_found")
 
 
 def most_instances(tests: DataFrame) -> DataFrame:

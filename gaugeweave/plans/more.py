@@ -167,8 +167,8 @@ def serial_keys(spark, d):
     c = table(spark, d, "customer").repartition(spark.sparkContext.defaultParallelism)
     k = F.col("c_custkey").cast("string")
     heading = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("SN"), k)).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("sn 0"), k)).otherwise("no key")
-    known = [f"SN{i}" for i in range(1000)]
-    return c.select("c_custkey", values.serial_key(heading, known).alias("serial"))
+    known = spark.range(1000).select(F.concat(F.lit("SN"), F.col("id").cast("string")).alias("serial"))
+    return values.serial_keys(c.select("c_custkey", heading.alias("header")), known).select("c_custkey", "serial")
 
 
 @query("SELECT DISTINCT term, unnest(range(1, n + 1))::INTEGER AS instance, CASE WHEN n > 1 THEN term || ' (' || unnest(range(1, n + 1)) || ')' ELSE term END AS term_instance FROM (SELECT term, max(c) AS n FROM (SELECT l_returnflag AS term, l_orderkey, count(*) AS c FROM lineitem GROUP BY 1, 2) GROUP BY 1)")
@@ -249,6 +249,18 @@ def document_values(spark, d):
     return values.document_values(docs, asked).select("doc_id", "term", "number", "source")
 
 
+@query("SELECT o_orderkey AS doc_id, c_name AS term, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice) ELSE o_orderkey END::DOUBLE AS number, CASE WHEN o_orderkey % 3 = 0 THEN 'table' ELSE 'line' END AS source FROM orders JOIN customer ON o_custkey = c_custkey")
+def values_of_many_terms(spark, d):
+    """Every customer's name is asked of every order's document; each document has one of them, in a cell or in a line."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    row = F.array(F.concat(F.lit("Paid by "), F.col("c_name")), F.round("o_totalprice").cast("long").cast("string"))
+    block = F.struct(F.lit("heading").alias("heading"), F.lit(None).cast("string").alias("label"), F.array(F.array(F.lit("Other"), F.lit("1")), row).alias("rows"), F.lit(None).cast("map<string,string>").alias("kv"))
+    docs = o.select(k.alias("doc_id"), F.when(k % 3 == 0, F.array(block)).alias("blocks"), F.array(F.lit("first 1"), F.when(k % 3 != 0, F.concat_ws(" ", F.lit("paid by"), F.lower("c_name"), k.cast("string"))).otherwise("-")).alias("lines"))
+    asked = table(spark, d, "customer").select(F.col("c_name").alias("term"))
+    return values.document_values(docs, asked).select("doc_id", "term", "number", "source")
+
+
 @query("SELECT l_orderkey, count(*) AS n, list_sort(list(l_quantity))[(count(*) // 2 + 1)::BIGINT] AS mid, list_sort(list(l_quantity))[(floor(count(*) * 0.25) + 1)::BIGINT] AS quarter FROM lineitem GROUP BY 1")
 def order_places(spark, d):
     from gaugeweave.operators import geometry

@@ -1,5 +1,7 @@
 """Scores, extraction from tables and lines with anchors and labels, keys, instances."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,7 +97,8 @@ def test_many_documents_and_blocks_of_terms(spark, monkeypatch):
 
 def test_column_forms(spark):
     heads = ["SN4001", "VALVE01_SN4001", "sn 04002", "x 4001", "Q7b", "", None, "SN9"]
-    got = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string").select("i", V.serial_key(F.col("h"), ["SN4001", "SN4002", "Q7", "Q7b"]).alias("s")).orderBy("i").collect()
+    known = spark.createDataFrame([("SN4001",), ("SN4002",), ("Q7",), ("Q7b",), ("",), (None,)], "serial string")
+    got = V.serial_keys(spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string"), known, "h", "s").orderBy("i").collect()
     assert [r.s for r in got] == ["SN4001", "SN4001", "SN4002", "x 4001", "Q7b", "", "", "SN9"]
     tests = spark.createDataFrame([("a", "s1"), ("a", "s1"), ("a", "s2"), ("b", "s1")], "term string, serial string")
     assert sorted((r.term_instance) for r in V.most_instances(tests).collect()) == ["a (1)", "a (2)", "b"]
@@ -109,3 +112,53 @@ def test_column_forms(spark):
     assert sorted(map(tuple, V.cascade(found).collect())) == [(1, "a", "x", 2), (1, "b", "y", 2)]
     seen = spark.createDataFrame([(1, "a", 1, 1, 2), (1, "a", 1, 1, 1)], "doc_id int, term string, page int, table_no int, row_no int")
     assert {(r.row_no, r.instance) for r in V.instances_in_order(seen).collect()} == {(1, 1), (2, 2)}
+
+
+KIND = "doc_id long, blocks array<struct<heading:string,label:string,rows:array<array<string>>,kv:map<string,string>>>, lines array<string>"
+WORDS = ["valve", "torque", "max", "pressure", "leak", "rate", "№", "é", "a1", "b", "2", "prop"]
+
+
+def _some_documents(seed, n):
+    r = random.Random(seed)
+    text = lambda k: r.choice([" ", "-", ""]).join(r.choice(WORDS) for _ in range(r.randrange(k)))
+    return [(i, None if r.random() < 0.2 else [(text(2), r.choice(["", "T", None]), [[text(4), str(r.randrange(99))] for _ in range(r.randrange(4))], {V.key_of(text(3)) or "k": "7"} if r.random() < 0.4 else None) for _ in range(r.randrange(3))], [f"{text(5)} {r.randrange(99)}" for _ in range(r.randrange(4))] if r.random() < 0.8 else None) for i in range(n)]
+
+
+def _some_terms(seed, n):
+    r = random.Random(seed)
+    word = lambda: r.choice(WORDS)[: r.randrange(2, 9)]
+    return sorted({(" ".join(word() for _ in range(r.randrange(1, 4))), r.choice(["", " ".join(word() for _ in range(r.randrange(1, 3)))]), r.choice(["", "", "torque"]), r.random() < 0.4) for _ in range(n)})
+
+
+@pytest.mark.parametrize("raw", [False, True])
+def test_index_loses_no_value(spark, monkeypatch, raw):
+    docs = spark.createDataFrame(_some_documents(4, 60), KIND)
+    terms = spark.createDataFrame(_some_terms(5, 90) + [("№", "", "", False), ("", "", "", True)], "term string, label string, heading string, fuzzy boolean")
+    found = []
+    for few, at_once in ((10_000, 4096), (0, 4096), (0, 7)):
+        monkeypatch.setattr(V, "FEW_TERMS", few)
+        monkeypatch.setattr(V, "TERMS_AT_ONCE", at_once)
+        found.append(sorted(map(repr, V.document_values(docs, terms, raw=raw).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_index_leaves_most_pairs_out(spark):
+    from gaugeweave.operators import termindex
+    from gaugeweave.shared import durable
+
+    cells = spark.range(300).selectExpr("id as doc", "concat('serial ', cast(id + 1000 as string)) as text")
+    terms = durable(spark.range(300).selectExpr("id", "concat('Serial-', cast(id + 1000 as string)) as term", "'' as label", "false as by_words"))
+    got = termindex.candidates(cells, None, terms).collect()
+    assert {(i, i) for i in range(300)} <= {(r.doc, r.id) for r in got} and len(got) < 9000  # of 90,000
+
+
+def test_acceptance_keys_equal_the_choice_among_all(spark):
+    r = random.Random(9)
+    names = [(r.randrange(12), " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 4)))) for _ in range(80)] + [(1, "Torque"), (1, "torque"), (2, None), (None, "torque")]
+    terms = [t for t in _some_terms(10, 60) if V.key_of(t[0]) or V.key_of(t[1])]
+    got = V.acceptance_keys(spark.createDataFrame(terms, "term string, label string, heading string, fuzzy boolean"), spark.createDataFrame(names, "doc_id long, name string"))
+    want = []
+    for d in {k for k, _ in names}:
+        mine = sorted({n for k, n in names if k == d and n})
+        want += [(d, t[0], k) for t in terms if (k := V.resolved_key(mine, V.Term(t[0], t[1], fuzzy=t[3])))]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and want
