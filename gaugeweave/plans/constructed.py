@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from gaugeweave.functions import fuzzy
 from gaugeweave.functions import identities as I
 from gaugeweave.functions import scalars as S
-from gaugeweave.operators import cache, extraction, geometry, grids, incremental, layout, metadata, projects, registry, resolvers, values
+from gaugeweave.operators import cache, extraction, geometry, grids, incremental, layout, metadata, pixels, projects, registry, resolvers, values
 from gaugeweave.plans.catalog import query
 from gaugeweave.session import table
-from gaugeweave.sources import configs, readers
+from gaugeweave.sources import configs, pdf, readers
 
 
 def _text(c):
@@ -417,3 +417,68 @@ def terms_and_limits(spark, d):
     size = _text(F.col("p_size"))
     p = table(spark, d, "part").select("p_partkey", S.split_instance(F.concat(F.lit("T ("), size, F.lit(")"))).alias("i"), S.requirement_range(size).alias("r"))
     return p.select("p_partkey", "i.term", "i.n", F.col("r.min").alias("low"), F.col("r.max").alias("high"))
+
+
+# pictures and binary files
+def _pictures(spark, d):
+    """A picture of 120 by 60 pixels for each part: six lines of text in two columns, and thin rules, thick ones or none by the key's remainder."""
+    k = F.col("p_partkey")
+    text = "FF" * 10 + "20" * 30 + "FF" * 30 + "20" * 40 + "FF" * 10
+    thin, thick = F.array(*map(F.lit, (10, 30, 50))), F.array(*map(F.lit, (20, 21, 40, 41)))
+    at = F.when(k % 3 == 0, thin).when(k % 3 == 1, thick).otherwise(F.array().cast("array<int>"))
+    short = F.lit("00" * 40 + "FF" * 80)  # not wide enough for a rule
+    line = lambda y: F.when(F.array_contains(at, y), F.lit("00" * 120)).when((y == 59) & (k % 2 == 0), short).when((y % 10 >= 3) & (y % 10 <= 6), F.lit(text)).otherwise(F.lit("FF" * 120))
+    pixels_ = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), line), ""))
+    pages = table(spark, d, "part").repartition(spark.sparkContext.defaultParallelism).select(k.alias("page"), F.lit(120).alias("width"), F.lit(60).alias("height"), pixels_.alias("pixels"))
+    regions = pages.select("page", F.lit("all").alias("region"), *(F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 120.0), ("y1", 59.0), ("text_height", 10.0))))
+    return pages, regions
+
+
+@query("SELECT p_partkey AS page, unnest(CASE WHEN p_partkey % 3 = 0 THEN [10.5, 30.5, 50.5] ELSE [21.0, 41.0] END)::DOUBLE AS y FROM part WHERE p_partkey % 3 < 2")
+def page_rules(spark, d):
+    return pixels.rules(*_pictures(spark, d), ["page"]).select("page", F.explode("ys").alias("y"))
+
+
+@query("SELECT p_partkey AS page, unnest([0, 42, CASE WHEN p_partkey % 3 < 2 THEN 119 ELSE 112 END])::DOUBLE AS x FROM part")
+def page_valleys(spark, d):
+    return pixels.white_valleys(*_pictures(spark, d), ["page"]).select("page", "x")
+
+
+@query("""WITH e AS (SELECT p_partkey AS page, CASE WHEN p_partkey % 3 = 0 THEN [0, 10.5, 30.5, 50.5, 59] ELSE [0, 21.0, 41.0, 59] END::DOUBLE[] AS ys FROM part WHERE p_partkey % 3 < 2)
+SELECT page, r::INTEGER AS row, c::INTEGER AS col, [0.0, 40.0][c + 1]::DOUBLE AS x0, ys[r + 1] AS y0, [40.0, 120.0][c + 1]::DOUBLE AS x1, ys[r + 2] AS y1 FROM e, range(0, 4) x(r), range(0, 2) y(c) WHERE r < len(ys) - 1""")
+def picture_cells(spark, d):
+    """Row edges from rules, columns from valleys that snap to the places where other lines have theirs."""
+    pages, regions = _pictures(spark, d)
+    anchors = pages.select("page", F.lit("all").alias("region"), F.explode(F.array(F.lit(40.0), F.lit(90.0))).alias("x"))
+    columns = pixels.snapped_boundaries(pixels.white_valleys(pages, regions, ["page"]), anchors, ["page"], 5.0)
+    return pixels.grid(pixels.ruled_rows(pixels.rules(pages, regions, ["page"]), ["page"]), columns, ["page"]).select("page", "row", "col", "x0", "y0", "x1", "y1")
+
+
+def _pdf_files(spark, d):
+    """A small PDF file for each order: the mark in the information dictionary, in the packed XMP packet, only in the text, or nowhere; one kind is encrypted, one is no PDF."""
+    import zlib
+
+    k = F.col("k")
+    pad = lambda text, n: F.rpad(text, n, " ")
+    heads = F.concat(F.lit("%PDF-1.4\n1 0 obj\n"), F.when(k % 6 == 1, pad(F.lit("<< /Type /Catalog /Metadata 4 0 R >>"), 60)).otherwise(pad(F.lit("<< /Type /Catalog >>"), 60)), F.lit("\nendobj\n2 0 obj\n"),
+                     F.when(k % 6 == 0, pad(F.concat(F.lit("<< /Keywords (QTAG "), _text(k), F.lit(") >>")), 60)).otherwise(pad(F.concat(F.lit("<< /Title (Order "), _text(k), F.lit(") >>")), 60)), F.lit("\nendobj\n4 0 obj\n"))
+    packet = zlib.compress(b"<x:xmpmeta>qtag</x:xmpmeta>")
+    body = F.concat(F.encode(F.lit(f"<< /Filter /FlateDecode /Length {len(packet)} >>\nstream\n"), "US-ASCII"), F.lit(packet), F.encode(F.lit("\nendstream\nendobj\n5 0 obj\n(QTAG)\nendobj\n"), "US-ASCII"))
+    tail = F.concat(F.lit("xref\n1 2\n0000000009 00000 n \n0000000085 00000 n \n4 1\n0000000161 00000 n \ntrailer\n<< /Root 1 0 R /Info 2 0 R"), F.when(k % 6 == 4, F.lit(" /Encrypt 2 0 R")).otherwise(""), F.lit(" >>\nstartxref\n"))
+    whole = F.concat(F.encode(heads, "US-ASCII"), body)
+    content = F.concat(whole, F.encode(tail, "US-ASCII"), F.encode(_text(F.octet_length(whole)), "US-ASCII"), F.encode(F.lit("\n%%EOF"), "US-ASCII"))
+    return _orders(spark, d).select(k.alias("path"), F.when(k % 6 == 5, F.encode(F.lit("QTAG"), "US-ASCII")).otherwise(content).alias("content"))
+
+
+@query("SELECT o_orderkey AS path, o_orderkey % 6 < 2 AS has_token, CASE o_orderkey % 6 WHEN 0 THEN 'info' WHEN 1 THEN 'xmp' END AS found_in, CASE o_orderkey % 6 WHEN 4 THEN 'encrypted' WHEN 5 THEN 'not a PDF' END AS reason FROM orders")
+def pdf_tokens(spark, d):
+    return pdf.tokens(_pdf_files(spark, d), "qtag")
+
+
+@query("SELECT o_orderkey AS rel_path, o_orderkey % 6 < 2 AND o_orderkey % 4 <> 0 AS processed FROM orders")
+def scan_with_tokens(spark, d):
+    """A first scan of a folder: only files whose token names artifacts that are there count as processed."""
+    found = pdf.tokens(_pdf_files(spark, d), "qtag")
+    listing = found.select(F.col("path").alias("rel_path"), F.lit(1).cast("long").alias("size_bytes"), F.lit(1).cast("long").alias("mtime_ns"), "has_token", (F.col("path") % 4 != 0).alias("token_ok"), F.lit(True).alias("artifacts_ok"))
+    state = spark.createDataFrame([], incremental.SCAN)
+    return incremental.scan(state, listing.withColumn("rel_path", _text(F.col("rel_path"))), 5).select(F.col("rel_path").cast("long").alias("rel_path"), (~F.col("needs_processing")).alias("processed"))
