@@ -6,14 +6,16 @@ before the shuffle, and only curves bring a series' points together, which is wh
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeweave.functions import scalars as S
-from gaugeweave.operators import trending
+from gaugeweave.operators import orderstats, trending
 
 #: The seven tables; keys are what a row is found by.
 TABLES = {
@@ -64,9 +66,11 @@ def metrics_of(values: DataFrame, columns: DataFrame, statistics: list[str], ign
     if ignore_first:
         place = F.row_number().over(Window.partitionBy("serial", "run", "name").orderBy("excel_row"))
         v = v.withColumn("_n", place).filter(F.col("_n") > ignore_first)
-    known = {"mean": F.avg("value"), "min": F.min("value"), "max": F.max("value"), "std": F.coalesce(F.stddev_samp("value"), F.lit(0.0)), "median": F.median("value"), "count": F.count("value").cast("double")}
-    wide = v.groupBy("serial", F.col("run").alias("run_name"), F.col("name").alias("column_name")).agg(*(known[s].alias(s) for s in statistics if s in known))
-    return wide.unpivot(["serial", "run_name", "column_name"], [s for s in statistics if s in known], "stat", "value_num")
+    known = {"mean": F.avg("value"), "min": F.min("value"), "max": F.max("value"), "std": F.coalesce(F.stddev_samp("value"), F.lit(0.0)), "count": F.count("value").cast("double")}
+    keys, more = ["serial", "run_name", "column_name"], {s: known[s] for s in statistics if s in known}
+    v = v.select("serial", F.col("run").alias("run_name"), F.col("name").alias("column_name"), "value")
+    wide = orderstats.percentiles(v, keys, "value", {"median": 0.5}, more) if "median" in statistics else v.groupBy(*keys).agg(*(c.alias(s) for s, c in more.items()))
+    return wide.unpivot(keys, [s for s in statistics if s in (*more, "median")], "stat", "value_num")
 
 
 def curves_of(values: DataFrame, columns: DataFrame) -> DataFrame:
@@ -103,14 +107,85 @@ def build(values: DataFrame, sources: DataFrame, wanted: DataFrame, definitions:
     return {name: made[name].select(*(F.col(x.split()[0]) for x in schema.split(", "))) for name, schema in TABLES.items()}
 
 
-def write(tables: dict[str, DataFrame], folder: str) -> None:
-    """Replaces the cache's tables."""
+#: Tables whose rows belong to a serial; they are kept in as many parts, so that a change rewrites only the parts of the serials that it touches.
+BY_SERIAL, PARTS = ("td_sources", "td_curves", "td_metrics"), 16
+MANIFEST = "version long, table string, part int, path string"
+
+
+def manifest(spark: SparkSession, folder: str, version: int | None = None) -> tuple[int, list[tuple[str, int | None, str]]]:
+    """(version, [(table, part, path)]) of the newest version of a cache, or of a given one; (0, []) where there is none. A version has at most some 52 rows."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+        rows = rows.filter(F.col("version") == version) if version else rows.join(rows.agg(F.max("version").alias("version")), "version")
+        found = [(r.version, r.table, r.part, r.path) for r in rows.collect()]
+    except AnalysisException:  # no manifest yet
+        found = []
+    return (found[0][0], [x[1:] for x in found]) if found else (0, [])
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("serial"), F.lit(PARTS)).cast("int")
+
+
+def _written(rows: DataFrame, name: str, path: str) -> list[tuple[str, int | None, str]]:
+    """Writes a table of a version; which paths hold it."""
+    if name not in BY_SERIAL:
+        rows.write.parquet(path)
+        return [(name, None, path)]
+    rows.withColumn("part", _part()).repartition("part").write.partitionBy("part").parquet(path)
+    schema = TABLES[name] + ", part int"
+    try:
+        parts = rows.sparkSession.read.schema(schema).parquet(path).select("part").distinct().collect()
+    except AnalysisException:  # a table without rows
+        parts = []
+    return [(name, r.part, f"{path}/part={r.part}") for r in parts]
+
+
+def _commit(spark: SparkSession, folder: str, version: int, paths: list[tuple[str, int | None, str]]) -> int:
+    """One file, moved to its place last: readers see all of a version or nothing of it."""
+    spark.createDataFrame([(version, *p) for p in paths], MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return version
+
+
+def write(tables: dict[str, DataFrame], folder: str) -> int:
+    """A new version of the whole cache; its number. Earlier versions stay as they are, and stay what is read if this fails."""
+    spark = next(iter(tables.values())).sparkSession
+    last, _ = manifest(spark, folder)
+    base = f"{folder}/v{last + 1}-{uuid.uuid4().hex}"
+    paths = [p for name, rows in tables.items() for p in _written(rows, name, f"{base}/{name}")]
+    return _commit(spark, folder, last + 1, paths)
+
+
+def replace(tables: dict[str, DataFrame], serials_: DataFrame, folder: str) -> int:
+    """A new version in which ``serials_`` (serial) have the rows of ``tables`` and all others keep theirs; its number.
+
+    Of the tables by serial only the parts that such serials are in are written anew; the others' files are shared with the version before. The remaining tables are replaced as a whole if they are given.
+    """
+    spark = serials_.sparkSession
+    last, paths = manifest(spark, folder)
+    if not last:
+        raise ValueError(f"no cache in {folder}")
+    base = f"{folder}/v{last + 1}-{uuid.uuid4().hex}"
+    changed = serials_.select("serial").distinct()
+    touched = {r.p for r in changed.select(_part().alias("p")).distinct().collect()}  # at most PARTS
+    kept = [p for p in paths if p[0] not in tables or p[0] in BY_SERIAL and p[1] not in touched]
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
-def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()}
+        if name in BY_SERIAL:
+            old = [p for t, part, p in paths if t == name and part in touched]
+            rows = rows.join(F.broadcast(changed) if changed.count() <= 100_000 else changed, "serial", "left_semi").select(*(x.split()[0] for x in TABLES[name].split(", ")))
+            if old:
+                rows = rows.unionByName(spark.read.schema(TABLES[name]).parquet(*old).join(changed, "serial", "left_anti"))
+        kept += _written(rows, name, f"{base}/{name}")
+    return _commit(spark, folder, last + 1, kept)
+
+
+def read(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest version, or of a given one; later writes don't change what they read."""
+    found, paths = manifest(spark, folder, version)
+    if not found:
+        raise ValueError(f"no cache in {folder}" + (f" of version {version}" if version else ""))
+    of = {name: [p for t, _, p in paths if t == name] for name in TABLES}
+    return {name: spark.read.schema(schema).parquet(*of[name]) if of[name] else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
 
 
 def upgraded(rows: DataFrame, name: str) -> DataFrame:

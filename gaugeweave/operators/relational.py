@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeweave.operators import orderstats
+
 STATS = ("mean", "min", "max", "median", "std", "count")
 
 
@@ -45,7 +47,8 @@ def exceedance(rows: DataFrame, key: list[str], value: str, low: Column, high: C
 
 def metrics_wide(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """Six statistics of each key; the deviation is that of a sample."""
-    return rows.groupBy(*key).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.count(value).cast("double").alias("count"))
+    more = {"mean": F.avg(value), "min": F.min(value), "max": F.max(value), "std": F.stddev_samp(value), "count": F.count(value).cast("double")}
+    return orderstats.percentiles(rows, key, value, {"median": 0.5}, more).select(*key, *STATS)
 
 
 def metrics_long(rows: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -58,10 +58,11 @@ def residual_grading(gridded: DataFrame, run: list[str], serial: str) -> DataFra
     The median is a window over each grid point, so the grid is made and shuffled once.
     """
     at_point = gridded.withColumn("master_y", F.median("y").over(Window.partitionBy(*run, "grid_idx")))
-    scaled = at_point.withColumn("_s", F.max(F.abs("master_y")).over(Window.partitionBy(*run)))
-    r = scaled.withColumns({"scale": F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0), "res": F.col("y") - F.col("master_y")})
-    per = r.groupBy(*run, serial).agg(F.max(F.abs("res")).alias("max_abs"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms"), F.max_by("grid_x", F.struct(F.abs("res"), -F.col("grid_idx"))).alias("x_at_max"), F.max("scale").alias("scale"))
-    w = Window.partitionBy(*run)
+    r = at_point.withColumn("res", F.col("y") - F.col("master_y"))
+    per = r.groupBy(*run, serial).agg(F.max(F.abs("res")).alias("max_abs"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms"), F.max_by("grid_x", F.struct(F.abs("res"), -F.col("grid_idx"))).alias("x_at_max"), F.max(F.abs("master_y")).alias("_s"))
+    w = Window.partitionBy(*run)  # over series, no longer over their points
+    largest = F.max("_s").over(w)
+    per = per.withColumn("scale", F.when(largest > 0, largest).otherwise(1.0))
     std = F.stddev_pop("max_abs").over(w)
     per = per.withColumn("z", (F.col("max_abs") - F.avg("max_abs").over(w)) / F.when(std > 0, std).otherwise(1.0))
     return per.select(*run, serial, "max_abs", "rms", (F.col("max_abs") / F.col("scale") * 100).alias("max_pct"), (F.col("rms") / F.col("scale") * 100).alias("rms_pct"), "x_at_max", "z", grade(F.col("z")).alias("grade"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeweave.functions import scalars as S
-from gaugeweave.operators import documents, extraction, geometry, incremental, likeness, metadata, projects, trending
+from gaugeweave.operators import documents, extraction, geometry, incremental, likeness, metadata, orderstats, projects, trending
 from gaugeweave.operators import relational as R
 from gaugeweave.session import table
 
@@ -477,7 +477,7 @@ def merge_instances(spark, d):
 
 @query("""SELECT o_orderpriority, percentile, v FROM (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.1) AS p10, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.9) AS p90 FROM orders GROUP BY 1) UNPIVOT (v FOR percentile IN (p10, p50, p90))""")
 def percentiles(spark, d):
-    p = table(spark, d, "orders").groupBy("o_orderpriority").agg(*[F.percentile("o_totalprice", q / 100).alias(f"p{q}") for q in (10, 50, 90)])
+    p = orderstats.percentiles(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return p.unpivot(["o_orderpriority"], ["p10", "p50", "p90"], "percentile", "v")
 
 

@@ -9,6 +9,7 @@ from gaugeweave.functions import scalars as S
 from gaugeweave.operators import cache, documents, grids, incremental, layout, registry, resolvers, values
 from gaugeweave.plans.catalog import query
 from gaugeweave.session import table
+from gaugeweave.shared import new_folder
 
 
 # registries
@@ -141,6 +142,28 @@ def td_cache_curves(spark, d):
     return c.select("run_name", "y_name", "x_name", "serial", "n_points", F.element_at("x", 1).alias("first_x"), F.element_at("y", -1).alias("last_y"))
 
 
+@query(f"""WITH s AS ({SHEET}), m AS (SELECT serial, run AS run_name, CASE WHEN serial IN ('SN1', 'SN4') THEN y + 1 ELSE y END AS y FROM s WHERE y IS NOT NULL AND serial <> 'SN2')
+SELECT serial, run_name, max(y) AS value_num, 2::BIGINT AS version FROM m GROUP BY 1, 2""")
+def td_cache_versions(spark, d):
+    """A cache is written, then three serials are replaced: two have other values, one has none any more; the newest version is read."""
+    folder, made = new_folder(spark, "cache"), _cache(spark, d)
+    cache.write(made, folder)
+    changed = spark.createDataFrame([("SN1",), ("SN2",), ("SN4",)], "serial string")
+    fresh = {"td_metrics": made["td_metrics"].filter("serial in ('SN1', 'SN4')").withColumn("value_num", F.col("value_num") + 1), "td_curves": made["td_curves"].filter("serial <> 'SN2'")}
+    version = cache.replace(fresh, changed, folder)
+    return cache.read(spark, folder)["td_metrics"].filter("stat = 'max'").select("serial", "run_name", "value_num", F.lit(version).cast("long").alias("version"))
+
+
+@query(f"""SELECT run AS run_name, serial, count(*)::INTEGER AS n_points FROM ({SHEET}) WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2""")
+def td_cache_pinned(spark, d):
+    """A reader of version 1 is not touched by version 2."""
+    folder, made = new_folder(spark, "cache"), _cache(spark, d)
+    cache.write(made, folder)
+    old = cache.read(spark, folder)
+    cache.replace({name: made[name].limit(0) for name in cache.BY_SERIAL}, made["td_sources"].select("serial"), folder)
+    return old["td_curves"].select("run_name", "serial", "n_points")
+
+
 @query("SELECT event_type AS run_name, 'Time' AS default_x, event_type AS display_name FROM events GROUP BY 1")
 def td_cache_runs(spark, d):
     return cache.runs(_cache(spark, d))
