@@ -192,10 +192,10 @@ def _training_labels(labels: DataFrame) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted; learned from labels whose crc32(doc_id) mod 5 is not 0."""
+    """Per document: doc_id, held_out, score, predicted; learned from labels whose crc32(doc_id) mod 5 is not 0. A null doc_id is scored, and not held out."""
     stats = with_statistics(docs)
     model = fit(sized_join(stats, durable(_training_labels(labels)), "doc_id"))
-    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
     return score(stats, model).select("doc_id", held, "score", "predicted")
 
 
