@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_co
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score, rejected; learned where crc32(doc_id) mod 3 is not 1."""
+    """Per document: doc_id, held_out, lang_pred, score, rejected; learned where crc32(doc_id) mod 3 is not 1. A null doc_id gets a prediction, and is not held out."""
     turn = F.crc32(F.col("doc_id").cast("string")) % 3
     model = fit(docs.filter(turn != 1))
-    return identify(docs, model).select("doc_id", (turn == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(docs, model).select("doc_id", F.coalesce(turn == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
