@@ -263,7 +263,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     found = both.filter("kind is null").unionByName(settled.filter("kind is null"))
     if misled.isEmpty():
         return found.select(*names)
-    numbered = sized_join(pieces, misled, "file", "left_semi").withColumn("nth", F.monotonically_increasing_id())  # grows within a range
+    # numbers grow within a range where it is read; a join that shuffles would lose that order
+    numbered = sized_join(pieces.withColumn("nth", F.monotonically_increasing_id()), misled, "file", "left_semi")
     again = numbered.repartition("file").sortWithinPartitions("file", "start", "nth").select("file", "start", "piece").mapInArrow(in_order, FIELDS)
     return sized_join(found, misled, "file", "left_anti").select(*names).unionByName(again)
 
