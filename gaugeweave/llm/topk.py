@@ -43,10 +43,10 @@ class Index:
         self.values = [x[r, d].astype(np.float64) for d, r in enumerate(self.rows)]
 
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Exact scores of some rows."""
+        """Exact scores of some rows; one that is no long raises."""
         most = self.x.shape[1] * self.peak * float(np.abs(q).max(initial=0))
         if most >= 1 << 53:
-            return self.x[at] @ q
+            return np.array([int(s) for s in self.x[at].astype(object) @ q.astype(object)], dtype=np.int64)
         kind = np.float32 if most < 1 << 24 else np.float64
         return (self.dense[at].astype(kind, copy=False) @ q.astype(kind)).astype(np.int64)
 
@@ -61,6 +61,8 @@ class Index:
         can = np.ones(n, dtype=bool)
         can[own] = False
         left = int(can.sum())
+        # sums and bounds are rounded: by no more than this, whatever the values
+        slack = 1e-6 + 8 * dims * np.finfo(float).eps * dims * self.peak * float(np.abs(q).max(initial=0))
         for i, edge in enumerate(edges):
             parts = []
             for d in range(dims):
@@ -83,13 +85,13 @@ class Index:
             open_most = np.where(q != 0, np.minimum(edge, greatest), 0.0).sum()
             at = np.flatnonzero(can)
             promising = at[np.argpartition(-sums[at], min(4 * k, len(at) - 1))[: 4 * k]]
-            bound = np.partition(self.scores(promising, q), len(promising) - k)[len(promising) - k]
-            if open_most > bound:
+            bound = float(np.partition(self.scores(promising, q), len(promising) - k)[len(promising) - k])
+            if open_most + slack > bound:
                 continue  # rows that haven't been met at all could still be members
             if edge and pending:
                 met += np.bincount(np.concatenate(pending), minlength=n)
                 pending = []
-            can[at] = sums[at] + open_most - met[at] * edge >= bound - 1e-6
+            can[at] = sums[at] + open_most - met[at] * edge >= bound - slack
             left = int(can.sum())
         return np.flatnonzero(can)
 
