@@ -2,48 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has been counted and has no more rows than this; callers pass rows of a few dozen bytes.
-BROADCAST_ROWS = 500_000
-#: Strings of any length are summed as well, and broadcast only up to this many bytes.
-BROADCAST_BYTES = 64 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where a local session names none (tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='gaugeweave-')}"
-    if not _checkpoint_dir(spark):
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return got.get() if got.isDefined() else None
-
+from gaugeweave.shared import BROADCAST_ROWS, durable, free_name, new_folder, shared_dir, sized_join
 
-def durable(df: DataFrame) -> DataFrame:
-    """Written once to the shared folder; later reads survive the loss of any executor and cut the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "durable", "free_name", "new_folder", "partitions", "shared_dir", "sized_join", "skew_join", "text_batches"]
 
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+#: Strings of any length are summed as well, and broadcast only up to this many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def text_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """``docs``, whose texts go to Python in batches of at most ``rows`` from now on (a setting of the session; a smaller one stays): batches are
-    counted in rows, so memory for long texts is bounded by few rows alone.
+    """``docs``, whose texts go to Python in batches of at most ``rows`` from now on (a setting of the session; a smaller one stays). Spark ends
+    a batch also at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB where nothing else is set), so long texts come in batches of few rows.
     """
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
@@ -51,21 +23,6 @@ def text_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     return docs
 
 
-def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` must be durable: it is counted, broadcast if it has at most ``limit`` rows, and shuffled otherwise."""
-    if small.count() <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
-
-
-def free_name(taken: list[str], base: str) -> str:
-    """``base``, with underscores after it until no column has the name."""
-    low = {x.lower() for x in taken}
-    while base.lower() in low:
-        base += "_"
-    return base
-
-
 def skew_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
     """``big`` joined with ``small`` (key, n, ...; one row a key, durable), whose n counts the key's rows in ``big``, ``total`` in all.
 
