@@ -137,9 +137,9 @@ def node_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", t
 
 
 def distinct_nodes(rows: DataFrame) -> DataFrame:
-    """(node, d2, first, n_copies, sketch, keys, rests): one row for each set."""
+    """(node, d1, d2, first, n_copies, sketch, keys, rests): one row for each set; node is its number, as half of a digest doesn't tell sets apart for sure."""
     firsts = (F.first(c).alias(c) for c in ("sketch", "keys", "rests"))
-    return durable(rows.filter("d1 is not null").groupBy(F.col("d1").alias("node"), "d2").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"), *firsts))
+    return durable(rows.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"), *firsts).withColumn("node", F.monotonically_increasing_id()))
 
 
 def forest(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
@@ -290,33 +290,34 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = 5, tree
     comp = components(edges).select("node", F.col("root").alias("comp"))
 
     # verification: the sets of each component come together once, or once for each pair of its blocks
-    wanted = durable(comp.join(nodes.select("node", "first"), "node").filter("first is not null"))
-    lost = comp.join(wanted.select("node"), "node", "left_anti")  # of rows without an id: their texts are found by the digest
+    members_of = durable(comp.join(nodes.select("node", "first", "d1", "d2"), "node"))
+    wanted = members_of.filter("first is not null")
+    lost = members_of.filter("first is null").drop("first")  # of rows without an id: their texts are found by the digest
     sizes = durable(comp.groupBy("comp").agg(F.count("*").alias("n")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes_, comps = b.column(1), b.column(2)
             for first, sets in text_sets(b.column(0), n):
-                want, group = nodes_.slice(first, len(sets)).to_numpy(zero_copy_only=False), comps.slice(first, len(sets)).to_numpy(zero_copy_only=False)
+                node, group, one, two = (c.slice(first, len(sets)).to_numpy(zero_copy_only=False) for c in (nodes_, comps, b.column(3), b.column(4)))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                have = digests([sets[i] for i in full])[0].view(np.int64) if full else []
-                keep = [i for i, h in zip(full, have, strict=True) if h == want[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(group[keep], pa.int64()), pa.array(want[keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["comp", "node", "members"])
+                have = [x.view(np.int64) for x in digests([sets[i] for i in full])] if full else [[], []]
+                keep = [i for i, x, y in zip(full, *have, strict=True) if x == one[i] and y == two[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(group[keep], pa.int64()), pa.array(node[keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["comp", "node", "members"])
 
-    found = sized_join(docs, wanted.select(F.col("first").alias(id_col), "node", "comp"), id_col)
+    found = sized_join(docs, wanted.select(F.col("first").alias(id_col), "node", "comp", "d1", "d2"), id_col).select(text_col, "node", "comp", "d1", "d2")
     if not lost.isEmpty():
 
         def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for first, sets in text_sets(b.column(0), n):
                     full = [i for i, s in enumerate(sets) if len(s)]
-                    have = digests([sets[i] for i in full])[0].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([first + i for i in full], pa.int64())), pa.array(have, pa.int64())], names=["text", "node"])
+                    have = [x.view(np.int64) for x in digests([sets[i] for i in full])] if full else [[], []]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([first + i for i in full], pa.int64())), *(pa.array(x, pa.int64()) for x in have)], names=["text", "d1", "d2"])
 
-        nameless = docs.filter(F.col(id_col).isNull()).select(text_col).mapInArrow(digested, "text string, node long").join(lost, "node")
-        found = found.select(text_col, "node", "comp").unionByName(nameless.select(F.col("text").alias(text_col), "node", "comp"))
-    sets = found.select(text_col, "node", "comp").mapInArrow(sets_of, "comp long, node long, members binary")
+        nameless = docs.filter(F.col(id_col).isNull()).select(text_col).mapInArrow(digested, "text string, d1 long, d2 long").join(lost, ["d1", "d2"])
+        found = found.unionByName(nameless.select(F.col("text").alias(text_col), "node", "comp", "d1", "d2"))
+    sets = found.mapInArrow(sets_of, "comp long, node long, members binary")
 
     def verify(table: pa.Table) -> pa.Table:
         comp_, node, part = (table[c].to_numpy() for c in ("comp", "node", "b"))
@@ -349,7 +350,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = 5, tree
     classes = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     firsts = classes.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_id"))
     by_node = durable(classes.join(firsts, "root").join(links, "node", "left").select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    known = nodes.select("node", "d2", "first", "n_copies").join(by_node, "node", "left").select(F.col("node").alias("d1"), "d2", "n_copies", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "node").alias("class_node"))
+    known = nodes.select("node", "d1", "d2", "first", "n_copies").join(by_node, "node", "left").select("d1", "d2", "n_copies", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "node").alias("class_node"))
     more = ["text_hash", "class_node"] if by_row else []
     some = rows.filter("d1 is not null").select("id", "d1", "d2", *more[:1]).join(known, ["d1", "d2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", *more)
     none = rows.filter("d1 is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), *([F.col("text_hash"), F.lit(None).cast("long").alias("class_node")] if by_row else []))
