@@ -604,4 +604,4 @@ def small_normalisers(spark, d):
     return c.select("c_custkey", S.revision(F.substring("c_mktsegment", 1, 2)).alias("revision"), S.truthy(F.col("c_mktsegment")).alias("truthy"), S.is_numeric_like(F.col("c_name")).alias("numeric_like"))
 
 
-from gaugeweave.plans import constructed, more  # noqa: E402, F401  register their queries here
+from gaugeweave.plans import constructed, further, more, written  # noqa: E402, F401  register their queries here

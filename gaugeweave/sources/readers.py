@@ -87,46 +87,80 @@ def merged(*layers: dict) -> dict:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
+_TAG = {name: f"{{{_NS['m']}}}{name}" for name in ("c", "v", "is", "t", "si", "row")}
+
+
+def _shared_texts(z: zipfile.ZipFile) -> list[str]:
+    """The workbook's table of texts, read as a stream."""
+    texts = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            for _, e in ElementTree.iterparse(f):
+                if e.tag == _TAG["si"]:
+                    texts.append("".join(t.text or "" for t in e.iter(_TAG["t"])))
+                    e.clear()
+    return texts
+
+
 def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of the filled cells of an .xlsx or .xlsm file."""
+    """(sheet, row, column, text) of the filled cells of an .xlsx or .xlsm file; sheets are read as streams, a row at a time."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        shared = _shared_texts(z)
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS):
             target = targets[sheet.get(f"{{{_NS['r']}}}id")].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for c in root.iter(f"{{{_NS['m']}}}c"):
-                letters, digits = re.match("([A-Z]+)([0-9]+)", c.get("r")).groups()
-                col = 0
-                for x in letters:
-                    col = col * 26 + ord(x) - 64
-                v, inline = c.find("m:v", _NS), c.find("m:is", _NS)
-                text = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t")) if inline is not None else v.text if v is not None else None
-                if text is not None:
-                    yield sheet.get("name"), int(digits), col, shared[int(text)] if c.get("t") == "s" else text
+            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
+                for _, e in ElementTree.iterparse(f):
+                    if e.tag == _TAG["c"]:
+                        letters, digits = re.match("([A-Z]+)([0-9]+)", e.get("r")).groups()
+                        col = 0
+                        for x in letters:
+                            col = col * 26 + ord(x) - 64
+                        v, inline = e.find("m:v", _NS), e.find("m:is", _NS)
+                        text = "".join(t.text or "" for t in inline.iter(_TAG["t"])) if inline is not None else v.text if v is not None else None
+                        if text is not None:
+                            yield sheet.get("name"), int(digits), col, shared[int(text)] if e.get("t") == "s" else text
+                    elif e.tag == _TAG["row"]:
+                        e.clear()
 
 
-def workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, excel_row, excel_col, value, error): all filled cells of workbooks in long form; an unreadable file is one row with its error."""
+#: Cells that go out of a task at once.
+CELLS_AT_ONCE = 50_000
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """(path, sheet, excel_row, excel_col, value, error) of files (path, content): all filled cells in long form; what can't be read (on) is one row with its error.
+
+    Spark bounds the batches of files by bytes, a file's sheets are read as streams, and its cells go out in parts, so memory depends on the largest file alone.
+    """
+    names = ["path", "sheet", "excel_row", "excel_col", "value", "error"]
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"excel_row": "Int64", "excel_col": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows: list[tuple] = []
                 try:
-                    rows = [(p, *c, None) for c in workbook_cells(bytes(content))]
+                    for c in workbook_cells(bytes(content)):
+                        rows.append((p, *c, None))
+                        if len(rows) == CELLS_AT_ONCE:
+                            yield frame(rows)
+                            rows = []
                 except Exception as e:  # noqa: BLE001  one bad file must not end the import
-                    rows = [(p, None, None, None, None, f"{type(e).__name__}: {e}")]
-                out = pd.DataFrame(rows, columns=["path", "sheet", "excel_row", "excel_col", "value", "error"])
-                yield out.astype({"excel_row": "Int64", "excel_col": "Int64"})
+                    rows.append((p, None, None, None, None, f"{type(e).__name__}: {e}"))
+                yield frame(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xls[xm]").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, sheet string, excel_row int, excel_col int, value string, error string")
+    kind = dict(files.dtypes)["path"]
+    return files.select("path", "content").mapInPandas(run, f"path {kind}, sheet string, excel_row int, excel_col int, value string, error string")
 
 
-def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
-    """The rows of a query over every SQLite file under path, with the file's path in front."""
+def workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`workbook_rows` of all workbooks under a path."""
+    return workbook_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xls[xm]").load(path))
+
+
+def sqlite_rows(files: DataFrame, sql: str, schema: str) -> DataFrame:
+    """The rows of a query over every SQLite file of files (path, content), with the file's path in front; rows are fetched and go out in parts."""
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,11 +168,17 @@ def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str) -> DataF
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 with closing(sqlite3.connect(":memory:")) as c:
                     c.deserialize(bytes(content))
-                    rows = c.execute(sql).fetchall()
-                yield pd.DataFrame([(p, *r) for r in rows], columns=["path", *names])
+                    found = c.execute(sql)
+                    while rows := found.fetchmany(CELLS_AT_ONCE):
+                        yield pd.DataFrame([(p, *r) for r in rows], columns=["path", *names])
+
+    kind = dict(files.dtypes)["path"]
+    return files.select("path", "content").mapInPandas(run, f"path {kind}, " + schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{db,sqlite,sqlite3}").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, " + schema)
+
+def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
+    """:func:`sqlite_rows` of all SQLite files under a path."""
+    return sqlite_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{db,sqlite,sqlite3}").load(path), sql, schema)
 
 
 def is_header_cell(value: Column, longest: int = 120) -> Column:

@@ -119,7 +119,7 @@ def back_filled(config: dict, found: dict[str, dict]) -> dict:
     return config | {"columns": [fill(c) for c in config.get("columns", [])]}
 
 
-def write_with_backup(spark, text: str, path: str, stamp: str) -> None:
+def write_with_backup(spark, text: str | bytes, path: str, stamp: str) -> None:
     """Writes a small file through Hadoop's file system; what was there is kept beside it under the stamp."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -128,7 +128,7 @@ def write_with_backup(spark, text: str, path: str, stamp: str) -> None:
         fs.rename(target, jvm.org.apache.hadoop.fs.Path(f"{path}.{stamp}.bak"))
     out = fs.create(target, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(text if isinstance(text, bytes) else text.encode()))
     finally:
         out.close()
 
