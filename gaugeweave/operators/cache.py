@@ -188,6 +188,21 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> dict[s
     return {name: spark.read.schema(schema).parquet(*of[name]) if of[name] else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
 
 
+def prune(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
+    """Deletes the folders that none of the last ``keep`` versions refers to (readers of older ones lose them); which they were."""
+    newest, _ = manifest(spark, folder)
+    used = {p for v in range(max(1, newest - keep + 1), newest + 1) for _, _, p in manifest(spark, folder, v)[1]}
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name != "manifest" and not any(f"/{name}/" in f"{p}/" for p in used):
+            fs.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def upgraded(rows: DataFrame, name: str) -> DataFrame:
     """A table of an older cache with the columns that it lacks, null."""
     want = [x.split(" ", 1) for x in TABLES[name].split(", ")]

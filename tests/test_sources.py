@@ -82,7 +82,7 @@ def test_streams(spark, tmp_path, sf):
         spark.createDataFrame(rows, "path string, fingerprint string").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
         src = spark.readStream.schema("path string, fingerprint string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         scans.merge_scans(spark, src, str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination(60)
-    got = {r.path: (r.fingerprint, r.processed) for r in spark.read.parquet(str(tmp_path / "state/1")).collect()}
+    got = {r.path: (r.fingerprint, r.processed) for r in scans.state(spark, str(tmp_path / "state")).collect()}
     assert got == {"p1": ("f1b", False), "p2": ("f2", False)}
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(str(tmp_path / "ev"))
