@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _matched(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
     """A join on keys that may be null, as groups may."""
     named = right.select(*(F.col(k).alias(f"_r_{k}") for k in key), *(c for c in right.columns if c not in key))
     on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key))
@@ -36,7 +36,7 @@ def percentiles(rows: DataFrame, key: list[str], value: str, shares: dict[str, f
     hi = lambda i: F.when(small | F.lit(near[2 * i + 1] >= 1), F.col("_high")).otherwise(F.get("_b", F.lit(2 * i + 1)))
     picks = F.array(*(F.struct(F.lit(i).alias("which"), lo(i).alias("lo"), hi(i).alias("hi"), ((F.col("_n") - 1) * F.lit(float(s))).alias("place")) for i, s in enumerate(shares.values())))
     wanted = stats.filter("_n > 0").select(*key, F.explode(picks).alias("_p")).select(*key, "_p.*")
-    met = _matched(v.filter("_v is not null").groupBy(*key, "_v").agg(F.count("*").alias("_c")), wanted, key, "inner").filter(F.col("_v") <= F.col("hi"))
+    met = matched(v.filter("_v is not null").groupBy(*key, "_v").agg(F.count("*").alias("_c")), wanted, key, "inner").filter(F.col("_v") <= F.col("hi"))
     few = met.withColumn("_in", F.when(F.col("_v") >= F.col("lo"), F.col("_v"))).groupBy(*key, "which", "place", "_in").agg(F.sum("_c").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*key, "which").orderBy(F.col("_in").asc_nulls_first()))
     counted = few.withColumn("_upto", upto).filter("_in is not null")
@@ -45,4 +45,4 @@ def percentiles(rows: DataFrame, key: list[str], value: str, shares: dict[str, f
     found = counted.groupBy(*key, "which", "place").agg(at(low).alias("a"), at(high).alias("b"))
     between = F.when(F.col("a").eqNullSafe(F.col("b")), F.col("a")).otherwise((high - F.col("place")) * F.col("a") + (F.col("place") - low) * F.col("b"))
     wide = found.withColumn("x", between).groupBy(*key).agg(*(F.max(F.when(F.col("which") == i, F.col("x"))).alias(name) for i, name in enumerate(shares)))
-    return _matched(stats, wide, key, "left").select(*taken, *shares)
+    return matched(stats, wide, key, "left").select(*taken, *shares)

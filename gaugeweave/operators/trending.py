@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeweave.functions.scalars import grade
+from gaugeweave.operators.orderstats import matched
+from gaugeweave.shared import durable
 
 
 def is_finite(c: Column) -> Column:
@@ -20,6 +22,43 @@ def curves(rows: DataFrame, key: list[str], x: str, y: str, order: str) -> DataF
     return out.select(*key, F.transform("points", lambda p: p["x"]).alias("x"), F.transform("points", lambda p: p["y"]).alias("y"), F.size("points").alias("n_points"))
 
 
+def _dealt(rows: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with _part, (key, _part, _n)): rows in ranges of (key, order), so that a key of any size is spread over all tasks; durable, since ranges are drawn by sampling."""
+    sorted_ = durable(rows.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()))
+    return sorted_, durable(sorted_.groupBy(*key, "_part").agg(F.count("*").alias("_n"), F.min_by(F.struct(*order), F.struct(*order)).alias("_first")))
+
+
+def followed(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Rows with _next, the struct of the order columns of the key's next row: by a window inside each range, and from the first row of the key's next range at a range's end."""
+    sorted_, ranges = _dealt(rows, key, order)
+    ahead = ranges.withColumn("_ahead", F.lead("_first").over(Window.partitionBy(*key).orderBy("_part"))).select(*key, "_part", "_ahead")  # a row for each range
+    inner = sorted_.withColumn("_next", F.lead(F.struct(*order)).over(Window.partitionBy(*key, "_part").orderBy(*order)))
+    return matched(inner, ahead, [*key, "_part"], "left").withColumn("_next", F.coalesce("_next", "_ahead")).drop("_part", "_ahead")
+
+
+def curve_chunks(rows: DataFrame, key: list[str], x: str, y: str, order: str, length: int = 10_000) -> DataFrame:
+    """(key, chunk_no, x, y, next_x, next_y, n_points): a curve in pieces of at most ``length`` points in order, each with the point that follows it; points need finite x and y.
+
+    No row and no task holds a whole series: places in it are numbers in its ranges plus what stands in the ranges before.
+    """
+    points = rows.filter(is_finite(F.col(x)) & is_finite(F.col(y))).select(*key, F.col(order).alias("_o"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sorted_, ranges = _dealt(points, key, ["_o", "_x", "_y"])
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = matched(sorted_, ranges.withColumn("_before", before).select(*key, "_part", "_before"), [*key, "_part"], "left")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_o", "_x", "_y")) - 1
+    pieces = placed.withColumn("_p", place).groupBy(*key, F.floor(F.col("_p") / length).cast("long").alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("_p", "_x", "_y"))).alias("points"))
+    pieces = durable(pieces.select(*key, "chunk_no", F.transform("points", lambda p: p["_x"]).alias("x"), F.transform("points", lambda p: p["_y"]).alias("y")))
+    firsts = pieces.filter("chunk_no > 0").select(*key, (F.col("chunk_no") - 1).alias("chunk_no"), F.col("x")[0].alias("next_x"), F.col("y")[0].alias("next_y"))
+    return matched(pieces, firsts, [*key, "chunk_no"], "left").withColumn("n_points", F.size("x"))
+
+
+def assembled(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, x, y, n_points) of the curves of ``chunks``, whole, for those who ask for some."""
+    whole = chunks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "x", "y"))).alias("c"))
+    out = whole.select(*key, F.flatten(F.transform("c", lambda p: p["x"])).alias("x"), F.flatten(F.transform("c", lambda p: p["y"])).alias("y"))
+    return out.withColumn("n_points", F.size("x"))
+
+
 def common_domain(points: DataFrame, run: list[str], serial: str, x: str) -> DataFrame:
     """Per run the range of x that all series share; the whole range where they share none; runs without any extent go."""
     per = points.groupBy(*run, serial).agg(F.min(x).alias("a"), F.max(x).alias("b"))
@@ -33,8 +72,7 @@ def on_grid(points: DataFrame, domain: DataFrame, run: list[str], serial: str, x
 
     Each segment finds its grid indexes by arithmetic, so no range join is needed. Of equal x the first y counts.
     """
-    w = Window.partitionBy(*run, serial).orderBy(x)
-    first = points.groupBy(*run, serial, x).agg(F.min(y).alias("y0")).withColumns({"x1": F.lead(x).over(w), "y1": F.lead("y0").over(w)})
+    first = followed(points.groupBy(*run, serial, x).agg(F.min(y).alias("y0")), [*run, serial], [x, "y0"]).withColumns({"x1": F.col("_next")[x], "y1": F.col("_next")["y0"]}).drop("_next")
     seg = first.join(domain, run)  # one row a run: broadcast at run time if it is small
     step = (F.col("hi") - F.col("lo")) / (n - 1)
     at = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (n - 1)

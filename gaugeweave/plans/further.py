@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from gaugeweave.functions import identities as I
 from gaugeweave.functions import scalars as S
-from gaugeweave.operators import cache, documents, geometry, incremental, layout, projects, registry, resolvers
+from gaugeweave.operators import cache, documents, geometry, incremental, layout, projects, registry, resolvers, trending
 from gaugeweave.plans.catalog import query
 from gaugeweave.plans.constructed import _orders, _text
 from gaugeweave.plans.more import _cache
@@ -242,6 +242,22 @@ def cache_freshness(spark, d):
 
 
 
+# curves of any length
+@query("""WITH p AS (SELECT event_type AS run, value::DOUBLE AS y, event_id AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events WHERE value IS NOT NULL)
+SELECT *, lead(first_x) OVER (PARTITION BY run ORDER BY chunk_no) AS next_x FROM (SELECT run, (n // 100)::BIGINT AS chunk_no, count(*)::INTEGER AS n_points, min(x)::DOUBLE AS first_x, sum(y) AS y FROM p GROUP BY 1, 2)""")
+def td_curve_chunks(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("x"), F.col("value").alias("y"))
+    c = trending.curve_chunks(e, ["run"], "x", "y", "x", 100)
+    return c.select("run", "chunk_no", "n_points", F.col("x")[0].alias("first_x"), F.aggregate("y", F.lit(0.0), lambda s, v: s + v).alias("y"), "next_x")
+
+
+@query("SELECT event_type AS run, count(*)::INTEGER AS n_points, arg_min(value, event_id)::DOUBLE AS first_y, arg_max(value, event_id)::DOUBLE AS last_y FROM events WHERE value IS NOT NULL GROUP BY 1")
+def td_curves_assembled(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("x"), F.col("value").alias("y"))
+    whole = trending.assembled(trending.curve_chunks(e, ["run"], "x", "y", "x", 100), ["run"])
+    return whole.select("run", "n_points", F.col("y")[0].alias("first_y"), F.element_at("y", -1).alias("last_y"))
+
+
 # geometry of pages
 def _tokens(spark, d):
     """A page for each order: six words in two lines, the fourth far to the right; the last repeats the fifth with less confidence."""
