@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from gaugeweave.functions import identities as I
 from gaugeweave.functions import scalars as S
 from gaugeweave.operators import metadata as M
+from gaugeweave.shared import durable
 
 #: The fields that metadata may hold, and the labels by which each is found.
 FIELDS = ("program_title", "asset_type", "asset_specific_type", "serial_number", "part_number", "revision", "test_date", "report_date", "document_type", "document_type_acronym", "vendor", "acceptance_test_plan_number")
@@ -106,27 +107,48 @@ def _bar_cells(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("|")), cells).otherwise(F.array().cast("array<string>"))
 
 
-def label_value(lines: Column, label: str) -> Column:
-    """What stands behind a label: in the second cell of a table row whose first cell is like it, else after : or - on the line that has it, else on the next line."""
-    low, word = F.lit(label.lower()), rf"(?i)\b{re.escape(label.lower())}\b"
+def parsed_lines(lines: Column) -> Column:
+    """Of each line what labels are looked up in: the line and its lower case, a table row's first cell in lower case and its second, what stands behind the first : or -, and the next line if it is text."""
 
-    def found(line: Column, i: Column) -> Column:
-        cells, none = _bar_cells(line), F.lit(None).cast("string")
-        key = F.lower(F.get(cells, F.lit(0)))
-        like = (key == low) | F.contains(key, low) | F.contains(low, key)
-        tail = F.when(F.contains(line, F.lit(":")), F.regexp_replace(line, "^[^:]*:", "")).when(F.contains(line, F.lit("-")), F.regexp_replace(line, "^[^-]*-", "")).otherwise(F.regexp_replace(line, f"(?i){re.escape(label)}", ""))
+    def parsed(line: Column, i: Column) -> Column:
+        cells = _bar_cells(line)
+        tail = F.when(F.contains(line, F.lit(":")), F.regexp_replace(line, "^[^:]*:", "")).when(F.contains(line, F.lit("-")), F.regexp_replace(line, "^[^-]*-", ""))
         below = F.get(lines, i + 1)
         next_ = F.when(below.isNotNull() & ~F.startswith(below, F.lit("+")) & ~F.contains(below, F.lit("|")), below)
-        value = F.when(F.size(cells) > 0, F.get(cells, F.lit(1))).otherwise(F.coalesce(F.nullif(S.strip(tail), F.lit("")), next_))
-        stop = F.when(F.size(cells) > 0, like).otherwise(line.rlike(word) & value.isNotNull())
-        return F.when(stop, F.struct(F.lit(True).alias("stop"), F.coalesce(value, none).alias("value")))
+        return F.struct(line.alias("line"), F.lower(line).alias("low"), F.lower(F.get(cells, F.lit(0))).alias("key"), F.get(cells, F.lit(1)).alias("second"), S.strip(tail).alias("tail"), next_.alias("next"))
+
+    return F.transform(lines, parsed)
+
+
+def value_behind(parsed: Column, label: str) -> Column:
+    """As :func:`label_value`, in lines that have been parsed."""
+    low, word = F.lit(label.lower()), rf"(?i)\b{re.escape(label.lower())}\b"
+
+    def found(x: Column) -> Column:
+        row = x["key"].isNotNull()
+        like = (x["key"] == low) | F.contains(x["key"], low) | F.contains(low, x["key"])
+        tail = F.coalesce(x["tail"], S.strip(F.regexp_replace(x["line"], f"(?i){re.escape(label)}", "")))
+        value = F.when(row, x["second"]).otherwise(F.coalesce(F.nullif(tail, F.lit("")), x["next"]))
+        # most lines don't hold the label at all, which is told without a pattern
+        stop = F.when(row, like).otherwise(F.contains(x["low"], low) & x["line"].rlike(word) & value.isNotNull())
+        return F.when(stop, F.struct(F.lit(True).alias("stop"), value.alias("value")))
+
+    return F.try_element_at(F.filter(F.transform(parsed, found), lambda x: x.isNotNull()), F.lit(1))["value"]
+
+
+def label_value(lines: Column, label: str) -> Column:
+    """What stands behind a label: in the second cell of a table row whose first cell is like it, else after : or - on the line that has it, else on the next line."""
+    return value_behind(parsed_lines(lines), label)
+
 
-    return F.try_element_at(F.filter(F.transform(lines, found), lambda x: x.isNotNull()), F.lit(1))["value"]
+def first_value(parsed: Column, labels: list[str]) -> Column:
+    """The value of the first label that has one, in lines that have been parsed."""
+    return F.coalesce(*(F.nullif(value_behind(parsed, x), F.lit("")) for x in labels)) if labels else F.lit(None).cast("string")
 
 
 def first_label_value(lines: Column, labels: list[str]) -> Column:
     """The value of the first label that has one."""
-    return F.coalesce(*(F.nullif(label_value(lines, x), F.lit("")) for x in labels)) if labels else F.lit(None).cast("string")
+    return first_value(parsed_lines(lines), labels)
 
 
 def program_title(lines: Column) -> Column:
@@ -216,21 +238,22 @@ def text_metadata(docs: DataFrame, allowed: dict[str, DataFrame], labels: dict[s
     """
     labels = labels or LABELS
     strict = ("program_title", "vendor", "asset_type", "asset_specific_type", "part_number", "acceptance_test_plan_number")
-    lines = lines_of(F.col(text))
-    base = docs.select(key, path, text, lines.alias("_lines"))
+    # texts are parsed and looked up once; what the fields need is narrow, but for the first pages, whose length is bounded
+    base = docs.select(key, path, text, lines_of(F.col(text)).alias("_lines")).withColumn("_parsed", parsed_lines(F.col("_lines")))
     serial = F.upper(F.regexp_extract(F.array_join(F.slice("_lines", 1, 200), "\n"), r"(?i)\bSN\d+\b", 0))
-    plain = base.select(
-        key,
+    used = [f for f in strict if f in allowed]
+    found = durable(base.select(
+        key, path, first_pages(F.col(text)).alias("_pages"),
         F.nullif(serial, F.lit("")).alias("serial_number"),
-        S.revision(first_label_value(F.col("_lines"), labels["revision"])).alias("revision"),
-        found_date(first_label_value(F.col("_lines"), labels["test_date"])).alias("test_date"),
+        S.revision(first_value(F.col("_parsed"), labels["revision"])).alias("revision"),
+        found_date(first_value(F.col("_parsed"), labels["test_date"])).alias("test_date"),
         report_date(F.col("_lines"), labels["report_date"]).alias("report_date"),
-    )
-    out = plain
+        *(first_value(F.col("_parsed"), labels[f]).alias(f"_{f}") for f in used),
+    ))
+    out = found.select(key, "serial_number", "revision", "test_date", "report_date")
     for f in strict:
         if f in allowed:
-            labelled = base.select(key, path, first_pages(F.col(text)).alias("_pages"), first_label_value(F.col("_lines"), labels[f]).alias("_value"))
-            got = M.strict_field(labelled, allowed[f].select("canonical", "alias"), key, ["_value", "_pages"], path)
+            got = M.strict_field(found.select(key, path, "_pages", F.col(f"_{f}").alias("_value")), allowed[f].select("canonical", "alias"), key, ["_value", "_pages"], path)
             out = out.join(got.withColumnRenamed("canonical", f), key, "left")
         else:
             out = out.withColumn(f, F.lit("Unknown"))
