@@ -398,3 +398,50 @@ def population_sentences(spark, d):
     names = [r.n_name for r in table(spark, d, "nation").filter("n_regionkey = 1").collect()]
     rules = resolvers.population_rules({"programs": names}, {"program_title": ("programs",)})
     return spark.createDataFrame([(resolvers.population_description(rules),)], "shown string")
+
+
+# grids and lines of a page, by the helpers that work on one page at a time
+def _pages(spark, d):
+    return _orders(spark, d).select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), F.col("k"), F.col("c"))
+
+
+@query("""SELECT o_orderkey AS doc_id, 3 AS bands, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 4 END AS columns, 3 AS rows, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS parts, CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 13 END AS corners, 6 AS cells, 7 AS drawn, 7 AS copied,
+  'c' || o_custkey AS text, [105.0, 300.0]::DOUBLE[] AS means, [105.0, 300.0]::DOUBLE[] AS halves FROM orders""")
+def page_grids(spark, d):
+    """A table of three rows whose last one has other columns where the key is odd: bands, bounds, rows, parts, corners, the cells made of them, and both drawings."""
+
+    def parts(pdf):
+        k, c = int(pdf["k"].iloc[0]), int(pdf["c"].iloc[0])
+        inner = [100.0, 100.0, 60.0 if k % 2 else 100.0]
+        cells = [(x0, 40.0 * r, x1, 40.0 * r + 40) for r, x in enumerate(inner) for x0, x1 in ((0.0, x), (x, 200.0))]
+        points = layout.corners([(x, y) for b in cells for x in (b[0], b[2]) for y in (b[1], b[3])])
+        flat = [(0.0, y, 200.0, y) for y in (0.0, 40.0, 80.0, 120.0)]
+        upright = [(x, b[1], x, b[3]) for b in cells for x in (b[0], b[2])]
+        texts = [f"c{c}", *"defgh"]
+        drawn = layout.ascii_table([texts[i : i + 2] for i in (0, 2, 4)]).split("\n")
+        copied = layout.ascii_replica(list(zip(cells, texts, strict=True))).split("\n")
+        shown = drawn[1].split("|")[1].strip() if f"c{c}" in copied[1] else ""
+        spots = [100.0, 110.0, 300.0]
+        return [(len(layout.row_bands(cells)), len(layout.column_bounds(cells)), len(layout.rows_by_centre(cells)), len(layout.split_by_lines(cells)), len(points), len(layout.cells_from_corners(points, flat, upright)), len(drawn), len(copied), shown, layout.merged_means(spots), layout.merged_halves(spots, 20.0))]
+
+    return layout._page_frame(_pages(spark, d), parts, "bands int, columns int, rows int, parts int, corners int, cells int, drawn int, copied int, text string, means array<double>, halves array<double>").drop("page")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Table 1 Leaks ' || o_custkey ELSE 'Summary ' || o_custkey END AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'Table 9' END AS other, 2 AS lines, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS bands, [true, false] AS standalone FROM orders""")
+def page_titles(spark, d):
+    """The line above a table and another that names one; lines that are one; a title and a subtitle on one baseline; single lines and running text."""
+    import numpy as np
+
+    def parts(pdf):
+        k, c = int(pdf["k"].iloc[0]), int(pdf["c"].iloc[0])
+        lines = [((0.0, 50.0, 120.0, 60.0), f"Table 1 Leaks {c}" if k % 2 == 0 else f"Summary {c}"), ((0.0, 400.0, 100.0, 410.0), "Table 9" if k % 3 == 0 else "nothing of the kind")]
+        found = layout.table_titles(lines, [(0.0, 70.0, 200.0, 200.0)])
+        other = [t for n, t, _ in found if n is None]
+        merged = layout.merged_lines([np.array([[0.0, 0, 20, 10]]), np.array([[30.0, 1, 50, 11]]), np.array([[0.0, 30, 20, 40]])])
+        tall = 30.0 if k % 2 == 0 else 10.0
+        line = np.array([[0.0, 0, 20, tall], [30.0, 0, 50, tall], [60.0, 0, 80, 10.0]]) + np.array([[0, 0, 0, 0], [0, 0, 0, 0], [0, 40, 0, 40]] if k % 2 == 0 else [[0] * 4] * 3)
+        bands = layout.height_bands(line, ["TITLE", "TWO", "small"])
+        alone = layout.standalone([[((0.0, 0.0, 50.0, 10.0), "A short line")], [((0.0, 20.0 * i, 300.0, 20.0 * i + 10), "a line of running text that goes on and on") for i in range(3)]])
+        return [(next(t for n, t, _ in found if n == 1), other[0] if other else None, len(merged), len(bands), alone)]
+
+    return layout._page_frame(_pages(spark, d), parts, "title string, other string, lines int, bands int, standalone array<boolean>").drop("page")
