@@ -445,3 +445,60 @@ def page_titles(spark, d):
         return [(next(t for n, t, _ in found if n == 1), other[0] if other else None, len(merged), len(bands), alone)]
 
     return layout._page_frame(_pages(spark, d), parts, "title string, other string, lines int, bands int, standalone array<boolean>").drop("page")
+
+
+# what remains of registries and settings
+@query("SELECT o_orderkey AS run, 'SN' || o_custkey AS serial FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_custkey NOT IN (1, 4)")
+def runs_pruned(spark, d):
+    """Registered runs whose folder is there with a result, without those of two serials."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_folder"), F.concat(F.lit("SN"), F.col("o_custkey").cast("string")).alias("serial"))
+    folders = o.filter("run_folder % 3 = 0").select(F.col("run_folder").alias("path"), (F.col("run_folder") % 2 == 0).alias("has_results"))
+    return registry.delete_runs(registry.prune_runs(o, folders.unionByName(folders)), ["SN1", "SN4"]).select(F.col("run_folder").alias("run"), "serial")
+
+
+@query("SELECT l_orderkey::VARCHAR AS serial, list_sort(list(DISTINCT 't' || (l_partkey % 23))) AS terms FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1")
+def terms_of_runs(spark, d):
+    """The distinct terms of each serial's results; rows that name another serial don't count."""
+    k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(k.alias("serial"), F.when(n == 2, "other").when(n == 3, F.concat(F.lit(" "), k)).alias("row_serial"), F.concat(F.lit(" T"), (F.col("l_partkey") % 23).cast("string")).alias("term_label"), F.when(n % 2 == 0, " ").alias("data_group"))
+    return registry.run_terms(rows).select("serial", F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("terms"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS path, c_custkey::VARCHAR AS term_label, s AS serial, CASE WHEN s = 'SN2' AND c_custkey % 5 = 0 THEN 'N/A' ELSE (c_custkey * CASE s WHEN 'SN1' THEN 1 ELSE 2 END)::VARCHAR END AS value FROM customer, (VALUES ('SN1'), ('SN2')) x(s) WHERE NOT (s = 'SN1' AND c_custkey % 7 = 0)")
+def master_sheets(spark, d):
+    """A master sheet for each nation, a row for each of its customers, in long form; a blank cell is none, N/A is text."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("path"), F.col("c_custkey").alias("k"), (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1).alias("excel_row"))
+    cell = lambda col, v: F.struct(F.lit(col).alias("excel_col"), v.alias("value"))
+    k = F.col("k")
+    body = c.select("path", "excel_row", F.explode(F.array(cell(1, _text(k)), cell(2, F.lit("g")), cell(3, F.when(k % 7 != 0, _text(k)).otherwise(" ")), cell(4, F.when(k % 5 == 0, "N/A").otherwise(_text(2 * k))))).alias("c"))
+    heads = c.select("path").distinct().select("path", F.lit(1).alias("excel_row"), F.explode(F.array(*(cell(i, F.lit(h)) for i, h in enumerate(("Term Label", "Data Group", "sn1", " SN2"), 1)))).alias("c"))
+    cells = heads.unionByName(body).select("path", F.lit("Master").alias("sheet"), "excel_row", "c.excel_col", "c.value")
+    return configs.master_rows(cells, "Master").select("path", "term_label", "serial", "value")
+
+
+@query("SELECT n_nationkey AS page, v AS variant_no, n_name || v AS text FROM nation, (VALUES (0), (1)) x(v)")
+def readings_in_sidecars(spark, d):
+    """A JSON file for each page with its cells read again."""
+    from gaugeweave.shared import new_folder
+
+    folder = new_folder(spark, "sidecars")
+    n = table(spark, d, "nation")
+    candidate = lambda v: F.struct(F.lit(v).alias("variant_idx"), F.concat("n_name", F.lit(str(v))).alias("text"))
+    cell = F.struct(F.lit(1).alias("row"), F.lit(2).alias("col"), F.array(candidate(0), candidate(1)).alias("candidates"))
+    n.select(F.col("n_nationkey").alias("page"), F.array(F.struct(F.lit(1).alias("table_idx"), F.array(cell).alias("cells"))).alias("tables"), F.col("n_nationkey").alias("part")).repartition("part").write.partitionBy("part").json(folder)
+    return configs.variant_readings(spark, folder).select("page", "variant_no", "text")
+
+
+@query("SELECT event_type AS run, (SELECT count(*) FROM (SELECT DISTINCT user_id % 7 FROM events)) AS terms, degree FROM (SELECT DISTINCT event_type FROM events), (VALUES (1), (2)) x(degree)")
+def fitted_equations(spark, d):
+    """Equations of polynomials through the counts of each event type: as many terms as coefficients, and the settings of the plots that ask for them."""
+    e = table(spark, d, "events")
+    n = e.select((F.col("user_id") % 7).alias("u")).distinct().count()
+    rows = []
+    for r in e.select("event_type").distinct().collect():
+        for degree in (1, 2):
+            plot = configs.plotter({"x": {"column": "a", "stat": "MAX"}, "y": {"column": "b"}, "fit": configs.tolerant_json(f'{{"degree": {degree}}}', {})}, 1)
+            shown = trending.equation([1.5] * (plot["fit"]["degree"] + 1))
+            good = shown.count("·x") == plot["fit"]["degree"] and plot["stats"] == ["max"] and configs.tolerant_json("[1", []) == []
+            rows.append((r.event_type, n if good else -1, degree))
+    return spark.createDataFrame(rows, "run string, terms long, degree int")
