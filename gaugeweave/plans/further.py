@@ -259,29 +259,34 @@ def td_curves_assembled(spark, d):
 
 
 # geometry of pages
+def _sheets(spark, d):
+    """A page for each supplier: what follows looks at one page at a time."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_nationkey").cast("long").alias("c")).repartition(spark.sparkContext.defaultParallelism)
+
+
 def _tokens(spark, d):
-    """A page for each order: six words in two lines, the fourth far to the right; the last repeats the fifth with less confidence."""
+    """A page for each supplier: six words in two lines, the fourth far to the right; the last repeats the fifth with less confidence."""
     k = F.col("k")
     word = lambda n, x, y, text, conf: F.struct(F.lit(n).alias("token_id"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(float(x + 20)).alias("x1"), F.lit(float(y + 10)).alias("y1"), F.lit(text).alias("text"), F.lit(conf).alias("conf"))
     words = [word(1, 0, 10, "a", 0.9), word(2, 30, 11, "b", 0.9), word(3, 60, 10, "c", 0.9), word(4, 500, 12, "d", 0.9), word(5, 10, 300, "e", 0.9), word(6, 11, 301, "e", 0.5)]
-    t = _orders(spark, d).select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(*words)).alias("w")).select("doc_id", "page", "w.*")
+    t = _sheets(spark, d).select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(*words)).alias("w")).select("doc_id", "page", "w.*")
     return t.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
 
 
-@query("SELECT o_orderkey AS doc_id, unnest([1, 2, 3, 4, 5]) AS token_id, unnest([0, 0, 0, 1, 0])::BIGINT AS segment, unnest(['header', 'header', 'header', 'header', 'body']) AS zone FROM orders")
+@query("SELECT s_suppkey AS doc_id, unnest([1, 2, 3, 4, 5]) AS token_id, unnest([0, 0, 0, 1, 0])::BIGINT AS segment, unnest(['header', 'header', 'header', 'header', 'body']) AS zone FROM supplier")
 def tokens_in_segments(spark, d):
     """Repeated words dropped, lines found, wide gaps cut, header and footer told apart."""
     lines = geometry.text_lines(geometry.unique_tokens(_tokens(spark, d)))
     return geometry.header_footer(geometry.split_at_gaps(lines, 600.0), 600.0).select("doc_id", "token_id", "segment", "zone")
 
 
-@query("SELECT o_orderkey AS doc_id, unnest(['a b c d', 'e']) AS text, unnest([0, 1])::BIGINT AS paragraph FROM orders")
+@query("SELECT s_suppkey AS doc_id, unnest(['a b c d', 'e']) AS text, unnest([0, 1])::BIGINT AS paragraph FROM supplier")
 def page_paragraphs(spark, d):
     lines = geometry.line_texts(geometry.text_lines(geometry.unique_tokens(_tokens(spark, d))))
     return geometry.paragraphs(lines).select("doc_id", "text", "paragraph")
 
 
-@query("SELECT o_orderkey AS doc_id, unnest([1, 5]) AS token_id FROM orders UNION ALL SELECT o_orderkey, 9 FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT s_suppkey AS doc_id, unnest([1, 5]) AS token_id FROM supplier UNION ALL SELECT s_suppkey, 9 FROM supplier WHERE s_suppkey % 2 = 0")
 def suppressed_boxes(spark, d):
     """Of boxes that overlap by more than the ratio the larger stays."""
     t = _tokens(spark, d).filter("token_id in (1, 5, 6)")
@@ -290,17 +295,17 @@ def suppressed_boxes(spark, d):
     return geometry.suppressed(t.unionByName(far)).select("doc_id", "token_id")
 
 
-@query("SELECT o_orderkey AS doc_id, unnest([1, 2]) AS cell_id FROM orders UNION ALL SELECT o_orderkey, 3 FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT s_suppkey AS doc_id, unnest([1, 2]) AS cell_id FROM supplier UNION ALL SELECT s_suppkey, 3 FROM supplier WHERE s_suppkey % 2 = 0")
 def cells_without_containers(spark, d):
     """A cell that holds two others which cover it goes; one that holds a single other stays."""
     k = F.col("k")
     box = lambda n, x0, x1: F.struct(F.lit(n).alias("cell_id"), F.lit(float(x0)).alias("x0"), F.lit(0.0).alias("y0"), F.lit(float(x1)).alias("x1"), F.lit(20.0).alias("y1"))
     cells = F.when(k % 2 == 1, F.array(box(1, 0, 50), box(2, 50, 100), box(3, 0, 100))).otherwise(F.array(box(1, 0, 50), box(2, 200, 300), box(3, 0, 100)))
-    rows = _orders(spark, d).select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(cells).alias("c")).select("doc_id", "page", "c.*")
+    rows = _sheets(spark, d).select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(cells).alias("c")).select("doc_id", "page", "c.*")
     return geometry.without_containers(rows).select("doc_id", "cell_id")
 
 
-@query("SELECT o_orderkey AS doc_id, 'a b c d e e' AS text, 'abc d e' AS tight, 100.0::DOUBLE AS x1 FROM orders")
+@query("SELECT s_suppkey AS doc_id, 'a b c d e e' AS text, 'abc d e' AS tight, 100.0::DOUBLE AS x1 FROM supplier")
 def texts_of_cells(spark, d):
     """A cell's words with blanks, letters that stand close without, and coordinates of another resolution."""
     t = _tokens(spark, d).withColumn("line_no", (F.col("y0") > 100).cast("int"))
@@ -309,7 +314,7 @@ def texts_of_cells(spark, d):
     return layout.cell_text(t, ["doc_id"]).join(layout.cell_text(near, ["doc_id"], 0.3).withColumnRenamed("text", "tight"), "doc_id").join(wide, "doc_id")
 
 
-@query("SELECT o_orderkey AS doc_id, unnest([1, 2, 3, 4, 5, 6]) AS token_id, unnest(['a', CASE WHEN o_orderkey % 2 = 0 THEN 'B' ELSE 'b' END, 'c', 'd', 'e', 'e']) AS text FROM orders")
+@query("SELECT s_suppkey AS doc_id, unnest([1, 2, 3, 4, 5, 6]) AS token_id, unnest(['a', CASE WHEN s_suppkey % 2 = 0 THEN 'B' ELSE 'b' END, 'c', 'd', 'e', 'e']) AS text FROM supplier")
 def surer_readings(spark, d):
     t = _tokens(spark, d)
     again = t.filter("token_id = 2 or token_id = 3").select("doc_id", "page", "token_id", F.upper("text").alias("text"), F.when((F.col("token_id") == 2) & (F.col("doc_id") % 2 == 0), 0.95).otherwise(0.3).alias("conf"))
@@ -402,11 +407,11 @@ def population_sentences(spark, d):
 
 # grids and lines of a page, by the helpers that work on one page at a time
 def _pages(spark, d):
-    return _orders(spark, d).select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), F.col("k"), F.col("c"))
+    return _sheets(spark, d).select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), F.col("k"), F.col("c"))
 
 
-@query("""SELECT o_orderkey AS doc_id, 3 AS bands, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 4 END AS columns, 3 AS rows, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS parts, CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 13 END AS corners, 6 AS cells, 7 AS drawn, 7 AS copied,
-  'c' || o_custkey AS text, [105.0, 300.0]::DOUBLE[] AS means, [105.0, 300.0]::DOUBLE[] AS halves FROM orders""")
+@query("""SELECT s_suppkey AS doc_id, 3 AS bands, CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 4 END AS columns, 3 AS rows, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS parts, CASE WHEN s_suppkey % 2 = 0 THEN 12 ELSE 13 END AS corners, 6 AS cells, 7 AS drawn, 7 AS copied,
+  'c' || s_nationkey AS text, [105.0, 300.0]::DOUBLE[] AS means, [105.0, 300.0]::DOUBLE[] AS halves FROM supplier""")
 def page_grids(spark, d):
     """A table of three rows whose last one has other columns where the key is odd: bands, bounds, rows, parts, corners, the cells made of them, and both drawings."""
 
@@ -427,7 +432,7 @@ def page_grids(spark, d):
     return layout._page_frame(_pages(spark, d), parts, "bands int, columns int, rows int, parts int, corners int, cells int, drawn int, copied int, text string, means array<double>, halves array<double>").drop("page")
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Table 1 Leaks ' || o_custkey ELSE 'Summary ' || o_custkey END AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'Table 9' END AS other, 2 AS lines, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS bands, [true, false] AS standalone FROM orders""")
+@query("""SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Table 1 Leaks ' || s_nationkey ELSE 'Summary ' || s_nationkey END AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'Table 9' END AS other, 2 AS lines, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS bands, [true, false] AS standalone FROM supplier""")
 def page_titles(spark, d):
     """The line above a table and another that names one; lines that are one; a title and a subtitle on one baseline; single lines and running text."""
     import numpy as np

@@ -82,10 +82,10 @@ def backed_up_files(spark, d):
     return whole.groupBy("k").agg(F.max(F.when(~F.col("old"), F.col("value"))).alias("now"), F.max(F.when(F.col("old"), F.col("value"))).alias("before"))
 
 
-@query("SELECT p_partkey AS doc_id, p_brand AS vendor, p_size AS size FROM part")
+@query("SELECT s_suppkey AS doc_id, s_name AS vendor, s_nationkey AS size FROM supplier")
 def metadata_files(spark, d):
     folder = new_folder(spark, "metadata")
-    sinks.metadata_files(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("vendor"), F.col("p_size").alias("size")), folder)
+    sinks.metadata_files(table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("vendor"), F.col("s_nationkey").alias("size")), folder)
     return spark.read.text(folder).select(F.from_json("value", "doc_id long, metadata string").alias("r")).select("r.doc_id", F.from_json("r.metadata", "vendor string, size int").alias("m")).select("doc_id", "m.vendor", "m.size")
 
 
