@@ -274,7 +274,7 @@ def numbered_terms(terms: DataFrame) -> DataFrame:
     """(id, term, label, by_words, t) of terms (term and any further fields of :class:`Term`), durable."""
     have = set(terms.columns)
     fields = [(F.col(c) if c in have else F.lit(None)).cast("boolean" if c == "fuzzy" else "string").alias(c) for c in FIELDS]
-    t = terms.select(F.struct(*fields).alias("t"))
+    t = terms.select(F.struct(*fields).alias("t")).distinct()  # asked twice is asked once
     return durable(t.select(F.monotonically_increasing_id().alias("id"), "t.term", "t.label", F.coalesce("t.fuzzy", F.lit(False)).alias("by_words"), "t"))
 
 

@@ -152,6 +152,27 @@ def test_index_leaves_most_pairs_out(spark):
     assert {(i, i) for i in range(300)} <= {(r.doc, r.id) for r in got} and len(got) < 9000  # of 90,000
 
 
+def test_index_tells_long_numbered_names_apart(spark):
+    from gaugeweave.operators import termindex
+    from gaugeweave.shared import durable
+
+    name = "concat('Customer#', lpad(cast(id * 37 as string), 9, '0'))"
+    lines = spark.range(400).selectExpr("id as doc", f"concat('paid by ', {name}, ' ', cast(id as string)) as text")
+    cells = spark.range(400).selectExpr("id as doc", f"substr({name}, 2) as text")  # part of a name
+    terms = durable(spark.range(400).selectExpr("id", f"{name} as term", "'' as label", "false as by_words"))
+    for c, x in ((lines, None), (cells, None), (cells.limit(0), lines)):
+        got = {(r.doc, r.id) for r in termindex.candidates(c, x, terms).collect()}
+        assert {(i, i) for i in range(400)} <= got and len(got) < 1000  # of 160,000
+
+
+def test_a_name_asked_twice_is_found_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, None, ["torque 5"])], KIND)
+    asked = spark.createDataFrame([("torque",), ("torque",)], "term string")
+    for few in (64, 0):
+        monkeypatch.setattr(V, "FEW_TERMS", few)
+        assert [r.number for r in V.document_values(docs, asked).collect()] == [5.0]
+
+
 def test_acceptance_keys_equal_the_choice_among_all(spark):
     r = random.Random(9)
     names = [(r.randrange(12), " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 4)))) for _ in range(80)] + [(1, "Torque"), (1, "torque"), (2, None), (None, "torque")]
