@@ -334,8 +334,8 @@ def _report(spark, d):
     """Lines of a report for each order: a labelled table of a kind by the key, and a calibration table."""
     k = F.col("k")
     title = F.when(k % 4 == 0, "Leak Test").when(k % 4 == 1, "Cycle log").when(k % 4 == 2, "Raw excerpt").otherwise("Anything")
-    rule = F.lit("+------+------+")
-    row = lambda a, b: F.concat(F.lit("|"), F.rpad(a, 6, " "), F.lit("|"), F.rpad(b, 6, " "), F.lit("|"))
+    rule = F.lit("+------+--------------------+")
+    row = lambda a, b: F.concat(F.lit("|"), F.rpad(a, 6, " "), F.lit("|"), F.rpad(b, 20, " "), F.lit("|"))  # room for any long
     lines = F.array(F.lit("=== Page 1 ==="), F.lit("[TABLE_LABEL]"), title, rule, row(F.lit("Name"), F.lit("Value")), rule, row(F.lit("x"), _text(k)), rule, F.lit("text"), F.lit("[TABLE_LABEL]"), F.lit("Gauge calibration"), rule, row(F.lit("Item"), F.lit("Seen")), rule, row(F.lit("g1"), _text(F.col("c"))), rule)
     return _orders(spark, d).select(k.alias("doc_id"), F.posexplode(lines).alias("line_no", "text"))
 

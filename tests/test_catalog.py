@@ -58,3 +58,18 @@ def test_places_in_order_equal_sorting(spark):
     for x in got:
         s = sorted(v for k, v in rows if k == x.k)
         assert (x.n, x.low, x.high, x.a, x.b, x.c) == (len(s), s[0], s[-1], s[0], s[len(s) // 2], s[int(len(s) * 0.97)])
+
+
+def _with_large_keys(spark, sf, path, name, **keys):
+    """A table of the smallest size with its keys moved up by so much, in a folder of its own."""
+    t = spark.read.parquet(f"{sf}/{name}.parquet")
+    t.selectExpr(*(f"{c} + {keys[c]}L as {c}" if c in keys else c for c in t.columns)).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_drawn_tables_hold_keys_of_any_size(spark, sf, tmp_path):
+    d = _with_large_keys(spark, sf, tmp_path, "orders", o_orderkey=1_000_000_000_000, o_custkey=1_000_000_000_000)
+    rows = catalog.QUERIES["test_data_by_category"](spark, d).collect()
+    assert rows and all(r.value == str(r.doc_id) for r in rows)
+    o = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
+    assert {r.doc_id: r.seen for r in catalog.QUERIES["calibration_rows"](spark, d).collect()} == {k: str(c) for k, c in o.items()}
