@@ -189,3 +189,23 @@ def test_files_as_rows(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[-1].replace("%20", " ").removesuffix(".PDF"): (r.found_in, r.reason, r.has_token) for r in pdf.read_tokens(spark, f"file://{tmp_path}", "tag").collect()}
     assert {n: g[:2] for n, g in got.items() if CASES[n][1]} == {n: x for n, (c, x) in CASES.items() if c and x}
     assert all(g[2] == (g[0] is not None) for g in got.values())
+
+
+def test_regions_in_the_picture_row_and_one_look(spark):
+    """Regions as a column need no join of pictures, and one look finds what two find."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    rows = [(i, 90, 40, bytearray(np.where(r.random((40, 90)) < 0.03, 0, 255).astype(np.uint8).tobytes())) for i in range(6)] + [(7, 90, 40, None)]
+    for _, _, _, p in rows[:5]:
+        p[90 * 20 : 90 * 21] = bytes(90)
+    pages = spark.createDataFrame(rows, "page long, width int, height int, pixels binary")
+    regions = pages.select("page", F.lit("a").alias("region"), *(F.lit(float(v)).alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", 90), ("y1", 40), ("text_height", 8))))
+    inside = pages.join(regions.groupBy("page").agg(F.collect_list(F.struct(*regions.columns[1:])).alias("regions")), "page")
+    inside = spark.createDataFrame(inside.collect(), inside.schema)
+    plain = lambda df: sorted(map(repr, map(tuple, df.select(*sorted(df.columns)).collect())))
+    strokes, valleys = pixels.looked_at(inside, None, ["page"])
+    assert plain(strokes) == plain(pixels.strokes(pages, regions, ["page"])) == plain(pixels.strokes(inside, None, ["page"])) and not strokes.isEmpty()
+    assert plain(valleys) == plain(pixels.white_valleys(pages, regions, ["page"])) == plain(pixels.white_valleys(inside, None, ["page"])) and not valleys.isEmpty()
+    plan = pixels.rules(inside, None, ["page"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
