@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeweave.functions.scalars import overlap_share
+from gaugeweave.shared import durable, sized_join
 
 PAGE = ["doc_id", "page"]
 
@@ -218,13 +219,19 @@ def at_shares(rows: DataFrame, key: list[str], value: str, shares: dict[str, flo
     """(key, n, low, high, and a column for each share): the value at place floor(n * share), from 0, in order; exact, without a key's values in one place.
 
     A sketch of bounded size tells a narrow range that must hold each place (its error is at most n / accuracy); values below are counted and only the distinct
-    values inside are ordered.
+    values inside are ordered. Keys of few values need no sketch, so there are few sketches however many keys there are.
     """
     v = rows.filter(F.col(value).isNotNull())
     near = [min(1.0, max(0.0, s + d)) for s in shares.values() for d in (-2 / accuracy, 2 / accuracy)]
-    stats = v.groupBy(*key).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.percentile_approx(value, near, accuracy).alias("_b"))
-    lo = lambda i: F.when(F.lit(near[2 * i]) > 0, F.get("_b", F.lit(2 * i))).otherwise(F.col("low"))
-    hi = lambda i: F.when(F.lit(near[2 * i + 1]) < 1, F.get("_b", F.lit(2 * i + 1))).otherwise(F.col("high"))
+    stats = durable(v.groupBy(*key).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")))
+    large = durable(stats.filter(F.col("n") > 4 * accuracy).select(*key))
+    if large.isEmpty():
+        stats = stats.withColumn("_b", F.lit(None).cast(f"array<{dict(rows.dtypes)[value]}>"))
+    else:
+        sketches = sized_join(v, large, key, "left_semi").groupBy(*key).agg(F.percentile_approx(value, near, accuracy).alias("_b"))
+        stats = durable(stats.join(sketches, key, "left"))
+    lo = lambda i: F.coalesce(F.when(F.lit(near[2 * i]) > 0, F.get("_b", F.lit(2 * i))), F.col("low"))
+    hi = lambda i: F.coalesce(F.when(F.lit(near[2 * i + 1]) < 1, F.get("_b", F.lit(2 * i + 1))), F.col("high"))
     picks = F.array(*(F.struct(F.lit(name).alias("name"), lo(i).alias("lo"), hi(i).alias("hi"), F.floor(F.col("n") * s).alias("at")) for i, (name, s) in enumerate(shares.items())))
     wanted = stats.select(*key, F.explode(picks).alias("p")).select(*key, "p.*")
     met = v.select(*key, F.col(value).alias("_v")).groupBy(*key, "_v").agg(F.count("*").alias("_c")).join(wanted, key)

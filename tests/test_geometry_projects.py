@@ -105,3 +105,22 @@ def test_headers_and_pairs(spark):
     assert [r.role for r in roles] == ["value", "units", None]
     rows = spark.createDataFrame([(1, 1, t, r, c) for t, cs in {1: [["Test", "Criteria"], ["Leak", "<= 5"], ["Mass", "1 - 2"]], 3: [["Measured", "Units"], ["4", "sccm"]]}.items() for r, c in enumerate(cs, 1)], "doc_id long, page int, table_no long, row_no int, cells array<string>")
     assert [(r.term, r.requirement_raw, r.measured_raw) for r in extraction.paired_tables(rows).collect()] == [("Leak", "<= 5", "4")]
+
+
+def test_places_need_a_sketch_of_large_keys_only(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gaugeweave.operators import geometry
+
+    sketched = []
+    real = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: sketched.append(a) or real(*a))
+    few = spark.range(3000).selectExpr("id % 700 as k", "hash(id) % 50 as v")
+    both = few.unionByName(spark.range(900).selectExpr("-1L as k", "hash(id) % 50 as v"))
+    for rows, accuracy, sketches in ((few, 1000, 0), (both, 100, 1)):
+        want = {}
+        for r in rows.collect():
+            want.setdefault(r.k, []).append(r.v)
+        got = {r.k: (r.n, r.low, r.high, r.a, r.b) for r in geometry.at_shares(rows, ["k"], "v", {"a": 0.25, "b": 0.5}, accuracy).collect()}
+        assert got == {k: (len(v), min(v), max(v), sorted(v)[len(v) // 4], sorted(v)[len(v) // 2]) for k, v in want.items()}
+        assert len(sketched) == sketches
