@@ -24,3 +24,12 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **more: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a table whose layout is costly that one task takes at most, about.
+ROWS_A_TASK = 50_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table over all cores, as a small file would be one task, and in more parts the more rows there are, so that a task's share is bounded."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK)))
