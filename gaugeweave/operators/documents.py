@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeweave.functions import scalars as S
+from gaugeweave.shared import durable
 
 PAGE = r"^=== Page ([0-9]+) ===\s*$"
 SECTION = r"^\[([^\]]+)\]\s*$"
@@ -115,7 +116,7 @@ def acceptance_tests(lines: DataFrame, roles: dict[str, list[str]] | None = None
     Such a table has a term column, a requirement, value or limit column, and a sign of acceptance: a requirement, limits, units, a status, or a label that
     says so. Two columns of Field and Value are metadata. Without a requirement the limits are one.
     """
-    rows = table_rows(lines)
+    rows = durable(table_rows(lines))  # read four times below
     labels = rows.groupBy("doc_id", "table_no").agg(F.first("label", ignorenulls=True).alias("_label"), F.max(F.when(F.col("row_no") == 1, F.size("cells"))).alias("_width"), F.first(F.when(F.col("row_no") == 1, F.col("cells")), ignorenulls=True).alias("_heads"))
     at = column_roles(rows, roles, least).join(labels, ["doc_id", "table_no"])
     has = lambda *names: F.coalesce(*(F.col(f"at_{n}") for n in names)).isNotNull()

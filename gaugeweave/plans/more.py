@@ -8,7 +8,7 @@ from gaugeweave.functions import identities as I
 from gaugeweave.functions import scalars as S
 from gaugeweave.operators import cache, documents, grids, incremental, layout, registry, resolvers, values
 from gaugeweave.plans.catalog import query
-from gaugeweave.session import table
+from gaugeweave.session import dealt, table
 from gaugeweave.shared import new_folder
 
 
@@ -220,7 +220,7 @@ def drawn_rows(spark, d):
 # documents
 def _reports(spark, d):
     """A report for each order: a profile and an acceptance table, as lines. One small file would be one task, so rows are dealt over all cores first."""
-    o = table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism)
+    o = dealt(table(spark, d, "orders"))
     k = F.col("o_orderkey").cast("string")
     bar = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     q = F.round(F.col("o_totalprice")).cast("long").cast("string")

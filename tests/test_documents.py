@@ -153,3 +153,11 @@ def test_settings():
     assert readers.env_file("# c\nA=1\n\nB = 'x y'\nbad") == {"A": "1", "B": "x y"}
     assert readers.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert readers.split_dirs("Old; tmp,OLD") == {"old", "tmp"}
+
+
+def test_acceptance_rows_are_computed_once(spark):
+    text = ["=== Page 1 ===", "+--+--+", "| Parameter | Min | Max | Measured |", "| P | 1 | 5 | 3 |", "+--+--+"]
+    lines = spark.createDataFrame([(d, n, t) for d in range(3) for n, t in enumerate(text)], "doc_id long, line_no int, text string")
+    out = documents.acceptance_tests(lines)
+    assert sorted((r.doc_id, r.term, r.measured_value, r.computed_pass) for r in out.collect()) == [(d, "P", 3.0, True) for d in range(3)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
