@@ -101,39 +101,52 @@ def first_pages(text: Column, pages: int = 3, most: int = 800) -> Column:
     return F.array_join(F.slice(lines_of(head), 1, most), "\n")
 
 
+def _first_pages(text: Column, lines: Column, pages: int = 3, most: int = 800) -> Column:
+    """As :func:`first_pages`, of a text whose lines are known: most texts have no page behind."""
+    return F.when(F.contains(text, F.lit(f"=== Page {pages + 1} ===")), first_pages(text, pages, most)).otherwise(F.array_join(F.slice(lines, 1, most), "\n"))
+
+
 def _bar_cells(line: Column) -> Column:
     """The cells of a line with pipes that aren't blank; none of other lines."""
     cells = F.filter(F.transform(F.split(F.regexp_replace(S.strip(line), r"^\|+|\|+$", ""), r"\|"), lambda x: S.strip(x)), lambda x: x != "")
     return F.when(F.contains(line, F.lit("|")), cells).otherwise(F.array().cast("array<string>"))
 
 
+def _bind(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parsed_lines(lines: Column) -> Column:
-    """Of each line what labels are looked up in: the line and its lower case, a table row's first cell in lower case and its second, what stands behind the first : or -, and the next line if it is text."""
+    """Of each line what labels are looked up in: the line and its lower case, a table row's first cell in lower case and its second, and the next line if it is text."""
 
     def parsed(line: Column, i: Column) -> Column:
-        cells = _bar_cells(line)
-        tail = F.when(F.contains(line, F.lit(":")), F.regexp_replace(line, "^[^:]*:", "")).when(F.contains(line, F.lit("-")), F.regexp_replace(line, "^[^-]*-", ""))
         below = F.get(lines, i + 1)
         next_ = F.when(below.isNotNull() & ~F.startswith(below, F.lit("+")) & ~F.contains(below, F.lit("|")), below)
-        return F.struct(line.alias("line"), F.lower(line).alias("low"), F.lower(F.get(cells, F.lit(0))).alias("key"), F.get(cells, F.lit(1)).alias("second"), S.strip(tail).alias("tail"), next_.alias("next"))
+        return _bind(_bar_cells(line), lambda cells: F.struct(line.alias("line"), F.lower(line).alias("low"), F.lower(F.get(cells, F.lit(0))).alias("key"), F.get(cells, F.lit(1)).alias("second"), next_.alias("next")))
 
     return F.transform(lines, parsed)
 
 
+def _tail(line: Column, label: str) -> Column:
+    """What stands behind a line's first :, else behind its first -, else the line without the label."""
+    behind = F.when(F.contains(line, F.lit(":")), F.regexp_replace(line, "^[^:]*:", "")).when(F.contains(line, F.lit("-")), F.regexp_replace(line, "^[^-]*-", ""))
+    return S.strip(F.coalesce(behind, F.regexp_replace(line, f"(?i){re.escape(label)}", "")))
+
+
 def value_behind(parsed: Column, label: str) -> Column:
     """As :func:`label_value`, in lines that have been parsed."""
     low, word = F.lit(label.lower()), rf"(?i)\b{re.escape(label.lower())}\b"
 
-    def found(x: Column) -> Column:
-        row = x["key"].isNotNull()
+    def stop(x: Column) -> Column:
         like = (x["key"] == low) | F.contains(x["key"], low) | F.contains(low, x["key"])
-        tail = F.coalesce(x["tail"], S.strip(F.regexp_replace(x["line"], f"(?i){re.escape(label)}", "")))
-        value = F.when(row, x["second"]).otherwise(F.coalesce(F.nullif(tail, F.lit("")), x["next"]))
         # most lines don't hold the label at all, which is told without a pattern
-        stop = F.when(row, like).otherwise(F.contains(x["low"], low) & x["line"].rlike(word) & value.isNotNull())
-        return F.when(stop, F.struct(F.lit(True).alias("stop"), value.alias("value")))
+        said = F.contains(x["low"], low) & x["line"].rlike(word) & (x["next"].isNotNull() | (_tail(x["line"], label) != ""))
+        return F.when(x["key"].isNotNull(), like).otherwise(said)
 
-    return F.try_element_at(F.filter(F.transform(parsed, found), lambda x: x.isNotNull()), F.lit(1))["value"]
+    def value(x: Column) -> Column:
+        return F.when(x["key"].isNotNull(), x["second"]).otherwise(F.coalesce(F.nullif(_tail(x["line"], label), F.lit("")), x["next"]))
+
+    return _bind(F.try_element_at(F.filter(parsed, stop), F.lit(1)), value)
 
 
 def label_value(lines: Column, label: str) -> Column:
@@ -141,9 +154,20 @@ def label_value(lines: Column, label: str) -> Column:
     return value_behind(parsed_lines(lines), label)
 
 
-def first_value(parsed: Column, labels: list[str]) -> Column:
-    """The value of the first label that has one, in lines that have been parsed."""
-    return F.coalesce(*(F.nullif(value_behind(parsed, x), F.lit("")) for x in labels)) if labels else F.lit(None).cast("string")
+def first_value(parsed: Column, labels: list[str], low: Column | None = None, keys: Column | None = None) -> Column:
+    """The value of the first label that has one, in lines that have been parsed.
+
+    ``low`` (all lines in lower case) and ``keys`` (the rows' first cells in lower case) tell at once which labels no line can hold.
+    """
+
+    def of(label: str) -> Column:
+        value = F.get(F.filter(F.array(value_behind(parsed, label)), lambda v: v != ""), F.lit(0))
+        if low is None:
+            return value
+        name = F.lit(label.lower())
+        return F.when(F.contains(low, name) | F.exists(keys, lambda k: F.contains(name, k)), value)
+
+    return F.coalesce(*map(of, labels)) if labels else F.lit(None).cast("string")
 
 
 def first_label_value(lines: Column, labels: list[str]) -> Column:
@@ -222,45 +246,70 @@ def default_type(path: Column, acronyms: list[str]) -> Column:
     return want.cast("string")
 
 
+def _acronyms(allowed: DataFrame) -> list[str]:
+    return [r[0] for r in allowed.groupBy("canonical").agg(F.min("place").alias("p")).orderBy("p").select("canonical").collect()]
+
+
+def _or_default(found: Column, path: Column, acronyms: list[str]) -> Column:
+    return F.when(found == "Unknown", F.coalesce(default_type(path, acronyms), F.lit("Unknown"))).otherwise(found)
+
+
 def document_types(docs: DataFrame, allowed: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path") -> DataFrame:
     """(key, document_type): the longest alias in the first lines and pages, else in the file's name, else of a folder, else the default if it is allowed, else 'Unknown'."""
     blob = F.concat_ws("\n", F.array_join(F.slice(lines_of(F.col(text)), 1, 60), "\n"), I.stem(F.col(path)), first_pages(F.col(text)))
     found = M.strict_field(docs.select(key, path, blob.alias("_blob")), allowed.select("canonical", "alias"), key, ["_blob"], path)
-    acronyms = [r[0] for r in allowed.groupBy("canonical").agg(F.min("place").alias("p")).orderBy("p").select("canonical").collect()]
     both = docs.select(key, path).join(found, key, "left")
-    return both.select(key, F.when(F.col("canonical") == "Unknown", F.coalesce(default_type(F.col(path), acronyms), F.lit("Unknown"))).otherwise(F.col("canonical")).alias("document_type"))
+    return both.select(key, _or_default(F.col("canonical"), F.col(path), _acronyms(allowed)).alias("document_type"))
+
+
+STRICT = ("program_title", "vendor", "asset_type", "asset_specific_type", "part_number", "acceptance_test_plan_number")
 
 
 def text_metadata(docs: DataFrame, allowed: dict[str, DataFrame], labels: dict[str, list[str]] | None = None, key: str = "doc_id", text: str = "text", path: str = "path") -> DataFrame:
     """(key, fields...) of documents (key, path, text): strict fields by allowlist (label's value, first pages, file name, folders), the others by label; 'Unknown' where nothing is found.
 
-    ``allowed`` has a table (canonical, alias, acronym, place) for each strict field; a field without one is 'Unknown'.
+    ``allowed`` has a table (canonical, alias, acronym, place) for each strict field; a field without one is 'Unknown'. Where all lists are short, every field is a
+    column of its document's row, which stays where it is; long lists are joined.
     """
     labels = labels or LABELS
-    strict = ("program_title", "vendor", "asset_type", "asset_specific_type", "part_number", "acceptance_test_plan_number")
-    # texts are parsed and looked up once; what the fields need is narrow, but for the first pages, whose length is bounded
-    base = docs.select(key, path, text, lines_of(F.col(text)).alias("_lines")).withColumn("_parsed", parsed_lines(F.col("_lines")))
+    used = [f for f in STRICT if f in allowed]
+    # each step is read more than once by the next, so it stays a projection of its own and is computed once
+    base = docs.select(F.col(key).alias("_key"), F.col(path).alias("_path"), F.col(text).alias("_text"), lines_of(F.col(text)).alias("_lines"))
+    base = base.withColumns({"_parsed": parsed_lines(F.col("_lines")), "_low": F.lower(F.array_join("_lines", "\n")), "_pages": _first_pages(F.col("_text"), F.col("_lines"))})
+    keys = F.when(F.contains("_low", F.lit("|")), F.filter(F.transform("_parsed", lambda x: x["key"]), lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
+    base = base.withColumn("_keys", keys)
+    looked = {f"_{f}": first_value(F.col("_parsed"), labels[f], F.col("_low"), F.col("_keys")) for f in (*used, "revision", "test_date")}
     serial = F.upper(F.regexp_extract(F.array_join(F.slice("_lines", 1, 200), "\n"), r"(?i)\bSN\d+\b", 0))
-    used = [f for f in strict if f in allowed]
-    found = durable(base.select(
-        key, path, first_pages(F.col(text)).alias("_pages"),
-        F.nullif(serial, F.lit("")).alias("serial_number"),
-        S.revision(first_value(F.col("_parsed"), labels["revision"])).alias("revision"),
-        found_date(first_value(F.col("_parsed"), labels["test_date"])).alias("test_date"),
-        report_date(F.col("_lines"), labels["report_date"]).alias("report_date"),
-        *(first_value(F.col("_parsed"), labels[f]).alias(f"_{f}") for f in used),
-    ))
-    out = found.select(key, "serial_number", "revision", "test_date", "report_date")
-    for f in strict:
-        if f in allowed:
-            got = M.strict_field(found.select(key, path, "_pages", F.col(f"_{f}").alias("_value")), allowed[f].select("canonical", "alias"), key, ["_value", "_pages"], path)
-            out = out.join(got.withColumnRenamed("canonical", f), key, "left")
+    top = F.array_join(F.slice("_lines", 1, 60), "\n")
+    base = base.select("_key", "_path", "_pages", "_lines", top.alias("_top"), F.nullif(serial, F.lit("")).alias("serial_number"), *(c.alias(n) for n, c in looked.items()))
+    plain = {"revision": S.revision(F.col("_revision")), "test_date": found_date(F.col("_test_date")), "report_date": report_date(F.col("_lines"), labels["report_date"])}
+    lists = {f: M.short_lists(allowed[f].select("canonical", "alias")) for f in (*used, *(f for f in ("document_type",) if f in allowed))}
+    if all(x is not None for x in lists.values()):
+        words = {"_name": M.file_name(F.col("_path")), "_stem": I.stem(F.col("_path")), "_pages": F.col("_pages")} | {f"_{f}": F.col(f"_{f}") for f in used}
+        out = base.withColumns(plain).withColumns({n: M.words_of(c) for n, c in words.items()} | {"_top": F.when(F.col("_top") == F.col("_pages"), None).otherwise(M.words_of(F.col("_top")))})
+        blob = M.spaced_words(F.coalesce("_top", "_pages"), F.col("_stem"), F.col("_pages"))
+        out = out.withColumns({n: M.spaced_words(F.col(n)) for n in words} | {"_blob": blob})
+        of = lambda f, *texts: M.field_in_place([F.col(t) for t in (*texts, "_name")], F.col("_path"), lists[f])
+        out = out.withColumns({f: of(f, f"_{f}", "_pages") if f in allowed else F.lit("Unknown") for f in STRICT})
+        if "document_type" in allowed:
+            out = out.withColumn("document_type", of("document_type", "_blob"))
+            out = out.withColumn("document_type", _or_default(F.col("document_type"), F.col("_path"), _acronyms(allowed["document_type"])))
         else:
-            out = out.withColumn(f, F.lit("Unknown"))
-    if "document_type" in allowed:
-        out = out.join(document_types(docs, allowed["document_type"], key, text, path), key, "left")
+            out = out.withColumn("document_type", F.lit("Unknown"))
+        out = out.withColumnRenamed("_key", key)
     else:
-        out = out.withColumn("document_type", F.lit("Unknown"))
+        found = durable(base.withColumns(plain).drop("_lines", "_top").withColumnRenamed("_key", key))
+        out = found.select(key, "serial_number", *plain)
+        for f in STRICT:
+            if f in allowed:
+                got = M.strict_field(found.select(key, "_path", "_pages", f"_{f}"), allowed[f].select("canonical", "alias"), key, [f"_{f}", "_pages"], "_path")
+                out = out.join(got.withColumnRenamed("canonical", f), key, "left")
+            else:
+                out = out.withColumn(f, F.lit("Unknown"))
+        if "document_type" in allowed:
+            out = out.join(document_types(docs, allowed["document_type"], key, text, path), key, "left")
+        else:
+            out = out.withColumn("document_type", F.lit("Unknown"))
     out = out.withColumn("document_type_acronym", F.col("document_type"))
     return out.select(key, *(F.coalesce(F.nullif(F.col(f), F.lit("")), F.lit("Unknown")).alias(f) for f in FIELDS))
 
@@ -273,11 +322,17 @@ def found_date(c: Column) -> Column:
 def report_date(lines: Column, labels: list[str], near: int = 3, top: int = 40) -> Column:
     """The first date on or within ``near`` lines below a line that names a label, else the first in the top lines."""
     named = "(?i)" + "|".join(map(re.escape, labels))
-    dated = F.transform(lines, lambda x, i: F.struct(i.alias("i"), found_date(x).alias("d"), x.rlike(named).alias("n")))
-    near_label = F.filter(dated, lambda x: x.d.isNotNull() & F.exists(dated, lambda y: y.n & (x.i >= y.i) & (x.i <= y.i + near))) if labels else F.array()
-    early = F.filter(F.slice(dated, 1, top), lambda x: x.d.isNotNull())
-    first = F.try_element_at(early, F.lit(1))["d"]
-    return F.coalesce(F.try_element_at(near_label, F.lit(1))["d"], first) if labels else first
+    dated = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(F.contains(x, F.lit("20")), found_date(x)).alias("d"), x.rlike(named).alias("n")))
+
+    def first(dated: Column) -> Column:
+        early = F.filter(F.slice(dated, 1, top), lambda x: x.d.isNotNull())
+        if not labels:
+            return F.try_element_at(early, F.lit(1))["d"]
+        above = lambda i: F.slice(dated, F.greatest(i + 1 - near, F.lit(1)), F.least(i + 1, F.lit(near + 1)))
+        near_label = F.filter(dated, lambda x: x.d.isNotNull() & F.exists(above(x.i), lambda y: y.n))
+        return F.coalesce(F.try_element_at(near_label, F.lit(1))["d"], F.try_element_at(early, F.lit(1))["d"])
+
+    return _bind(dated, first)
 
 
 def sheet_metadata(cells: DataFrame, labels: dict[str, list[str]] | None = None, sheets: int = 6, rows: int = 120, cols: int = 30, key: str = "doc_id") -> DataFrame:

@@ -150,3 +150,17 @@ def test_short_and_long_lists_give_the_same(spark, monkeypatch):
         monkeypatch.setattr(M, "ALIASES_IN_PLACE", most)
         got.append([sorted(map(tuple, M.allowlist(docs, table, "doc_id", "text").collect())), sorted(map(tuple, M.strict_field(docs, table, "doc_id", ["text"], "path").collect()))])
     assert got[0] == got[1] and dict(got[0][1]) == {1: "A", 2: "A", 3: "C", 4: "B", 5: "C", 6: "A"}
+
+
+def test_metadata_by_short_lists_stays_in_place_and_equals_that_by_long_ones(spark, monkeypatch):
+    from gaugeweave.operators import metadata as M
+
+    texts = [TEXT, None, "", "part | x", "| Vendor of | acme |\n| sn | SN1 |", "Vendor\n+---+\nvendor -\nOther Inc", "| v |\nvendor: | acme", "Rev: |", "20\nreport date\n\n1\n2\n2024-1-2\n2023-1-1", "test_data of star_link\n" + "line\n" * 900 + "vendor: acme"]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate((p, t) for p in ("/data/Valve/eidp/my_pump.pdf", "x.xlsx", None) for t in texts)], "doc_id long, path string, text string")
+    got = []
+    for most in (200, 1):
+        monkeypatch.setattr(M, "ALIASES_IN_PLACE", most)
+        got.append(R.text_metadata(docs, allowed(spark)))
+    assert sorted(map(tuple, got[0].collect())) == sorted(map(tuple, got[1].collect()))
+    plan = got[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
