@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import sqlite3
+from collections.abc import Iterator
 from contextlib import closing
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gaugeweave.operators import registry
@@ -210,23 +213,26 @@ def terms_file(spark, d):
 
 # workbooks and databases
 def _files_of(rows, key, make):
-    """(path, content): a file for each key, made of its rows (few: one key's)."""
+    """(path, content): a file for each key, made of its rows in order, which come as a stream: a task holds a batch of them and the file."""
+    at = rows.columns.index(key)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(str(pdf[key].iloc[0]), make(pdf.sort_values(list(pdf.columns))))], columns=["path", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for value, group in groupby(every, key=itemgetter(at)):
+            yield pa.RecordBatch.from_arrays([pa.array([str(value)]), pa.array([make(group)], pa.binary())], names=["path", "content"])
 
-    return rows.groupBy(key).applyInPandas(run, "path string, content binary")
-
-
-def _workbook(pdf: pd.DataFrame) -> bytes:
-    return sinks.workbook_bytes({"Data": (list(pdf.columns), [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in pdf.itertuples(index=False)]), "Empty": (["a"], [])})
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_last(c) for c in (key, *(c for c in rows.columns if c != key))]
+    return rows.repartition(n, key).sortWithinPartitions(*order).mapInArrow(run, "path string, content binary")
 
 
 @query("SELECT c_nationkey::VARCHAR AS path, 'Data' AS sheet, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1)::INTEGER AS excel_row, c_custkey AS custkey, c_mktsegment AS segment FROM customer")
 def workbooks_read_back(spark, d):
     """A workbook for each nation, of its customers; cells come back in long form."""
     c = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
-    cells = readers.workbook_rows(_files_of(c, "c_nationkey", _workbook)).filter("sheet = 'Data' and excel_row > 1")
+    c_names = c.columns
+    book = lambda rows: sinks.workbook_bytes({"Data": (c_names, rows), "Empty": (["a"], [])})
+    cells = readers.workbook_rows(_files_of(c, "c_nationkey", book)).filter("sheet = 'Data' and excel_row > 1")
     wide = cells.groupBy("path", "sheet", "excel_row").agg(F.max(F.when(F.col("excel_col") == 2, F.col("value"))).cast("long").alias("custkey"), F.max(F.when(F.col("excel_col") == 3, F.col("value"))).alias("segment"))
     return wide
 
@@ -248,10 +254,10 @@ def workbook_files(spark, d):
 def databases_read_back(spark, d):
     """A database for each nation, of its suppliers."""
 
-    def make(pdf: pd.DataFrame) -> bytes:
+    def make(rows: Iterator[tuple]) -> bytes:
         with closing(sqlite3.connect(":memory:")) as c:
             c.execute("create table documents (id integer, title_norm text, balance real)")
-            c.executemany("insert into documents values (?, ?, ?)", [(int(r.s_suppkey), r.s_name, float(r.s_acctbal) if r.s_suppkey % 3 == 0 else None) for r in pdf.itertuples()])
+            c.executemany("insert into documents values (?, ?, ?)", ((key, name, balance if key % 3 == 0 else None) for _, key, name, balance in rows))
             c.commit()
             return c.serialize()
 

@@ -87,7 +87,7 @@ def merged(*layers: dict) -> dict:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
-_TAG = {name: f"{{{_NS['m']}}}{name}" for name in ("c", "v", "is", "t", "si", "row")}
+_TAG = {name: f"{{{_NS['m']}}}{name}" for name in ("c", "v", "is", "t", "si", "row", "sst", "sheetData")}
 
 
 def _shared_texts(z: zipfile.ZipFile) -> list[str]:
@@ -95,10 +95,13 @@ def _shared_texts(z: zipfile.ZipFile) -> list[str]:
     texts = []
     if "xl/sharedStrings.xml" in z.namelist():
         with z.open("xl/sharedStrings.xml") as f:
-            for _, e in ElementTree.iterparse(f):
-                if e.tag == _TAG["si"]:
+            table = None
+            for event, e in ElementTree.iterparse(f, ("start", "end")):
+                if event == "start":
+                    table = e if e.tag == _TAG["sst"] else table
+                elif e.tag == _TAG["si"]:
                     texts.append("".join(t.text or "" for t in e.iter(_TAG["t"])))
-                    e.clear()
+                    table.clear()  # the element, and that it was there
     return texts
 
 
@@ -110,8 +113,11 @@ def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS):
             target = targets[sheet.get(f"{{{_NS['r']}}}id")].lstrip("/")
             with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
-                for _, e in ElementTree.iterparse(f):
-                    if e.tag == _TAG["c"]:
+                data = None
+                for event, e in ElementTree.iterparse(f, ("start", "end")):
+                    if event == "start":
+                        data = e if e.tag == _TAG["sheetData"] else data
+                    elif e.tag == _TAG["c"]:
                         letters, digits = re.match("([A-Z]+)([0-9]+)", e.get("r")).groups()
                         col = 0
                         for x in letters:
@@ -121,7 +127,7 @@ def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                         if text is not None:
                             yield sheet.get("name"), int(digits), col, shared[int(text)] if e.get("t") == "s" else text
                     elif e.tag == _TAG["row"]:
-                        e.clear()
+                        data.clear()  # a row that stays, even empty, would make memory grow with the sheet
 
 
 #: Cells that go out of a task at once.

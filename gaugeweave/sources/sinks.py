@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,11 +147,12 @@ def sheet_names(names: list[str]) -> list[str]:
     return out
 
 
-def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
-    """An .xlsx file with a sheet for each (header, rows): numbers as numbers, lists and maps as JSON, the rest as text."""
+def workbook_bytes(sheets: dict[str, tuple[list[str], Iterable[tuple]]]) -> bytes:
+    """An .xlsx file with a sheet for each (header, rows): numbers as numbers, lists and maps as JSON, the rest as text. Rows may be a stream; what is held is the file."""
     import io
     import json
     import zipfile
+    from itertools import chain
     from xml.sax.saxutils import escape
 
     def cell(v: object) -> str:
@@ -173,8 +176,11 @@ def workbook_bytes(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
             def letters(k: int) -> str:
                 return (letters((k - 1) // 26) if k > 26 else "") + chr(65 + (k - 1) % 26)
 
-            body = "".join(f'<row r="{r}">' + "".join(cell(v).replace("<c", f'<c r="{letters(k)}{r}"', 1) for k, v in enumerate(row, 1)) + "</row>" for r, row in enumerate([header, *rows], 1))
-            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+            with z.open(f"xl/worksheets/sheet{n}.xml", "w", force_zip64=True) as f:
+                f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                for r, row in enumerate(chain([header], rows), 1):
+                    f.write((f'<row r="{r}">' + "".join(cell(v).replace("<c", f'<c r="{letters(k)}{r}"', 1) for k, v in enumerate(row, 1)) + "</row>").encode())
+                f.write(b"</sheetData></worksheet>")
     return out.getvalue()
 
 

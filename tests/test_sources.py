@@ -90,3 +90,21 @@ def test_streams(spark, tmp_path, sf):
     q = scans.windowed_metrics(stream, "ts", "event_type", "value").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select sum(n) from w").first()[0] == events.count()
+
+
+def test_a_workbook_is_written_and_read_as_a_stream():
+    """Memory doesn't grow with a sheet's rows: neither the rows, nor the sheet's text, nor its emptied elements are held."""
+    import tracemalloc
+
+    def peak(n):
+        rows = ((i, f"text {i} of the row") for i in range(n))
+        tracemalloc.start()
+        content = sinks.workbook_bytes({"s": (["k", "v"], rows)})
+        seen = sum(1 for _ in readers.workbook_cells(content))
+        top = tracemalloc.get_traced_memory()[1] - 3 * len(content)  # the file itself, and a copy of it
+        tracemalloc.stop()
+        assert seen == 2 * n + 2
+        return top
+
+    peak(10)  # modules are loaded
+    assert peak(20_000) < peak(2_000) + 500_000
