@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeweave.operators import orderstats
+from gaugeweave.shared import durable, sized_join
 
 STATS = ("mean", "min", "max", "median", "std", "count")
 
@@ -174,6 +177,58 @@ def spatial_join(tokens: DataFrame, cells: DataFrame, page: list[str], band: flo
     return joined.withColumn("overlap", overlap_share(box("t_"), box("c_"))).filter(F.col("overlap") >= least).drop("_band", "t_first", "c_first")
 
 
+#: Tokens and cells of a page and band that meet in one group at most, about.
+MEET = 4096
+
+
+def best_cells(tokens: DataFrame, cells: DataFrame, page: list[str], band: float, token: str, cell: str, least: float = 0.5, meet: int = MEET) -> DataFrame:
+    """(token, cell, overlap): :func:`best_cell` of :func:`spatial_join`, without the cell of a token's own number. ``least`` is above 0, numbers are whole.
+
+    No pair is kept: tokens and cells of a page and band are dealt into pairs of blocks of about ``meet`` rows, so that a group is of bounded size on pages of any
+    size; each group tells a token's best cell, and the best of these is the token's.
+    """
+    keys = [*page, "_band"]
+
+    def banded(df: DataFrame, p: str, name: str) -> DataFrame:
+        x0, y0, x1, y1 = box = [f"{p}{c}" for c in ("x0", "y0", "x1", "y1")]
+        whole = df.select(*(F.col(c).alias(c) for c in page), F.col(name).cast("long").alias("_id"), *(F.col(c).cast("double").alias(c) for c in box))
+        for c in ("_id", *box):
+            whole = whole.filter(F.col(c).isNotNull())  # dropna would drop NaN as well
+        return whole.withColumn("_band", F.explode(F.sequence(F.floor(F.col(y0) / band), F.floor(F.col(y1) / band))))
+
+    def best(t: pa.Table, c: pa.Table) -> pa.Table:
+        c = c.sort_by("_id")
+        ids, own = (x["_id"].to_numpy() for x in (t, c))
+        tb, cb = (np.stack([x[f"{p}{k}"].to_numpy() for k in ("x0", "y0", "x1", "y1")]) for x, p in ((t, "t_"), (c, "c_")))
+        area = ((tb[2] - tb[0]) * (tb[3] - tb[1]))[:, None]
+        more = lambda x: (x > 0) | np.isnan(x)  # noqa: E731  NaN is the largest number, as it is for Spark and SQL
+        at, share = np.zeros(len(ids), np.int64), np.full(len(ids), -1.0)
+        with np.errstate(all="ignore"):
+            for i in range(0, len(ids) if len(own) else 0, 64):
+                b = tb[:, i : i + 64, None]
+                w, h = np.fmin(b[2], cb[2]) - np.maximum(b[0], cb[0]), np.fmin(b[3], cb[3]) - np.maximum(b[1], cb[1])
+                s = w * h / area[i : i + 64]
+                s[np.isnan(s)] = np.inf
+                s[~(more(w) & more(h) & more(area[i : i + 64])) | (ids[i : i + 64, None] == own)] = -1
+                k = s.argmax(axis=1)  # the first of equals, so the smallest number
+                at[i : i + 64], share[i : i + 64] = k, s[np.arange(len(k)), k]
+        hit = np.flatnonzero(share >= least)
+        return pa.table({"_id": ids[hit], "_cell": own[at[hit]], "_share": share[hit]})
+
+    a, b = banded(tokens, "t_", token), banded(cells, "c_", cell)
+    counts = a.groupBy(*keys).count().unionByName(b.groupBy(*keys).count()).groupBy(*keys).agg(F.max("count").alias("_n")).filter(F.col("_n") > meet)
+    sizes = durable(counts.select(*keys, F.ceil(F.col("_n") / meet).cast("int").alias("_blocks")))
+    one = F.coalesce("_blocks", F.lit(1))
+    mine, every = F.pmod(F.xxhash64("_id"), one).cast("int"), F.explode(F.sequence(F.lit(0), one - 1))
+    a = sized_join(a, sizes, keys, "left").withColumn("_i", mine).withColumn("_j", every).drop("_blocks")
+    b = sized_join(b, sizes, keys, "left").withColumn("_j", mine).withColumn("_i", every).drop("_blocks")
+    n, group = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "_i", "_j"]
+    found = a.repartition(n, *group).groupBy(*group).cogroup(b.repartition(n, *group).groupBy(*group)).applyInArrow(best, "_id long, _cell long, _share double")
+    top = found.groupBy("_id").agg(F.max(F.struct("_share", (-F.col("_cell")).alias("_less"))).alias("_top"))
+    share = F.when(F.col("_top._share") == float("inf"), float("nan")).otherwise(F.col("_top._share"))
+    return top.select(F.col("_id").alias(token), (-F.col("_top._less")).alias(cell), share.alias("overlap"))
+
+
 def best_cell(assigned: DataFrame, token: list[str], cell: str) -> DataFrame:
     """The cell of the largest overlap for each token; the first cell on ties."""
     w = Window.partitionBy(*token).orderBy(F.desc("overlap"), cell)

@@ -414,8 +414,7 @@ def spatial_overlap(spark, d):
     x, y, page = F.get("embedding", F.lit(0)).cast("double"), F.get("embedding", F.lit(1)).cast("double"), F.col("vec_id") % 50
     tokens = e.select("vec_id", page.alias("page"), x.alias("t_x0"), y.alias("t_y0"), (x + 0.05).alias("t_x1"), (y + 0.05).alias("t_y1"))
     cells = e.select(F.col("vec_id").alias("cell"), page.alias("page"), x.alias("c_x0"), y.alias("c_y0"), (x + 0.2).alias("c_x1"), (y + 0.2).alias("c_y1"))
-    found = R.spatial_join(tokens, cells, ["page"], 0.25).filter("cell <> vec_id")
-    return R.best_cell(found, ["vec_id"], "cell").select("vec_id", "cell")
+    return R.best_cells(tokens, cells, ["page"], 0.25, "vec_id", "cell").select("vec_id", "cell")
 
 
 #: (a, b, score) of pairs(a, b, x, y): the longest common substring, the earliest in x and then in y, then the same left and right of it.

@@ -124,3 +124,21 @@ def test_places_need_a_sketch_of_large_keys_only(spark, monkeypatch):
         got = {r.k: (r.n, r.low, r.high, r.a, r.b) for r in geometry.at_shares(rows, ["k"], "v", {"a": 0.25, "b": 0.5}, accuracy).collect()}
         assert got == {k: (len(v), min(v), max(v), sorted(v)[len(v) // 4], sorted(v)[len(v) // 2]) for k, v in want.items()}
         assert len(sketched) == sketches
+
+
+def test_best_cells_equal_the_best_of_all_pairs(spark):
+    """Also where a page is dealt into many pairs of blocks, for ties, nulls, NaN and boxes without area; no window over pairs."""
+    from gaugeweave.operators import relational
+
+    nan = float("nan")
+    odd = [(900, 0, None, 0.1), (901, 0, nan, 0.1), (902, 1, 0.1, nan), (903, None, 0.1, 0.1), (None, 0, 0.1, 0.1)]
+    rows = spark.createDataFrame([(i, i % 2, (i * 37 % 101) / 50 - 1, (i * 53 % 97) / 50 - 1) for i in range(120)] * 2 + odd, "i long, page int, x double, y double")
+    box = lambda p, size: rows.select(F.col("i").alias("t" if p == "t_" else "cell"), "page", F.col("x").alias(f"{p}x0"), F.col("y").alias(f"{p}y0"), (F.col("x") + size).alias(f"{p}x1"), (F.col("y") + size).alias(f"{p}y1"))
+    tokens, cells = box("t_", 0.05), box("c_", 0.3).unionByName(box("c_", 0.0))
+    want = relational.best_cell(relational.spatial_join(tokens, cells, ["page"], 0.25).filter("cell <> t"), ["t"], "cell").select("t", "cell")
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) > 50
+    for meet in (4096, 7):
+        got = relational.best_cells(tokens, cells, ["page"], 0.25, "t", "cell", meet=meet)
+        assert sorted(map(tuple, got.select("t", "cell").collect())) == want
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
