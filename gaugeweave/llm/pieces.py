@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The lexicon: the commonest words of the corpus (at most ``lexicon_words``, of at most ``LONGEST`` characters). Every substring of
-a word of at most the longest piece's length is exploded and equi-joined to the piece table; the matches are the edges of the
-word's lattice, are grouped by word, and folded by Spark's higher-order ``aggregate``:
+Every substring of a word of at most the longest piece's length is exploded and equi-joined to the piece table; the matches are the edges of the
+word's lattice, are grouped by word, and folded. The words of the lexicon, which are the commonest of the corpus (at most ``lexicon_words``, of at most ``LONGEST``
+characters), are encoded once, and folded by Spark's higher-order ``aggregate``:
 
 * unigram models: Viterbi, the best score to each position, then the way back;
 * byte-pair models: best merge first, the edge of highest score (leftmost on ties) whose two halves are both symbols now.
   The public model at hand is of this kind. Its scores are merge ranks, and the sum that Viterbi maximises is not what defines
   its encoding, so only this fold gives the ids of the library.
 
-Words are runs up to a blank or a line end; no piece reaches over these, so a text's ids are its words' ids in order. Texts are
-encoded whole, in place, by looking words up in the lexicon, which is broadcast as its size is bounded; words beyond it are encoded by
-the model's own library in the task. So no text and no word occurrence is shuffled, only counts of distinct words.
-Characters without a piece become their bytes' pieces.
+Words are cut at blanks, at line ends, and between characters of different groups, where characters that stand side by side in a piece are of
+one group; no piece reaches over these cuts, so a text's ids are its words' ids in order. Texts are encoded whole, in place, by looking words up
+in the lexicon, which is broadcast as its size is bounded. Every other word of a text goes through the same lattice where the text is:
+it is exploded beside its text, joined to the piece table by broadcast (the table is a constant of the model), and its edges, which stay together
+as nothing is shuffled, are grouped by word and folded for many words at once. So the bound tells only where a word is folded, the model's library encodes nothing, and
+no text and no word occurrence is shuffled, only counts of distinct words. Characters without a piece become their bytes' pieces.
 
 Results for odd input: a null text has null ids and 0 tokens, an empty one no ids; ids decode to the same text, except that the
 blank symbol U+2581 of the model reads as a blank; equal rows get equal results; an empty table gives no rows; further columns
@@ -21,6 +23,7 @@ are ignored by :func:`encoded` except those asked for; texts are used whole.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +39,8 @@ from .storage import durable, text_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONGEST = 48
-WORDS = re.compile(r" *[^ \n]+| +|\n")
+#: Longer words are exploded in parts of so many characters (and as many more as a piece may need), so no row is long; and they are folded by a heap.
+PART = 256
 
 
 @dataclass(frozen=True)
@@ -61,6 +65,34 @@ class Pieces:
         kind = "bpe" if whole and all(s == int(s) for _, _, s in rows[:500]) else "unigram"
         return Pieces(rows, next(i for i in n if sp.is_byte(i)), kind, proto)
 
+    @property
+    def longest(self) -> int:
+        return max(len(p) for p, _, _ in self.rows)
+
+    @property
+    def unknown(self) -> float:
+        """The score at which Viterbi passes a character without a piece."""
+        return min(s for _, _, s in self.rows) - 10.0
+
+    def words(self) -> str:
+        """Pattern of the words of a text: blanks and the characters of one group after them. Those side by side in a piece are of one group."""
+        group: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while group.setdefault(c, c) != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        for p, _, _ in self.rows:
+            for a, b in zip(p, p[1:], strict=False):
+                if not {a, b} & {BLANK, " ", "\n"}:
+                    group[find(a)] = find(b)
+        groups: dict[str, str] = {}
+        for c in sorted(group):
+            groups[find(c)] = groups.get(find(c), "") + c
+        several = [re.escape(g) for g in sorted(groups.values(), key=len, reverse=True)]
+        return "|".join([*(f" *[{g}]+" for g in several), f" *[^ \n{''.join(several)}]", " +", "\n"])
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
@@ -101,7 +133,7 @@ def viterbi_fold(size: Column, edges: Column, unknown: float) -> Column:
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids) of distinct words: explode substrings, join the piece table, group edges by word, fold."""
     spark = words.sparkSession
-    longest = max(len(p) for p, _, _ in pieces.rows)
+    longest = pieces.longest
     shown = F.replace("word", F.lit(" "), F.lit(BLANK))
     grid = words.select("word", shown.alias("shown"), F.char_length("word").alias("size")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     grid = grid.withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("size"), F.col("s") + longest))))
@@ -109,7 +141,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     edges = parts.join(F.broadcast(pieces.frame(spark)), "piece", "left").filter("id is not null or (s = 0 and e = 1)")
     lattice = edges.groupBy("word", "shown", "size").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "score", "id"))).alias("edges"))
     size, of = F.col("size"), F.col("edges")
-    cuts = merge_fold(size, of) if pieces.kind == "bpe" else viterbi_fold(size, of, min(s for _, _, s in pieces.rows) - 10.0)
+    cuts = merge_fold(size, of) if pieces.kind == "bpe" else viterbi_fold(size, of, pieces.unknown)
 
     def ids(cuts: Column) -> Column:
         def of_symbol(i: Column) -> Column:
@@ -124,15 +156,17 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return lattice.withColumn("cuts", cuts).select("word", ids(F.col("cuts")).alias("ids"))
 
 
-def count_words(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:
+def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text", flush: int = 200_000) -> DataFrame:
     """(word, n) of all texts."""
+    pattern = pieces.words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        words = re.compile(pattern)
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update(WORDS.findall(" " + t.replace(BLANK, " ")))
+                    seen.update(words.findall(" " + t.replace(BLANK, " ")))
                 if len(seen) > flush:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
                     seen = Counter()
@@ -142,8 +176,8 @@ def count_words(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -
 
 
 def lexicon(docs: DataFrame, pieces: Pieces, lexicon_words: int = 1 << 17, text_col: str = "text") -> DataFrame:
-    """(word, ids) of the words that are common enough for at most ``lexicon_words`` to be."""
-    counts = durable(count_words(docs, text_col).filter((F.col("n") > 1) & (F.char_length("word") <= LONGEST)))
+    """(word, ids) of the words that are common enough for at most ``lexicon_words`` to be; :func:`encoded` takes all others through the lattice in place."""
+    counts = durable(count_words(docs, pieces, text_col).filter((F.col("n") > 1) & (F.char_length("word") <= LONGEST)))
     step = F.floor(F.log2("n") * 32)
     total, least = 0, None
     for bin_, n in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
@@ -155,52 +189,25 @@ def lexicon(docs: DataFrame, pieces: Pieces, lexicon_words: int = 1 << 17, text_
     return encode_words(chosen.select("word").repartition(64, "word"), pieces)
 
 
-def encoded(docs: DataFrame, pieces: Pieces | None = None, lexicon_words: int = 1 << 17, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with n_tokens, ids, and round_trip: whether the decoded ids are the text."""
-    pieces = pieces or Pieces.from_model()
-    known = lexicon(docs, pieces, lexicon_words, text_col).toArrow()
-    known_words, known_ids = known["word"].to_pylist(), known["ids"].combine_chunks() if known.num_rows else None
-    flat = known_ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32) if known_ids is not None else np.zeros(0, np.int32)
-    bounds = np.concatenate([[0], np.cumsum(known_ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) if known_ids is not None else np.zeros(1, np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((known_words, flat, bounds, pieces.proto, _piece_bytes(pieces)))
-    width = len(keep)
+def with_edges(docs: DataFrame, pieces: Pieces, lexicon: list[str], keep: tuple[str, ...], text_col: str, held: int = 1 << 17) -> DataFrame:
+    """The texts with their words' numbers, each after the lattice edges of those of its words that are not in ``lexicon``.
+
+    Rows of texts (_u = -1): ``keep`` (as _keep0 and so on), _text, and _k, the numbers of its words (32 bits each): places in ``lexicon``, or its length plus _u. Rows of edges:
+    _from holds _u, number of the word (counted within a task from 0, and anew after ``held`` words) and, in the lower 32 bits, its first character; _hit the size and the piece's id,
+    or -1 less the code point of a character without a piece. Rows are narrow, as each costs time on its way to Python by column (and null lists more than any).
+    No step shuffles, so rows keep their order, and a word's edges stay together.
+    """
+    spark, pattern, longest, width, n_known = docs.sparkSession, pieces.words(), pieces.longest, len(keep), len(lexicon)
+    shared = spark.sparkContext.broadcast(lexicon)
+    kept = [f"_keep{i}" for i in range(width)]
+    names = [*kept, "_text", "_k", "_u", "_at", "_part"]
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "number" not in cache:
-            import sentencepiece
-
-            words_, flat_, bounds_, proto, table = shared.value
-            size = max(table) + 1
-            cache.update(number={w: i for i, w in enumerate(words_)}, ids=flat_, bounds=bounds_, sp=sentencepiece.SentencePieceProcessor(model_proto=proto), rest={})
-            cache.update(shown=np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8), starts=np.concatenate([[0], np.cumsum([len(table.get(i, b"")) for i in range(size)])]))
-        number, ids, bounds_, shown, starts, sp, rest = (cache[k] for k in ("number", "ids", "bounds", "shown", "starts", "sp", "rest"))
-
-        def beyond(words_: list[str]) -> list[np.ndarray]:
-            new = [w for w in dict.fromkeys(words_) if w not in rest]
-            if len(rest) + len(new) > 100_000:
-                rest.clear()
-                new = list(dict.fromkeys(words_))
-            rest.update(zip(new, (np.array(x[2:], np.int32) for x in sp.encode(["\n" + w for w in new])), strict=True))
-            return [rest[w] for w in words_]
-
-        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """(ids of all texts, number of each)."""
-            found = [WORDS.findall(" " + t.replace(BLANK, " ")) for t in texts]
-            k = np.array([number.get(w, -1) for ws in found for w in ws], np.int64)
-            lengths = bounds_[k + 1] - bounds_[k]
-            missing = np.flatnonzero(k < 0)
-            flat_words = [w for ws in found for w in ws] if len(missing) else []
-            extra = beyond([flat_words[i] for i in missing])
-            lengths[missing] = [len(x) for x in extra]
-            ends = np.cumsum(lengths)
-            got = _ranges(ids if len(ids) else np.zeros(1, np.int32), np.where(k < 0, 0, bounds_[k]), lengths)
-            if len(missing):
-                flat_extra = np.concatenate(extra)
-                n = lengths[missing]
-                got[np.repeat(ends[missing] - np.cumsum(n), n) + np.arange(len(flat_extra))] = flat_extra
-            return got, np.add.reduceat(lengths, np.cumsum([0, *map(len, found[:-1])]))
-
+            cache.update(number={w: i for i, w in enumerate(shared.value)})
+        number, find = cache["number"], re.compile(pattern).findall
+        others: dict[str, int] = {}
         for b in batches:
             at = 0
             while at < b.num_rows:
@@ -209,19 +216,210 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, lexicon_words: int =
                     texts.append(b.column(width)[at].as_py())
                     size += len(texts[-1] or "")
                     at += 1
-                full = [i for i, t in enumerate(texts) if t]
-                n, ok, values = np.zeros(len(texts), np.int64), np.array([t == "" for t in texts]), np.zeros(0, np.int32)
-                if full:
-                    values, n[full] = encode([texts[i] for i in full])
-                    plain = _ranges(shown, starts[values], starts[values + 1] - starts[values]).tobytes()
-                    ends = np.cumsum(np.add.reduceat(starts[values + 1] - starts[values], np.concatenate([[0], np.cumsum(n[full])[:-1]])))
-                    for i, s, e in zip(full, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                        ok[i] = plain[s + 1 : e] == texts[i].encode()
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, pa.int32()), mask=pa.array([x is None for x in texts]))
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, at - first) for i in range(width)), pa.array(n, pa.int32()), lists, pa.array(ok)], names=[*keep, "n_tokens", "ids", "round_trip"])
+                if len(others) > held:
+                    others = {}
+                found = [find(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
+                flat = [w for ws in found for w in ws]
+                k = np.array([number.get(w, -1) for w in flat], np.int32)
+                missing, before = np.flatnonzero(k < 0).tolist(), len(others)
+                k[missing] = [n_known + others.setdefault(flat[i], len(others)) for i in missing]
+                new = list(others)[before:] if len(others) > before else []
+                parts = [(before + i, o, w[o : o + PART + longest - 1].replace(" ", BLANK)) for i, w in enumerate(new) for o in range(0, len(w), PART)]
+                n, m = len(parts), at - first
+                if n:
+                    u, o, part = zip(*parts, strict=True)
+                    empty = [pa.nulls(n, b.schema.field(i).type) for i in range(width)]
+                    yield pa.RecordBatch.from_arrays([*empty, pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(u, pa.int32()), pa.array(o, pa.int32()), pa.array(part, pa.string())], names=names)
+                ends = np.cumsum([0, *map(len, found)]).tolist()
+                numbers = pa.array([k[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, m) for i in range(width)), pa.array(texts, pa.string()), numbers, pa.array([-1] * m, pa.int32()), pa.array([0] * m, pa.int32()), pa.array([""] * m)], names=names)
+
+    types = dict(docs.dtypes)
+    schema = ", ".join(f"{n} {types[c]}" for n, c in zip(kept, keep, strict=True)) + ", _text string, _k binary, _u int, _at int, _part string"
+    rows = text_batches(docs).select(*(F.col(c).alias(n) for n, c in zip(kept, keep, strict=True)), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    last = F.greatest(F.least(F.char_length("_part"), F.lit(PART)) - 1, F.lit(0))  # a text's row has an empty part and stays one row
+    grid = rows.withColumn("_p", F.explode_outer(F.sequence(F.lit(0), last))).withColumn("_tail", F.substr("_part", F.col("_p") + 1, F.lit(longest)))
+    grid = grid.withColumn("_size", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.char_length("_tail"), F.lit(1))))).withColumn("_piece", F.substr("_tail", F.lit(1), F.col("_size")))
+    table = pieces.frame(spark).select(F.col("piece").alias("_piece"), F.col("id").alias("_id"))
+    edges = grid.join(F.broadcast(table), "_piece", "left").filter("_id is not null or _size = 1")
+    start = "shiftleft(cast(_u as long), 32) | (_at + _p) as _from"
+    return edges.selectExpr(*kept, "_text", "_k", start, "shiftleft(cast(_size as long), 32) | (coalesce(_id, -1 - ascii(_piece)) & 4294967295L) as _hit")
+
+
+def fold_words(u: np.ndarray, s: np.ndarray, size: np.ndarray, ids: np.ndarray, score: np.ndarray, pieces: tuple[str, int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of each) from the edges of whole words, in order of word, first character and size. Ids below 0: -1 less the code point of a character without a piece.
+
+    ``pieces``: kind, id of <0x00>, score of a character without a piece.
+    """
+    kind, first_byte, unknown = pieces
+    heads = np.flatnonzero(size == 1)  # one for each character
+    word = u - u[0]
+    chars = np.bincount(word[heads])
+    many = len(chars)
+    start = np.cumsum(chars) - chars + np.arange(many)  # each word has a slot for each character, and one for its end
+    dead = len(heads) + many
+    to = np.arange(1, dead + 2, dtype=np.int32)  # end of the symbol that begins here
+    to[start + chars] = to[dead] = dead
+    begin = (start[word] + s).astype(np.int32)
+    symbol = np.zeros(dead + 1, np.int32)
+    symbol[begin[heads]] = ids[heads]
+    if kind == "bpe":
+        long = chars > PART
+        pairs = np.flatnonzero((size > 1) & ~long[word])
+        pairs = pairs[np.lexsort((begin[pairs], -score[pairs], word[pairs]))]
+        _merge(word[pairs], begin[pairs], begin[pairs] + size[pairs], ids[pairs], to, symbol, many)
+        for w in np.flatnonzero(long):
+            mine = np.flatnonzero((size > 1) & (word == w))
+            _merge_long(begin[mine], begin[mine] + size[mine], ids[mine], score[mine], to, symbol)
+    else:
+        edges = np.split(np.arange(len(u)), np.flatnonzero(np.diff(word)) + 1)
+        for mine, at, n in zip(edges, start.tolist(), chars.tolist(), strict=True):
+            _best_path(s[mine].tolist(), size[mine].tolist(), ids[mine].tolist(), np.where(ids[mine] < 0, unknown, score[mine]).tolist(), at, n, to, symbol, dead)
+    begins = np.flatnonzero(to != dead)
+    got, number = symbol[begins], np.searchsorted(start, begins, "right") - 1
+    plain = np.flatnonzero(got < 0)
+    if len(plain):
+        codes = [chr(-1 - x).encode() for x in got[plain].tolist()]
+        times = np.ones(len(got), np.int64)
+        times[plain] = [len(c) for c in codes]
+        got, number, bare = (np.repeat(x, times) for x in (got, number, got < 0))
+        got[bare] = np.frombuffer(b"".join(codes), np.uint8).astype(np.int32) + first_byte
+    return got, np.bincount(number, minlength=many)
+
+
+def _merge(word: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, to: np.ndarray, symbol: np.ndarray, many: int) -> None:
+    """One merge of each word at a time: the first of its edges, best first, whose two halves are symbols."""
+    dead, live = len(to) - 1, np.ones(len(to), bool)
+    while len(word):
+        ready = np.flatnonzero(to[to[begin]] == end)
+        of = word[ready]
+        best = ready[np.flatnonzero(np.diff(of, prepend=-1))]
+        middle = to[begin[best]]
+        to[begin[best]], symbol[begin[best]], to[middle], live[middle] = end[best], ids[best], dead, False
+        on = np.zeros(many, bool)
+        on[of] = True
+        on = on[word] & live[begin] & live[end]
+        on[best] = False
+        word, begin, end, ids = word[on], begin[on], end[on], ids[on]
+
+
+def _merge_long(begin: np.ndarray, end: np.ndarray, ids: np.ndarray, score: np.ndarray, to: np.ndarray, symbol: np.ndarray) -> None:
+    """The same for one long word, by a heap of the edges whose halves are symbols."""
+    dead = len(to) - 1
+    edges = {(b, e): (-x, b, e, i) for b, e, x, i in zip(begin.tolist(), end.tolist(), score.tolist(), ids.tolist(), strict=True)}
+    heap = [x for (b, e), x in edges.items() if e - b == 2]
+    heapq.heapify(heap)
+    back: dict[int, int] = {}  # begin of the symbol that ends here, where it was merged
+    while heap:
+        _, b, e, i = heapq.heappop(heap)
+        middle = int(to[b])
+        if middle == dead or to[middle] != e:
+            continue
+        to[b], symbol[b], to[middle], back[e] = e, i, dead, b
+        for x in (edges.get((b, int(to[e]))), edges.get((back.get(b, b - 1), e))):
+            if x:
+                heapq.heappush(heap, x)
+
+
+def _best_path(s: list[int], size: list[int], ids: list[int], score: list[float], at: int, n: int, to: np.ndarray, symbol: np.ndarray, dead: int) -> None:
+    """Viterbi over one word, whose slots begin at ``at``: edges come by first character, whose best score is known by then."""
+    best: list = [(0.0, 0, -1), *[None] * n]
+    for b, k, i, x in zip(s, size, ids, score, strict=True):
+        way = (best[b][0] + x, b, i)
+        if best[b + k] is None or way > best[b + k]:
+            best[b + k] = way
+    to[at : at + n] = dead
+    while n:
+        _, b, i = best[n]
+        to[at + b], symbol[at + b], n = at + n, i, b
+
+
+def encoded(docs: DataFrame, pieces: Pieces | None = None, lexicon_words: int = 1 << 17, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), most_edges: int = 1 << 17) -> DataFrame:
+    """The columns ``keep`` with n_tokens, ids, and round_trip: whether the decoded ids are the text. Edges are folded when there are ``most_edges``, or texts need them."""
+    pieces = pieces or Pieces.from_model()
+    known = lexicon(docs, pieces, lexicon_words, text_col).toArrow()
+    known_ids = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat = known_ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    lengths = known_ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    score = np.zeros(max(i for _, i, _ in pieces.rows) + 1)
+    for _, i, x in pieces.rows:
+        score[i] = x
+    shared = docs.sparkSession.sparkContext.broadcast((flat, lengths, score, _piece_bytes(pieces)))
+    model = (pieces.kind, pieces.first_byte, pieces.unknown)
+    width = len(keep)
+    cache: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "ids" not in cache:
+            flat_, lengths_, score_, table = shared.value
+            size = max(table) + 1
+            cache.update(ids=flat_, lengths=lengths_, score=score_, shown=np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8), starts=np.concatenate([[0], np.cumsum([len(table.get(i, b"")) for i in range(size)])]))
+        shown, starts = cache["shown"], cache["starts"]
+        ids, sizes = [cache["ids"]], [cache["lengths"]]  # of the lexicon, and of this round's words after it
+        done, waiting, n_waiting = 0, [], 0
+
+        def fold(all_: bool) -> None:
+            """Folds the edges that wait, but for the last word's unless it is whole (``all_``)."""
+            nonlocal done, waiting, n_waiting
+            start, hit = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            u = start >> 32
+            cut = len(u) if all_ else int(np.searchsorted(u, u[-1]))
+            if cut:
+                if u[0] != done or not np.isin(np.diff(u[:cut]), (0, 1)).all():
+                    raise RuntimeError("edges of words are out of order")
+                piece = hit[:cut].astype(np.int32)  # the lower half
+                got, n = fold_words(u[:cut], start[:cut] & 0xFFFFFFFF, hit[:cut] >> 32, piece, cache["score"][np.maximum(piece, 0)], model)
+                ids.append(got)
+                sizes.append(n)
+                done += len(n)
+            waiting = [(start[cut:], hit[cut:])] if cut < len(u) else []
+            n_waiting = len(u) - cut
+
+        def texts_of(b: pa.RecordBatch) -> pa.RecordBatch:
+            ids[:], sizes[:] = [np.concatenate(ids)], [np.concatenate(sizes)]
+            numbers = b.column(width + 1).to_pylist()
+            k, words_ = np.frombuffer(b"".join(numbers), np.int32), np.array([len(x) // 4 for x in numbers], np.int64)
+            texts = b.column(width).to_pylist()
+            full = np.flatnonzero(words_)
+            n, ok, values = np.zeros(len(texts), np.int64), np.array([t == "" for t in texts]), np.zeros(0, np.int32)
+            if len(full):
+                lengths_ = sizes[0][k]
+                values = _ranges(ids[0], (np.cumsum(sizes[0]) - sizes[0])[k], lengths_)
+                n[full] = np.add.reduceat(lengths_, np.concatenate([[0], np.cumsum(words_[full])[:-1]]))
+                spans = starts[values + 1] - starts[values]
+                plain = _ranges(shown, starts[values], spans).tobytes()
+                ends = np.cumsum(np.add.reduceat(spans, np.concatenate([[0], np.cumsum(n[full])[:-1]])))
+                for i, s, e in zip(full.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    ok[i] = plain[s + 1 : e] == texts[i].encode()
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, pa.int32()), mask=pa.array([x is None for x in texts]))
+            return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(width)), pa.array(n, pa.int32()), lists, pa.array(ok)], names=[*keep, "n_tokens", "ids", "round_trip"])
+
+        for whole in batches:
+            start = whole.column(width + 2).to_numpy()
+            steps = [0, *(np.flatnonzero(np.diff((start < 0).astype(np.int8))) + 1).tolist(), whole.num_rows]
+            for first, end in zip(steps, steps[1:], strict=False):
+                if first == end:
+                    continue
+                b = whole.slice(first, end - first)
+                if start[first] >= 0:
+                    if start[first] == 0 and done:  # word 0 again
+                        done, ids[:], sizes[:] = 0, [cache["ids"]], [cache["lengths"]]
+                    waiting.append((start[first:end], b.column(width + 3).to_numpy()))
+                    n_waiting += len(b)
+                    if n_waiting >= most_edges:
+                        fold(False)
+                    continue
+                if waiting:
+                    fold(True)
+                lengths_, at = np.cumsum([len(x) // 4 for x in b.column(width + 1).to_pylist()]), 0
+                while at < len(b):  # at most so many words at once, but a text is whole
+                    upto = max(at + 1, int(np.searchsorted(lengths_, (lengths_[at - 1] if at else 0) + (1 << 17))))
+                    yield texts_of(b.slice(at, upto - at))
+                    at = upto
 
     types = dict(docs.dtypes)
-    return text_batches(docs).select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens int, ids array<int>, round_trip boolean")
+    rows = with_edges(docs, pieces, known["word"].to_pylist(), keep, text_col)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens int, ids array<int>, round_trip boolean")
 
 
 def _ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

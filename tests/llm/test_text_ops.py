@@ -80,6 +80,23 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encoded(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_words_beyond_the_lexicon_go_through_the_lattice(spark, monkeypatch):
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor
+    rng, model = random.Random(3), pieces.Pieces.from_model()
+    texts = [*ODD, " ".join("".join(rng.choices("aeinrst", k=rng.randint(1, 60))) for _ in range(300)), "".join(rng.choices("abcdefgh", k=3000)), " " * 600 + "é,;漢\u2581x", "seen twice seen twice", ""]
+    want = [None if t is None else lib(model_file=pieces.MODEL).encode(t) for t in texts]
+
+    def none(*_, **__):
+        raise AssertionError("the library encodes no word")
+
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", none)  # on the driver
+    bare = pieces.Pieces(model.rows, model.first_byte, model.kind)  # workers have no model to give to the library
+    for most in (1 << 17, 2):
+        got = pieces.encoded(docs(spark, texts).repartition(2), bare, lexicon_words=most, most_edges=1000).collect()
+        assert {r.doc_id: r.ids for r in got} == dict(enumerate(want))
+    assert all(r.round_trip == ("\u2581" not in texts[r.doc_id]) for r in got if texts[r.doc_id] is not None)
+
+
 def test_viterbi_equals_brute_force(spark):
     rows = [("▁", 3, -2.0), ("a", 4, -3.0), ("b", 5, -3.0), ("ab", 6, -4.0), ("▁a", 7, -3.5), ("ba", 8, -4.5), ("aba", 9, -6.0), ("▁ab", 10, -8.0)]
     model = pieces.Pieces(rows, 100, "unigram")
