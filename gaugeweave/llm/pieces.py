@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Every substring of a word of at most the longest piece's length is exploded and equi-joined to the piece table; the matches are the edges of the
-word's lattice, are grouped by word, and folded. The words of the lexicon, which are the commonest of the corpus (at most ``lexicon_words``, of at most ``LONGEST``
-characters), are encoded once, and folded by Spark's higher-order ``aggregate``:
+Every substring of a word of at most the longest piece's length is equi-joined to the piece table; the matches are the edges of the word's lattice,
+are grouped by word, and folded. The words of the lexicon, which are the commonest of the corpus (at most ``lexicon_words``, of at most ``LONGEST``
+characters), are encoded once: their substrings are exploded and joined by Spark, and folded by its higher-order ``aggregate``:
 
 * unigram models: Viterbi, the best score to each position, then the way back;
 * byte-pair models: best merge first, the edge of highest score (leftmost on ties) whose two halves are both symbols now.
@@ -11,10 +11,10 @@ characters), are encoded once, and folded by Spark's higher-order ``aggregate``:
 
 Words are cut at blanks, at line ends, and between characters of different groups, where characters that stand side by side in a piece are of
 one group; no piece reaches over these cuts, so a text's ids are its words' ids in order. Texts are encoded whole, in place, by looking words up
-in the lexicon, which is broadcast as its size is bounded. Every other word of a text goes through the same lattice where the text is:
-it is exploded beside its text, joined to the piece table by broadcast (the table is a constant of the model), and its edges, which stay together
-as nothing is shuffled, are grouped by word and folded for many words at once. So the bound tells only where a word is folded, the model's library encodes nothing, and
-no text and no word occurrence is shuffled, only counts of distinct words. Characters without a piece become their bytes' pieces.
+in the lexicon, which is broadcast as its size is bounded. Every other word of a text goes through the same lattice where the text is, for many
+words at once: its substrings are joined to the broadcast piece table (a constant of the model) size by size, and the edges are folded. This join probes sorted keys in NumPy, in
+the task, as rows of exploded substrings through the JVM took most of the query's time. So the bound tells only where a word is joined and folded, the model's library
+encodes nothing, and no text and no word occurrence is shuffled, only counts of distinct words. Characters without a piece become their bytes' pieces.
 
 Results for odd input: a null text has null ids and 0 tokens, an empty one no ids; ids decode to the same text, except that the
 blank symbol U+2581 of the model reads as a blank; equal rows get equal results; an empty table gives no rows; further columns
@@ -25,21 +25,22 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import durable, text_batches
+from .storage import durable, free_name, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONGEST = 48
-#: Longer words are exploded in parts of so many characters (and as many more as a piece may need), so no row is long; and they are folded by a heap.
+#: Words of more characters are folded by a heap.
 PART = 256
 
 
@@ -189,92 +190,88 @@ def lexicon(docs: DataFrame, pieces: Pieces, lexicon_words: int = 1 << 17, text_
     return encode_words(chosen.select("word").repartition(64, "word"), pieces)
 
 
-def with_edges(docs: DataFrame, pieces: Pieces, lexicon: list[str], keep: tuple[str, ...], text_col: str, held: int = 1 << 17) -> DataFrame:
-    """The texts with their words' numbers, each after the lattice edges of those of its words that are not in ``lexicon``.
+def piece_levels(pieces: Pieces) -> tuple[np.ndarray, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The piece table as :func:`lattice` joins it, a level for each size: (number of each character, their count, ids of single characters, [(keys, ids)] of sizes 2, 3, ...).
 
-    Rows of texts (_u = -1): ``keep`` (as _keep0 and so on), _text, and _k, the numbers of its words (32 bits each): places in ``lexicon``, or its length plus _u. Rows of edges:
-    _from holds _u, number of the word (counted within a task from 0, and anew after ``held`` words) and, in the lower 32 bits, its first character; _hit the size and the piece's id,
-    or -1 less the code point of a character without a piece. Rows are narrow, as each costs time on its way to Python by column (and null lists more than any).
-    No step shuffles, so rows keep their order, and a word's edges stay together.
+    A key is the place, in the level before, of all characters but the last, times the count, plus the last one's number; keys ascend. Beginnings of pieces that are no pieces have id -1,
+    and so have characters without a piece.
     """
-    spark, pattern, longest, width, n_known = docs.sparkSession, pieces.words(), pieces.longest, len(keep), len(lexicon)
-    shared = spark.sparkContext.broadcast(lexicon)
-    kept = [f"_keep{i}" for i in range(width)]
-    names = [*kept, "_text", "_k", "_u", "_at", "_part"]
-    cache: dict = {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "number" not in cache:
-            cache.update(number={w: i for i, w in enumerate(shared.value)})
-        number, find = cache["number"], re.compile(pattern).findall
-        others: dict[str, int] = {}
-        for b in batches:
-            at = 0
-            while at < b.num_rows:
-                first, size, texts = at, 0, []
-                while at < b.num_rows and size < 1 << 19:
-                    texts.append(b.column(width)[at].as_py())
-                    size += len(texts[-1] or "")
-                    at += 1
-                if len(others) > held:
-                    others = {}
-                found = [find(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
-                flat = [w for ws in found for w in ws]
-                k = np.array([number.get(w, -1) for w in flat], np.int32)
-                missing, before = np.flatnonzero(k < 0).tolist(), len(others)
-                k[missing] = [n_known + others.setdefault(flat[i], len(others)) for i in missing]
-                new = list(others)[before:] if len(others) > before else []
-                parts = [(before + i, o, w[o : o + PART + longest - 1].replace(" ", BLANK)) for i, w in enumerate(new) for o in range(0, len(w), PART)]
-                n, m = len(parts), at - first
-                if n:
-                    u, o, part = zip(*parts, strict=True)
-                    empty = [pa.nulls(n, b.schema.field(i).type) for i in range(width)]
-                    yield pa.RecordBatch.from_arrays([*empty, pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(u, pa.int32()), pa.array(o, pa.int32()), pa.array(part, pa.string())], names=names)
-                ends = np.cumsum([0, *map(len, found)]).tolist()
-                numbers = pa.array([k[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, m) for i in range(width)), pa.array(texts, pa.string()), numbers, pa.array([-1] * m, pa.int32()), pa.array([0] * m, pa.int32()), pa.array([""] * m)], names=names)
-
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"{n} {types[c]}" for n, c in zip(kept, keep, strict=True)) + ", _text string, _k binary, _u int, _at int, _part string"
-    rows = text_batches(docs).select(*(F.col(c).alias(n) for n, c in zip(kept, keep, strict=True)), F.col(text_col).alias("_text")).mapInArrow(run, schema)
-    last = F.greatest(F.least(F.char_length("_part"), F.lit(PART)) - 1, F.lit(0))  # a text's row has an empty part and stays one row
-    grid = rows.withColumn("_p", F.explode_outer(F.sequence(F.lit(0), last))).withColumn("_tail", F.substr("_part", F.col("_p") + 1, F.lit(longest)))
-    grid = grid.withColumn("_size", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.char_length("_tail"), F.lit(1))))).withColumn("_piece", F.substr("_tail", F.lit(1), F.col("_size")))
-    table = pieces.frame(spark).select(F.col("piece").alias("_piece"), F.col("id").alias("_id"))
-    edges = grid.join(F.broadcast(table), "_piece", "left").filter("_id is not null or _size = 1")
-    start = "shiftleft(cast(_u as long), 32) | (_at + _p) as _from"
-    return edges.selectExpr(*kept, "_text", "_k", start, "shiftleft(cast(_size as long), 32) | (coalesce(_id, -1 - ascii(_piece)) & 4294967295L) as _hit")
+    known = {p: i for p, i, _ in pieces.rows}
+    begins = {p[:k] for p in known for k in range(1, len(p) + 1)}
+    chars = sorted({c for p in known for c in p})
+    alphabet = len(chars) + 1  # the last number is that of all other characters
+    number = np.full(0x110000, len(chars), np.uint16 if alphabet < 1 << 16 else np.int32)
+    number[[ord(c) for c in chars]] = np.arange(len(chars))
+    place = {c: i for i, c in enumerate(chars)}
+    single = np.array([*(known.get(c, -1) for c in chars), -1], np.int32)
+    levels, before = [], place
+    for size in range(2, pieces.longest + 1):
+        keyed = sorted((before[p[:-1]] * alphabet + place[p[-1]], p) for p in begins if len(p) == size)
+        before = {p: i for i, (_, p) in enumerate(keyed)}
+        levels.append((np.array([key for key, _ in keyed], np.int64), np.array([known.get(p, -1) for _, p in keyed], np.int32)))
+    return number, alphabet, single, levels
+
+
+def lattice(words: list[str], table: tuple[np.ndarray, int, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of each word, first character, size, id) of the edges of all words' lattices; characters are counted through all words, and the edges of single characters come first, in order.
+
+    Substrings meet the piece table by size: those of a size are joined, as (place of their beginning, last character), to the level's keys; one whose beginning is no piece's is not looked up.
+    Ids below 0: -1 less the code point of a character without a piece.
+    """
+    number, alphabet, single, levels = table
+    chars = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join(words).replace(" ", BLANK).encode("utf-32-le"), np.uint32)
+    last = number[codes]
+    ends = np.repeat(np.cumsum(chars), chars)  # of each character's word
+    ids = single[last]
+    edges = [(np.arange(len(codes)), 1, np.where(ids < 0, -1 - codes.astype(np.int32), ids))]
+    begin, place = edges[0][0], last.astype(np.int64)
+    for size, (keys, of) in enumerate(levels, 2):
+        inside = np.flatnonzero(begin + size <= ends[begin])
+        begin = begin[inside]
+        if not (len(begin) and len(keys)):
+            break
+        key = place[inside] * alphabet + last[begin + size - 1]
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = np.flatnonzero(keys[place] == key)
+        begin, place = begin[hit], place[hit]
+        ids = of[place]
+        whole = np.flatnonzero(ids >= 0)
+        edges.append((begin[whole], size, ids[whole]))
+    begins, sizes, ids = zip(*edges, strict=True)
+    return chars, np.concatenate(begins), np.repeat(np.array(sizes), [len(x) for x in begins]), np.concatenate(ids)
 
 
-def fold_words(u: np.ndarray, s: np.ndarray, size: np.ndarray, ids: np.ndarray, score: np.ndarray, pieces: tuple[str, int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words, number of each) from the edges of whole words, in order of word, first character and size. Ids below 0: -1 less the code point of a character without a piece.
+def fold_words(chars: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, rank: np.ndarray, score: np.ndarray, pieces: tuple[str, int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of each) from their lattices. ``rank`` and ``score`` of each id: ranks are 0 for the best score.
 
     ``pieces``: kind, id of <0x00>, score of a character without a piece.
     """
     kind, first_byte, unknown = pieces
-    heads = np.flatnonzero(size == 1)  # one for each character
-    word = u - u[0]
-    chars = np.bincount(word[heads])
-    many = len(chars)
+    many, heads = len(chars), int(chars.sum())
     start = np.cumsum(chars) - chars + np.arange(many)  # each word has a slot for each character, and one for its end
-    dead = len(heads) + many
+    word = np.repeat(np.arange(many), chars)[begin]
+    dead = heads + many
     to = np.arange(1, dead + 2, dtype=np.int32)  # end of the symbol that begins here
     to[start + chars] = to[dead] = dead
-    begin = (start[word] + s).astype(np.int32)
+    begin = begin + word
     symbol = np.zeros(dead + 1, np.int32)
-    symbol[begin[heads]] = ids[heads]
+    symbol[begin[:heads]] = ids[:heads]
     if kind == "bpe":
-        long = chars > PART
-        pairs = np.flatnonzero((size > 1) & ~long[word])
-        pairs = pairs[np.lexsort((begin[pairs], -score[pairs], word[pairs]))]
-        _merge(word[pairs], begin[pairs], begin[pairs] + size[pairs], ids[pairs], to, symbol, many)
-        for w in np.flatnonzero(long):
-            mine = np.flatnonzero((size > 1) & (word == w))
-            _merge_long(begin[mine], begin[mine] + size[mine], ids[mine], score[mine], to, symbol)
+        word, begin, size, ids = word[heads:], begin[heads:], size[heads:], ids[heads:]
+        order = _order(word, rank[ids], begin)
+        word, begin, end, ids = word[order], begin[order].astype(np.int32), (begin + size)[order].astype(np.int32), ids[order]
+        long = np.flatnonzero(chars > PART)
+        short = np.flatnonzero(chars[word] <= PART) if len(long) else slice(None)
+        _merge(word[short], begin[short], end[short], ids[short], to, symbol, many)
+        for first, upto in zip(np.searchsorted(word, long), np.searchsorted(word, long, "right"), strict=True):
+            _merge_long(begin[first:upto], end[first:upto], ids[first:upto], score[ids[first:upto]], to, symbol)
     else:
-        edges = np.split(np.arange(len(u)), np.flatnonzero(np.diff(word)) + 1)
+        order = np.lexsort((size, begin))
+        word, begin, size, ids = word[order], begin[order], size[order], ids[order]
+        edges = np.split(np.arange(len(word)), np.flatnonzero(np.diff(word)) + 1)
         for mine, at, n in zip(edges, start.tolist(), chars.tolist(), strict=True):
-            _best_path(s[mine].tolist(), size[mine].tolist(), ids[mine].tolist(), np.where(ids[mine] < 0, unknown, score[mine]).tolist(), at, n, to, symbol, dead)
+            _best_path((begin[mine] - at).tolist(), size[mine].tolist(), ids[mine].tolist(), np.where(ids[mine] < 0, unknown, score[np.maximum(ids[mine], 0)]).tolist(), at, n, to, symbol, dead)
     begins = np.flatnonzero(to != dead)
     got, number = symbol[begins], np.searchsorted(start, begins, "right") - 1
     plain = np.flatnonzero(got < 0)
@@ -287,6 +284,16 @@ def fold_words(u: np.ndarray, s: np.ndarray, size: np.ndarray, ids: np.ndarray,
     return got, np.bincount(number, minlength=many)
 
 
+def _order(word: np.ndarray, rank: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Order by word, rank and begin: by one number where all three fit into it."""
+    if not len(word):
+        return np.zeros(0, np.int64)
+    bits = [int(x.max()).bit_length() for x in (word, rank, begin)]
+    if sum(bits) > 63:
+        return np.lexsort((begin, rank, word))
+    return np.argsort(word << (bits[1] + bits[2]) | rank.astype(np.int64) << bits[2] | begin)
+
+
 def _merge(word: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, to: np.ndarray, symbol: np.ndarray, many: int) -> None:
     """One merge of each word at a time: the first of its edges, best first, whose two halves are symbols."""
     dead, live = len(to) - 1, np.ones(len(to), bool)
@@ -334,8 +341,11 @@ def _best_path(s: list[int], size: list[int], ids: list[int], score: list[float]
         to[at + b], symbol[at + b], n = at + n, i, b
 
 
-def encoded(docs: DataFrame, pieces: Pieces | None = None, lexicon_words: int = 1 << 17, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), most_edges: int = 1 << 17) -> DataFrame:
-    """The columns ``keep`` with n_tokens, ids, and round_trip: whether the decoded ids are the text. Edges are folded when there are ``most_edges``, or texts need them."""
+def encoded(docs: DataFrame, pieces: Pieces | None = None, lexicon_words: int = 1 << 17, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), most_edges: int = 1 << 18, held: int = 1 << 17) -> DataFrame:
+    """The columns ``keep`` with n_tokens, ids, and round_trip: whether the decoded ids are the text.
+
+    Words beyond the lexicon are folded together up to ``most_edges`` / 4 characters (a longer one alone); a task forgets their ids when it has more than ``held``.
+    """
     pieces = pieces or Pieces.from_model()
     known = lexicon(docs, pieces, lexicon_words, text_col).toArrow()
     known_ids = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -344,47 +354,43 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, lexicon_words: int =
     score = np.zeros(max(i for _, i, _ in pieces.rows) + 1)
     for _, i, x in pieces.rows:
         score[i] = x
-    shared = docs.sparkSession.sparkContext.broadcast((flat, lengths, score, _piece_bytes(pieces)))
-    model = (pieces.kind, pieces.first_byte, pieces.unknown)
-    width = len(keep)
+    rank = np.unique(-score, return_inverse=True)[1].astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((known["word"].to_pylist(), flat, lengths, score, rank, piece_levels(pieces), _piece_bytes(pieces)))
+    model, pattern, width = (pieces.kind, pieces.first_byte, pieces.unknown), pieces.words(), len(keep)
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "ids" not in cache:
-            flat_, lengths_, score_, table = shared.value
-            size = max(table) + 1
-            cache.update(ids=flat_, lengths=lengths_, score=score_, shown=np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8), starts=np.concatenate([[0], np.cumsum([len(table.get(i, b"")) for i in range(size)])]))
-        shown, starts = cache["shown"], cache["starts"]
-        ids, sizes = [cache["ids"]], [cache["lengths"]]  # of the lexicon, and of this round's words after it
-        done, waiting, n_waiting = 0, [], 0
-
-        def fold(all_: bool) -> None:
-            """Folds the edges that wait, but for the last word's unless it is whole (``all_``)."""
-            nonlocal done, waiting, n_waiting
-            start, hit = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            u = start >> 32
-            cut = len(u) if all_ else int(np.searchsorted(u, u[-1]))
-            if cut:
-                if u[0] != done or not np.isin(np.diff(u[:cut]), (0, 1)).all():
-                    raise RuntimeError("edges of words are out of order")
-                piece = hit[:cut].astype(np.int32)  # the lower half
-                got, n = fold_words(u[:cut], start[:cut] & 0xFFFFFFFF, hit[:cut] >> 32, piece, cache["score"][np.maximum(piece, 0)], model)
-                ids.append(got)
-                sizes.append(n)
-                done += len(n)
-            waiting = [(start[cut:], hit[cut:])] if cut < len(u) else []
-            n_waiting = len(u) - cut
-
-        def texts_of(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids[:], sizes[:] = [np.concatenate(ids)], [np.concatenate(sizes)]
-            numbers = b.column(width + 1).to_pylist()
-            k, words_ = np.frombuffer(b"".join(numbers), np.int32), np.array([len(x) // 4 for x in numbers], np.int64)
-            texts = b.column(width).to_pylist()
+            words_, ids_, sizes_, score_, rank_, levels_, bytes_ = shared.value
+            size = max(bytes_) + 1
+            cache.update(words=words_, ids=ids_, sizes=sizes_, score=score_, rank=rank_, levels=levels_)
+            cache.update(shown=np.frombuffer(b"".join(bytes_.get(i, b"") for i in range(size)), np.uint8), starts=np.concatenate([[0], np.cumsum([len(bytes_.get(i, b"")) for i in range(size)])]))
+        shown, starts, find = cache["shown"], cache["starts"], re.compile(pattern).findall
+        n_known = len(cache["words"])
+        number: defaultdict[str, int] = defaultdict(count(n_known).__next__, zip(cache["words"], range(n_known), strict=True))  # a new word gets the next number
+        ids, sizes = cache["ids"], cache["sizes"]  # of the lexicon's words, and of this task's after them
+
+        def fold(new: list[str]) -> None:
+            """Ids of words that have none yet."""
+            nonlocal ids, sizes
+            ends, at, got = np.cumsum([len(w) for w in new]), 0, [(ids, sizes)]
+            while at < len(new):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_edges // 4, "right")))
+                got.append(fold_words(*lattice(new[at:upto], cache["levels"]), cache["rank"], cache["score"], model))
+                at = upto
+            ids, sizes = (np.concatenate(x) for x in zip(*got, strict=True))
+
+        def encode(b: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+            found = [find(" " + t.replace(BLANK, " ")) if t else () for t in texts]
+            words_ = np.array([len(x) for x in found], np.int64)
+            k = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int32, int(words_.sum()))
+            if len(number) > len(sizes):
+                fold(list(islice(reversed(number), len(number) - len(sizes)))[::-1])
             full = np.flatnonzero(words_)
             n, ok, values = np.zeros(len(texts), np.int64), np.array([t == "" for t in texts]), np.zeros(0, np.int32)
             if len(full):
-                lengths_ = sizes[0][k]
-                values = _ranges(ids[0], (np.cumsum(sizes[0]) - sizes[0])[k], lengths_)
+                lengths_ = sizes[k]
+                values = _ranges(ids, (np.cumsum(sizes) - sizes)[k], lengths_)
                 n[full] = np.add.reduceat(lengths_, np.concatenate([[0], np.cumsum(words_[full])[:-1]]))
                 spans = starts[values + 1] - starts[values]
                 plain = _ranges(shown, starts[values], spans).tobytes()
@@ -392,33 +398,24 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, lexicon_words: int =
                 for i, s, e in zip(full.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     ok[i] = plain[s + 1 : e] == texts[i].encode()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, pa.int32()), mask=pa.array([x is None for x in texts]))
-            return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(width)), pa.array(n, pa.int32()), lists, pa.array(ok)], names=[*keep, "n_tokens", "ids", "round_trip"])
-
-        for whole in batches:
-            start = whole.column(width + 2).to_numpy()
-            steps = [0, *(np.flatnonzero(np.diff((start < 0).astype(np.int8))) + 1).tolist(), whole.num_rows]
-            for first, end in zip(steps, steps[1:], strict=False):
-                if first == end:
-                    continue
-                b = whole.slice(first, end - first)
-                if start[first] >= 0:
-                    if start[first] == 0 and done:  # word 0 again
-                        done, ids[:], sizes[:] = 0, [cache["ids"]], [cache["lengths"]]
-                    waiting.append((start[first:end], b.column(width + 3).to_numpy()))
-                    n_waiting += len(b)
-                    if n_waiting >= most_edges:
-                        fold(False)
-                    continue
-                if waiting:
-                    fold(True)
-                lengths_, at = np.cumsum([len(x) // 4 for x in b.column(width + 1).to_pylist()]), 0
-                while at < len(b):  # at most so many words at once, but a text is whole
-                    upto = max(at + 1, int(np.searchsorted(lengths_, (lengths_[at - 1] if at else 0) + (1 << 17))))
-                    yield texts_of(b.slice(at, upto - at))
-                    at = upto
+            return pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n, pa.int32()), lists, pa.array(ok)], names=[*keep, "n_tokens", "ids", "round_trip"])
+
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                first, size, texts = at, 0, []
+                while at < b.num_rows and size < 1 << 18:  # a text is whole
+                    texts.append(b.column(width)[at].as_py())
+                    size += len(texts[-1] or "")
+                    at += 1
+                if len(number) > n_known + held:
+                    for w in list(islice(reversed(number), len(number) - n_known)):
+                        del number[w]
+                    number.default_factory, ids, sizes = count(n_known).__next__, cache["ids"], cache["sizes"]
+                yield encode(b.slice(first, at - first), texts)
 
     types = dict(docs.dtypes)
-    rows = with_edges(docs, pieces, known["word"].to_pylist(), keep, text_col)
+    rows = text_batches(docs).select(*keep, F.col(text_col).alias(free_name(list(keep), "_text")))
     return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens int, ids array<int>, round_trip boolean")
 
 
